@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from sparkeval.llm import exact_dedup, mixing, sharding, topk
+from sparkeval.llm import exact_dedup, mixing, sharding, topk, packing, html_text
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_html_extraction": html_text.op2_html_extraction,
     "op4_mixing": mixing.op4_mixing,
+    "op5_packing": packing.op5_packing,
     "op8_topk_search": topk.op8_topk_search,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
