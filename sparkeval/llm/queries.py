@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from sparkeval.llm import exact_dedup, mixing, sharding, topk, packing, html_text
+from sparkeval.llm import exact_dedup, html_text, language, mixing, packing, privacy, sharding, topk
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_html_extraction": html_text.op2_html_extraction,
     "op4_mixing": mixing.op4_mixing,
     "op5_packing": packing.op5_packing,
+    "op6_language_id": language.op6_language_id,
     "op8_topk_search": topk.op8_topk_search,
+    "op9_pii": privacy.op9_pii,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
 ORACLE_SQL = {
     "op4_mixing": mixing.OP4_SQL,
+    "op6_language_id": language.op6_language_id,
     "op8_topk_search": topk.OP8_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
 }
