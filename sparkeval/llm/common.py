@@ -65,7 +65,7 @@ def ranked(df: DataFrame, key: str, order: str, rows: int, rank: str = "rank", p
     Rows of a key fall into buckets by the hash of `order`; counts of the buckets give each bucket its first number, and only
     a bucket's rows are sorted together. `rows` is the number of all rows and sets the number of buckets.
     """
-    buckets = max(8, rows // per_bucket + 1)
+    buckets = max(64, rows // per_bucket + 1)
     b = df.withColumn("__bucket", hash_bucket(F.col(order), buckets))
     before = Window.partitionBy(key).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = b.groupBy(key, "__bucket").agg(F.count("*").alias("__n"))

@@ -17,7 +17,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op4_mixing": mixing.OP4_SQL,
-    "op6_language_id": language.op6_language_id,
     "op8_topk_search": topk.OP8_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
 }
