@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from sparkeval.llm import exact_dedup, html_text, language, mixing, packing, privacy, sharding, topk
+from sparkeval.llm import exact_dedup, html_text, language, mixing, near_dedup, packing, privacy, sharding, substring_dedup, topk
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_html_extraction": html_text.op2_html_extraction,
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_mixing": mixing.op4_mixing,
     "op5_packing": packing.op5_packing,
     "op6_language_id": language.op6_language_id,
+    "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_topk_search": topk.op8_topk_search,
     "op9_pii": privacy.op9_pii,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
