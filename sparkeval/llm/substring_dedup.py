@@ -24,14 +24,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkeval.llm.common import BROADCAST_ROWS, read, runs_of, stage
+from sparkeval.llm.common import read, runs_of, stage
 from sparkeval.llm.near_dedup import BYTES, PLACES, mix
 
 WINDOW, GRAM = 50, 20
 TAIL = WINDOW - GRAM
 CHUNK = 1 << 20  # bytes whose identifiers are held at a time; a longer document is one chunk
 BLOCK = 1 << 24  # bytes whose entries are combined before they are sent
-BROADCAST_BYTES = 32 << 20
 PLACE_BITS = np.uint64((1 << 28) - 1)
 A, B, C, D = (np.uint64(int(x)) for x in PLACES[:4])
 
@@ -279,12 +278,6 @@ def _cut(with_text: bool):
     return run
 
 
-def _bounded(df: DataFrame, column: str) -> DataFrame:
-    """df to be broadcast where its rows and bytes are counted and within the bounds."""
-    n, size = df.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()
-    return F.broadcast(df) if n <= 2 * BROADCAST_ROWS and size <= BROADCAST_BYTES else df
-
-
 def _settled(docs: DataFrame, parts: int, partitions: int, of_windows: bool) -> DataFrame:
     schema = "part long, kind int, blob binary"
     dealt_out = docs.mapInArrow(_map(parts, of_windows), schema).repartition(partitions, "part", "kind").sortWithinPartitions("part", "kind")
@@ -306,15 +299,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), beyond).alias("key"), text.alias("text"))
     first = _settled(source.select("key", "text"), 2 * partitions, partitions, False)
     left = first.where(F.col("kind") == QUESTION).select("key", F.col("places").alias("asked"))
-    near = source.select("key", "text").join(_bounded(left, "asked"), "key")
+    near = source.select("key", "text").join(left, "key")
     second = _settled(near, 2 * partitions, partitions, True)
     places = first.where(F.col("kind") == ANSWER).unionByName(second.where(F.col("kind") == ANSWER))
     places = stage(places.groupBy("key").agg(F.collect_list("places").alias("places")), "repeated_places")  # two a document at most
-    size = places.select("key", F.aggregate("places", F.lit(0), lambda a, p: a + F.octet_length(p)).alias("size"))
-    n, total = size.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    found = F.broadcast(places) if n <= 2 * BROADCAST_ROWS and total <= BROADCAST_BYTES else places
     fields = "id long, n_bytes long, n_removed long, n_spans long, kept " + ("binary" if with_text else "string")
-    return source.join(found, "key", "left").select("id", "text", "places").mapInArrow(_cut(with_text), fields)
+    return source.join(places, "key", "left").select("id", "text", "places").mapInArrow(_cut(with_text), fields)
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
