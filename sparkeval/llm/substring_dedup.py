@@ -31,6 +31,7 @@ WINDOW, GRAM = 50, 20
 TAIL = WINDOW - GRAM
 CHUNK = 1 << 20  # bytes whose identifiers are held at a time; a longer document is one chunk
 BLOCK = 1 << 24  # bytes whose entries are combined before they are sent
+PART, PART_GROWS = 1 << 22, 1 << 32  # text bytes a part; beyond 4 GiB of text parts and their number both grow with its root
 PLACE_BITS = np.uint64((1 << 28) - 1)
 A, B, C, D = (np.uint64(int(x)) for x in PLACES[:4])
 
@@ -278,6 +279,11 @@ def _cut(with_text: bool):
     return run
 
 
+def parts_for(size: int) -> int:
+    """How many parts identifiers are dealt over: blobs hold enough entries, and parts fit in a task, at every size of the text."""
+    return max(16, int(size / (PART * max(1.0, (size / PART_GROWS) ** 0.5))))
+
+
 def _settled(docs: DataFrame, parts: int, partitions: int, of_windows: bool) -> DataFrame:
     schema = "part long, kind int, blob binary"
     dealt_out = docs.mapInArrow(_map(parts, of_windows), schema).repartition(partitions, "part", "kind").sortWithinPartitions("part", "kind")
@@ -297,10 +303,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col), F.lit(""))
     beyond = F.lit(1 << 62) + F.pmod(F.xxhash64(text), F.lit(1 << 62))
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), beyond).alias("key"), text.alias("text"))
-    first = _settled(source.select("key", "text"), 2 * partitions, partitions, False)
+    parts = parts_for(source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
+    first = _settled(source.select("key", "text"), parts, partitions, False)
     left = first.where(F.col("kind") == QUESTION).select("key", F.col("places").alias("asked"))
     near = source.select("key", "text").join(left, "key")
-    second = _settled(near, 2 * partitions, partitions, True)
+    second = _settled(near, parts, partitions, True)
     places = first.where(F.col("kind") == ANSWER).unionByName(second.where(F.col("kind") == ANSWER))
     places = stage(places.groupBy("key").agg(F.collect_list("places").alias("places")), "repeated_places")  # two a document at most
     fields = "id long, n_bytes long, n_removed long, n_spans long, kept " + ("binary" if with_text else "string")
