@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,44 +72,70 @@ def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, rows:
     return kept, np.vstack([table, np.full(GRAMS, -np.log(GRAMS))]).astype(np.float32)
 
 
-def _likelihoods(model: np.ndarray, from_html: bool):
+def _likelihoods(model: np.ndarray, from_html: bool, inside: str | None):
+    """Tempered log-likelihoods of each text, and its posterior from the text alone; the text lies in field `inside` of the row if given."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.ascontiguousarray(model.T)
+        flat = np.zeros(table.shape[1])
+        flat[-1] = np.log(UNKNOWN_PRIOR)
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            out, n = [], []
-            for value in batch.column(at):
+            texts = pa.compute.struct_field(batch.column("row"), inside) if inside else batch.column("text")
+            logs, soft, n = [], [], []
+            for value in texts:
                 text = value.as_py() or ""
                 grams = trigrams((main_text(text) if from_html else text).lower().encode())
-                mean = table[grams].mean(axis=0, dtype=np.float64) if len(grams) else np.zeros(table.shape[1])
-                out.append(mean * min(len(grams), EVIDENCE))
+                log = table[grams].mean(axis=0, dtype=np.float64) * min(len(grams), EVIDENCE) if len(grams) else np.zeros(len(flat))
+                power = np.exp(log + flat - (log + flat).max())
+                logs.append(log)
+                soft.append(power / power.sum() if len(grams) else np.zeros(len(flat)))
                 n.append(len(grams))
-            others = [c for i, c in enumerate(batch.columns) if i != at]
-            names = [x for i, x in enumerate(batch.schema.names) if i != at]
-            ends = np.arange(len(out) + 1) * table.shape[1]
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(out) if out else np.empty(0)))
-            yield pa.RecordBatch.from_arrays([*others, lists, pa.array(n, pa.int64())], [*names, "loglik", "grams"])
+            others = [x for x in batch.schema.names if x != "text"]
+            ends = pa.array(np.arange(len(n) + 1) * len(flat), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x) if x else np.empty(0))) for x in (logs, soft)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in others], *lists, pa.array(n, pa.int64())], [*others, "loglik", "soft", "grams"])
 
     return run
 
 
-def _softmax(logs: Column) -> Column:
-    most = F.array_max(logs)
-    powers = F.transform(logs, lambda x: F.exp(x - most))
-    return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda a, b: a + b))
+LEVELS = ("domain_sums", "host_sums", "declared_sums", "suffix_sums")
+
 
+def _fuse(names: list[str], total: np.ndarray, n_declared: int, n_suffix: int):
+    """Posteriors from the texts' likelihoods, the hosts' priors and the tables of declarations and suffixes."""
+    k = len(names)
 
-def _sums(k: int) -> Column:
-    return F.array(*[F.sum(F.col("soft")[i]) for i in range(k)])
+    def matrix(column: pa.Array) -> np.ndarray:
+        out = np.full((len(column), k), np.nan)
+        out[column.is_valid().to_numpy(zero_copy_only=False)] = column.drop_null().flatten().to_numpy().reshape(-1, k)
+        return out
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            soft, logs = matrix(batch.column("soft")), matrix(batch.column("loglik"))
+            sums = {x: np.maximum(matrix(batch.column(x)) - soft, 0.0) for x in LEVELS}  # without the row's own share
+            every = np.maximum(total - soft, 0.0)
+            prior = (every + 1.0 / k) / (every.sum(axis=1, keepdims=True) + 1.0)
+            for level in LEVELS[:2]:  # a level that a row has not leaves the wider one's prior
+                have = np.nan_to_num(sums[level])
+                prior = (have + PRIOR_ROWS * prior) / (have.sum(axis=1, keepdims=True) + PRIOR_ROWS)
+            logs = logs + np.log(prior)
+            for level, values in zip(LEVELS[2:], (n_declared, n_suffix), strict=True):
+                # how often rows of a language come with this value, one more count for each value there is
+                logs = logs + np.nan_to_num(np.log((sums[level] + 1.0) / (every + values + 1.0)))
+            power = np.exp(logs - logs.max(axis=1, keepdims=True))
+            seen = batch.column("grams").to_numpy() > 0
+            named = lambda m: pa.array([names[i] if s else UNKNOWN for i, s in zip(m.argmax(axis=1), seen, strict=True)], pa.string())
+            sure = np.where(seen, np.round(power.max(axis=1) / power.sum(axis=1), 6), 0.0)
+            others = [x for x in batch.schema.names if x not in ("loglik", "soft", *LEVELS)]
+            columns = [*[batch.column(x) for x in others], named(soft), named(logs), pa.array(sure)]
+            yield pa.RecordBatch.from_arrays(columns, [*others, "text_lang", "lang", "confidence"])
 
-def _less(name: str) -> Column:
-    """A table's sums without the row's own share."""
-    return F.zip_with(F.col(name), F.col("soft"), lambda a, b: F.greatest(a - b, F.lit(0.0)))
+    return run
 
 
-def _total(sums: Column) -> Column:
-    return F.aggregate(sums, F.lit(0.0), lambda a, b: a + b)
+def _sums(name: str, k: int) -> Column:
+    return F.array(*[F.sum(F.col(name)[i]) for i in range(k)])
 
 
 def identify(
@@ -139,57 +166,30 @@ def identify(
         F.col(id_col).cast("long").alias("id"),
         F.nullif(F.lower(F.trim(F.split(declared, "[-_]")[0])), F.lit("")).alias("declared"),
         F.nullif(host, F.lit("")).alias("host"),
-        F.col(text_col).alias("text"),
-        *[F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] * rows,
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if rows else F.col(text_col).alias("text"),
     )
     fields = "id long, declared string, host string" + (f", row {base.schema['row'].dataType.simpleString()}" if rows else "")
-    order = ["id", "declared", "host", *["row"] * rows]
-    base = base.select(*order, "text").mapInArrow(_likelihoods(table, from_html), fields + ", loglik array<double>, grams long")
-    suffix = F.when(F.size(parts) > 1, F.element_at(parts, -1))
+    scored = _likelihoods(table, from_html, text_col if rows else None)
+    base = base.mapInArrow(scored, fields + ", loglik array<double>, soft array<double>, grams long")
+    suffix = F.when(F.size(parts) > 1, F.element_at(parts, -1)) if url_col else F.lit(None).cast("string")
     domain = F.when(F.size(parts) > 1, F.concat_ws(".", F.slice(parts, -2, 2))).otherwise(F.col("host"))
-    flat = F.array(*[F.lit(0.0)] * (k - 1), F.lit(float(np.log(UNKNOWN_PRIOR))))
-    text_only = F.zip_with("loglik", flat, lambda a, b: a + b)
-    soft = F.when(F.col("grams") > 0, _softmax(text_only)).otherwise(F.array_repeat(F.lit(0.0), k))
-    base = stage(base.withColumns({"suffix": suffix if url_col else F.lit(None).cast("string"), "domain": domain, "soft": soft}), "language_rows")
-
-    hosts = stage(base.where("host is not null").groupBy("host", "domain").agg(_sums(k).alias("host_sums")), "language_hosts")
-    folded = lambda name: F.array(*[F.sum(F.col(name)[i]) for i in range(k)])
-    domains = hosts.groupBy("domain").agg(folded("host_sums").alias("domain_sums"))
-    everything = base.agg(_sums(k).alias("all_sums"))
-    by_declared = stage(base.where("declared is not null").groupBy("declared").agg(_sums(k).alias("declared_sums")), "language_declared")
-    by_suffix = stage(base.where("suffix is not null").groupBy("suffix").agg(_sums(k).alias("suffix_sums")), "language_suffix")
-    n_declared, n_suffix = by_declared.count(), by_suffix.count()
-
-    near = base.join(hosts.join(domains, "domain").drop("domain"), "host", "left")
+    base = stage(base.withColumns({"suffix": suffix, "domain": domain}), "language_rows")
+
+    hosts = stage(base.where("host is not null").groupBy("host", "domain").agg(_sums("soft", k).alias("host_sums")), "language_hosts")
+    domains = hosts.groupBy("domain").agg(_sums("host_sums", k).alias("domain_sums"))
+    by_declared = stage(base.where("declared is not null").groupBy("declared").agg(_sums("soft", k).alias("declared_sums")), "language_declared")
+    by_suffix = stage(base.where("suffix is not null").groupBy("suffix").agg(_sums("soft", k).alias("suffix_sums")), "language_suffix")
+    n_hosts, n_declared, n_suffix = hosts.count(), by_declared.count(), by_suffix.count()
+    total = base.agg(_sums("soft", k)).first()[0]  # one row
+
+    near = base.join(small(hosts.join(domains, "domain").drop("domain"), n_hosts), "host", "left")
     near = near.join(small(by_declared, n_declared), "declared", "left").join(small(by_suffix, n_suffix), "suffix", "left")
-    near = near.crossJoin(F.broadcast(everything))  # one row
-    spread = lambda own, wide: F.zip_with(own, wide, lambda a, p: a + PRIOR_ROWS * p)
-    share = lambda sums: F.transform(sums, lambda x: x / _total(sums))
-    near = near.withColumn("all_left", _less("all_sums"))
-    near = near.withColumn("prior", share(F.transform(F.coalesce("all_left", F.array_repeat(F.lit(0.0), k)), lambda x: x + 1.0 / k)))
-    for level in ("domain_sums", "host_sums"):
-        near = near.withColumn("prior", F.when(F.col(level).isNull(), F.col("prior")).otherwise(share(spread(_less(level), F.col("prior")))))
-    logs = F.zip_with("loglik", "prior", lambda a, p: a + F.log(p))
-    for level, values in (("declared_sums", n_declared), ("suffix_sums", n_suffix)):
-        # how often rows of a language come with this value, one more count for each value there is
-        given = F.zip_with(_less(level), F.col("all_left"), lambda a, b: F.log((a + 1.0) / (b + float(values + 1))))
-        logs = F.when(F.col(level).isNull(), logs).otherwise(F.zip_with(logs, given, lambda a, b: a + b))
-    near = near.withColumn("posterior", _softmax(logs))
-    best = F.array_max(F.transform("posterior", lambda p, i: F.struct(p.alias("p"), (-i).alias("i"))))
-    near = near.withColumn("best", best).withColumn("best_text", F.array_max(F.transform("soft", lambda p, i: F.struct(p.alias("p"), (-i).alias("i")))))
-    name = lambda c: F.get(F.array(*[F.lit(x) for x in names]), -c)
-    seen = F.col("grams") > 0
-    return near.select(
-        "id",
-        "declared",
-        "suffix",
-        "host",
-        "grams",
-        F.when(seen, name(F.col("best_text.i"))).otherwise(UNKNOWN).alias("text_lang"),
-        F.when(seen, name(F.col("best.i"))).otherwise(UNKNOWN).alias("lang"),
-        F.when(seen, F.round("best.p", 6)).otherwise(0.0).alias("confidence"),
-        *["row"] * rows,
-    )
+    kept = ["id", "declared", "suffix", "host", *["row"] * rows, "grams"]
+    near = near.select(*kept, "loglik", "soft", *LEVELS)
+    fields = fields.replace("host string", "suffix string, host string")
+    fuse = _fuse(names, np.array(total if total[0] is not None else [0.0] * k), n_declared, n_suffix)
+    out = near.mapInArrow(fuse, f"{fields}, grams long, text_lang string, lang string, confidence double")
+    return out.select("id", "declared", "suffix", "host", "grams", "text_lang", "lang", "confidence", *["row"] * rows)
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", host_col: str = "source", least: float = 0.5) -> DataFrame:
