@@ -364,7 +364,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found = near_duplicates(docs, id_col, text_col)
     kept = stage(found.where("id <=> component_id").select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "near_kept")
     same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__hash"))
-    return docs.join(small(kept, kept.count()), same, "left_semi")
+    return docs.join(kept, same, "left_semi")
 
 
 def op7_near_dedup(spark, sf_dir: str) -> DataFrame:
