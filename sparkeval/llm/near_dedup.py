@@ -28,7 +28,8 @@ HASHES = 2 * GROUPS * ROWS
 AGREE = 23
 BUCKET_ROWS = 2048  # larger buckets are compared block against block
 BLOCK_SETS = 256  # the same for sets of a component
-CHUNK = 1 << 20
+CHUNK = 1 << 18  # bytes of text that are hashed at a time; the arrays for it take some 80 bytes a byte
+VALUES = 1 << 15  # shingles whose membership in a block's sets is held at a time
 
 _random = np.random.default_rng(20240607)
 BYTES = _random.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -84,15 +85,16 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out[new], sizes
 
 
-def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+def chunks(column: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Rows from and to, and their texts as lower-case bytes, about CHUNK bytes at a time."""
     at = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= CHUNK:
-            yield at, i + 1
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
+    texts: list[bytes] = []
+    for i, value in enumerate(column):
+        texts.append((value.as_py() or "").encode().lower())
+        size += len(texts[-1])
+        if size >= CHUNK or i + 1 == len(column):
+            yield at, i + 1, texts
+            at, size, texts = i + 1, 0, []
 
 
 def class_of(sets: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -110,9 +112,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """id, text hash, size, class, minhash bytes and group keys of each document."""
     names = ["id", "text_hash", "n", "class", "bytes", "keys"]
     for batch in batches:
-        texts = [(t.as_py() or "").encode().lower() for t in batch.column("text")]
-        for a, b in chunks(texts):
-            sets, sizes = shingle_sets(texts[a:b])
+        for a, b, texts in chunks(batch.column("text")):
+            sets, sizes = shingle_sets(texts)
             some = sizes > 0
             klass, low, keys = np.zeros(b - a, np.int64), [b""] * (b - a), [None] * (b - a)
             if some.any():
@@ -202,10 +203,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The sorted set of each document as bytes, where the document has the class that is asked for."""
     for batch in batches:
         at = batch.schema.get_field_index("text")
-        texts = [(t.as_py() or "").encode().lower() for t in batch.column(at)]
         asked = batch.column("class").to_numpy()
-        for a, b in chunks(texts):
-            sets, sizes = shingle_sets(texts[a:b])
+        for a, b, texts in chunks(batch.column(at)):
+            sets, sizes = shingle_sets(texts)
             starts = np.cumsum(sizes) - sizes
             some = np.flatnonzero(sizes > 0)
             keep = some[class_of(sets, starts[some], sizes[some]) == asked[a:b][some]] if len(some) else some
@@ -221,19 +221,27 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def overlaps(asked: list[np.ndarray], sets: list[np.ndarray]) -> np.ndarray:
-    """Whether each asked set is similar to each set: intersections by a product of membership matrices."""
-    values, place = np.unique(np.concatenate(sets), return_inverse=True)
-    sizes = np.array([len(s) for s in sets])
-    m = np.zeros((len(sets), len(values)), np.float32)
-    m[np.repeat(np.arange(len(sets)), sizes), place] = 1
-    q = np.zeros((len(asked), len(values)), np.float32)
-    for i, s in enumerate(asked):
-        at = np.searchsorted(values, s)
-        at = at[(at < len(values)) & (values[np.minimum(at, len(values) - 1)] == s)]
-        q[i, at] = 1
-    both = np.rint(q @ m.T).astype(np.int64)
-    own = np.array([len(s) for s in asked])
-    return 100 * both >= SIMILARITY * (own[:, None] + sizes[None, :] - both)
+    """Whether each asked set is similar to each set: intersections by products of membership matrices over ranges of the values."""
+    values = np.unique(np.concatenate(sets))
+
+    def members(group: list[np.ndarray], at: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Which of the values `own` are in each set, whose next value is number `at`; moves `at` past them."""
+        m = np.zeros((len(group), len(own)), np.float32)
+        for i, s in enumerate(group):
+            end = np.searchsorted(s, own[-1], "right")
+            part = s[at[i] : end]
+            place = np.searchsorted(own, part)
+            m[i, place[own[place] == part]] = 1
+            at[i] = end
+        return m
+
+    both = np.zeros((len(asked), len(sets)), np.int64)
+    at_asked, at_sets = np.zeros(len(asked), np.int64), np.zeros(len(sets), np.int64)
+    for k in range(0, len(values), VALUES):
+        own = values[k : k + VALUES]
+        both += np.rint(members(asked, at_asked, own) @ members(sets, at_sets, own).T).astype(np.int64)
+    asked_sizes, sizes = (np.array([len(s) for s in g]) for g in (asked, sets))
+    return 100 * both >= SIMILARITY * (asked_sizes[:, None] + sizes[None, :] - both)
 
 
 def rest_links(rest: list[int], nodes: np.ndarray, sets: list[np.ndarray], settled: np.ndarray) -> list[tuple[int, int]]:
