@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CTES = """
 hit AS (
@@ -27,6 +28,9 @@ pred AS (
            * (CAST(((s.study_id % 1009) + 1) * ((s.study_id % 2003) + 17 * r.run_id + 31 * k.class_idx + 1) % 10007 AS DOUBLE) / CAST(10007 AS DOUBLE)) AS score
   FROM study s CROSS JOIN cls k CROSS JOIN run r
   LEFT JOIN hit h ON h.study_id = s.study_id AND h.finding = k.class_name)"""
+HISTORY = """SELECT user_id AS run_id, day(ts) AS epoch, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / count(*) AS value, count(*) AS seconds
+  FROM {events} GROUP BY user_id, day(ts)"""
+BATCHES = """SELECT user_id AS run_id, event_id AS batch_idx, 1 + event_id % 32 AS images, CAST(round(value * 100) AS BIGINT) AS seconds FROM {events}"""
 TABLES = ("lineitem", "part", "orders", "customer")
 
 
@@ -51,3 +55,20 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Studies with their findings joined by | in name order, or No Finding."""
     labels = bridge(spark, sf_dir, "SELECT study_id, array_join(sort_array(collect_list(finding)), '|') AS finding_labels FROM hit GROUP BY study_id")
     return studies(spark, sf_dir).join(labels, "study_id", "left").na.fill("No Finding", ["finding_labels"])
+
+
+def history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user as run and a day as epoch: mean value of its events as metric, their number as seconds."""
+    return spark.sql(HISTORY, events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(BATCHES, events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maps of 8 x 8 cells from vectors (negative values are 0) with one box each."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    cells = F.transform("embedding", lambda v: F.greatest(v.cast("double"), F.lit(0.0)))
+    box = F.struct(*[c.cast("double").alias(k) for k, c in {"x": F.col("vec_id") % 5, "y": F.col("vec_id") % 4, "w": F.col("vec_id") % 3 + 1, "h": F.col("vec_id") % 2 + 2}.items()])
+    return e.select(F.col("vec_id").alias("image_id"), F.col("label").alias("class_idx"), cells.alias("cells"), F.array(box).alias("boxes"))

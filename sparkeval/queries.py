@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkeval import bootstrap, ensemble, labels, metrics, ranking, subgroups, thresholds
-from sparkeval.bridge import CTES, bridge, findings, predictions, studies
+from sparkeval import bootstrap, ensemble, heatmaps, labels, metrics, ranking, runs, subgroups, thresholds
+from sparkeval.bridge import BATCHES, CTES, HISTORY, batches, bridge, findings, history, maps, predictions, studies
 
 CLASSES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+EXPERIMENTS = ["exp_a", "exp_b", "exp_c", "exp_d", "exp_e"]
 DRAWS = 20
 
 
@@ -35,8 +38,19 @@ def flagship(s, d):
 
 
 def class_members(s, d):
-    runs = bridge(s, d, "SELECT run_id, experiment, model FROM run")
-    return rounded(ensemble.select_members(predictions(s, d), runs))
+    every = bridge(s, d, "SELECT run_id, experiment, model FROM run")
+    return rounded(ensemble.select_members(predictions(s, d), every))
+
+
+def run_table(s, d):
+    named = ranking.macro(ranking.rank_metrics(_test(s, d), ("experiment", "class_idx")), ("experiment",), ["auroc", "auprc"])
+    return rounded(runs.compare_runs(named, EXPERIMENTS, ["macro_auroc", "macro_auprc"]))
+
+
+def objective_table(s, d):
+    rates = (thresholds.class_rates(thresholds.apply_thresholds(_test(s, d), thresholds.tune(_val(s, d), o))).withColumn("objective", F.lit(o)) for o in thresholds.OBJECTIVES)
+    stacked = reduce(DataFrame.unionByName, rates)
+    return rounded(ranking.macro(stacked, ("objective", "run_id"), ["precision", "recall", "f1"]))
 
 
 def bootstrap_intervals(s, d):
@@ -79,6 +93,13 @@ QUERIES = {
     "decision_disagreement": lambda s, d: rounded(ensemble.decision_disagreement(_val(s, d))),
     "bootstrap_rates": lambda s, d: rounded(bootstrap.bootstrap_rates(_fired(s, d), DRAWS)),
     "bootstrap_intervals": bootstrap_intervals,
+    "run_table": run_table,
+    "objective_table": objective_table,
+    "early_stop": lambda s, d: rounded(runs.early_stop(history(s, d))),
+    "training_summary": lambda s, d: rounded(runs.training_summary(runs.early_stop(history(s, d)))),
+    "throughput": lambda s, d: rounded(runs.throughput(batches(s, d))),
+    "localization_summary": lambda s, d: rounded(heatmaps.localization_summary(heatmaps.score_maps(maps(s, d), 8, 8))),
+    "localization_cases": lambda s, d: rounded(heatmaps.select_cases(heatmaps.score_maps(maps(s, d), 8, 8), 10)),
 }
 
 
@@ -149,6 +170,16 @@ sums AS (SELECT w.draw, f.run_id, f.class_idx, sum(f.fired * f.label * w.weight)
          FROM fired f JOIN slots s USING (patient_id) JOIN weights w ON w.slot = s.slot GROUP BY w.draw, f.run_id, f.class_idx),
 drawn AS (SELECT draw, {_K}, {_RATIO.format(a='tp', b='called')} AS precision, {_RATIO.format(a='tp', b='truth')} AS recall, {_RATIO.format(a='2 * tp', b='called + truth')} AS f1 FROM sums)"""
 
+_STOPPED = f"""WITH h AS ({HISTORY.format(events='events')}), i AS (SELECT *, row_number() OVER w AS place, coalesce(value > max(value) OVER (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS improved FROM h WINDOW w AS (PARTITION BY run_id ORDER BY epoch)),
+j AS (SELECT *, place - max(CASE WHEN improved THEN place END) OVER (PARTITION BY run_id ORDER BY epoch) AS waited FROM i),
+stopped AS (SELECT * FROM (SELECT *, coalesce(max(CASE WHEN waited >= 5 THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM j) WHERE ended = 0)"""
+_SCORED = """WITH m AS (SELECT vec_id AS image_id, label AS class_idx, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i,
+  vec_id % 5 AS x, vec_id % 4 AS y, vec_id % 3 + 1 AS w, vec_id % 2 + 2 AS h FROM embeddings),
+k AS (SELECT image_id, class_idx, i, greatest(CAST(v AS DOUBLE), 0) AS v, i % 8 >= x AND i % 8 < x + w AND i // 8 >= y AND i // 8 < y + h AS m FROM m),
+s AS (SELECT image_id, class_idx, sum(v) AS total, sum(CASE WHEN m THEN v ELSE 0 END) AS inside, CAST(sum(CASE WHEN m THEN 1 ELSE 0 END) AS DOUBLE) / 64 AS area, max(v) AS top,
+  arg_max(m, v * 1000000 - i * 1e-9) AS peak FROM k GROUP BY image_id, class_idx),
+scored AS (SELECT *, top <= 0 AS degenerate, top > 0 AND peak AS hit, CASE WHEN total > 0 THEN inside / total ELSE 0 END AS energy FROM s)"""
+
 ORACLE_SQL = {
     "flagship": f"{_FIRED}, {_RATES}, {_again(_K, 'fired', 'ranked')} SELECT f.* EXCLUDE (support), r.* EXCLUDE (run_id, class_idx) FROM full_rates f JOIN ranked r USING ({_K})",
     "confusion_sweep": f"{_V}, few AS (SELECT * FROM val WHERE run_id < 2), {_sweep('few', _K)} SELECT {_K}, round(score, 9) AS score, pos, n, tp, fp, p - tp AS fn, total - p - fp AS tn FROM sweep",
@@ -197,4 +228,22 @@ o AS (SELECT x.run_id AS a, y.run_id AS b, x.class_idx, count(*) AS n FROM t x J
 SELECT a, b, round(avg(1 - CAST(coalesce(n, 0) AS DOUBLE) / k), 6) AS disagreement FROM e LEFT JOIN o USING (a, b, class_idx) GROUP BY a, b""",
     "bootstrap_rates": f"{_BOOT} SELECT draw, {_K}, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM drawn",
     "bootstrap_intervals": f"{_BOOT} SELECT {_K}, round(quantile_cont(f1, {0.050000000000000044 / 2}), 6) AS ci_low, round(quantile_cont(f1, {1 - 0.050000000000000044 / 2}), 6) AS ci_high FROM drawn GROUP BY {_K}",
+    "run_table": f"{_V}, {_again('experiment, class_idx', 'test', 'rk').replace(', 6)', ', 15)')}, m AS (SELECT experiment, avg(auroc) AS macro_auroc, avg(auprc) AS macro_auprc FROM rk GROUP BY experiment) "
+    + " UNION ALL ".join(f"SELECT '{m}' AS metric, " + ", ".join(f"round(max(CASE WHEN experiment = '{e}' THEN {m} END), 6) AS {e}" for e in EXPERIMENTS) + " FROM m" for m in ("macro_auroc", "macro_auprc")),
+    "objective_table": f"{_V}, " + ", ".join(f"tuned_{o} AS (WITH {_tuned(o)} SELECT *, '{o}' AS objective FROM tuned)" for o in thresholds.OBJECTIVES)
+    + ", every AS (" + " UNION ALL ".join(f"SELECT * FROM tuned_{o}" for o in thresholds.OBJECTIVES) + f"""), c AS (
+SELECT objective, {_K}, sum(CASE WHEN score >= threshold THEN label ELSE 0 END) AS tp, sum(CASE WHEN score >= threshold THEN 1 ELSE 0 END) AS called, sum(label) AS truth
+FROM test JOIN every USING ({_K}) GROUP BY objective, {_K})
+SELECT objective, run_id, round(avg({_RATIO.format(a='tp', b='called')}), 6) AS macro_precision, round(avg({_RATIO.format(a='tp', b='truth')}), 6) AS macro_recall,
+ round(avg({_RATIO.format(a='2 * tp', b='called + truth')}), 6) AS macro_f1 FROM c GROUP BY objective, run_id""",
+    "early_stop": f"{_STOPPED} SELECT run_id, epoch, round(value, 6) AS value, seconds, improved, CAST(waited AS INT) AS waited FROM stopped",
+    "training_summary": f"""{_STOPPED}, b AS (SELECT *, max(CASE WHEN improved THEN epoch END) OVER (PARTITION BY run_id) AS best FROM stopped)
+SELECT run_id, CAST(sum(seconds) AS BIGINT) AS total_seconds, count(*) AS epochs, round(avg(seconds), 6) AS epoch_seconds, CAST(max(best) AS INT) AS best_epoch,
+ CAST(sum(CASE WHEN epoch <= best THEN seconds END) AS BIGINT) AS seconds_to_best, round(max_by(value, epoch), 6) AS last_value FROM b GROUP BY run_id""",
+    "throughput": f"""WITH b AS ({BATCHES.format(events='events')}) SELECT run_id, count(*) AS batches, CAST(sum(images) AS BIGINT) AS images, CAST(sum(seconds) AS BIGINT) AS seconds,
+ round(CASE WHEN count(*) > 1 THEN CAST(sum(images) - min_by(images, batch_idx) AS DOUBLE) / nullif(sum(seconds) - min_by(seconds, batch_idx), 0) END, 6) AS images_per_second FROM b GROUP BY run_id""",
+    "localization_summary": f"""{_SCORED} SELECT class_idx, count(*) AS n, round(avg(CASE WHEN hit THEN 1.0::DOUBLE ELSE 0 END), 6) AS pointing, round(avg(energy), 6) AS energy,
+ round(avg(area), 6) AS baseline, round(avg(CASE WHEN degenerate THEN 1.0::DOUBLE ELSE 0 END), 6) AS degenerate FROM scored GROUP BY class_idx""",
+    "localization_cases": f"""{_SCORED} SELECT kind, image_id, class_idx, round(energy, 6) AS energy FROM (
+ SELECT *, CASE WHEN hit THEN 'hit' ELSE 'mislocalized' END AS kind, row_number() OVER (PARTITION BY hit ORDER BY CASE WHEN hit THEN -energy ELSE energy END, image_id) AS place FROM scored WHERE NOT degenerate) WHERE place <= 10""",
 }
