@@ -1,11 +1,17 @@
-"""Patient-clustered bootstrap of rates: weights per draw and patient, not copies of rows."""
+"""Patient-clustered bootstrap: weights per draw and patient, not copies of rows.
+
+Rates need counts per patient only. Rank metrics and thresholds sweep every draw's rows, so their shuffle is rows times draws; a draw
+is a key of the sweep like another, so no task holds more than the distinct scores of one draw and class.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkeval.thresholds import safe_ratio
+from sparkeval.ranking import macro, rank_metrics
+from sparkeval.subgroups import REFERENCE, by_level, shared_classes
+from sparkeval.thresholds import safe_ratio, tune
 
 PRIME = 1_000_003
 
@@ -23,8 +29,6 @@ def draw_weights(patients: DataFrame, draws: int, seed: int = 17) -> DataFrame:
 
 def numbered(patients: DataFrame) -> DataFrame:
     """patient_id and slot, from 0 in the order of the id: buckets of ids are counted, then ranked apart."""
-    from pyspark.sql import Window
-
     p = patients.select("patient_id").distinct().withColumn("bucket", F.floor(F.col("patient_id") / 10_000))
     first = p.groupBy("bucket").agg(F.count("*").alias("n"))
     first = first.select("bucket", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
@@ -46,3 +50,45 @@ def percentile_interval(draws: DataFrame, value: str, keys: tuple[str, ...], n:
     a = (1 - level) / 2
     enough = (F.count(value) >= n / 2) & (F.count(value) >= 2)
     return draws.groupBy(*keys).agg(F.when(enough, F.percentile(value, F.lit(a))).alias("ci_low"), F.when(enough, F.percentile(value, F.lit(1 - a))).alias("ci_high"))
+
+
+def weighted_rows(pred: DataFrame, draws: int, seed: int = 17) -> DataFrame:
+    """The rows of each draw's patients with `draw` and `weight`."""
+    slots = numbered(pred)
+    return pred.join(slots, "patient_id").join(draw_weights(slots, draws, seed), "slot").drop("slot")
+
+
+def bootstrap_rank(pred: DataFrame, draws: int, keys: tuple[str, ...] = ("run_id", "class_idx"), seed: int = 17) -> DataFrame:
+    """AUROC and average precision of each draw and key."""
+    return rank_metrics(weighted_rows(pred, draws, seed), ("draw", *keys), "weight").select("draw", *keys, "auroc", "auprc")
+
+
+def bootstrap_thresholds(pred: DataFrame, objective: str, draws: int, keys: tuple[str, ...] = ("run_id", "class_idx"), seed: int = 17) -> DataFrame:
+    """The threshold refitted on each draw; null where the draw has too few positives or nothing separates."""
+    t = tune(weighted_rows(pred, draws, seed), objective, ("draw", *keys), weight="weight")
+    return t.select("draw", *keys, F.when(F.col("status") == "tuned", F.col("threshold")).alias("threshold"))
+
+
+def paired_delta(first: DataFrame, second: DataFrame, draws: int, seed: int = 17) -> DataFrame:
+    """Macro AUROC and average precision of `first` minus those of `second` on the same draws: mean, interval, share of draws above 0."""
+    columns = ("patient_id", "class_idx", "label", "score")
+    both = first.select(*columns, F.lit("first").alias("side")).unionByName(second.select(*columns, F.lit("second").alias("side")))
+    m = macro(bootstrap_rank(both, draws, ("side", "class_idx"), seed), ("draw", "side"), ["auroc", "auprc"])
+    m = m.unpivot(["draw", "side"], ["macro_auroc", "macro_auprc"], "metric", "value")
+    d = m.groupBy("draw", "metric").pivot("side", ["first", "second"]).agg(F.first("value")).withColumn("delta", F.col("first") - F.col("second"))
+    share = d.groupBy("metric").agg(F.avg("delta").alias("delta"), F.avg((F.col("delta") > 0).cast("double")).alias("share_above"))
+    return share.join(percentile_interval(d, "delta", ("metric",), draws), "metric")
+
+
+def bootstrap_gaps(fired: DataFrame, draws: int, least: int = 10, seed: int = 17) -> DataFrame:
+    """AUROC and miss-rate gaps of each level to its reference on each draw, over the classes shared on all rows; null if undefined there."""
+    keys = ("run_id", "axis", "level", "class_idx")
+    rows = by_level(weighted_rows(fired, draws, seed)).join(shared_classes(fired, least), list(keys), "left_semi")
+    w = F.col("weight")
+    miss = rows.groupBy("draw", *keys).agg(F.sum(F.col("fired") * F.col("label") * w).alias("tp"), F.sum(F.col("label") * w).alias("pos"))
+    c = rank_metrics(rows, ("draw", *keys), "weight").select("draw", *keys, "auroc").join(miss, ["draw", *keys])
+    c = c.select("draw", *keys, "auroc", (1 - F.try_divide(F.col("tp").cast("double"), F.col("pos"))).alias("fnr"))
+    reference = F.when(F.col("axis") == "sex", REFERENCE["sex"]).otherwise(REFERENCE["age"])
+    ref = c.where(F.col("level") == reference).select("draw", "run_id", "axis", "class_idx", F.col("auroc").alias("ra"), F.col("fnr").alias("rf"))
+    own = c.join(ref, ["draw", "run_id", "axis", "class_idx"]).groupBy("draw", "run_id", "axis", "level")
+    return own.agg((F.avg("auroc") - F.avg("ra")).alias("auroc_gap"), (F.avg("fnr") - F.avg("rf")).alias("fnr_gap"))

@@ -58,6 +58,12 @@ def bootstrap_intervals(s, d):
     return rounded(bootstrap.percentile_interval(draws, "f1", ("run_id", "class_idx"), DRAWS))
 
 
+def delta_to_best(s, d):
+    """The mean of all runs against the run that is best on validation."""
+    best = ensemble.run_auroc(_val(s, d)).agg(F.max_by("run_id", F.struct("macro_auroc", -F.col("run_id"))).alias("run_id"))
+    return rounded(bootstrap.paired_delta(ensemble.combine(_test(s, d)), _test(s, d).join(F.broadcast(best), "run_id"), DRAWS))  # one row
+
+
 def combined(rule):
     return lambda s, d: rounded(ranking.rank_metrics(ensemble.combine(_val(s, d), rule), ("class_idx",)))
 
@@ -93,6 +99,11 @@ QUERIES = {
     "decision_disagreement": lambda s, d: rounded(ensemble.decision_disagreement(_val(s, d))),
     "bootstrap_rates": lambda s, d: rounded(bootstrap.bootstrap_rates(_fired(s, d), DRAWS)),
     "bootstrap_intervals": bootstrap_intervals,
+    "bootstrap_rank": lambda s, d: rounded(bootstrap.bootstrap_rank(_test(s, d), DRAWS)),
+    "bootstrap_thresholds": lambda s, d: rounded(bootstrap.bootstrap_thresholds(_val(s, d), "f1", DRAWS)),
+    "bootstrap_gaps": lambda s, d: rounded(bootstrap.bootstrap_gaps(_fired(s, d), DRAWS)),
+    "paired_delta": delta_to_best,
+    "underdiagnosis": lambda s, d: rounded(subgroups.underdiagnosis(_fired(s, d))),
     "run_table": run_table,
     "objective_table": objective_table,
     "early_stop": lambda s, d: rounded(runs.early_stop(history(s, d))),
@@ -117,6 +128,11 @@ def _rank(keys: str) -> str:
   round(sum(pos * (CAST(tp AS DOUBLE) / (tp + fp))) / nullif(sum(pos), 0), 6) AS auprc FROM sweep GROUP BY {keys}"""
 
 
+def _weighted(source: str, keys: str) -> str:
+    """The sweep of `source` with its rows' weights."""
+    return _sweep(source, keys).replace("sum(label)", "sum(label * weight)").replace("count(*) AS n", "CAST(sum(weight) AS BIGINT) AS n")
+
+
 _K = "run_id, class_idx"
 _V = f"WITH {CTES}, val AS (SELECT * FROM pred WHERE split = 'val'), test AS (SELECT * FROM pred WHERE split = 'test')"
 _RATIO = "coalesce(CAST({a} AS DOUBLE) / nullif({b}, 0), 0)"
@@ -170,6 +186,15 @@ sums AS (SELECT w.draw, f.run_id, f.class_idx, sum(f.fired * f.label * w.weight)
          FROM fired f JOIN slots s USING (patient_id) JOIN weights w ON w.slot = s.slot GROUP BY w.draw, f.run_id, f.class_idx),
 drawn AS (SELECT draw, {_K}, {_RATIO.format(a='tp', b='called')} AS precision, {_RATIO.format(a='tp', b='truth')} AS recall, {_RATIO.format(a='2 * tp', b='called + truth')} AS f1 FROM sums)"""
 
+_WEIGHTED = _BOOT[_BOOT.index("slots AS"):_BOOT.index(",\nsums AS")]
+_DK = f"draw, {_K}"
+
+
+def _drawn(source: str) -> str:
+    """Slots, weights and the weighted rows of a table."""
+    return _WEIGHTED.replace("FROM fired", f"FROM {source}") + f", wr AS (SELECT t.*, w.draw, w.weight FROM {source} t JOIN slots s USING (patient_id) JOIN weights w ON w.slot = s.slot)"
+
+
 _STOPPED = f"""WITH h AS ({HISTORY.format(events='events')}), i AS (SELECT *, row_number() OVER w AS place, coalesce(value > max(value) OVER (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS improved FROM h WINDOW w AS (PARTITION BY run_id ORDER BY epoch)),
 j AS (SELECT *, place - max(CASE WHEN improved THEN place END) OVER (PARTITION BY run_id ORDER BY epoch) AS waited FROM i),
 stopped AS (SELECT * FROM (SELECT *, coalesce(max(CASE WHEN waited >= 5 THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM j) WHERE ended = 0)"""
@@ -228,6 +253,24 @@ o AS (SELECT x.run_id AS a, y.run_id AS b, x.class_idx, count(*) AS n FROM t x J
 SELECT a, b, round(avg(1 - CAST(coalesce(n, 0) AS DOUBLE) / k), 6) AS disagreement FROM e LEFT JOIN o USING (a, b, class_idx) GROUP BY a, b""",
     "bootstrap_rates": f"{_BOOT} SELECT draw, {_K}, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM drawn",
     "bootstrap_intervals": f"{_BOOT} SELECT {_K}, round(quantile_cont(f1, {0.050000000000000044 / 2}), 6) AS ci_low, round(quantile_cont(f1, {1 - 0.050000000000000044 / 2}), 6) AS ci_high FROM drawn GROUP BY {_K}",
+    "bootstrap_rank": f"{_V}, {_drawn('test')}, {_weighted('wr', _DK)}, r AS ({_rank(_DK)}) SELECT {_DK}, auroc, auprc FROM r",
+    "bootstrap_thresholds": f"{_V}, {_drawn('val')}, {_tuned('f1').replace(_sweep('val', _K), _weighted('wr', _DK)).replace(_K, _DK).replace('draw, draw', 'draw')} SELECT {_DK}, CASE WHEN status = 'tuned' THEN round(threshold, 6) END AS threshold FROM tuned",
+    "bootstrap_gaps": f"""{_FIRED}, {_drawn('fired')}, lv AS (SELECT *, 'sex' AS axis, sex AS level FROM wr UNION ALL SELECT * FROM (SELECT *, 'age' AS axis, {_BAND} AS level FROM wr) WHERE level IS NOT NULL),
+full_lv AS (SELECT *, 'sex' AS axis, sex AS level FROM fired UNION ALL SELECT * FROM (SELECT *, 'age' AS axis, {_BAND} AS level FROM fired) WHERE level IS NOT NULL),
+enough AS (SELECT run_id, axis, level, class_idx FROM full_lv GROUP BY ALL HAVING sum(label) >= 10),
+{_weighted('lv', 'draw, run_id, axis, level, class_idx').replace('sweep AS', 'rk_sweep AS', 1)}, rk AS ({_rank('draw, run_id, axis, level, class_idx').replace('FROM sweep', 'FROM rk_sweep').replace(', 6)', ', 15)')}),
+m AS (SELECT draw, run_id, axis, level, class_idx, 1 - CAST(sum(fired * label * weight) AS DOUBLE) / nullif(sum(label * weight), 0) AS fnr FROM lv GROUP BY ALL),
+c AS (SELECT * FROM rk JOIN m USING (draw, run_id, axis, level, class_idx) JOIN enough USING (run_id, axis, level, class_idx)),
+g AS (SELECT c.draw, c.run_id, c.axis, c.level, avg(c.auroc) - avg(r.auroc) AS auroc_gap, avg(c.fnr) - avg(r.fnr) AS fnr_gap FROM c JOIN c r USING (draw, run_id, axis, class_idx) WHERE r.level = CASE r.axis WHEN 'sex' THEN 'M' ELSE '40-59' END GROUP BY 1, 2, 3, 4)
+SELECT draw, run_id, axis, level, round(auroc_gap, 6) AS auroc_gap, round(fnr_gap, 6) AS fnr_gap FROM g""",
+    "paired_delta": f"""{_V}, {_again(_K, 'val', 'vk').replace(', 6)', ', 15)')}, top AS (SELECT run_id FROM vk GROUP BY run_id ORDER BY avg(auroc) DESC, run_id LIMIT 1), mixed AS ({_MIX.format(score='avg(score)', source='test').replace('max(label)', 'min(patient_id) AS patient_id, max(label)')}),
+sides AS (SELECT patient_id, class_idx, label, score, 'first' AS side FROM mixed UNION ALL SELECT patient_id, class_idx, label, score, 'second' FROM test JOIN top USING (run_id)), {_drawn('sides')},
+{_weighted('wr', 'draw, side, class_idx')}, r AS ({_rank('draw, side, class_idx').replace(', 6)', ', 15)')}), m AS (SELECT draw, side, avg(auroc) AS macro_auroc, avg(auprc) AS macro_auprc FROM r GROUP BY draw, side),
+u AS (SELECT a.draw, unnest(['macro_auroc', 'macro_auprc']) AS metric, unnest([a.macro_auroc - b.macro_auroc, a.macro_auprc - b.macro_auprc]) AS delta FROM m a JOIN m b ON a.draw = b.draw AND a.side = 'first' AND b.side = 'second')
+SELECT metric, round(avg(delta), 6) AS delta, round(avg(CASE WHEN delta > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS share_above, round(quantile_cont(delta, {0.050000000000000044 / 2}), 6) AS ci_low, round(quantile_cont(delta, {1 - 0.050000000000000044 / 2}), 6) AS ci_high FROM u GROUP BY metric""",
+    "underdiagnosis": f"""{_FIRED}, i AS (SELECT run_id, study_id, min(sex) AS sex, min(age) AS age, max(label) AS label, max(fired) AS fired FROM fired GROUP BY run_id, study_id),
+l AS (SELECT run_id, 'sex' AS axis, sex AS level, fired FROM i WHERE label = 1 UNION ALL SELECT run_id, 'age', {_BAND}, fired FROM i WHERE label = 1 AND {_BAND} IS NOT NULL)
+SELECT run_id, axis, level, count(*) AS abnormal, round(avg(CASE WHEN fired = 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS underdiagnosis FROM l GROUP BY run_id, axis, level""",
     "run_table": f"{_V}, {_again('experiment, class_idx', 'test', 'rk').replace(', 6)', ', 15)')}, m AS (SELECT experiment, avg(auroc) AS macro_auroc, avg(auprc) AS macro_auprc FROM rk GROUP BY experiment) "
     + " UNION ALL ".join(f"SELECT '{m}' AS metric, " + ", ".join(f"round(max(CASE WHEN experiment = '{e}' THEN {m} END), 6) AS {e}" for e in EXPERIMENTS) + " FROM m" for m in ("macro_auroc", "macro_auprc")),
     "objective_table": f"{_V}, " + ", ".join(f"tuned_{o} AS (WITH {_tuned(o)} SELECT *, '{o}' AS objective FROM tuned)" for o in thresholds.OBJECTIVES)

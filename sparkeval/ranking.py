@@ -13,21 +13,23 @@ from pyspark.sql import functions as F
 KEYS = ("run_id", "class_idx")
 
 
-def score_counts(pred: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    return pred.groupBy(*keys, "score").agg(F.sum("label").alias("pos"), F.count("*").alias("n"))
+def score_counts(pred: DataFrame, keys: Sequence[str] = KEYS, weight: str | None = None) -> DataFrame:
+    """Positives and rows at each score; a row counts `weight` times where a weight column is named."""
+    times = F.col(weight) if weight else F.lit(1)
+    return pred.groupBy(*keys, "score").agg(F.sum(F.col("label") * times).alias("pos"), F.sum(times).cast("long").alias("n"))
 
 
-def confusion_sweep(pred: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def confusion_sweep(pred: DataFrame, keys: Sequence[str] = KEYS, weight: str | None = None) -> DataFrame:
     """tp, fp, fn and tn at each distinct score, as a threshold that takes scores equal to it."""
     w = Window.partitionBy(*keys)
     down = w.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    c = score_counts(pred, keys).withColumns({"tp": F.sum("pos").over(down), "fp": F.sum(F.col("n") - F.col("pos")).over(down), "p": F.sum("pos").over(w), "total": F.sum("n").over(w)})
+    c = score_counts(pred, keys, weight).withColumns({"tp": F.sum("pos").over(down), "fp": F.sum(F.col("n") - F.col("pos")).over(down), "p": F.sum("pos").over(w), "total": F.sum("n").over(w)})
     return c.select(*keys, "score", "pos", "n", "tp", "fp", (F.col("p") - F.col("tp")).alias("fn"), (F.col("total") - F.col("p") - F.col("fp")).alias("tn"))
 
 
-def rank_metrics(pred: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def rank_metrics(pred: DataFrame, keys: Sequence[str] = KEYS, weight: str | None = None) -> DataFrame:
     """support, n, auroc (null unless both outcomes occur) and auprc (null without positives) for each key."""
-    s = confusion_sweep(pred, keys).withColumn("neg", F.col("n") - F.col("pos"))
+    s = confusion_sweep(pred, keys, weight).withColumn("neg", F.col("n") - F.col("pos"))
     # negatives below a score are the true negatives there
     area = F.sum(F.col("pos") * (2 * F.col("tn") + F.col("neg")))
     positives, negatives = F.sum("pos"), F.sum("neg")

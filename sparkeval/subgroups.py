@@ -18,6 +18,20 @@ def by_level(fired: DataFrame) -> DataFrame:
     return fired.withColumn("__l", F.explode(levels)).withColumns({"axis": F.col("__l.axis"), "level": F.col("__l.level")}).drop("__l")
 
 
+def shared_classes(fired: DataFrame, least: int = 10) -> DataFrame:
+    """run_id, axis, level and class_idx with enough positives both in the level and in its reference."""
+    n = by_level(fired).groupBy("run_id", "axis", "level", "class_idx").agg(F.sum("label").alias("pos")).where(F.col("pos") >= least).drop("pos")
+    reference = F.when(F.col("axis") == "sex", REFERENCE["sex"]).otherwise(REFERENCE["age"])
+    return n.join(n.where(F.col("level") == reference).drop("level"), ["run_id", "axis", "class_idx"], "left_semi")
+
+
+def underdiagnosis(fired: DataFrame) -> DataFrame:
+    """Share of studies with a finding for which no class is called, for each level of each axis."""
+    axes = fired.groupBy("run_id", "study_id").agg(F.min("sex").alias("sex"), F.min("age").alias("age"), F.max("label").alias("label"), F.max("fired").alias("fired"))
+    rows = by_level(axes.where("label = 1"))
+    return rows.groupBy("run_id", "axis", "level").agg(F.count("*").alias("abnormal"), F.avg((F.col("fired") == 0).cast("double")).alias("underdiagnosis"))
+
+
 def subgroup_gaps(fired: DataFrame, least: int = 10) -> DataFrame:
     """Macro AUROC and miss rate of each level and of the reference over the classes with enough positives in both, and the gap."""
     keys = ("run_id", "axis", "level", "class_idx")

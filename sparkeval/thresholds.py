@@ -17,11 +17,11 @@ def safe_ratio(num: Column, den: Column) -> Column:
     return F.coalesce(F.try_divide(num.cast("double"), den), F.lit(0.0))
 
 
-def tune(pred: DataFrame, objective: str = "f1", keys: Sequence[str] = KEYS, beta: float = 2.0, target: float = 0.8, min_support: int = MIN_SUPPORT) -> DataFrame:
+def tune(pred: DataFrame, objective: str = "f1", keys: Sequence[str] = KEYS, beta: float = 2.0, target: float = 0.8, min_support: int = MIN_SUPPORT, weight: str | None = None) -> DataFrame:
     """threshold and status of each key: the loosest of the best candidates, or 0.5 where support or the objective don't allow it."""
     if objective not in OBJECTIVES:
         raise ValueError(f"unknown objective {objective}; one of {', '.join(OBJECTIVES)}")
-    s = confusion_sweep(pred, keys)
+    s = confusion_sweep(pred, keys, weight)
     precision, recall = safe_ratio(F.col("tp"), F.col("tp") + F.col("fp")), safe_ratio(F.col("tp"), F.col("tp") + F.col("fn"))
     b = 1.0 if objective == "f1" else beta * beta
     value = safe_ratio((1 + b) * precision * recall, b * precision + recall)
