@@ -72,3 +72,10 @@ def maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = F.transform("embedding", lambda v: F.greatest(v.cast("double"), F.lit(0.0)))
     box = F.struct(*[c.cast("double").alias(k) for k, c in {"x": F.col("vec_id") % 5, "y": F.col("vec_id") % 4, "w": F.col("vec_id") % 3 + 1, "h": F.col("vec_id") % 2 + 2}.items()])
     return e.select(F.col("vec_id").alias("image_id"), F.col("label").alias("class_idx"), cells.alias("cells"), F.array(box).alias("boxes"))
+
+
+def stages(spark: SparkSession, sf_dir: str, n: int = 3) -> DataFrame:
+    """The maps n + 1 times; stage s is turned by s cells."""
+    s, size = F.col("stage"), F.size("cells")
+    m = maps(spark, sf_dir).withColumn("stage", F.explode(F.sequence(F.lit(0), F.lit(n))))
+    return m.withColumn("cells", F.concat(F.slice("cells", s + 1, size - s), F.slice("cells", F.lit(1), s)))

@@ -1,12 +1,19 @@
-"""Heatmaps against boxes: all in array expressions, so maps are never shuffled.
+"""Heatmaps against boxes and against each other. Scores are array expressions, blobs and rank correlations small Arrow helpers.
+
+Maps are shuffled only to bring the stages of one instance together.
 
 A map is `cells`, an array in row order with `width` cells in a row. Boxes are structs x, y, w, h on the map's grid.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+LEVELS = (0.1, 0.25, 0.5, 0.75, 0.9)
 
 
 def normalize(cells: str = "cells") -> Column:
@@ -18,7 +25,7 @@ def blank(cells: str = "cells") -> Column:
     return F.array_max(cells) <= 0
 
 
-def box_mask(boxes: str, width: int, height: int) -> Column:
+def box_mask(boxes: str | Column, width: int, height: int) -> Column:
     """1 for each cell that a box touches, else 0; boxes are cut at the border and empty ones ignored."""
 
     def inside(i: Column, b: Column) -> Column:
@@ -58,3 +65,116 @@ def select_cases(scored: DataFrame, n: int, id_col: str = "image_id") -> DataFra
     hits = scored.where("hit").orderBy(F.desc("energy"), id_col).limit(n).withColumn("kind", F.lit("hit"))
     misses = scored.where("not hit and not degenerate").orderBy("energy", id_col).limit(n).withColumn("kind", F.lit("mislocalized"))
     return hits.unionByName(misses).select("kind", id_col, "class_idx", "energy")
+
+
+def largest_blobs(grids: np.ndarray) -> np.ndarray:
+    """Masks of the largest 4-connected region of each of n x height x width masks; of equal ones the first in row order."""
+    n, h, w = grids.shape
+    none = h * w
+    label = np.where(grids.reshape(n, -1), np.arange(none), none)
+    while True:
+        g = np.pad(label.reshape(n, h, w), ((0, 0), (1, 1), (1, 1)), constant_values=none)
+        near = np.minimum.reduce([g[:, 1:-1, 1:-1], g[:, :-2, 1:-1], g[:, 2:, 1:-1], g[:, 1:-1, :-2], g[:, 1:-1, 2:]]).reshape(n, -1)
+        near = np.where(label == none, none, near)
+        jumped = np.take_along_axis(np.pad(near, ((0, 0), (0, 1)), constant_values=none), near, axis=1)
+        if np.array_equal(jumped, label):
+            break
+        label = jumped
+    sizes = np.zeros((n, none + 1), dtype=np.int64)
+    np.add.at(sizes, (np.arange(n)[:, None], label), 1)
+    sizes[:, none] = 0
+    return ((label == sizes.argmax(axis=1)[:, None]) & (label < none)).reshape(n, h, w)
+
+
+def predicted_box(width: int, height: int, share: float = 0.5, cells: str = "cells") -> Column:
+    """Struct x, y, w, h around the largest blob of the cells with at least `share` of the map's maximum; null for a blank map."""
+
+    @F.pandas_udf("x double, y double, w double, h double")
+    def boxes(values: pd.Series) -> pd.DataFrame:
+        out = pd.DataFrame(np.nan, index=values.index, columns=["x", "y", "w", "h"])
+        if len(values):
+            v = np.stack(values.to_numpy()).reshape(-1, height, width)
+            top = v.max(axis=(1, 2))
+            blob = largest_blobs((v >= share * top[:, None, None]) & (top > 0)[:, None, None])
+            for name, size, axis, length in (("x", "w", 1, width), ("y", "h", 2, height)):
+                any_cell = blob.any(axis=axis)
+                first, last = any_cell.argmax(axis=1), length - any_cell[:, ::-1].argmax(axis=1)
+                out[name], out[size] = np.where(top > 0, first, np.nan), np.where(top > 0, last - first, np.nan)
+        return out
+
+    box = boxes(F.col(cells))
+    return F.when(~blank(cells), box)
+
+
+def score_boxes(maps: DataFrame, width: int, height: int, share: float = 0.5) -> DataFrame:
+    """maps with `predicted`, `detected`, and IoU and intersection over the predicted box against the union of the true boxes (0 without one)."""
+    m = maps.withColumn("predicted", predicted_box(width, height, share))
+    m = m.withColumns({"truth": box_mask("boxes", width, height), "found": box_mask(F.array_compact(F.array("predicted")), width, height)})
+    zero, add = F.lit(0.0), lambda a, v: a + v
+    both, own, truth = F.aggregate(F.zip_with("found", "truth", lambda a, b: a * b), zero, add), F.aggregate("found", zero, add), F.aggregate("truth", zero, add)
+    m = m.withColumns({"detected": F.col("predicted").isNotNull(), "both": both, "own": own, "all": own + truth - both})
+    ratio = {"iou": F.coalesce(F.try_divide("both", "all"), zero), "iobb": F.coalesce(F.try_divide("both", "own"), zero)}
+    return m.withColumns(ratio).drop("truth", "found", "both", "own", "all")
+
+
+def overlap_summary(scored: DataFrame, keys: tuple[str, ...] = ("class_idx",), levels: tuple[float, ...] = LEVELS) -> DataFrame:
+    """Mean IoU and IoBB, the detected share, and the share that reaches each level, for each key."""
+    reached = [F.avg((F.col(k) >= t).cast("double")).alias(f"{k}_at_{round(100 * t)}") for k in ("iou", "iobb") for t in levels]
+    return scored.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("iou").alias("iou"), F.avg("iobb").alias("iobb"), F.avg(F.col("detected").cast("double")).alias("detected"), *reached)
+
+
+def diagnostic_cases(scored: DataFrame, n: int, id_col: str = "image_id") -> DataFrame:
+    """Up to n cases of each of six kinds, with their place; equal ones in the order of id and class.
+
+    scored: id, class_idx, energy, hit, fired (the class was called), absent_score and absent_fired (the top absent class).
+    """
+    down, up = F.desc("energy"), F.asc("energy")
+    kinds = {
+        "localized": ("fired and hit", down), "mislocalized": ("fired and not hit", up), "missed": ("not fired", down),
+        "false_positive": ("absent_fired", F.desc("absent_score")), "best": ("true", down), "worst": ("true", up),
+    }
+    out = None
+    for kind, (rule, order) in kinds.items():
+        part = scored.where(rule).orderBy(order, id_col, "class_idx").limit(n).withColumn("kind", F.lit(kind)).select("kind", id_col, "class_idx", "energy", "absent_score")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@F.pandas_udf(DoubleType())
+def _spearman(first: pd.Series, second: pd.Series) -> pd.Series:
+    def ranks(v: np.ndarray) -> np.ndarray:
+        s = np.sort(v)
+        return (np.searchsorted(s, v, "left") + np.searchsorted(s, v, "right") + 1) / 2
+
+    out = np.full(len(first), np.nan)
+    for k, (a, b) in enumerate(zip(first, second)):
+        x, y = ranks(np.asarray(a)), ranks(np.asarray(b))
+        if x.std() > 0 and y.std() > 0:
+            out[k] = np.corrcoef(x, y)[0, 1]
+    return pd.Series(out, index=first.index)
+
+
+def rank_correlation(first: str, second: str) -> Column:
+    """Spearman's correlation of two maps; null if one is blank or constant."""
+    rho = _spearman(F.col(first), F.col(second))
+    return F.when(~blank(first) & ~blank(second), F.when(~F.isnan(rho), rho))
+
+
+def drift_table(stages: DataFrame, width: int, height: int, id_col: str = "image_id") -> DataFrame:
+    """For each stage: mean rank correlation with stage 0 and the number of comparable maps, pointing accuracy, baseline, share of blank maps.
+
+    stages: id, stage, cells, boxes.
+    """
+    first = stages.where("stage = 0").select(id_col, F.col("cells").alias("original"))
+    scored = score_maps(stages.join(first, id_col), width, height).withColumn("rho", rank_correlation("original", "cells"))
+    return scored.groupBy("stage").agg(
+        F.count("*").alias("n"), F.avg("rho").alias("correlation"), F.count("rho").alias("comparable"), F.avg(F.col("hit").cast("double")).alias("pointing"),
+        F.avg("area").alias("baseline"), F.avg(F.col("degenerate").cast("double")).alias("degenerate"),
+    )
+
+
+def drift_verdict(drift: DataFrame, alarm: float = 0.5) -> DataFrame:
+    """The first stage after 0 whose correlation is at most `alarm` in size, the last stage's correlation, and whether that is above it."""
+    low = (F.col("stage") > 0) & (F.abs("correlation") <= alarm)
+    v = drift.agg(F.min(F.when(low, F.col("stage"))).alias("decorrelated_at"), F.max("stage").alias("stages"), F.max_by("correlation", "stage").alias("final"))
+    return v.withColumn("alarm", F.coalesce(F.col("final") > alarm, F.lit(False)))

@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkeval import bootstrap, ensemble, heatmaps, labels, metrics, ranking, runs, subgroups, thresholds
-from sparkeval.bridge import BATCHES, CTES, HISTORY, batches, bridge, findings, history, maps, predictions, studies
+from sparkeval import bootstrap, ensemble, heatmaps, labels, metrics, ranking, runs, stacking, subgroups, thresholds
+from sparkeval.bridge import BATCHES, CTES, HISTORY, batches, bridge, findings, history, maps, predictions, stages, studies
 
 CLASSES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 EXPERIMENTS = ["exp_a", "exp_b", "exp_c", "exp_d", "exp_e"]
@@ -64,6 +64,25 @@ def delta_to_best(s, d):
     return rounded(bootstrap.paired_delta(ensemble.combine(_test(s, d)), _test(s, d).join(F.broadcast(best), "run_id"), DRAWS))  # one row
 
 
+def stacked_test(s, d):
+    _, test, _ = stacking.stacked_predictions(_val(s, d), _test(s, d), len(EXPERIMENTS))
+    return rounded(ranking.rank_metrics(test, ("class_idx",)))
+
+
+def stacked_out_of_fold(s, d):
+    val, _, _ = stacking.stacked_predictions(_val(s, d), _test(s, d), len(EXPERIMENTS))
+    return rounded(ranking.rank_metrics(val, ("class_idx",)))
+
+
+def diverse_members(s, d):
+    chosen = stacking.select_diverse(_val(s, d), ensemble.residual_correlation(_val(s, d)))
+    return rounded(s.createDataFrame([(r["run_id"], r["macro_auroc"], r["status"]) for r in chosen], "run_id int, macro_auroc double, status string"))
+
+
+def drift(s, d):
+    return rounded(heatmaps.drift_table(stages(s, d), 8, 8))
+
+
 def combined(rule):
     return lambda s, d: rounded(ranking.rank_metrics(ensemble.combine(_val(s, d), rule), ("class_idx",)))
 
@@ -110,6 +129,12 @@ QUERIES = {
     "training_summary": lambda s, d: rounded(runs.training_summary(runs.early_stop(history(s, d)))),
     "throughput": lambda s, d: rounded(runs.throughput(batches(s, d))),
     "localization_summary": lambda s, d: rounded(heatmaps.localization_summary(heatmaps.score_maps(maps(s, d), 8, 8))),
+    "overlap_summary": lambda s, d: rounded(heatmaps.overlap_summary(heatmaps.score_boxes(maps(s, d), 8, 8))),
+    "drift_table": drift,
+    "drift_verdict": lambda s, d: heatmaps.drift_verdict(drift(s, d)),
+    "stacked_test": stacked_test,
+    "stacked_out_of_fold": stacked_out_of_fold,
+    "diverse_members": diverse_members,
     "localization_cases": lambda s, d: rounded(heatmaps.select_cases(heatmaps.score_maps(maps(s, d), 8, 8), 10)),
 }
 
@@ -205,7 +230,18 @@ s AS (SELECT image_id, class_idx, sum(v) AS total, sum(CASE WHEN m THEN v ELSE 0
   arg_max(m, v * 1000000 - i * 1e-9) AS peak FROM k GROUP BY image_id, class_idx),
 scored AS (SELECT *, top <= 0 AS degenerate, top > 0 AND peak AS hit, CASE WHEN total > 0 THEN inside / total ELSE 0 END AS energy FROM s)"""
 
+_DRIFT = """WITH t AS (SELECT vec_id, stage, unnest(list_concat(embedding[stage + 1:], embedding[:stage])) AS v, unnest(range(64)) AS i,
+  vec_id % 5 AS x, vec_id % 4 AS y, vec_id % 3 + 1 AS w, vec_id % 2 + 2 AS h FROM embeddings CROSS JOIN (SELECT CAST(range AS INT) AS stage FROM range(4))),
+k AS (SELECT vec_id, stage, i, greatest(CAST(v AS DOUBLE), 0) AS v, i % 8 >= x AND i % 8 < x + w AND i // 8 >= y AND i // 8 < y + h AS m FROM t),
+r AS (SELECT *, rank() OVER (PARTITION BY vec_id, stage ORDER BY v) + (count(*) OVER (PARTITION BY vec_id, stage, v) - 1) / 2.0::DOUBLE AS place FROM k),
+s AS (SELECT b.vec_id, b.stage, max(b.v) AS top, CASE WHEN max(a.v) > 0 AND max(b.v) > 0 AND stddev_pop(a.v) > 0 AND stddev_pop(b.v) > 0 THEN corr(a.place, b.place) END AS rho,
+  arg_max(b.m, b.v * 1000000 - b.i * 1e-9) AS peak, CAST(sum(CASE WHEN b.m THEN 1 ELSE 0 END) AS DOUBLE) / 64 AS area FROM r b JOIN r a ON a.vec_id = b.vec_id AND a.i = b.i AND a.stage = 0 GROUP BY b.vec_id, b.stage),
+drift AS (SELECT stage, count(*) AS n, round(avg(rho), 6) AS correlation, count(rho) AS comparable, round(avg(CASE WHEN top > 0 AND peak THEN 1.0::DOUBLE ELSE 0 END), 6) AS pointing,
+  round(avg(area), 6) AS baseline, round(avg(CASE WHEN top <= 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS degenerate FROM s GROUP BY stage)"""
+
 ORACLE_SQL = {
+    "drift_table": f"{_DRIFT} SELECT * FROM drift",
+    "drift_verdict": f"{_DRIFT} SELECT min(CASE WHEN stage > 0 AND abs(correlation) <= 0.5 THEN stage END) AS decorrelated_at, max(stage) AS stages, max_by(correlation, stage) AS final, coalesce(max_by(correlation, stage) > 0.5, false) AS alarm FROM drift",
     "flagship": f"{_FIRED}, {_RATES}, {_again(_K, 'fired', 'ranked')} SELECT f.* EXCLUDE (support), r.* EXCLUDE (run_id, class_idx) FROM full_rates f JOIN ranked r USING ({_K})",
     "confusion_sweep": f"{_V}, few AS (SELECT * FROM val WHERE run_id < 2), {_sweep('few', _K)} SELECT {_K}, round(score, 9) AS score, pos, n, tp, fp, p - tp AS fn, total - p - fp AS tn FROM sweep",
     "rank_metrics": f"WITH {CTES}, {_sweep('pred', 'run_id, split, class_idx')} {_rank('run_id, split, class_idx')}",
