@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkeval.ranking import macro, rank_metrics
-from sparkeval.subgroups import REFERENCE, by_level, shared_classes
+from sparkeval.subgroups import REFERENCE, abnormal_studies, by_level, shared_classes
 from sparkeval.thresholds import safe_ratio, tune
 
 PRIME = 1_000_003
@@ -81,7 +81,10 @@ def paired_delta(first: DataFrame, second: DataFrame, draws: int, seed: int = 17
 
 
 def bootstrap_gaps(fired: DataFrame, draws: int, least: int = 10, seed: int = 17) -> DataFrame:
-    """AUROC and miss-rate gaps of each level to its reference on each draw, over the classes shared on all rows; null if undefined there."""
+    """Gaps of each level to its reference on each draw: AUROC and miss rate over the classes shared on all rows, and underdiagnosis.
+
+    A gap is null where one side is undefined on the draw.
+    """
     keys = ("run_id", "axis", "level", "class_idx")
     rows = by_level(weighted_rows(fired, draws, seed)).join(shared_classes(fired, least), list(keys), "left_semi")
     w = F.col("weight")
@@ -91,4 +94,17 @@ def bootstrap_gaps(fired: DataFrame, draws: int, least: int = 10, seed: int = 17
     reference = F.when(F.col("axis") == "sex", REFERENCE["sex"]).otherwise(REFERENCE["age"])
     ref = c.where(F.col("level") == reference).select("draw", "run_id", "axis", "class_idx", F.col("auroc").alias("ra"), F.col("fnr").alias("rf"))
     own = c.join(ref, ["draw", "run_id", "axis", "class_idx"]).groupBy("draw", "run_id", "axis", "level")
-    return own.agg((F.avg("auroc") - F.avg("ra")).alias("auroc_gap"), (F.avg("fnr") - F.avg("rf")).alias("fnr_gap"))
+    own = own.agg((F.avg("auroc") - F.avg("ra")).alias("auroc_gap"), (F.avg("fnr") - F.avg("rf")).alias("fnr_gap"))
+    # studies with a finding, by level; the reference level's rate stands beside each level's
+    u = by_level(weighted_rows(abnormal_studies(fired), draws, seed)).groupBy("draw", "run_id", "axis", "level")
+    u = u.agg((F.sum((1 - F.col("fired")) * w) / F.sum(w)).alias("u"))
+    at_reference = u.where(F.col("level") == reference).select("draw", "run_id", "axis", F.col("u").alias("ru"))
+    u = u.join(at_reference, ["draw", "run_id", "axis"]).withColumn("underdiagnosis_gap", F.col("u") - F.col("ru")).drop("u", "ru")
+    return own.join(u, ["draw", "run_id", "axis", "level"], "full")
+
+
+def gap_intervals(gaps: DataFrame, draws: int) -> DataFrame:
+    """Interval of each gap over its draws, and whether it leaves out 0."""
+    g = gaps.unpivot(["draw", "run_id", "axis", "level"], ["auroc_gap", "fnr_gap", "underdiagnosis_gap"], "metric", "value")
+    ci = percentile_interval(g, "value", ("run_id", "axis", "level", "metric"), draws)
+    return ci.withColumn("resolved", F.coalesce((F.col("ci_low") > 0) | (F.col("ci_high") < 0), F.lit(False)))

@@ -72,3 +72,9 @@ def age_histogram(studies: DataFrame, bins: int = 30) -> DataFrame:
     ends = studies.agg(F.min("age").alias("lo"), F.max("age").alias("hi"))
     b = F.least(F.floor((F.col("age") - F.col("lo")) * bins / (F.col("hi") - F.col("lo"))), F.lit(bins - 1))
     return studies.crossJoin(F.broadcast(ends)).groupBy(b.cast("int").alias("bin")).agg(F.count("*").alias("n"))  # one row
+
+
+def implausible_ages(studies: DataFrame, most: int = 100) -> DataFrame:
+    """Rows and patients over the age limit, the highest age and the distinct ones in order."""
+    return studies.where(F.col("age") > most).agg(
+        F.count("*").alias("n"), F.count_distinct("patient_id").alias("patients"), F.max("age").alias("highest"), F.array_join(F.array_sort(F.collect_set("age")), ",").alias("ages"))

@@ -73,3 +73,23 @@ def losses(pred: DataFrame, keys: Sequence[str] = KEYS, gamma_neg: float = 4, ga
 def positive_weights(pred: DataFrame, keys: Sequence[str] = ("class_idx",), most: float = 25.0) -> DataFrame:
     pos, n = F.sum("label"), F.count("*")
     return pred.groupBy(*keys).agg(F.least(F.greatest((n - pos + 1.0) / (pos + 1.0), F.lit(1.0)), F.lit(most)).alias("pos_weight"))
+
+
+def top_absent(fired: DataFrame, runs: Sequence[str] = ("run_id",)) -> DataFrame:
+    """For each study the class without a finding that scores highest, its score and whether it was called; of equal ones the first class."""
+    absent = fired.where("label = 0").groupBy(*runs, "study_id")
+    return absent.agg(F.max(F.struct("score", -F.col("class_idx"), "fired")).alias("t")).select(*runs, "study_id", (-F.col("t.col2")).alias("class_idx"), "t.score", "t.fired")
+
+
+def explanation_target(fired: DataFrame, runs: Sequence[str] = ("run_id",)) -> DataFrame:
+    """The class to explain for each study: the highest-scoring called one, else (note `none called`) the highest of all."""
+    best = F.max(F.struct(F.col("fired"), F.col("score"), -F.col("class_idx")))
+    t = fired.groupBy(*runs, "study_id").agg(best.alias("t"))
+    return t.select(*runs, "study_id", (-F.col("t.col3")).alias("class_idx"), "t.score", F.when(F.col("t.fired") == 0, "none called").alias("note"))
+
+
+def failures(fired: DataFrame, runs: Sequence[str] = ("run_id",)) -> DataFrame:
+    """Studies with a class called wrongly at a score above 0.5, with the numbers of false and of missed calls."""
+    over = (F.col("score") > 0.5).cast("int")
+    f = fired.groupBy(*runs, "study_id").agg(F.sum(over * (1 - F.col("label"))).alias("false_calls"), F.sum((1 - over) * F.col("label")).alias("missed"))
+    return f.where("false_calls + missed > 0")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkeval import bootstrap, ensemble, heatmaps, labels, metrics, ranking, runs, stacking, subgroups, thresholds
+from sparkeval import bootstrap, ensemble, heatmaps, labels, metrics, ranking, runs, splits, stacking, subgroups, thresholds
 from sparkeval.bridge import BATCHES, CTES, HISTORY, batches, bridge, findings, history, maps, predictions, stages, studies
 
 CLASSES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
@@ -83,6 +83,24 @@ def drift(s, d):
     return rounded(heatmaps.drift_table(stages(s, d), 8, 8))
 
 
+def _patients(s, d):
+    return labels.patient_table(findings(s, d), CLASSES)
+
+
+def _hot(s, d):
+    m = labels.multi_hot(findings(s, d), CLASSES)
+    return m.select("study_id", "patient_id", "split", *[F.col("labels")[i].alias(c.lower()) for i, c in enumerate(CLASSES)])
+
+
+def nested_third(s, d):
+    """A third of all studies by the nested order."""
+    images = studies(s, d).select("study_id", "patient_id")
+    return splits.nested_subset(images, _patients(s, d), [c.lower() for c in CLASSES], images.count() // 3)
+
+
+LEVELS = {"sex": ["M", "F"], "age": [f"{a}-{b}" for a, b in labels.BANDS]}
+
+
 def combined(rule):
     return lambda s, d: rounded(ranking.rank_metrics(ensemble.combine(_val(s, d), rule), ("class_idx",)))
 
@@ -123,6 +141,15 @@ QUERIES = {
     "bootstrap_gaps": lambda s, d: rounded(bootstrap.bootstrap_gaps(_fired(s, d), DRAWS)),
     "paired_delta": delta_to_best,
     "underdiagnosis": lambda s, d: rounded(subgroups.underdiagnosis(_fired(s, d))),
+    "gap_intervals": lambda s, d: rounded(bootstrap.gap_intervals(bootstrap.bootstrap_gaps(_fired(s, d), DRAWS), DRAWS)),
+    "bias_table": lambda s, d: rounded(subgroups.bias_table(subgroups.subgroup_gaps(_fired(s, d)), LEVELS)),
+    "top_absent": lambda s, d: rounded(metrics.top_absent(_fired(s, d))),
+    "explanation_target": lambda s, d: rounded(metrics.explanation_target(_fired(s, d))),
+    "failures": lambda s, d: metrics.failures(_fired(s, d)),
+    "implausible_ages": lambda s, d: labels.implausible_ages(studies(s, d), 90),
+    "split_summary": lambda s, d: rounded(splits.split_summary(_hot(s, d), [c.lower() for c in CLASSES])),
+    "stratified_folds": lambda s, d: splits.stratified_folds(_patients(s, d), [c.lower() for c in CLASSES], [0.7, 0.1, 0.2]),
+    "nested_subset": nested_third,
     "run_table": run_table,
     "objective_table": objective_table,
     "early_stop": lambda s, d: rounded(runs.early_stop(history(s, d))),
@@ -297,8 +324,13 @@ enough AS (SELECT run_id, axis, level, class_idx FROM full_lv GROUP BY ALL HAVIN
 {_weighted('lv', 'draw, run_id, axis, level, class_idx').replace('sweep AS', 'rk_sweep AS', 1)}, rk AS ({_rank('draw, run_id, axis, level, class_idx').replace('FROM sweep', 'FROM rk_sweep').replace(', 6)', ', 15)')}),
 m AS (SELECT draw, run_id, axis, level, class_idx, 1 - CAST(sum(fired * label * weight) AS DOUBLE) / nullif(sum(label * weight), 0) AS fnr FROM lv GROUP BY ALL),
 c AS (SELECT * FROM rk JOIN m USING (draw, run_id, axis, level, class_idx) JOIN enough USING (run_id, axis, level, class_idx)),
+i AS (SELECT run_id, study_id, min(patient_id) AS patient_id, min(sex) AS sex, min(age) AS age, max(fired) AS fired FROM fired GROUP BY run_id, study_id HAVING max(label) = 1),
+iw AS (SELECT i.*, w.draw, w.weight FROM i JOIN slots s USING (patient_id) JOIN weights w ON w.slot = s.slot),
+il AS (SELECT draw, run_id, 'sex' AS axis, sex AS level, fired, weight FROM iw UNION ALL SELECT draw, run_id, 'age', {_BAND}, fired, weight FROM iw WHERE {_BAND} IS NOT NULL),
+u AS (SELECT draw, run_id, axis, level, CAST(sum((1 - fired) * weight) AS DOUBLE) / sum(weight) AS u FROM il GROUP BY draw, run_id, axis, level),
 g AS (SELECT c.draw, c.run_id, c.axis, c.level, avg(c.auroc) - avg(r.auroc) AS auroc_gap, avg(c.fnr) - avg(r.fnr) AS fnr_gap FROM c JOIN c r USING (draw, run_id, axis, class_idx) WHERE r.level = CASE r.axis WHEN 'sex' THEN 'M' ELSE '40-59' END GROUP BY 1, 2, 3, 4)
-SELECT draw, run_id, axis, level, round(auroc_gap, 6) AS auroc_gap, round(fnr_gap, 6) AS fnr_gap FROM g""",
+SELECT draw, run_id, axis, level, round(auroc_gap, 6) AS auroc_gap, round(fnr_gap, 6) AS fnr_gap, round(u.u - ru.u, 6) AS underdiagnosis_gap FROM g FULL JOIN u USING (draw, run_id, axis, level)
+JOIN u ru USING (draw, run_id, axis) WHERE ru.level = CASE axis WHEN 'sex' THEN 'M' ELSE '40-59' END""",
     "paired_delta": f"""{_V}, {_again(_K, 'val', 'vk').replace(', 6)', ', 15)')}, top AS (SELECT run_id FROM vk GROUP BY run_id ORDER BY avg(auroc) DESC, run_id LIMIT 1), mixed AS ({_MIX.format(score='avg(score)', source='test').replace('max(label)', 'min(patient_id) AS patient_id, max(label)')}),
 sides AS (SELECT patient_id, class_idx, label, score, 'first' AS side FROM mixed UNION ALL SELECT patient_id, class_idx, label, score, 'second' FROM test JOIN top USING (run_id)), {_drawn('sides')},
 {_weighted('wr', 'draw, side, class_idx')}, r AS ({_rank('draw, side, class_idx').replace(', 6)', ', 15)')}), m AS (SELECT draw, side, avg(auroc) AS macro_auroc, avg(auprc) AS macro_auprc FROM r GROUP BY draw, side),
@@ -326,3 +358,22 @@ SELECT run_id, CAST(sum(seconds) AS BIGINT) AS total_seconds, count(*) AS epochs
     "localization_cases": f"""{_SCORED} SELECT kind, image_id, class_idx, round(energy, 6) AS energy FROM (
  SELECT *, CASE WHEN hit THEN 'hit' ELSE 'mislocalized' END AS kind, row_number() OVER (PARTITION BY hit ORDER BY CASE WHEN hit THEN -energy ELSE energy END, image_id) AS place FROM scored WHERE NOT degenerate) WHERE place <= 10""",
 }
+
+_GAPS = ORACLE_SQL["bootstrap_gaps"]
+_CI = (0.050000000000000044 / 2, 1 - 0.050000000000000044 / 2)
+ORACLE_SQL |= {
+    "gap_intervals": f"""SELECT run_id, axis, level, metric, round(lo, 6) AS ci_low, round(hi, 6) AS ci_high, coalesce(lo > 0 OR hi < 0, false) AS resolved FROM (
+ SELECT run_id, axis, level, metric, CASE WHEN count(value) >= {DRAWS / 2} THEN quantile_cont(value, {_CI[0]}) END AS lo, CASE WHEN count(value) >= {DRAWS / 2} THEN quantile_cont(value, {_CI[1]}) END AS hi FROM (
+  SELECT run_id, axis, level, unnest(['auroc_gap', 'fnr_gap', 'underdiagnosis_gap']) AS metric, unnest([auroc_gap, fnr_gap, underdiagnosis_gap]) AS value FROM ({_GAPS.replace(', 6) AS auroc_gap, round(fnr_gap, 6)', ', 15) AS auroc_gap, round(fnr_gap, 15)').replace('u.u - ru.u, 6', 'u.u - ru.u, 15')}))
+ GROUP BY run_id, axis, level, metric)""",
+    "bias_table": "SELECT run_id, "
+    + ", ".join(f"max(CASE WHEN axis = '{a}' AND level = '{v}' THEN {c} END) AS {f'{a}_{v}_{c}'.replace('-', '_')}" for a, vs in LEVELS.items() for v in vs if v != subgroups.REFERENCE[a] for c in ("auroc_gap", "fnr_gap"))
+    + f" FROM ({ORACLE_SQL['subgroup_gaps']}) GROUP BY run_id",
+    "top_absent": f"{_FIRED} SELECT run_id, study_id, class_idx, round(score, 6) AS score, fired FROM fired WHERE label = 0 QUALIFY row_number() OVER (PARTITION BY run_id, study_id ORDER BY score DESC, class_idx) = 1",
+    "explanation_target": f"{_FIRED} SELECT run_id, study_id, class_idx, round(score, 6) AS score, CASE WHEN fired = 0 THEN 'none called' END AS note FROM fired QUALIFY row_number() OVER (PARTITION BY run_id, study_id ORDER BY fired DESC, score DESC, class_idx) = 1",
+    "failures": f"{_FIRED} SELECT run_id, study_id, CAST(sum(CASE WHEN score > 0.5 AND label = 0 THEN 1 ELSE 0 END) AS BIGINT) AS false_calls, CAST(sum(CASE WHEN score <= 0.5 AND label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS missed FROM fired GROUP BY run_id, study_id HAVING bool_or((score > 0.5) <> (label = 1))",
+    "implausible_ages": f"{_STUDY} SELECT count(*) AS n, count(DISTINCT patient_id) AS patients, max(age) AS highest, array_to_string(list_sort(list(DISTINCT age)), ',') AS ages FROM study WHERE age > 90",
+    "split_summary": f"{_STUDY}, l AS (SELECT s.study_id, s.split, h.finding FROM study s LEFT JOIN hit h USING (study_id)) SELECT split, count(DISTINCT study_id) AS n, round(CAST(sum(CASE WHEN finding IS NULL THEN 1 ELSE 0 END) AS DOUBLE) / count(DISTINCT study_id), 6) AS normal, "
+    + ", ".join(f"CAST(sum(CASE WHEN finding = '{c}' THEN 1 ELSE 0 END) AS BIGINT) AS {c.lower()}" for c in CLASSES)
+    + " FROM l GROUP BY split",
+}

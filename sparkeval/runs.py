@@ -54,3 +54,13 @@ def check_comparable(results: DataFrame, name: str = "experiment", classes: str
     sets = results.groupBy(name).agg(F.array_sort(F.collect_set(classes)).alias("classes")).groupBy("classes").agg(F.min(name).alias("run")).limit(2).collect()
     if len(sets) > 1:
         raise ValueError(f"{sets[0]['run']} and {sets[1]['run']} hold different classes")
+
+
+def localization_table(results: DataFrame) -> DataFrame:
+    """Runs' localization by method, the best pointing first; overlap of boxes is left out, as grids differ between models.
+
+    results: experiment, model, method and `macro` with pointing_game, energy_fraction and random_baseline; runs without it are skipped.
+    """
+    columns = ("pointing_game", "energy_fraction", "random_baseline")
+    t = results.where("macro.pointing_game IS NOT NULL").select("experiment", "model", "method", *[F.col(f"macro.{c}").alias(c) for c in columns])
+    return t.orderBy("method", F.desc("pointing_game"), "experiment", "model")

@@ -25,13 +25,24 @@ def shared_classes(fired: DataFrame, least: int = 10) -> DataFrame:
     return n.join(n.where(F.col("level") == reference).drop("level"), ["run_id", "axis", "class_idx"], "left_semi")
 
 
+def abnormal_studies(fired: DataFrame) -> DataFrame:
+    """A row for each run and study with a finding; `fired` is 1 if any class is called."""
+    each = fired.groupBy("run_id", "study_id").agg(F.min("patient_id").alias("patient_id"), F.min("sex").alias("sex"), F.min("age").alias("age"), F.max("label").alias("label"), F.max("fired").alias("fired"))
+    return each.where("label = 1")
+
+
 def underdiagnosis(fired: DataFrame) -> DataFrame:
     """Share of studies with a finding for which no class is called, for each level of each axis."""
-    axes = fired.groupBy("run_id", "study_id").agg(F.min("sex").alias("sex"), F.min("age").alias("age"), F.max("label").alias("label"), F.max("fired").alias("fired"))
-    rows = by_level(axes.where("label = 1"))
+    rows = by_level(abnormal_studies(fired))
     return rows.groupBy("run_id", "axis", "level").agg(F.count("*").alias("abnormal"), F.avg((F.col("fired") == 0).cast("double")).alias("underdiagnosis"))
 
 
+def bias_table(gaps: DataFrame, levels: dict[str, list[str]], columns: tuple[str, ...] = ("auroc_gap", "fnr_gap")) -> DataFrame:
+    """A row for each run and a column axis_level_gap for each level but the reference; null where a run has none."""
+    cells = [F.max(F.when((F.col("axis") == a) & (F.col("level") == v), F.col(c))).alias(f"{a}_{v}_{c}".replace("-", "_")) for a, vs in levels.items() for v in vs if v != REFERENCE[a] for c in columns]
+    return gaps.groupBy("run_id").agg(*cells)
+
+
 def subgroup_gaps(fired: DataFrame, least: int = 10) -> DataFrame:
     """Macro AUROC and miss rate of each level and of the reference over the classes with enough positives in both, and the gap."""
     keys = ("run_id", "axis", "level", "class_idx")
