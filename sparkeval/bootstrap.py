@@ -52,9 +52,9 @@ def percentile_interval(draws: DataFrame, value: str, keys: tuple[str, ...], n:
     return draws.groupBy(*keys).agg(F.when(enough, F.percentile(value, F.lit(a))).alias("ci_low"), F.when(enough, F.percentile(value, F.lit(1 - a))).alias("ci_high"))
 
 
-def weighted_rows(pred: DataFrame, draws: int, seed: int = 17) -> DataFrame:
-    """The rows of each draw's patients with `draw` and `weight`."""
-    slots = numbered(pred)
+def weighted_rows(pred: DataFrame, draws: int, seed: int = 17, patients: DataFrame | None = None) -> DataFrame:
+    """The rows of each draw's patients with `draw` and `weight`. Draws are of `patients` where given, so that tables share them."""
+    slots = numbered(pred if patients is None else patients)
     return pred.join(slots, "patient_id").join(draw_weights(slots, draws, seed), "slot").drop("slot")
 
 
@@ -96,7 +96,7 @@ def bootstrap_gaps(fired: DataFrame, draws: int, least: int = 10, seed: int = 17
     own = c.join(ref, ["draw", "run_id", "axis", "class_idx"]).groupBy("draw", "run_id", "axis", "level")
     own = own.agg((F.avg("auroc") - F.avg("ra")).alias("auroc_gap"), (F.avg("fnr") - F.avg("rf")).alias("fnr_gap"))
     # studies with a finding, by level; the reference level's rate stands beside each level's
-    u = by_level(weighted_rows(abnormal_studies(fired), draws, seed)).groupBy("draw", "run_id", "axis", "level")
+    u = by_level(weighted_rows(abnormal_studies(fired), draws, seed, fired)).groupBy("draw", "run_id", "axis", "level")
     u = u.agg((F.sum((1 - F.col("fired")) * w) / F.sum(w)).alias("u"))
     at_reference = u.where(F.col("level") == reference).select("draw", "run_id", "axis", F.col("u").alias("ru"))
     u = u.join(at_reference, ["draw", "run_id", "axis"]).withColumn("underdiagnosis_gap", F.col("u") - F.col("ru")).drop("u", "ru")
