@@ -107,7 +107,7 @@ def combined(rule):
 
 QUERIES = {
     "flagship": flagship,
-    "confusion_sweep": lambda s, d: rounded(ranking.confusion_sweep(_val(s, d).where("run_id < 2")), 9),
+    "confusion_sweep": lambda s, d: rounded(ranking.confusion_sweep(_val(s, d)), 9),
     "rank_metrics": lambda s, d: rounded(ranking.rank_metrics(predictions(s, d), ("run_id", "split", "class_idx"))),
     "run_auroc": lambda s, d: rounded(ensemble.run_auroc(predictions(s, d))),
     **{f"thresholds_{o}": (lambda o: lambda s, d: rounded(thresholds.tune(_val(s, d), o)))(o) for o in thresholds.OBJECTIVES},
@@ -270,7 +270,7 @@ ORACLE_SQL = {
     "drift_table": f"{_DRIFT} SELECT * FROM drift",
     "drift_verdict": f"{_DRIFT} SELECT min(CASE WHEN stage > 0 AND abs(correlation) <= 0.5 THEN stage END) AS decorrelated_at, max(stage) AS stages, max_by(correlation, stage) AS final, coalesce(max_by(correlation, stage) > 0.5, false) AS alarm FROM drift",
     "flagship": f"{_FIRED}, {_RATES}, {_again(_K, 'fired', 'ranked')} SELECT f.* EXCLUDE (support), r.* EXCLUDE (run_id, class_idx) FROM full_rates f JOIN ranked r USING ({_K})",
-    "confusion_sweep": f"{_V}, few AS (SELECT * FROM val WHERE run_id < 2), {_sweep('few', _K)} SELECT {_K}, round(score, 9) AS score, pos, n, tp, fp, p - tp AS fn, total - p - fp AS tn FROM sweep",
+    "confusion_sweep": f"{_V}, {_sweep('val', _K)} SELECT {_K}, round(score, 9) AS score, pos, n, tp, fp, p - tp AS fn, total - p - fp AS tn FROM sweep",
     "rank_metrics": f"WITH {CTES}, {_sweep('pred', 'run_id, split, class_idx')} {_rank('run_id, split, class_idx')}",
     "run_auroc": f"WITH {CTES}, {_sweep('pred', 'run_id, split, class_idx')}, r AS ({_rank('run_id, split, class_idx').replace(', 6)', ', 15)')}) SELECT run_id, split, round(avg(auroc), 6) AS macro_auroc, round(avg(auprc), 6) AS macro_auprc FROM r GROUP BY run_id, split",
     **{f"thresholds_{o}": f"{_V}, {_tuned(o)} SELECT {_K}, support, round(threshold, 6) AS threshold, status FROM tuned" for o in thresholds.OBJECTIVES},

@@ -2,6 +2,7 @@ import os
 
 import pytest
 
+from sparkeval.bridge import predictions
 from sparkeval.queries import ORACLE_SQL, QUERIES
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -15,3 +16,9 @@ def test_against_oracle(name, against_oracle):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_without_oracle(name, spark):
     assert QUERIES[name](spark, FOLDER).count() > 0
+
+
+def test_confusion_sweep_takes_every_run(spark):
+    val = predictions(spark, FOLDER).where("split = 'val'").groupBy("run_id", "class_idx").count().collect()
+    got = QUERIES["confusion_sweep"](spark, FOLDER).groupBy("run_id", "class_idx").sum("n").collect()
+    assert {r.run_id for r in val} == {0, 1, 2, 3, 4} and {tuple(r) for r in got} == {tuple(r) for r in val}
