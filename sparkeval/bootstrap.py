@@ -1,19 +1,25 @@
 """Patient-clustered bootstrap: weights per draw and patient, not copies of rows.
 
-Rates need counts per patient only. Rank metrics and thresholds sweep every draw's rows, so their shuffle is rows times draws; a draw
-is a key of the sweep like another, so no task holds more than the distinct scores of one draw and class.
+Rates need counts per patient only; rank metrics and thresholds need counts per score and patient. The counts of a key are packed once
+for a block of draws, whose weights are computed beside them: the shuffle is counts times blocks, and a task holds one key's counts and
+one draw's weights at a time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkeval.ranking import macro, rank_metrics
+from sparkeval.ranking import macro
 from sparkeval.subgroups import REFERENCE, abnormal_studies, by_level, shared_classes
-from sparkeval.thresholds import safe_ratio, tune
+from sparkeval.thresholds import MIN_SUPPORT, OBJECTIVES, TIE, safe_ratio
 
 PRIME = 1_000_003
+BLOCK_DRAWS = 250
 
 
 def draw_weights(patients: DataFrame, draws: int, seed: int = 17) -> DataFrame:
@@ -36,12 +42,132 @@ def numbered(patients: DataFrame) -> DataFrame:
     return p.join(first, "bucket").select("patient_id", (rank + F.col("first")).cast("long").alias("slot"))
 
 
+def slot_weights(n: int, draw: int, seed: int) -> np.ndarray:
+    """The weights of draw_weights for one draw, by slot."""
+    slot = np.arange(n, dtype=np.int64)
+    return np.bincount((slot * 7919 + draw * 104_729 + seed) % PRIME * ((slot + 31 * draw) % 10_007 + 1) % n, minlength=n).astype(np.float64)
+
+
+def over_draws(counts: DataFrame, n: int, draws: int, keys: tuple[str, ...], fields: dict[str, str], measure: Callable, seed: int = 17) -> DataFrame:
+    """draw, keys and fields (name to type) of each draw and key that has rows in it.
+
+    counts: keys, `slot` (of n) and columns that `measure` takes as arrays by name; it returns a function of the rows' weights that
+    gives the fields' values, or None without rows.
+    """
+    last = (draws - 1) // BLOCK_DRAWS
+    types = dict(counts.dtypes)
+    schema = ", ".join(["draw int", *[f"{k} {types[k]}" for k in keys], *[f"{f} {t}" for f, t in fields.items()]])
+    arrow = {"double": pa.float64(), "bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        columns = {c: table.column(c).to_numpy() for c in table.column_names if c not in keys and c != "block"}
+        each, found = measure(columns), []
+        for draw in range(key[-1].as_py() * BLOCK_DRAWS, min((key[-1].as_py() + 1) * BLOCK_DRAWS, draws)):
+            values = each(slot_weights(n, draw, seed)[columns["slot"]])
+            if values is not None:
+                found.append((draw, *values))
+        out = [pa.array([f[0] for f in found], pa.int32()), *[pa.array([k.as_py()] * len(found), arrow[types[name]]) for name, k in zip(keys, key, strict=False)]]
+        out += [pa.array([f[i] for f in found], arrow[t]) for i, t in enumerate(fields.values(), 1)]
+        return pa.table(out, names=["draw", *keys, *fields])
+
+    blocks = counts.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(last))))
+    return blocks.groupBy(*keys, "block").applyInArrow(run, schema)
+
+
+def _sums(*names: str) -> Callable:
+    """Weighted sums of columns; the last one counts rows."""
+
+    def measure(columns: dict[str, np.ndarray]) -> Callable:
+        m = np.column_stack([columns[c] for c in (*names, "n")]).astype(np.float64)
+
+        def each(w: np.ndarray) -> tuple | None:
+            total = w @ m
+            return tuple(map(int, total[:-1])) if total[-1] else None
+
+        return each
+
+    return measure
+
+
+def _sweep(columns: dict[str, np.ndarray]) -> Callable:
+    """A function of weights: the distinct scores in the draw, falling, with their positives, rows and both sums from the top."""
+    order = np.argsort(-columns["score"], kind="stable")
+    score, pos, n = columns["score"][order], columns["pos"][order].astype(np.float64), columns["n"][order].astype(np.float64)
+    starts = np.flatnonzero(np.append(True, score[1:] != score[:-1]))
+
+    def each(w: np.ndarray) -> tuple:
+        w = w[order]
+        p, m = np.add.reduceat(w * pos, starts), np.add.reduceat(w * n, starts)
+        drawn = m > 0
+        p, m = p[drawn], m[drawn]
+        return score[starts][drawn], p, m, np.cumsum(p), np.cumsum(m)
+
+    return each
+
+
+def _ranks(columns: dict[str, np.ndarray]) -> Callable:
+    """auroc, auprc and, where there are hits among the positives, the share missed."""
+    sweep, hit, pos = _sweep(columns), columns.get("hit"), columns["pos"]
+
+    def each(w: np.ndarray) -> tuple | None:
+        _, p, m, tp, called = sweep(w)
+        if not len(p):
+            return None
+        positives, rows = tp[-1], called[-1]
+        negatives, neg, fp = rows - positives, m - p, called - tp
+        auroc = float(p @ (2 * (negatives - fp) + neg) / (2 * positives * negatives)) if positives and negatives else None
+        auprc = float(p @ (tp / called) / positives) if positives else None
+        if hit is None:
+            return auroc, auprc
+        return auroc, auprc, float(1 - (w @ hit) / (w @ pos)) if positives else None
+
+    return each
+
+
+def _tuned(objective: str, beta: float = 2.0, target: float = 0.8) -> Callable:
+    """The threshold that thresholds.tune picks, or null unless its status is tuned."""
+
+    def ratio(a: np.ndarray, b: np.ndarray | float) -> np.ndarray:
+        return np.divide(a, b, out=np.zeros(len(a)), where=np.broadcast_to(np.asarray(b) != 0, a.shape))
+
+    def measure(columns: dict[str, np.ndarray]) -> Callable:
+        sweep = _sweep(columns)
+        b = 1.0 if objective == "f1" else beta * beta
+
+        def each(w: np.ndarray) -> tuple | None:
+            score, _, _, tp, called = sweep(w)
+            if not len(score):
+                return None
+            positives, rows = tp[-1], called[-1]
+            if positives < MIN_SUPPORT or positives == rows:
+                return (None,)
+            precision, recall = tp / called, tp / positives
+            if objective == "sensitivity":
+                value, reached = recall, recall >= target
+                return (float(score[reached].max()),) if reached.any() else (None,)
+            if objective == "youden":
+                value = recall + ratio(rows - positives - called + tp, rows - positives) - 1
+            else:
+                value = ratio((1 + b) * precision * recall, b * precision + recall)
+            best = value.max()
+            return (float(score[value >= best - TIE].min()),) if best > 0 else (None,)
+
+        return each
+
+    return measure
+
+
+def _packed(rows: DataFrame, slots: DataFrame, keys: tuple[str, ...], *more: str) -> DataFrame:
+    """Positives, rows and sums of more columns by key, score and slot."""
+    return rows.join(slots, "patient_id").groupBy(*keys, "score", "slot").agg(F.sum("label").cast("long").alias("pos"), F.count("*").alias("n"), *[F.sum(c).cast("long").alias(c) for c in more])
+
+
 def bootstrap_rates(fired: DataFrame, draws: int, keys: tuple[str, ...] = ("run_id", "class_idx"), seed: int = 17) -> DataFrame:
     """precision, recall and f1 of each draw and key; counts are added up per patient before they meet the weights."""
-    per = fired.groupBy("patient_id", *keys).agg(F.sum(F.col("fired") * F.col("label")).alias("tp"), F.sum("fired").alias("called"), F.sum("label").alias("true"))
     slots = numbered(fired)
-    weighted = per.join(slots, "patient_id").join(draw_weights(slots, draws, seed), "slot")
-    s = weighted.groupBy("draw", *keys).agg(*[F.sum(F.col(c) * F.col("weight")).alias(c) for c in ("tp", "called", "true")])
+    sums = {"tp": F.col("fired") * F.col("label"), "called": F.col("fired"), "true": F.col("label"), "n": F.lit(1)}
+    per = fired.join(slots, "patient_id").groupBy(*keys, "slot").agg(*[F.sum(v).cast("long").alias(k) for k, v in sums.items()])
+    s = over_draws(per, slots.count(), draws, keys, dict.fromkeys(("tp", "called", "true"), "bigint"), _sums("tp", "called", "true"), seed)
     return s.select("draw", *keys, safe_ratio(F.col("tp"), F.col("called")).alias("precision"), safe_ratio(F.col("tp"), F.col("true")).alias("recall"), safe_ratio(2 * F.col("tp"), F.col("called") + F.col("true")).alias("f1"))
 
 
@@ -60,13 +186,16 @@ def weighted_rows(pred: DataFrame, draws: int, seed: int = 17, patients: DataFra
 
 def bootstrap_rank(pred: DataFrame, draws: int, keys: tuple[str, ...] = ("run_id", "class_idx"), seed: int = 17) -> DataFrame:
     """AUROC and average precision of each draw and key."""
-    return rank_metrics(weighted_rows(pred, draws, seed), ("draw", *keys), "weight").select("draw", *keys, "auroc", "auprc")
+    slots = numbered(pred)
+    return over_draws(_packed(pred, slots, keys), slots.count(), draws, keys, {"auroc": "double", "auprc": "double"}, _ranks, seed)
 
 
 def bootstrap_thresholds(pred: DataFrame, objective: str, draws: int, keys: tuple[str, ...] = ("run_id", "class_idx"), seed: int = 17) -> DataFrame:
     """The threshold refitted on each draw; null where the draw has too few positives or nothing separates."""
-    t = tune(weighted_rows(pred, draws, seed), objective, ("draw", *keys), weight="weight")
-    return t.select("draw", *keys, F.when(F.col("status") == "tuned", F.col("threshold")).alias("threshold"))
+    if objective not in OBJECTIVES:
+        raise ValueError(f"unknown objective {objective}; one of {', '.join(OBJECTIVES)}")
+    slots = numbered(pred)
+    return over_draws(_packed(pred, slots, keys), slots.count(), draws, keys, {"threshold": "double"}, _tuned(objective), seed)
 
 
 def paired_delta(first: DataFrame, second: DataFrame, draws: int, seed: int = 17) -> DataFrame:
@@ -86,18 +215,18 @@ def bootstrap_gaps(fired: DataFrame, draws: int, least: int = 10, seed: int = 17
     A gap is null where one side is undefined on the draw.
     """
     keys = ("run_id", "axis", "level", "class_idx")
-    rows = by_level(weighted_rows(fired, draws, seed)).join(shared_classes(fired, least), list(keys), "left_semi")
-    w = F.col("weight")
-    miss = rows.groupBy("draw", *keys).agg(F.sum(F.col("fired") * F.col("label") * w).alias("tp"), F.sum(F.col("label") * w).alias("pos"))
-    c = rank_metrics(rows, ("draw", *keys), "weight").select("draw", *keys, "auroc").join(miss, ["draw", *keys])
-    c = c.select("draw", *keys, "auroc", (1 - F.try_divide(F.col("tp").cast("double"), F.col("pos"))).alias("fnr"))
+    slots = numbered(fired)
+    n = slots.count()
+    rows = by_level(fired.withColumn("hit", F.col("fired") * F.col("label"))).join(shared_classes(fired, least), list(keys), "left_semi")
+    c = over_draws(_packed(rows, slots, keys, "hit"), n, draws, keys, dict.fromkeys(("auroc", "auprc", "fnr"), "double"), _ranks, seed).drop("auprc")
     reference = F.when(F.col("axis") == "sex", REFERENCE["sex"]).otherwise(REFERENCE["age"])
     ref = c.where(F.col("level") == reference).select("draw", "run_id", "axis", "class_idx", F.col("auroc").alias("ra"), F.col("fnr").alias("rf"))
     own = c.join(ref, ["draw", "run_id", "axis", "class_idx"]).groupBy("draw", "run_id", "axis", "level")
     own = own.agg((F.avg("auroc") - F.avg("ra")).alias("auroc_gap"), (F.avg("fnr") - F.avg("rf")).alias("fnr_gap"))
     # studies with a finding, by level; the reference level's rate stands beside each level's
-    u = by_level(weighted_rows(abnormal_studies(fired), draws, seed, fired)).groupBy("draw", "run_id", "axis", "level")
-    u = u.agg((F.sum((1 - F.col("fired")) * w) / F.sum(w)).alias("u"))
+    per = by_level(abnormal_studies(fired).join(slots, "patient_id")).groupBy(*keys[:3], "slot").agg(F.sum(1 - F.col("fired")).cast("long").alias("missed"), F.count("*").alias("n"))
+    u = over_draws(per.withColumn("abnormal", F.col("n")), n, draws, keys[:3], {"missed": "bigint", "abnormal": "bigint"}, _sums("missed", "abnormal"), seed)
+    u = u.select("draw", *keys[:3], (F.col("missed") / F.col("abnormal")).alias("u"))
     at_reference = u.where(F.col("level") == reference).select("draw", "run_id", "axis", F.col("u").alias("ru"))
     u = u.join(at_reference, ["draw", "run_id", "axis"]).withColumn("underdiagnosis_gap", F.col("u") - F.col("ru")).drop("u", "ru")
     return own.join(u, ["draw", "run_id", "axis", "level"], "full")

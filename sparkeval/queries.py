@@ -12,7 +12,7 @@ from sparkeval.bridge import BATCHES, CTES, HISTORY, batches, bridge, findings,
 
 CLASSES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 EXPERIMENTS = ["exp_a", "exp_b", "exp_c", "exp_d", "exp_e"]
-DRAWS = 20
+DRAWS = 1000  # the reference's BOOTSTRAP_SAMPLES
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
