@@ -160,6 +160,18 @@ def test_topk_edges(spark):
     assert topk.top_k(v.where("false"), v.where("false")).count() == 0
 
 
+def test_topk_repeated_rows(spark):
+    """Copies of the query and of a neighbour in one block, against brute force over all pairs of rows."""
+    rows = [(0, [1.0, 1.0])] * 9 + [(1, [0.9, 0.9])] * 3 + [(i, [0.5, i / 100]) for i in range(2, 8)] + [(50, [-1.0, 0.25])] * 2
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    q = [(i, [int(256 * x // 1) for x in map(float, e)]) for i, e in rows]
+    want = []
+    for i in (0, 50):
+        scored = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), j) for n, a in q if n == i for j, b in q if j != i)
+        want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(scored[:5])]
+    assert sorted(tuple(r) for r in topk.top_k(v, v.where("vec_id % 50 = 0"), 5).collect()) == want
+
+
 def test_privacy(spark, docs, empty):
     got = {r.id: r.w for r in privacy.find_spans(docs).select("id", privacy.written(privacy.F.col("spans")).alias("w")).collect()}
     assert got[12] == "email:5:16,phone:25:42" and got[13] == "card:5:24,ip:29:37" and got[6] == got[10] == ""
