@@ -20,8 +20,9 @@ from sparkeval.llm.common import read, small, stage
 from sparkeval.llm.html_text import main_text
 
 GRAMS = 1 << 16
-SAMPLE_ROWS = 20_000  # labelled documents that the trigram models are trained on, whole texts
-MOST_LANGUAGES = 64
+SAMPLE_ROWS = 20_000  # labelled documents that the trigram models are trained on, whole texts, in equal parts for each label
+LEAST_ROWS = 500  # but so many of a label at least, where it has them
+MOST_LANGUAGES = 512  # models that fit the driver; ISO 639-1 has 184 codes
 UNKNOWN = "und"
 EVIDENCE = 300  # trigrams that a text counts as at most: they are not independent
 SMOOTHING = 0.5
@@ -52,22 +53,31 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(mine[at])], ["lang", "gram", "n"])
 
 
+def _language(lang_col: str) -> Column:
+    """The label without its region, in lower case."""
+    return F.lower(F.trim(F.split(F.col(lang_col).cast("string"), "[-_]")[0]))
+
+
 def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages and their trigram log-probabilities, from about `rows` documents picked by the hash of their id.
+    """Languages and their trigram log-probabilities, from about `rows` documents picked by the hash of their id, the same number of each label.
 
-    The model that comes to the driver has at most MOST_LANGUAGES times GRAMS numbers.
+    A label with fewer documents than its part gives all, at every size of the table. The model that comes to the driver has at
+    most MOST_LANGUAGES times GRAMS numbers.
     """
     known = labelled.where(F.col(lang_col).isNotNull())
-    n = known.count()
-    share = 1.0 if n <= rows else rows / n
-    picked = known.where(F.pmod(F.xxhash64(id_col, F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000))
-    picked = picked.select(F.lower(F.trim(F.split(F.col(lang_col).cast("string"), "[-_]")[0])).alias("lang"), F.col(text_col).alias("text"))
+    draw = F.pmod(F.xxhash64(id_col, F.lit("sample")), F.lit(1 << 40)) / (1 << 40)
+    known = known.select(_language(lang_col).alias("lang"), F.col(text_col).alias("text"), draw.alias("draw"))
+    labels = stage(known.groupBy("lang").agg(F.count("*").alias("n")), "language_labels")
+    n = labels.count()
+    part = max(rows / max(n, 1), LEAST_ROWS)
+    shares = small(labels.select("lang", (F.lit(part) / F.col("n")).alias("share")), n)
+    picked = known.join(shares, "lang").where(F.col("draw") < F.col("share")).select("lang", "text")
     counts = picked.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = stage(counts, "language_grams")
     kept = [r["lang"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()]
-    table = np.zeros((len(kept), GRAMS))
+    table, at = np.zeros((len(kept), GRAMS)), {lang: i for i, lang in enumerate(kept)}
     for r in counts.where(F.col("lang").isin(kept)).toLocalIterator():
-        table[kept.index(r["lang"]), r["gram"]] = r["n"]
+        table[at[r["lang"]], r["gram"]] = r["n"]
     table = np.log((table + SMOOTHING) / (table.sum(axis=1, keepdims=True) + SMOOTHING * GRAMS))
     return kept, np.vstack([table, np.full(GRAMS, -np.log(GRAMS))]).astype(np.float32)
 
@@ -159,7 +169,7 @@ def identify(
     names, k = [*languages, UNKNOWN], len(languages) + 1
     declared = F.col(declared_col).cast("string") if declared_col else F.lit(None).cast("string")
     if from_html:
-        declared = F.regexp_extract(F.col(text_col), r"(?i)<html\b[^>]{0,400}?\blang\s*=\s*[\"']?([A-Za-z]+)", 1)
+        declared = F.regexp_extract(F.col(text_col), r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", 1)
     host = F.lower(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)", 1)) if url_col else F.col(host_col).cast("string") if host_col else F.lit(None).cast("string")
     parts = F.split("host", r"\.")
     base = docs.select(
@@ -196,13 +206,15 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows of docs whose language is identified with at least `least` confidence, with docs' columns.
 
     Rejected are texts without letters and texts that no language's model explains better than the flat one. A text that
-    contradicts its declared language stays: the declaration is what is wrong.
+    contradicts its declared language stays: the declaration is what is wrong. A text with letters whose label has no model
+    stays too: nothing can be told of it.
     """
     model = train(docs, id_col, text_col, lang_col)
     if not model[0]:  # nothing is labelled: nothing can be told
         return docs
     out = identify(docs, model, id_col, text_col, declared_col=lang_col, host_col=host_col, rows=True)
-    return out.where((F.col("lang") != UNKNOWN) & (F.col("confidence") >= least)).select("row.*")
+    untold = F.col("declared").isNotNull() & ~F.col("declared").isin(model[0]) & (F.col("grams") > 0)
+    return out.where(((F.col("lang") != UNKNOWN) & (F.col("confidence") >= least)) | untold).select("row.*")
 
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:

@@ -128,6 +128,24 @@ def test_language(spark, docs, empty):
     assert language.keep_identified(empty).columns == empty.columns and language.keep_identified(empty).count() == 0
 
 
+def test_language_of_few(spark, monkeypatch):
+    """A rare label gets a model however many rows others have, every label gets one, and a text whose label has none is kept."""
+    rows = [Row(doc_id=i, text=f"the quick brown fox number {BASE}", lang="en", source=None) for i in range(1500)]
+    rows += [Row(doc_id=5000 + i, text="ბრძენი კაცი ყოველთვის სიმართლეს ამბობს და სხვისას უსმენს", lang="ka", source=None) for i in range(6)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = language.train(d, "doc_id", "text", "lang", rows=20)
+    assert set(model[0]) == {"en", "ka"}
+    got = {r.id: r.lang for r in language.identify(d.where("doc_id >= 1499"), model, "doc_id", "text").collect()}
+    assert got == {1499: "en", **{5000 + i: "ka" for i in range(6)}}
+    many = spark.createDataFrame([(i, f"{chr(97 + i // 9) * 3} {chr(97 + i % 9) * 4} word", f"l{i}") for i in range(80)], "doc_id long, text string, lang string")
+    assert len(language.train(many, "doc_id", "text", "lang")[0]) == 80
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 1)
+    assert language.keep_identified(d).where("lang = 'ka'").count() == 6
+    far = [(1, "<html " + 'data-x="' + "y" * 500 + '" lang="de"><body><p>some words here</p></body></html>')]
+    page = spark.createDataFrame(far, "page_id long, html string")
+    assert language.identify(page, model, "page_id", "html", from_html=True).first().declared == "de"
+
+
 def test_near_dedup(docs, empty):
     sets = []
     for i, t in TEXTS:
