@@ -1,10 +1,10 @@
 """Personal data by bootstrapped contextual extraction.
 
 Fixed patterns find the seeds: e-mail and IP addresses, card and phone numbers. Their places come from the pieces between matches, by a
-running sum. Labels such as "mail:" or "id =" in front of a seed become lexical patterns; every place where a label occurs, with
-whatever value follows, is an edge between a pattern and an instance. Rounds of joins and grouped sums score patterns by
-the share of their values that are known and instances by the patterns that point to them; labels that score high give
-the spans of identifiers that the seed patterns miss.
+running sum. The one to three words in front of a seed, as in "mail:", "id =" or "call me at", become lexical patterns; every place
+where such words stand before a value is an edge between a pattern and an instance. Rounds of joins and grouped sums score patterns by
+the share of their values that are known and instances by the patterns that point to them, until no pattern is added; patterns that
+score high give the spans of identifiers that the seed patterns miss.
 """
 
 from __future__ import annotations
@@ -26,28 +26,46 @@ SEEDS = (
     r"\+[0-9][\x20().0-9-]+[0-9]",
 )
 HINTS = ("@", r"[0-9]\.[0-9]", r"[0-9]", r"\+[0-9]")
-#: A label, then the value after it: up to 64 characters without white space.
-LABELLED = r"(?<![A-Za-z])[A-Za-z]{2,30}\x20?[:=]\x20{0,3}[\"']?[^\s\"']{4,64}"
-LABEL_OF = r"^([A-Za-z]{2,30})\x20?[:=]"
-VALUE_OF = r"^[A-Za-z]{2,30}\x20?[:=]\x20{0,3}[\"']?([^\s\"']*?)[.,;!?)]*$"
-#: What a discovered value must look like at least, by kind.
+#: What a value may look like: an address (its parts as long as mail allows), a network address, seven digits and more with what
+#: people write between them. A space goes on with a number only before two digits.
+SHAPES = (
+    r"[^\s@\"'<>(),;:\[\]]{1,64}+(?:@|\[at\]|\(at\))[^\s@\"'<>(),;\[\]]{0,254}[^\s@\"'<>(),;:.!?\[\]]",
+    r"(?:[0-9A-Fa-f]{0,4}:){2,7}(?:[0-9A-Fa-f.]*[0-9A-Fa-f])?",
+    r"[0-9]{1,3}(?:[.-][0-9]{1,3}){3}(?![0-9])",
+    r"\+?\(?[0-9](?:(?:[()._/-]|\x20(?=\(?[0-9]{2})){0,3}[0-9]){6,29}+",
+)
+#: Up to three words and what divides them from the value; group 1 is the value, which is not consumed. After : or = any four
+#: characters count as a value (group 1 is empty then), elsewhere only one of the shapes.
+LABELLED = (
+    r"(?<!\p{L})(?:\p{L}{1,30}+\s{1,3}+){0,2}\p{L}{1,30}+(?:\s?[:=.#]\s{0,3}|\s{1,3})(?:[\"'<]|\((?=\p{L}))?"
+    r"(?=(" + "|".join(SHAPES) + r")|(?<=[:=]\s{0,3}[\"']?)[^\s\"']{4})"
+)
+#: The part of a value that is an identifier, by kind; the longest that a number's digits allow.
 LOOKS = (
     r"^[^@\s]+(?:@|[\[(]at[\])])[^@\s]+$",
     r"^(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f.]*$|^[0-9]{1,3}(?:[.-][0-9]{1,3}){3}$",
-    r"^(?:[0-9][._/-]?){8,19}$",
-    r"^\(?(?:[0-9][()._/-]*){7,15}$",
+    r"^(?:[0-9][\x20._/-]?){7,18}[0-9](?![0-9])",
+    r"^\+?\(?[0-9](?:[\x20()._/-]{0,3}[0-9]){6,14}(?![0-9])",
 )
 LEAST_SUPPORT, LEAST_SHARE, LEAST_SCORE = 3, 0.6, 0.6
-ROUNDS = 3
 
 
 def _pieces(text: Column, pattern: str, hint: str, kind: int) -> Column:
-    """Matches of a pattern with their number and the length of what lies before each, since the match before."""
+    """Matches of a pattern with their number, the length of what lies before each, since the match before, and a label's value."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     both = F.zip_with(matches, F.split(text, pattern, -1), lambda m, p: F.struct(m.alias("match"), F.char_length(p).alias("lead")))
-    each = F.transform(both, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("at"), x["lead"].alias("lead"), x["match"].alias("match")))
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if kind == LABEL else F.array().cast("array<string>")
+    each = F.zip_with(both, values, lambda x, v: F.struct(x["lead"].alias("lead"), x["match"].alias("match"), v.alias("value")))
+    each = F.transform(each, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("at"), x["lead"].alias("lead"), x["match"].alias("match"), x["value"].alias("value")))
     found = F.filter(each, lambda x: x["match"].isNotNull())
-    return F.when(text.rlike(hint), found).otherwise(F.array().cast("array<struct<kind:int,at:int,lead:int,match:string>>"))
+    return F.when(text.rlike(hint), found).otherwise(F.array().cast("array<struct<kind:int,at:int,lead:int,match:string,value:string>>"))
+
+
+def _labels(match: Column) -> Column:
+    """The last word, the last two and all three, in lower case; with : where one of : and = divides them from the value."""
+    words = F.regexp_extract_all(F.lower(match), F.lit(r"\p{L}+"), F.lit(0))
+    mark = F.when(match.rlike("[:=]"), ":").otherwise("")
+    return F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.concat(F.array_join(F.slice(words, -n, n), " "), mark))
 
 
 def _luhn(digits: Column) -> Column:
@@ -74,29 +92,31 @@ def _valid(kind: Column, match: Column) -> Column:
     )
 
 
-def _looks_like(kind: Column, value: Column) -> Column:
-    return reduce(lambda a, k: a.when(kind == k, value.rlike(LOOKS[k])), range(1, len(KINDS)), F.when(kind == 0, value.rlike(LOOKS[0]))).otherwise(False)
+def _identifier(kind: Column, value: Column) -> Column:
+    """The part of a value that is an identifier of the kind; empty if it is none."""
+    part = lambda k: F.regexp_extract(value, LOOKS[k], 0)
+    return reduce(lambda a, k: a.when(kind == k, part(k)), range(1, len(KINDS)), F.when(kind == 0, part(0))).otherwise("")
 
 
-def discover(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def discover(edges: DataFrame) -> DataFrame:
     """edges (label, value, seed: its kind or null): the (label, kind) patterns to be trusted, with share and support.
 
     A pattern's share is the part of all its occurrences whose value is known for the kind; known are the seeds, and
-    instances whose patterns together (noisy or) reach LEAST_SCORE. Grouped by label and value: a frequent label costs one row a task.
+    instances whose patterns together (noisy or) reach LEAST_SCORE. Trusted patterns only grow; rounds end when none is added. Grouped by label and value: a frequent label costs one row a task.
     """
     edges = stage(edges.groupBy("label", "value", "seed").agg(F.count("*").alias("n")), "privacy_edges")
     totals = edges.groupBy("label").agg(F.sum("n").alias("total"))
     seeds = edges.where("seed is not null").select("value", F.col("seed").alias("kind")).distinct()
     known, patterns = seeds, None
-    for _ in range(rounds):
-        hits = edges.join(known, "value").groupBy("label", "kind").agg(F.sum("n").alias("hits"), F.count_distinct("value").alias("support"))
+    while True:
+        hits = edges.where("value != ''").join(known, "value").groupBy("label", "kind").agg(F.sum("n").alias("hits"), F.count_distinct("value").alias("support"))
         scored = hits.join(totals, "label").withColumn("share", F.least(F.lit(1.0), F.col("hits") / F.col("total")))
         trusted = stage(scored.where((F.col("support") >= LEAST_SUPPORT) & (F.col("share") >= LEAST_SHARE)).select("label", "kind", "share", "support"), "privacy_patterns")
         last, patterns = patterns, trusted
         n = trusted.count()
         if n == 0 or (last is not None and last.count() == n):
             break
-        reached = edges.where("seed is null").join(trusted, "label").where(_looks_like(F.col("kind"), F.col("value")))
+        reached = edges.where("seed is null").join(trusted, "label").where(_identifier(F.col("kind"), F.col("value")) != "")
         reached = reached.groupBy("value", "kind", "label").agg(F.max("share").alias("share"))
         doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("share"), F.lit(1e-9)))))
         found = reached.groupBy("value", "kind").agg((1 - doubt).alias("score")).where(F.col("score") >= LEAST_SCORE)
@@ -112,7 +132,7 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     texts have none. Repeated rows and null ids are rows of their own.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    found = F.concat(*[_pieces(F.col("text"), p, h, k) for k, (p, h) in enumerate(zip(SEEDS, HINTS, strict=True))], _pieces(F.col("text"), LABELLED, "[:=]", LABEL))
+    found = F.concat(*[_pieces(F.col("text"), p, h, k) for k, (p, h) in enumerate(zip(SEEDS, HINTS, strict=True))], _pieces(F.col("text"), LABELLED, r"[:=@0-9]|[\[(]at[\])]", LABEL))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text.alias("text"))
     rows = stage(rows.select("row", "id", found.alias("found")), "privacy_matches")
     each = rows.where(F.size("found") > 0).select("row", F.inline("found"))
@@ -120,18 +140,16 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     before = F.coalesce(F.sum(F.char_length("match")).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     start = (F.sum("lead").over(inside.rowsBetween(Window.unboundedPreceding, 0)) + before).cast("long")
     each = each.withColumn("start", start).where(_valid(F.col("kind"), F.col("match")))
-    each = stage(each.select("row", "kind", "start", (F.col("start") + F.char_length("match")).alias("end"), "match"), "privacy_spans")
+    each = stage(each.select("row", "kind", "start", (F.col("start") + F.char_length("match")).alias("end"), "match", "value"), "privacy_spans")
     base = each.where(F.col("kind") < LABEL).select("row", "kind", "start", "end")
 
-    value = F.regexp_extract("match", VALUE_OF, 1)
-    labels = each.where(F.col("kind") == LABEL).select(
-        "row", F.lower(F.regexp_extract("match", LABEL_OF, 1)).alias("label"), value.alias("value"),
-        (F.col("start") + F.char_length("match") - F.char_length(F.regexp_extract("match", r"[^\s\"':=]*$|[^\s\"']*$", 0))).alias("start"),
-    )
-    seeds = base.select("row", "start", F.col("kind").alias("seed"))
-    edges = stage(labels.join(seeds, ["row", "start"], "left"), "privacy_labels")
+    labels = each.where(F.col("kind") == LABEL).select("row", F.explode(_labels(F.col("match"))).alias("label"), "value", F.col("end").alias("start"))
+    seeds = each.where(F.col("kind") < LABEL).select("row", "start", F.col("kind").alias("seed"), "match")
+    edges = labels.join(seeds, ["row", "start"], "left")
+    own = F.when((F.col("value") == "") & F.col("seed").isNotNull(), F.col("match")).otherwise(F.col("value"))  # a seed of no shape
+    edges = stage(edges.withColumn("value", own).drop("match"), "privacy_labels")
     trusted = discover(edges.select("label", F.lower("value").alias("value"), "seed"))
-    new = edges.where("seed is null").join(trusted, "label").where(_looks_like(F.col("kind"), F.lower("value")))
+    new = edges.where("seed is null").join(trusted, "label").withColumn("value", _identifier(F.col("kind"), F.col("value"))).where("value != ''")
     new = new.select("row", "kind", "start", (F.col("start") + F.char_length("value")).alias("end"))
     taken = base.select(F.col("row").alias("r"), F.col("start").alias("s"), F.col("end").alias("e"))
     new = new.join(taken, (F.col("row") == F.col("r")) & (F.col("start") < F.col("e")) & (F.col("end") > F.col("s")), "left_anti")

@@ -199,6 +199,32 @@ def test_privacy(spark, docs, empty):
     assert privacy.find_spans(empty).count() == 0
 
 
+def test_privacy_contexts(spark):
+    """Written-out numbers, words without : or =, chained labels, values next to their separator, long values, chains of rounds."""
+    texts = [f"phone: +1 212 555 01{i:02d}" for i in range(20)] + [f"please call me at +1 212 555 02{i:02d} now" for i in range(5)]
+    texts += [f"mail: user{i}@host.com" for i in range(15)] + ["card: " + c for c in ("4111 1111 1111 1111", "5500 0000 0000 0004", "3400 000000 00009")]
+    long = "b" * 70
+    want = {
+        "phone: 555 123 4567": ["555 123 4567"], "my phone: (030) 123 456 2 items": ["(030) 123 456"], "then call me at 555 765 4321 today": ["555 765 4321"],
+        "Contact: mail: foo@localhost": ["foo@localhost"], "mail:foo@localhost.": ["foo@localhost"], "mail=é@localhost": ["é@localhost"],
+        f"mail: a@{long}": [f"a@{long}"], "card: 4111 1111 1111 1112": ["4111 1111 1111 1112"], "come at 5 with 20 people": [],
+    }
+    # each word is known by the values of the word before it, so each takes a round
+    chain = [f"phone: 700 000 000{i}" for i in range(3)]
+    for g, w in enumerate(("alpha", "beta", "gamma", "delta", "epsilon"), 1):
+        chain += [f"{w}: 700 {g - 1}00 000{i}" for i in range(3)] * 2 + [f"{w}: 700 {g}00 000{i}" for i in range(3)]
+    # a seed of no shape does not make other values of no shape known
+    want["code: 1234567890"] = []
+    texts += [f"fax: +1  212  555 03{i:02d}" for i in range(3)] + [f"code: +1 212 555 04{i:02d}" for i in range(3)] + ["code: plain"] * 5
+    rows = [*texts, *want, *chain]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    spans = {r.id: [rows[r.id][s.start : s.end] for s in r.spans] for r in privacy.find_spans(df).collect()}
+    for i, t in enumerate(rows):
+        if t in want:
+            assert spans[i] == want[t], t
+    assert spans[rows.index("epsilon: 700 500 0000")] == ["700 500 0000"]
+
+
 def test_exact_dedup(docs, empty):
     groups = {}
     for i, t in TEXTS:
