@@ -1,25 +1,82 @@
 """Patient-clustered bootstrap: weights per draw and patient, not copies of rows.
 
-Rates need counts per patient only; rank metrics and thresholds need counts per score and patient. The counts of a key are packed once
-for a block of draws, whose weights are computed beside them: the shuffle is counts times blocks, and a task holds one key's counts and
-one draw's weights at a time.
+A draw takes n slots and hashes each onto one of n patients, so that a patient's weight is its count in an exact multinomial. Rates need
+counts per patient only; rank metrics and thresholds need counts per score and patient, which are dealt over ranges of scores and
+packed once for a block of draws, whose weights are computed beside them. A first pass sums each range for each draw, running sums over
+the ranges before join them, and a second pass sweeps inside the ranges: the shuffle is counts times blocks, and a task holds one
+range's counts and one draw's weights at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkeval import staging
 from sparkeval.ranking import macro
 from sparkeval.subgroups import REFERENCE, abnormal_studies, by_level, shared_classes
-from sparkeval.thresholds import MIN_SUPPORT, OBJECTIVES, TIE, safe_ratio
+from sparkeval.thresholds import MIN_SUPPORT, TIE, check_objective, safe_ratio
 
-PRIME = 1_000_003
+MASK = (1 << 32) - 1
+ROUNDS = ((16, 0x7FEB352D), (15, 0x2C1B3C6D), (16, None))  # a shift and a factor under 2^31, so that products fit a long
+STEP, SECOND = 0x9E3779B1, 0x45D9F3B5
 BLOCK_DRAWS = 250
+CHUNK_SLOTS = 1_000_000  # patients whose counts are summed together
+# of a Poisson variable of mean 1: the shares of 0, of at most 1, and so on
+POISSON = np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 14)]))
+
+
+def mixed(x):
+    """Spreads 32 bits; x is an integer or an array of uint32."""
+    for shift, factor in ROUNDS:
+        x = x ^ (x >> shift)
+        if factor:
+            x = x * factor if isinstance(x, np.ndarray) else x * factor & MASK
+    return x
+
+
+def draw_keys(draw: int, seed: int) -> tuple[int, int]:
+    first = mixed(mixed(seed & MASK) ^ (draw & MASK))
+    return first, mixed((first + SECOND) & MASK)
+
+
+def _hashes(slots: np.ndarray, draw: int, seed: int) -> np.ndarray:
+    """32 random bits for each slot of a draw."""
+    first, second = draw_keys(draw, seed)
+    i = slots.astype(np.uint32)
+    return mixed(mixed(i * np.uint32(STEP) ^ np.uint32(first)) + np.uint32(second) + i * np.uint32(SECOND))
+
+
+def slot_weights(n: int, draw: int, seed: int) -> np.ndarray:
+    """How often each of n patients is in a draw: n slots, each hashed onto a patient."""
+    taken = _hashes(np.arange(n, dtype=np.uint32), draw, seed).astype(np.uint64) * np.uint64(n) >> np.uint64(32)
+    return np.bincount(taken.astype(np.int64), minlength=n).astype(np.float64)
+
+
+def poisson_weights(slots: np.ndarray, draw: int, seed: int) -> np.ndarray:
+    """Poisson weights of mean 1 of the given patients, without a look at the others."""
+    return np.searchsorted(POISSON, _hashes(slots, draw, seed) / float(1 << 32), "right").astype(np.float64)
+
+
+def weights_at(slots: np.ndarray, n: int, draw: int, seed: int, scheme: str) -> np.ndarray:
+    return poisson_weights(slots, draw, seed) if scheme == "poisson" else slot_weights(n, draw, seed)[slots]
+
+
+def numbered(patients: DataFrame) -> DataFrame:
+    """patient_id and slot, from 0 in the order of the id, whatever its type."""
+    slots = staging.numbered(patients.select("patient_id").distinct(), (), ["patient_id"], "patients", "slot")
+    return staging.stage(slots.select("patient_id", F.col("slot").cast("long").alias("slot")), "patient_slots")
+
+
+def _mixed_column(x: Column) -> Column:
+    for shift, factor in ROUNDS:
+        x = x.bitwiseXOR(F.shiftrightunsigned(x, shift))
+        x = (x * factor).bitwiseAND(MASK) if factor else x
+    return x
 
 
 def draw_weights(patients: DataFrame, draws: int, seed: int = 17) -> DataFrame:
@@ -28,133 +85,137 @@ def draw_weights(patients: DataFrame, draws: int, seed: int = 17) -> DataFrame:
     patients: one row per patient with its number `slot`.
     """
     n = patients.count()
-    hashed = (F.col("slot") * 7919 + F.col("draw") * 104_729 + seed) % PRIME * ((F.col("slot") + 31 * F.col("draw")) % 10_007 + 1) % n
+    keys = [draw_keys(d, seed) for d in range(draws)]
+    first, second = (F.get(F.array(*[F.lit(k[i]).cast("long") for k in keys]), F.col("draw")) for i in (0, 1))
     d = patients.select("slot").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    return d.groupBy("draw", hashed.alias("slot")).agg(F.count("*").alias("weight"))
-
+    d = d.select("draw", "slot", (F.col("slot") * F.lit(STEP)).bitwiseAND(MASK).bitwiseXOR(first).alias("h"), second.alias("second"))
+    d = d.withColumn("h", _mixed_column(F.col("h")))
+    d = d.withColumn("h", (F.col("h") + F.col("second") + (F.col("slot") * F.lit(SECOND)).bitwiseAND(MASK)).bitwiseAND(MASK)).withColumn("h", _mixed_column(F.col("h")))
+    return d.groupBy("draw", F.shiftrightunsigned(F.col("h") * F.lit(n).cast("long"), 32).alias("slot")).agg(F.count("*").alias("weight"))
 
-def numbered(patients: DataFrame) -> DataFrame:
-    """patient_id and slot, from 0 in the order of the id: buckets of ids are counted, then ranked apart."""
-    p = patients.select("patient_id").distinct().withColumn("bucket", F.floor(F.col("patient_id") / 10_000))
-    first = p.groupBy("bucket").agg(F.count("*").alias("n"))
-    first = first.select("bucket", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("patient_id")) - 1
-    return p.join(first, "bucket").select("patient_id", (rank + F.col("first")).cast("long").alias("slot"))
 
+def _types(df: DataFrame, names: Iterable[str]) -> dict[str, str]:
+    kinds = dict(df.dtypes)
+    return {k: kinds[k] for k in names}
 
-def slot_weights(n: int, draw: int, seed: int) -> np.ndarray:
-    """The weights of draw_weights for one draw, by slot."""
-    slot = np.arange(n, dtype=np.int64)
-    return np.bincount((slot * 7919 + draw * 104_729 + seed) % PRIME * ((slot + 31 * draw) % 10_007 + 1) % n, minlength=n).astype(np.float64)
 
+_ARROW = {"double": pa.float64(), "bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
-def over_draws(counts: DataFrame, n: int, draws: int, keys: tuple[str, ...], fields: dict[str, str], measure: Callable, seed: int = 17) -> DataFrame:
-    """draw, keys and fields (name to type) of each draw and key that has rows in it.
 
-    counts: keys, `slot` (of n) and columns that `measure` takes as arrays by name; it returns a function of the rows' weights that
-    gives the fields' values, or None without rows.
-    """
-    last = (draws - 1) // BLOCK_DRAWS
-    types = dict(counts.dtypes)
-    schema = ", ".join(["draw int", *[f"{k} {types[k]}" for k in keys], *[f"{f} {t}" for f, t in fields.items()]])
-    arrow = {"double": pa.float64(), "bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+def _per_draw(counts: DataFrame, keys: tuple[str, ...], draws: int, fields: dict[str, str], measure: Callable, offsets: DataFrame | None = None) -> DataFrame:
+    """draw, keys and fields for each draw, key and group of `counts` (keys and blocks of draws); measure(columns, draw, offset) gives the fields or None."""
+    types = _types(counts, keys)
+    schema = ", ".join(["draw int", *[f"{k} {t}" for k, t in types.items()], *[f"{f} {t}" for f, t in fields.items()]])
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
+    def run(key: tuple, table: pa.Table, sums: pa.Table | None = None) -> pa.Table:
         columns = {c: table.column(c).to_numpy() for c in table.column_names if c not in keys and c != "block"}
-        each, found = measure(columns), []
+        at = {} if sums is None else {r["draw"]: r for r in sums.select([c for c in sums.column_names if c not in keys]).to_pylist()}
+        prepared, found = measure(columns), []
         for draw in range(key[-1].as_py() * BLOCK_DRAWS, min((key[-1].as_py() + 1) * BLOCK_DRAWS, draws)):
-            values = each(slot_weights(n, draw, seed)[columns["slot"]])
+            values = prepared(draw, at.get(draw))
             if values is not None:
                 found.append((draw, *values))
-        out = [pa.array([f[0] for f in found], pa.int32()), *[pa.array([k.as_py()] * len(found), arrow[types[name]]) for name, k in zip(keys, key, strict=False)]]
-        out += [pa.array([f[i] for f in found], arrow[t]) for i, t in enumerate(fields.values(), 1)]
-        return pa.table(out, names=["draw", *keys, *fields])
+        out = [pa.array([f[0] for f in found], pa.int32()), *[pa.array([k.as_py()] * len(found), _ARROW[types[name]]) for name, k in zip(keys, key, strict=False)]]
+        out += [pa.array([f[i] for f in found], _ARROW[t]) for i, t in enumerate(fields.values(), 1)]
+        return pa.table(out, names=["draw", *types, *fields])
 
-    blocks = counts.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(last))))
-    return blocks.groupBy(*keys, "block").applyInArrow(run, schema)
+    blocks = counts.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // BLOCK_DRAWS)))).groupBy(*keys, "block")
+    if offsets is None:
+        return blocks.applyInArrow(lambda key, table: run(key, table), schema)
+    beside = offsets.withColumn("block", (F.col("draw") / BLOCK_DRAWS).cast("int")).groupBy(*keys, "block")
+    return blocks.cogroup(beside).applyInArrow(run, schema)
 
 
-def _sums(*names: str) -> Callable:
-    """Weighted sums of columns; the last one counts rows."""
+def sums_over_draws(per_slot: DataFrame, n: int, draws: int, keys: tuple[str, ...], names: tuple[str, ...], seed: int = 17, scheme: str = "multinomial") -> DataFrame:
+    """draw, keys and weighted sums of the columns `names` (the last one counts rows; draws without any are left out)."""
 
     def measure(columns: dict[str, np.ndarray]) -> Callable:
-        m = np.column_stack([columns[c] for c in (*names, "n")]).astype(np.float64)
-
-        def each(w: np.ndarray) -> tuple | None:
-            total = w @ m
-            return tuple(map(int, total[:-1])) if total[-1] else None
-
-        return each
+        m, slots = np.column_stack([columns[c] for c in names]).astype(np.float64), columns["slot"]
+        return lambda draw, _: tuple(map(int, weights_at(slots, n, draw, seed, scheme) @ m))
 
-    return measure
+    chunk = F.floor(F.col("slot") / CHUNK_SLOTS).cast("int")
+    s = _per_draw(per_slot.withColumn("part", chunk), (*keys, "part"), draws, dict.fromkeys(names, "bigint"), measure)
+    return s.groupBy("draw", *keys).agg(*[F.sum(c).alias(c) for c in names]).where(F.col(names[-1]) > 0)
 
 
-def _sweep(columns: dict[str, np.ndarray]) -> Callable:
-    """A function of weights: the distinct scores in the draw, falling, with their positives, rows and both sums from the top."""
+def _sweep(columns: dict[str, np.ndarray], n: int, seed: int, scheme: str) -> Callable:
+    """A function of a draw and what lies above the range: distinct scores, falling, their positives and rows, and both sums from the top."""
     order = np.argsort(-columns["score"], kind="stable")
-    score, pos, n = columns["score"][order], columns["pos"][order].astype(np.float64), columns["n"][order].astype(np.float64)
+    score, slots = columns["score"][order], columns["slot"][order]
+    pos, rows = columns["pos"][order].astype(np.float64), columns["n"][order].astype(np.float64)
     starts = np.flatnonzero(np.append(True, score[1:] != score[:-1]))
 
-    def each(w: np.ndarray) -> tuple:
-        w = w[order]
-        p, m = np.add.reduceat(w * pos, starts), np.add.reduceat(w * n, starts)
+    def each(draw: int, above: dict) -> tuple:
+        w = weights_at(slots, n, draw, seed, scheme)
+        p, m = np.add.reduceat(w * pos, starts), np.add.reduceat(w * rows, starts)
         drawn = m > 0
         p, m = p[drawn], m[drawn]
-        return score[starts][drawn], p, m, np.cumsum(p), np.cumsum(m)
+        return score[starts][drawn], p, m, np.cumsum(p) + above["pos_before"], np.cumsum(m) + above["n_before"]
 
     return each
 
 
-def _ranks(columns: dict[str, np.ndarray]) -> Callable:
-    """auroc, auprc and, where there are hits among the positives, the share missed."""
-    sweep, hit, pos = _sweep(columns), columns.get("hit"), columns["pos"]
+def swept_over_draws(counts: DataFrame, n: int, draws: int, keys: tuple[str, ...], fields: dict[str, str], inside: Callable, seed: int, scheme: str, *more: str) -> DataFrame:
+    """draw, keys, part, the fields that `inside` gives for each range, and the key's sums of pos, n and more over the draw."""
+    c = staging.ranged(counts, keys, [F.desc("score")], "draw_ranges")
+    names, parted = (*more, "pos", "n"), (*keys, "part")
 
-    def each(w: np.ndarray) -> tuple | None:
-        _, p, m, tp, called = sweep(w)
-        if not len(p):
-            return None
-        positives, rows = tp[-1], called[-1]
-        negatives, neg, fp = rows - positives, m - p, called - tp
-        auroc = float(p @ (2 * (negatives - fp) + neg) / (2 * positives * negatives)) if positives and negatives else None
-        auprc = float(p @ (tp / called) / positives) if positives else None
-        if hit is None:
-            return auroc, auprc
-        return auroc, auprc, float(1 - (w @ hit) / (w @ pos)) if positives else None
+    def totals(columns: dict[str, np.ndarray]) -> Callable:
+        slots, at = np.unique(columns["slot"], return_inverse=True)
+        m = np.stack([np.bincount(at, columns[x].astype(np.float64), len(slots)) for x in names])
+        return lambda draw, _: tuple(map(int, m @ weights_at(slots, n, draw, seed, scheme)))
+
+    per = _per_draw(c, parted, draws, dict.fromkeys(names, "bigint"), totals)
+    whole = Window.partitionBy("draw", *keys)
+    before = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per.select(
+        "draw", *parted, *[F.sum(x).over(whole).cast("long").alias(f"{x}_all") for x in names],
+        *[F.coalesce(F.sum(x).over(before), F.lit(0)).cast("long").alias(f"{x}_before") for x in ("pos", "n")],
+    ).where("n_all > 0")
+    offsets = staging.stage(offsets, "draw_offsets")
+
+    def measure(columns: dict[str, np.ndarray]) -> Callable:
+        sweep = _sweep(columns, n, seed, scheme)
+
+        def each(draw: int, above: dict | None) -> tuple | None:
+            if above is None:
+                return None
+            found = inside(sweep(draw, above), above["pos_all"], above["n_all"])
+            return None if found is None else (*found, *[above[f"{x}_all"] for x in names])
+
+        return each
+
+    return _per_draw(c, parted, draws, fields | {f"{x}_all": "bigint" for x in names}, measure, offsets)
 
-    return each
 
+def _ranks(swept: tuple, positives: int, rows: int) -> tuple:
+    """What a range adds to twice the area under the ROC curve and to the summed precision."""
+    _, p, m, tp, called = swept
+    return float(p @ (2 * (rows - positives - called + tp) + m - p)), float(p @ (tp / called)) if len(p) else 0.0
 
-def _tuned(objective: str, beta: float = 2.0, target: float = 0.8) -> Callable:
-    """The threshold that thresholds.tune picks, or null unless its status is tuned."""
+
+def _candidates(objective: str, beta: float = 2.0, target: float = 0.8) -> Callable:
+    """A range's candidate for the threshold that thresholds.tune picks, with its value; none unless the draw allows one."""
 
     def ratio(a: np.ndarray, b: np.ndarray | float) -> np.ndarray:
         return np.divide(a, b, out=np.zeros(len(a)), where=np.broadcast_to(np.asarray(b) != 0, a.shape))
 
-    def measure(columns: dict[str, np.ndarray]) -> Callable:
-        sweep = _sweep(columns)
-        b = 1.0 if objective == "f1" else beta * beta
-
-        def each(w: np.ndarray) -> tuple | None:
-            score, _, _, tp, called = sweep(w)
-            if not len(score):
-                return None
-            positives, rows = tp[-1], called[-1]
-            if positives < MIN_SUPPORT or positives == rows:
-                return (None,)
-            precision, recall = tp / called, tp / positives
-            if objective == "sensitivity":
-                value, reached = recall, recall >= target
-                return (float(score[reached].max()),) if reached.any() else (None,)
-            if objective == "youden":
-                value = recall + ratio(rows - positives - called + tp, rows - positives) - 1
-            else:
-                value = ratio((1 + b) * precision * recall, b * precision + recall)
-            best = value.max()
-            return (float(score[value >= best - TIE].min()),) if best > 0 else (None,)
+    b = 1.0 if objective == "f1" else beta * beta
 
-        return each
+    def inside(swept: tuple, positives: int, rows: int) -> tuple:
+        score, _, _, tp, called = swept
+        if positives < MIN_SUPPORT or positives == rows or not len(score):
+            return None, None
+        precision, recall, specificity = tp / called, tp / positives, ratio(rows - positives - called + tp, rows - positives)
+        if objective == "sensitivity":
+            reached = np.flatnonzero(recall >= target)
+            return (float(score[reached[0]]), float(specificity[reached[0]])) if len(reached) else (None, None)
+        value = recall + specificity - 1 if objective == "youden" else ratio((1 + b) * precision * recall, b * precision + recall)
+        best = value.max()
+        at = np.flatnonzero(value >= best - TIE)[-1]
+        return float(score[at]), float(value[at])
 
-    return measure
+    return inside
 
 
 def _packed(rows: DataFrame, slots: DataFrame, keys: tuple[str, ...], *more: str) -> DataFrame:
@@ -162,12 +223,15 @@ def _packed(rows: DataFrame, slots: DataFrame, keys: tuple[str, ...], *more: str
     return rows.join(slots, "patient_id").groupBy(*keys, "score", "slot").agg(F.sum("label").cast("long").alias("pos"), F.count("*").alias("n"), *[F.sum(c).cast("long").alias(c) for c in more])
 
 
-def bootstrap_rates(fired: DataFrame, draws: int, keys: tuple[str, ...] = ("run_id", "class_idx"), seed: int = 17) -> DataFrame:
-    """precision, recall and f1 of each draw and key; counts are added up per patient before they meet the weights."""
+def bootstrap_rates(fired: DataFrame, draws: int, keys: tuple[str, ...] = ("run_id", "class_idx"), seed: int = 17, scheme: str = "multinomial") -> DataFrame:
+    """precision, recall and f1 of each draw and key; counts are added up per patient before they meet the weights.
+
+    scheme: `multinomial` draws as many patients as there are; `poisson` weighs each patient by itself, for more patients than fit a task.
+    """
     slots = numbered(fired)
     sums = {"tp": F.col("fired") * F.col("label"), "called": F.col("fired"), "true": F.col("label"), "n": F.lit(1)}
     per = fired.join(slots, "patient_id").groupBy(*keys, "slot").agg(*[F.sum(v).cast("long").alias(k) for k, v in sums.items()])
-    s = over_draws(per, slots.count(), draws, keys, dict.fromkeys(("tp", "called", "true"), "bigint"), _sums("tp", "called", "true"), seed)
+    s = sums_over_draws(per, slots.count(), draws, keys, tuple(sums), seed, scheme)
     return s.select("draw", *keys, safe_ratio(F.col("tp"), F.col("called")).alias("precision"), safe_ratio(F.col("tp"), F.col("true")).alias("recall"), safe_ratio(2 * F.col("tp"), F.col("called") + F.col("true")).alias("f1"))
 
 
@@ -184,18 +248,49 @@ def weighted_rows(pred: DataFrame, draws: int, seed: int = 17, patients: DataFra
     return pred.join(slots, "patient_id").join(draw_weights(slots, draws, seed), "slot").drop("slot")
 
 
-def bootstrap_rank(pred: DataFrame, draws: int, keys: tuple[str, ...] = ("run_id", "class_idx"), seed: int = 17) -> DataFrame:
+def _areas(swept: DataFrame, keys: tuple[str, ...], *more: str) -> DataFrame:
+    g = swept.groupBy("draw", *keys).agg(F.sum("area").alias("area"), F.sum("ap").alias("ap"), *[F.max(f"{x}_all").alias(x) for x in (*more, "pos", "n")])
+    p = F.col("pos").cast("double")
+    return g.select("draw", *keys, F.try_divide("area", 2 * p * (F.col("n") - p)).alias("auroc"), F.try_divide("ap", p).alias("auprc"), "pos", *more)
+
+
+def bootstrap_rank(pred: DataFrame, draws: int, keys: tuple[str, ...] = ("run_id", "class_idx"), seed: int = 17, scheme: str = "multinomial") -> DataFrame:
     """AUROC and average precision of each draw and key."""
     slots = numbered(pred)
-    return over_draws(_packed(pred, slots, keys), slots.count(), draws, keys, {"auroc": "double", "auprc": "double"}, _ranks, seed)
+    swept = swept_over_draws(_packed(pred, slots, keys), slots.count(), draws, keys, {"area": "double", "ap": "double"}, _ranks, seed, scheme)
+    return _areas(swept, keys).drop("pos")
 
 
-def bootstrap_thresholds(pred: DataFrame, objective: str, draws: int, keys: tuple[str, ...] = ("run_id", "class_idx"), seed: int = 17) -> DataFrame:
-    """The threshold refitted on each draw; null where the draw has too few positives or nothing separates."""
-    if objective not in OBJECTIVES:
-        raise ValueError(f"unknown objective {objective}; one of {', '.join(OBJECTIVES)}")
+def bootstrap_thresholds(pred: DataFrame, objective: str, draws: int, keys: tuple[str, ...] = ("run_id", "class_idx"), seed: int = 17, scheme: str = "multinomial") -> DataFrame:
+    """The threshold refitted on each draw, and its objective; null where the draw has too few positives or nothing separates.
+
+    Candidates of ranges within 1e-12 of the best one tie, as those inside a range do.
+    """
+    check_objective(objective)
     slots = numbered(pred)
-    return over_draws(_packed(pred, slots, keys), slots.count(), draws, keys, {"threshold": "double"}, _tuned(objective), seed)
+    s = swept_over_draws(_packed(pred, slots, keys), slots.count(), draws, keys, {"score": "double", "value": "double"}, _candidates(objective), seed, scheme)
+    best = F.max("value").over(Window.partitionBy("draw", *keys))
+    s = s.withColumn("best", best)
+    at = F.struct("score", "value")
+    pick = F.max(F.when(F.col("value").isNotNull(), at)) if objective == "sensitivity" else F.min(F.when(F.col("value") >= F.col("best") - TIE, at))
+    out = s.groupBy("draw", *keys).agg(pick.alias("at"))
+    good = F.col("at.value") > 0
+    return out.select("draw", *keys, F.when(good, F.col("at.score")).alias("threshold"), F.when(good, F.col("at.value")).alias("objective"))
+
+
+def metric_intervals(rank: DataFrame, rates: DataFrame, draws: int, runs: tuple[str, ...] = ("run_id",)) -> DataFrame:
+    """runs, class_idx (null: macro), metric and its interval, from the draws of bootstrap_rank and bootstrap_rates.
+
+    Macro AUROC and average precision leave out classes without a value, and draws without any class do not count; the other
+    macro metrics average all classes.
+    """
+    names = ("auroc", "auprc", "precision", "recall", "f1")
+    d = rank.join(rates, ["draw", *runs, "class_idx"], "full")
+    own = d.unpivot(["draw", *runs, "class_idx"], list(names), "metric", "value")
+    means = macro(d, ("draw", *runs), names).withColumnsRenamed({f"macro_{c}": c for c in names})
+    over = means.unpivot(["draw", *runs], list(names), "metric", "value").where("value is not null")
+    each = percentile_interval(own, "value", (*runs, "class_idx", "metric"), draws)
+    return each.unionByName(percentile_interval(over, "value", (*runs, "metric"), 0).withColumn("class_idx", F.lit(None).cast("int")))
 
 
 def paired_delta(first: DataFrame, second: DataFrame, draws: int, seed: int = 17) -> DataFrame:
@@ -209,7 +304,7 @@ def paired_delta(first: DataFrame, second: DataFrame, draws: int, seed: int = 17
     return share.join(percentile_interval(d, "delta", ("metric",), draws), "metric")
 
 
-def bootstrap_gaps(fired: DataFrame, draws: int, least: int = 10, seed: int = 17) -> DataFrame:
+def bootstrap_gaps(fired: DataFrame, draws: int, least: int = 10, seed: int = 17, scheme: str = "multinomial") -> DataFrame:
     """Gaps of each level to its reference on each draw: AUROC and miss rate over the classes shared on all rows, and underdiagnosis.
 
     A gap is null where one side is undefined on the draw.
@@ -218,14 +313,15 @@ def bootstrap_gaps(fired: DataFrame, draws: int, least: int = 10, seed: int = 17
     slots = numbered(fired)
     n = slots.count()
     rows = by_level(fired.withColumn("hit", F.col("fired") * F.col("label"))).join(shared_classes(fired, least), list(keys), "left_semi")
-    c = over_draws(_packed(rows, slots, keys, "hit"), n, draws, keys, dict.fromkeys(("auroc", "auprc", "fnr"), "double"), _ranks, seed).drop("auprc")
+    c = _areas(swept_over_draws(_packed(rows, slots, keys, "hit"), n, draws, keys, {"area": "double", "ap": "double"}, _ranks, seed, scheme, "hit"), keys, "hit")
+    c = c.withColumn("fnr", 1 - F.try_divide(F.col("hit").cast("double"), "pos")).drop("auprc", "hit", "pos")
     reference = F.when(F.col("axis") == "sex", REFERENCE["sex"]).otherwise(REFERENCE["age"])
     ref = c.where(F.col("level") == reference).select("draw", "run_id", "axis", "class_idx", F.col("auroc").alias("ra"), F.col("fnr").alias("rf"))
     own = c.join(ref, ["draw", "run_id", "axis", "class_idx"]).groupBy("draw", "run_id", "axis", "level")
     own = own.agg((F.avg("auroc") - F.avg("ra")).alias("auroc_gap"), (F.avg("fnr") - F.avg("rf")).alias("fnr_gap"))
     # studies with a finding, by level; the reference level's rate stands beside each level's
-    per = by_level(abnormal_studies(fired).join(slots, "patient_id")).groupBy(*keys[:3], "slot").agg(F.sum(1 - F.col("fired")).cast("long").alias("missed"), F.count("*").alias("n"))
-    u = over_draws(per.withColumn("abnormal", F.col("n")), n, draws, keys[:3], {"missed": "bigint", "abnormal": "bigint"}, _sums("missed", "abnormal"), seed)
+    per = by_level(abnormal_studies(fired).join(slots, "patient_id")).groupBy(*keys[:3], "slot").agg(F.sum(1 - F.col("fired")).cast("long").alias("missed"), F.count("*").alias("abnormal"))
+    u = sums_over_draws(per, n, draws, keys[:3], ("missed", "abnormal"), seed, scheme)
     u = u.select("draw", *keys[:3], (F.col("missed") / F.col("abnormal")).alias("u"))
     at_reference = u.where(F.col("level") == reference).select("draw", "run_id", "axis", F.col("u").alias("ru"))
     u = u.join(at_reference, ["draw", "run_id", "axis"]).withColumn("underdiagnosis_gap", F.col("u") - F.col("ru")).drop("u", "ru")

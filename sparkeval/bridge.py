@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,3 +80,32 @@ def stages(spark: SparkSession, sf_dir: str, n: int = 3) -> DataFrame:
     s, size = F.col("stage"), F.size("cells")
     m = maps(spark, sf_dir).withColumn("stage", F.explode(F.sequence(F.lit(0), F.lit(n))))
     return m.withColumn("cells", F.concat(F.slice("cells", s + 1, size - s), F.slice("cells", F.lit(1), s)))
+
+
+def rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maps of 8 x 8 cells with one rectangle of equal cells each, and the boxes of `maps`; `px`, `py`, `pw`, `ph` say where it is."""
+    v = F.col("vec_id")
+    place = {"px": v % 6, "py": v % 7, "pw": 1 + v % 2, "ph": 1 + v % 3}
+    m = maps(spark, sf_dir).withColumnRenamed("image_id", "vec_id").withColumns({k: c.cast("int") for k, c in place.items()})
+
+    def cell(i):
+        x, y = i % 8, F.floor(i / 8)
+        inside = (x >= F.col("px")) & (x < F.col("px") + F.col("pw")) & (y >= F.col("py")) & (y < F.col("py") + F.col("ph"))
+        return F.when(inside, 1.0 + v % 5).otherwise(0.25)
+
+    return m.withColumn("cells", F.transform(F.sequence(F.lit(0), F.lit(63)), cell)).withColumnRenamed("vec_id", "image_id")
+
+
+def linear_model(classes: int = 10, width: int = 64):
+    """A fixed linear model: class k weighs feature i by ((k + 1) (i + 3) mod 7 - 3) / 4."""
+
+    def load():
+        k, i = np.arange(classes)[:, None], np.arange(width)[None, :]
+        weights = ((k + 1) * (i + 3) % 7 - 3) / 4.0
+        return lambda rows: rows @ weights.T
+
+    return load
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("image_id"), "label", F.col("embedding").alias("features"))

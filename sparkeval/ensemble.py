@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkeval.ranking import macro, rank_metrics
+from sparkeval.staging import numbered, same_keys
 
 EPS = 1e-6
 
@@ -17,9 +18,10 @@ def log_odds(p: Column) -> Column:
 
 def rank_transform(pred: DataFrame) -> DataFrame:
     """Scores as places in [0, 1] within run and class; equal scores in the order of the study."""
-    w = Window.partitionBy("run_id", "class_idx")
-    place = F.row_number().over(w.orderBy("score", "study_id")) - 1
-    return pred.withColumn("score", place / F.greatest(F.count("*").over(w) - 1, F.lit(1)))
+    keys = ["run_id", "class_idx"]
+    rows = pred.groupBy(*keys).agg(F.count("*").alias("__rows"))
+    placed = same_keys(numbered(pred, keys, ["score", "study_id"], "score_places", "__place"), F.broadcast(rows), keys)  # a row for each key
+    return placed.withColumn("score", F.col("__place") / F.greatest(F.col("__rows") - 1, F.lit(1))).drop("__place", "__rows")
 
 
 def combine(pred: DataFrame, rule: str = "mean") -> DataFrame:
@@ -61,9 +63,10 @@ def residual_correlation(pred: DataFrame, least: int = 30) -> DataFrame:
 
 def top_flags(pred: DataFrame) -> DataFrame:
     """The k highest scores of each run and class, k being the class's positives."""
-    w = Window.partitionBy("run_id", "class_idx")
-    p = pred.withColumn("k", F.sum("label").over(w)).withColumn("place", F.row_number().over(w.orderBy(F.desc("score"), "study_id")))
-    return p.where("place <= k").select("run_id", "class_idx", "study_id", "k")
+    keys = ["run_id", "class_idx"]
+    k = pred.groupBy(*keys).agg(F.sum("label").alias("k"))
+    placed = numbered(pred.select(*keys, "study_id", "score"), keys, [F.desc("score"), "study_id"], "top_places")
+    return same_keys(placed, F.broadcast(k), keys).where("place < k").select(*keys, "study_id", "k")  # a row for each key
 
 
 def decision_disagreement(pred: DataFrame, least: int = 30) -> DataFrame:
@@ -74,3 +77,23 @@ def decision_disagreement(pred: DataFrame, least: int = 30) -> DataFrame:
     every = runs.join(runs.select(F.col("a").alias("b"), "class_idx"), "class_idx").where("a < b")
     every = every.join(both.drop("k"), ["a", "b", "class_idx"], "left")
     return every.groupBy("a", "b").agg(F.avg(1 - F.coalesce("n", F.lit(0)) / F.col("k")).alias("disagreement"))
+
+
+def diversity_table(pred: DataFrame) -> DataFrame:
+    """a, b, correlation and disagreement of every ordered pair of different runs: the matrices without their diagonals."""
+    pairs = residual_correlation(pred).join(decision_disagreement(pred), ["a", "b"], "full")
+    return pairs.union(pairs.select("b", "a", "correlation", "disagreement"))
+
+
+def diversity_means(table: DataFrame) -> DataFrame:
+    return table.agg(F.avg("correlation").alias("correlation"), F.avg("disagreement").alias("disagreement"))
+
+
+def discover_runs(pred: DataFrame, ensembles: DataFrame, exclude: str | None = None) -> DataFrame:
+    """experiment and model of runs with both validation and test rows that are no ensembles themselves nor of the excluded experiment.
+
+    ensembles: experiment and model of runs that were made by combining others.
+    """
+    runs = pred.groupBy("experiment", "model").agg(F.max((F.col("split") == "val").cast("int")).alias("v"), F.max((F.col("split") == "test").cast("int")).alias("t"))
+    found = runs.where("v = 1 and t = 1").select("experiment", "model").join(ensembles, ["experiment", "model"], "left_anti")
+    return found if exclude is None else found.where(F.col("experiment") != exclude)

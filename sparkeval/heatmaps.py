@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+# fixed values: overlaps that are counted as reached
 LEVELS = (0.1, 0.25, 0.5, 0.75, 0.9)
 
 
@@ -123,6 +124,35 @@ def overlap_summary(scored: DataFrame, keys: tuple[str, ...] = ("class_idx",), l
     return scored.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("iou").alias("iou"), F.avg("iobb").alias("iobb"), F.avg(F.col("detected").cast("double")).alias("detected"), *reached)
 
 
+def score_localization(maps: DataFrame, scores: DataFrame, width: int, height: int, threshold: float = 0.5, share: float = 0.5) -> DataFrame:
+    """maps (image_id, class_idx, method, cells, boxes) with the measures of score_maps and score_boxes, and what the classifier said.
+
+    scores: image_id, class_idx, label, score and, where classes have their own, `threshold`. Added are `probability` and `fired` of the map's
+    class, and absent_class, absent_score and absent_fired of the highest-scoring class that the image has not; no absent class is not fired.
+    """
+    limit = F.col("threshold") if "threshold" in scores.columns else F.lit(threshold)
+    own = scores.select("image_id", "class_idx", F.col("score").alias("probability"), (F.col("score") >= limit).alias("fired"))
+    top = F.max(F.when(F.col("label") == 0, F.struct(F.col("score"), -F.col("class_idx"), (F.col("score") >= limit)))).alias("t")
+    absent = scores.groupBy("image_id").agg(top).select("image_id", (-F.col("t.col2")).alias("absent_class"), F.coalesce("t.score", F.lit(0.0)).alias("absent_score"), F.coalesce("t.col3", F.lit(False)).alias("absent_fired"))
+    scored = score_boxes(score_maps(maps, width, height), width, height, share)
+    return scored.join(own, ["image_id", "class_idx"]).join(absent, "image_id")
+
+
+def localization_report(scored: DataFrame, levels: tuple[float, ...] = LEVELS) -> DataFrame:
+    """Measures of each method and class (class_idx null: their mean over the classes), over all maps and over those whose class was called.
+
+    scored: score_localization with `method`. Columns: method, where (`all`, `fired`), class_idx, instances and the measures.
+    """
+    both = scored.withColumn("where", F.explode(F.when(F.col("fired"), F.array(F.lit("all"), F.lit("fired"))).otherwise(F.array(F.lit("all")))))
+    names = {"pointing": "hit", "energy": "energy", "baseline": "area", "iou": "iou", "iobb": "iobb", "detected": "detected", "degenerate": "degenerate"}
+    measures = [F.avg(F.col(c).cast("double")).alias(k) for k, c in names.items()]
+    measures += [F.avg((F.col(k) >= t).cast("double")).alias(f"{k}_at_{round(100 * t)}") for k in ("iou", "iobb") for t in levels]
+    each = both.groupBy("method", "where", "class_idx").agg(F.count("*").alias("instances"), *measures)
+    means = [F.avg(c).alias(c) for c in each.columns if c not in ("method", "where", "class_idx", "instances")]
+    over = each.groupBy("method", "where").agg(F.sum("instances").alias("instances"), *means).withColumn("class_idx", F.lit(None).cast("int"))
+    return each.unionByName(over)
+
+
 def diagnostic_cases(scored: DataFrame, n: int, id_col: str = "image_id") -> DataFrame:
     """Up to n cases of each of six kinds, with their place; equal ones in the order of id and class.
 
@@ -143,14 +173,25 @@ def diagnostic_cases(scored: DataFrame, n: int, id_col: str = "image_id") -> Dat
 @F.pandas_udf(DoubleType())
 def _spearman(first: pd.Series, second: pd.Series) -> pd.Series:
     def ranks(v: np.ndarray) -> np.ndarray:
-        s = np.sort(v)
-        return (np.searchsorted(s, v, "left") + np.searchsorted(s, v, "right") + 1) / 2
+        """Mean ranks within each row: the mean of the first and the last place of equal values in the sorted row."""
+        order = np.argsort(v, axis=1, kind="stable")
+        s, place = np.take_along_axis(v, order, axis=1), np.arange(v.shape[1])
+        new = np.hstack([np.ones((len(v), 1), bool), s[:, 1:] != s[:, :-1]])
+        first_at = np.maximum.accumulate(np.where(new, place, 0), axis=1)
+        ends = np.hstack([new[:, 1:], np.ones((len(v), 1), bool)])
+        last_at = np.minimum.accumulate(np.where(ends, place, v.shape[1])[:, ::-1], axis=1)[:, ::-1]
+        out = np.empty(v.shape)
+        np.put_along_axis(out, order, (first_at + last_at) / 2 + 1, axis=1)
+        return out
 
     out = np.full(len(first), np.nan)
-    for k, (a, b) in enumerate(zip(first, second)):
-        x, y = ranks(np.asarray(a)), ranks(np.asarray(b))
-        if x.std() > 0 and y.std() > 0:
-            out[k] = np.corrcoef(x, y)[0, 1]
+    sizes = np.array([len(a) if len(a) == len(b) else 0 for a, b in zip(first, second)])
+    for size in np.unique(sizes[sizes > 0]):  # maps of one size together
+        at = np.flatnonzero(sizes == size)
+        x, y = (ranks(np.stack(m.iloc[at].to_numpy())) for m in (first, second))
+        x, y = x - x.mean(axis=1, keepdims=True), y - y.mean(axis=1, keepdims=True)
+        spread = np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
+        out[at] = np.divide((x * y).sum(axis=1), spread, out=np.full(len(at), np.nan), where=spread > 0)
     return pd.Series(out, index=first.index)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 NO_FINDING = "No Finding"
+# fixed values: age bands, both ends inside
 BANDS = ((0, 19), (20, 39), (40, 59), (60, 79), (80, 100))
 
 
@@ -19,16 +20,57 @@ def multi_hot(studies: DataFrame, classes: list[str], column: str = "finding_lab
 
 
 def label_counts(studies: DataFrame, column: str = "finding_labels") -> DataFrame:
-    c = studies.select(F.explode(split_labels(column)).alias("finding")).groupBy("finding").count()
+    return shares(studies.select(F.explode(split_labels(column)).alias("finding")), "finding")
+
+
+def label_numbers(studies: DataFrame, column: str = "finding_labels") -> DataFrame:
+    """How many studies have how many findings, with shares; no finding counts as none."""
+    found = F.size(F.filter(split_labels(column), lambda x: (x != NO_FINDING) & (x != "")))
+    return shares(studies.select(found.alias("findings")), "findings")
+
+
+def shares(rows: DataFrame, column: str) -> DataFrame:
+    """Rows of each value of a column with few values, and their share."""
+    c = rows.groupBy(column).count()
     return c.withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy(F.lit(1))))
 
 
-def cooccurrence(studies: DataFrame, column: str = "finding_labels") -> DataFrame:
-    """Counts of pairs of findings in a study (at most classes squared a study) and the share among studies with the first."""
-    s = studies.select(F.filter(split_labels(column), lambda x: x != NO_FINDING).alias("f"))
-    pairs = s.select("f", F.explode("f").alias("a")).select("a", F.explode("f").alias("b")).groupBy("a", "b").count()
-    own = pairs.where("a = b").select("a", F.col("count").alias("support"))
-    return pairs.join(F.broadcast(own), "a").select("a", "b", "count", (F.col("count") / F.col("support")).alias("share"))  # a row for each class
+def profile(rows: DataFrame) -> DataFrame:
+    """A row for each column: rows, nulls, and for numbers mean, deviation (of the sample), least and greatest; all in one pass."""
+    numeric = {c for c, t in rows.dtypes if t in ("tinyint", "smallint", "int", "bigint", "float", "double") or t.startswith("decimal")}
+    none = F.lit(None).cast("double")
+    cells = []
+    for c in rows.columns:
+        v = F.col(f"`{c}`").cast("double") if c in numeric else none
+        measures = {"n": F.count("*"), "nulls": F.count_if(F.col(f"`{c}`").isNull()), "mean": F.avg(v), "std": F.stddev(v), "least": F.min(v), "greatest": F.max(v)}
+        cells.append(F.struct(F.lit(c).alias("column"), *[m.alias(k) for k, m in measures.items()]))
+    return rows.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+
+
+def sample_rows(rows: DataFrame, n: int, key: str, seed: int = 17) -> DataFrame:
+    """Exactly n rows (all, if fewer) in the order of a hash of their key: the same for the same seed, a prefix of a larger sample."""
+    return rows.orderBy(portable_hash(key, seed), key).limit(n)
+
+
+def list_overlap(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
+    """Distinct keys of two lists and those in both."""
+    a, b = first.select(key).distinct().withColumn("a", F.lit(1)), second.select(key).distinct().withColumn("b", F.lit(1))
+    return a.join(b, key, "full").agg(F.count("a").alias("first"), F.count("b").alias("second"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("shared"))
+
+
+def cooccurrence(studies: DataFrame, classes: list[str], column: str = "finding_labels") -> DataFrame:
+    """Studies with both of two classes and their share among those with the first (of 1 where it has none), the most frequent classes first.
+
+    Every pair of classes has a row; a study gives at most classes squared pairs.
+    """
+    s = studies.select(F.array_intersect(split_labels(column), F.array(*[F.lit(c) for c in classes])).alias("f"))
+    counts = s.select("f", F.explode("f").alias("a")).select("a", F.explode("f").alias("b")).groupBy("a", "b").count()
+    every = studies.sparkSession.createDataFrame([(a, b) for a in classes for b in classes], "a string, b string")
+    c = every.join(counts, ["a", "b"], "left").na.fill(0, ["count"])
+    own = c.where("a = b").select("a", F.col("count").alias("support"))
+    c = c.join(own, "a").join(own.withColumnsRenamed({"a": "b", "support": "other"}), "b")
+    out = c.select("a", "b", "count", (F.col("count") / F.greatest("support", F.lit(1))).alias("share"), "support", "other")
+    return out.orderBy(F.desc("support"), "a", F.desc("other"), "b").drop("support", "other")
 
 
 def age_band(age: str = "age") -> Column:
@@ -49,6 +91,11 @@ def patient_table(studies: DataFrame, classes: list[str]) -> DataFrame:
     return hot.groupBy("patient_id").agg(F.count("*").alias("images"), *[F.sum(F.col("labels")[i]).alias(c.lower()) for i, c in enumerate(classes)])
 
 
+def split_violations(studies: DataFrame, key: str = "study_id") -> DataFrame:
+    """Keys that are in more than one split, with the number of their splits."""
+    return studies.groupBy(key).agg(F.count_distinct("split").alias("splits")).where("splits > 1")
+
+
 def leakage(studies: DataFrame) -> DataFrame:
     """Patients that occur in more than one split, by pair of splits."""
     p = studies.select("patient_id", "split").distinct()
@@ -58,20 +105,30 @@ def leakage(studies: DataFrame) -> DataFrame:
     return pairs.join(found, ["split", "other"], "left").select("split", "other", F.coalesce("n", F.lit(0)).cast("long").alias("shared"))
 
 
-def grouped_folds(patients: DataFrame, folds: int, seed: int = 17) -> DataFrame:
-    """Patients dealt over folds in the order of a portable hash; buckets of the hash are ranked apart and joined by running counts."""
-    h = (F.col("patient_id") * 7919 + seed) % 1_000_003
-    p = patients.select("patient_id").distinct().withColumn("h", h).withColumn("bucket", F.floor(F.col("h") / 4096))
+def portable_hash(key: str, seed: int) -> Column:
+    """32 bits of a key of any type, the same in every engine that has MD5."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long")
+
+
+def grouped_folds(rows: DataFrame, folds: int, seed: int = 17, key: str = "patient_id", id_col: str = "study_id") -> DataFrame:
+    """Patients dealt over folds in the order of a portable hash; buckets of the hash are ranked apart and joined by running counts.
+
+    Rows without a patient column are dealt one by one.
+    """
+    key = key if key in rows.columns else id_col
+    p = rows.select(key).distinct().withColumn("h", portable_hash(key, seed)).withColumn("bucket", F.shiftright("h", 20))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = p.groupBy("bucket").agg(F.count("*").alias("n")).select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("h", "patient_id")) - 1 + F.col("first")
-    return p.join(F.broadcast(first), "bucket").select("patient_id", (rank % folds).cast("int").alias("fold"))  # 245 buckets
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("h", key)) - 1 + F.col("first")
+    return p.join(F.broadcast(first), "bucket").select(key, (rank % folds).cast("int").alias("fold"))  # 4096 buckets
 
 
-def age_histogram(studies: DataFrame, bins: int = 30) -> DataFrame:
-    ends = studies.agg(F.min("age").alias("lo"), F.max("age").alias("hi"))
-    b = F.least(F.floor((F.col("age") - F.col("lo")) * bins / (F.col("hi") - F.col("lo"))), F.lit(bins - 1))
-    return studies.crossJoin(F.broadcast(ends)).groupBy(b.cast("int").alias("bin")).agg(F.count("*").alias("n"))  # one row
+def age_histogram(studies: DataFrame, bins: int = 30, most: int | None = None) -> DataFrame:
+    """Studies in each of `bins` equal parts of the ages' range, of those up to `most` only if given; one age is in the middle part."""
+    s = studies.where(F.col("age").isNotNull()) if most is None else studies.where(F.col("age") <= most)
+    ends = s.agg(F.min("age").alias("lo"), F.max("age").alias("hi"))
+    b = F.least(F.floor(F.try_divide((F.col("age") - F.col("lo")) * F.lit(bins), F.col("hi") - F.col("lo"))), F.lit(bins - 1))
+    return s.crossJoin(F.broadcast(ends)).groupBy(F.when(F.col("hi") > F.col("lo"), b).otherwise(bins // 2).cast("int").alias("bin")).agg(F.count("*").alias("n"))  # one row
 
 
 def implausible_ages(studies: DataFrame, most: int = 100) -> DataFrame:

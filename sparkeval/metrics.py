@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkeval.ranking import KEYS, rank_metrics
+from sparkeval.ranking import KEYS, rank_metrics, score_counts, swept
+from sparkeval.staging import same_keys, stage
 from sparkeval.thresholds import safe_ratio
 
 
@@ -37,19 +38,38 @@ def brier(pred: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return pred.groupBy(*keys).agg(F.avg((F.col("score") - F.col("label")) ** 2).alias("brier"))
 
 
+def score_quantiles(counts: DataFrame, steps: Sequence[float], keys: Sequence[str]) -> DataFrame:
+    """keys and `edges`: exact quantiles of counted scores, interpolated between neighbours, equal ones once.
+
+    counts: keys, score, pos and n. Running counts over ranges of scores tell which scores stand at the ranks that are asked for; only these
+    are brought together.
+    """
+    c = swept(counts, keys).withColumn("above", F.col("tp") + F.col("fp") - F.col("n"))  # rows of higher scores
+    low, high = F.col("total") - F.col("above") - F.col("n"), F.col("total") - F.col("above")  # ranks from the bottom that the score has
+    ranks = []
+    for i, q in enumerate(steps):
+        at = F.lit(q) * (F.col("total") - 1)
+        ranks += [F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), r.cast("long").alias("rank"), at.alias("at")) for side, r in enumerate((F.floor(at), F.ceil(at)))]
+    hit = c.select(*keys, "score", F.inline(F.filter(F.array(*ranks), lambda r: (r["rank"] >= low) & (r["rank"] < high))))
+    ends = hit.groupBy(*keys, "i").agg(F.max(F.when(F.col("side") == 0, F.col("score"))).alias("lo"), F.max(F.when(F.col("side") == 1, F.col("score"))).alias("hi"), F.max("at").alias("at"))
+    value = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise((F.ceil("at") - F.col("at")) * F.col("lo") + (F.col("at") - F.floor("at")) * F.col("hi"))
+    edges = ends.select(*keys, "i", value.alias("edge")).groupBy(*keys)  # a row for each step
+    return edges.agg(F.array_sort(F.collect_set("edge")).alias("edges"))
+
+
 def expected_calibration_error(pred: DataFrame, bins: int = 15, strategy: str = "quantile", keys: Sequence[str] = KEYS) -> DataFrame:
     """ECE per key. Bins are (lower, upper], the first one takes its own edge; equal quantile edges are merged."""
     if strategy not in ("quantile", "uniform"):
         raise ValueError(f"unknown binning strategy {strategy}")
     steps = [i / bins for i in range(bins + 1)]
     if strategy == "uniform":
-        edged = pred.withColumn("edges", F.array(*[F.lit(s) for s in steps]))
+        edged = score_counts(pred, keys).withColumn("edges", F.array(*[F.lit(s) for s in steps]))
     else:
-        edges = pred.groupBy(*keys).agg(F.array_distinct(F.percentile("score", F.array(*[F.lit(s) for s in steps]))).alias("edges"))
-        edged = pred.join(F.broadcast(edges), list(keys))  # a row for each run and class
+        counts = stage(score_counts(pred, keys), "ece_counts")
+        edged = same_keys(counts, F.broadcast(score_quantiles(counts, steps, keys)), keys)  # a row for each run and class
     last = F.greatest(F.size("edges") - 2, F.lit(0))
     below = F.size(F.filter("edges", lambda e: e < F.col("score"))) - 1
-    b = edged.withColumn("bin", F.least(F.greatest(below, F.lit(0)), last)).groupBy(*keys, "bin").agg(F.count("*").alias("n"), F.sum("score").alias("s"), F.sum("label").alias("l"))
+    b = edged.withColumn("bin", F.least(F.greatest(below, F.lit(0)), last)).groupBy(*keys, "bin").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("score")).alias("s"), F.sum("pos").alias("l"))
     return b.groupBy(*keys).agg((F.sum(F.abs(F.col("s") - F.col("l"))) / F.sum("n")).alias("ece"))
 
 
@@ -70,6 +90,20 @@ def losses(pred: DataFrame, keys: Sequence[str] = KEYS, gamma_neg: float = 4, ga
     return pred.groupBy(*keys).agg(F.avg(bce).alias("bce"), F.avg(asl).alias("asl"))
 
 
+def bce_from_logits(rows: DataFrame, keys: Sequence[str] = KEYS, logit: str = "logit", weight: str | None = None) -> DataFrame:
+    """Mean binary cross-entropy of logits, in the form that does not overflow; positives weigh `weight` where that column is named."""
+    x, y = F.col(logit), F.col("label")
+    soft = F.log1p(F.exp(-F.abs(x)))  # of the size of the logit
+    up, down = F.greatest(-x, F.lit(0.0)) + soft, F.greatest(x, F.lit(0.0)) + soft
+    w = F.col(weight) if weight else F.lit(1.0)
+    return rows.groupBy(*keys).agg(F.avg(w * y * up + (1 - y) * down).alias("bce"))
+
+
+def class_support(pred: DataFrame, keys: Sequence[str] = ("split", "class_idx")) -> DataFrame:
+    """Positives, rows and prevalence."""
+    return pred.groupBy(*keys).agg(F.sum("label").alias("support"), F.count("*").alias("n"), F.avg(F.col("label").cast("double")).alias("prevalence"))
+
+
 def positive_weights(pred: DataFrame, keys: Sequence[str] = ("class_idx",), most: float = 25.0) -> DataFrame:
     pos, n = F.sum("label"), F.count("*")
     return pred.groupBy(*keys).agg(F.least(F.greatest((n - pos + 1.0) / (pos + 1.0), F.lit(1.0)), F.lit(most)).alias("pos_weight"))

@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkeval import bootstrap, ensemble, heatmaps, labels, metrics, ranking, runs, splits, stacking, subgroups, thresholds
-from sparkeval.bridge import BATCHES, CTES, HISTORY, batches, bridge, findings, history, maps, predictions, stages, studies
+from sparkeval import bootstrap, ensemble, heatmaps, labels, metrics, ranking, reports, runs, scoring, sources, splits, stacking, subgroups, thresholds
+from sparkeval.bridge import BATCHES, CTES, HISTORY, batches, bridge, findings, history, linear_model, maps, predictions, rectangles, stages, studies, vectors
+from sparkeval.staging import stage
 
 CLASSES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 EXPERIMENTS = ["exp_a", "exp_b", "exp_c", "exp_d", "exp_e"]
@@ -27,8 +28,24 @@ def _test(s, d):
     return predictions(s, d).where("split = 'test'")
 
 
+COLUMNS = ("run_id", "split", "study_id", "patient_id", "sex", "age", "class_idx", "label", "score")
+
+
+def _scored(s, d):
+    """Validation and test predictions, written once for all that a query reads of them."""
+    return stage(predictions(s, d).where("split IN ('val', 'test')").select(*COLUMNS), "predictions")
+
+
+def _tuned_and_fired(s, d):
+    """Validation scores, thresholds tuned on them, and test predictions with `fired`, written once."""
+    p = _scored(s, d)
+    val, test = p.where("split = 'val'"), p.where("split = 'test'")
+    tuned = stage(thresholds.tune(val), "thresholds")
+    return val, tuned, stage(thresholds.apply_thresholds(test, tuned), "fired")
+
+
 def _fired(s, d):
-    return thresholds.apply_thresholds(_test(s, d), thresholds.tune(_val(s, d)))
+    return _tuned_and_fired(s, d)[2]
 
 
 def flagship(s, d):
@@ -48,7 +65,9 @@ def run_table(s, d):
 
 
 def objective_table(s, d):
-    rates = (thresholds.class_rates(thresholds.apply_thresholds(_test(s, d), thresholds.tune(_val(s, d), o))).withColumn("objective", F.lit(o)) for o in thresholds.OBJECTIVES)
+    p = _scored(s, d)
+    val, test = p.where("split = 'val'"), p.where("split = 'test'")
+    rates = (thresholds.class_rates(thresholds.apply_thresholds(test, thresholds.tune(val, o))).withColumn("objective", F.lit(o)) for o in thresholds.OBJECTIVES)
     stacked = reduce(DataFrame.unionByName, rates)
     return rounded(ranking.macro(stacked, ("objective", "run_id"), ["precision", "recall", "f1"]))
 
@@ -60,8 +79,10 @@ def bootstrap_intervals(s, d):
 
 def delta_to_best(s, d):
     """The mean of all runs against the run that is best on validation."""
-    best = ensemble.run_auroc(_val(s, d)).agg(F.max_by("run_id", F.struct("macro_auroc", -F.col("run_id"))).alias("run_id"))
-    return rounded(bootstrap.paired_delta(ensemble.combine(_test(s, d)), _test(s, d).join(F.broadcast(best), "run_id"), DRAWS))  # one row
+    p = _scored(s, d)
+    best = ensemble.run_auroc(p.where("split = 'val'")).agg(F.max_by("run_id", F.struct("macro_auroc", -F.col("run_id"))).alias("run_id"))
+    test = p.where("split = 'test'")
+    return rounded(bootstrap.paired_delta(ensemble.combine(test), test.join(F.broadcast(best), "run_id"), DRAWS))  # one row
 
 
 def stacked_test(s, d):
@@ -101,6 +122,86 @@ def nested_third(s, d):
 LEVELS = {"sex": ["M", "F"], "age": [f"{a}-{b}" for a, b in labels.BANDS]}
 
 
+def _runs(s, d):
+    return bridge(s, d, "SELECT run_id, experiment, model FROM run")
+
+
+def _report(s, d, draws):
+    _, tuned, fired = _tuned_and_fired(s, d)
+    return rounded(reports.evaluation_report(fired, tuned, draws))
+
+
+def threshold_report(s, d):
+    p = _scored(s, d)
+    return rounded(reports.threshold_report(p.where("split = 'val'"), p.where("split = 'test'"), "f1", DRAWS))
+
+
+def bias_comparison(s, d):
+    fired = _fired(s, d)
+    return rounded(reports.bias_comparison(reports.overall_rates(fired), reports.subgroup_report(fired, DRAWS), LEVELS))
+
+
+def _ensemble(s, d, draws, rule="mean"):
+    p = stage(predictions(s, d).where("split IN ('val', 'test')").select(*COLUMNS, "experiment", "model"), "predictions")
+    return rounded(reports.ensemble_report(p, _runs(s, d), rule, draws=draws))
+
+
+def discovered(s, d):
+    """Runs with both splits, where the last run lacks its test rows and one experiment's run is an ensemble."""
+    p = predictions(s, d).where("NOT (run_id = 4 AND split = 'test')")
+    return ensemble.discover_runs(p, _runs(s, d).where("run_id = 1").select("experiment", "model"), "exp_d")
+
+
+def epochs(s, d):
+    return rounded(ranking.epoch_metrics(_val(s, d).withColumn("epoch", (F.col("patient_id") % 4).cast("int"))))
+
+
+def weighted_bce(s, d):
+    logits = _test(s, d).withColumn("logit", ensemble.log_odds(F.col("score")))
+    weights = metrics.positive_weights(predictions(s, d).where("split = 'train' and run_id = 0"))
+    return rounded(metrics.bce_from_logits(logits.join(F.broadcast(weights), "class_idx"), weight="pos_weight"))  # a row for each class
+
+
+def lists(s, d):
+    """Two overlapping lists of studies."""
+    p = studies(s, d)
+    return labels.list_overlap(p.where("study_id % 3 = 0"), p.where("study_id % 5 = 0"), "study_id")
+
+
+def split_again(s, d):
+    """Studies that two splits hold, where a seventh of the training studies is also in validation."""
+    p = studies(s, d).select("study_id", "split")
+    return labels.split_violations(p.unionByName(p.where("split = 'train' AND study_id % 7 = 0").withColumn("split", F.lit("val"))))
+
+
+def run_sizes(s, d):
+    named = ranking.macro(ranking.rank_metrics(_test(s, d), ("experiment", "class_idx")), ("experiment",), ["auroc", "auprc"])
+    sizes = predictions(s, d).where("run_id < 3 AND class_idx = 0").groupBy("experiment", "split").agg(F.count("*").alias("n"))
+    return rounded(sources.with_train_size(named, sizes))
+
+
+def batch_scores(s, d):
+    return rounded(scoring.score_rows(vectors(s, d).select("image_id", "features"), linear_model(), 64))
+
+
+def localization(s, d):
+    """The maps and the same ones turned by a cell, as two methods, with the linear model's scores."""
+    m = stages(s, d, 1).withColumn("method", F.concat(F.lit("stage_"), F.col("stage").cast("string")))
+    scores = scoring.score_rows(vectors(s, d), linear_model(), 64).withColumn("label", (F.col("class_idx") == F.col("label")).cast("int"))
+    return heatmaps.score_localization(m, scores, 8, 8)
+
+
+def localization_fired(s, d):
+    """What needs no predicted box, over all maps and over those whose class was called."""
+    r = heatmaps.localization_report(localization(s, d))
+    return rounded(r.select("method", "where", "class_idx", "instances", "pointing", "energy", "baseline", "degenerate"))
+
+
+def boxes_of_rectangles(s, d):
+    r = heatmaps.score_boxes(rectangles(s, d), 8, 8)
+    return rounded(r.select("image_id", "detected", "iou", "iobb"))
+
+
 def combined(rule):
     return lambda s, d: rounded(ranking.rank_metrics(ensemble.combine(_val(s, d), rule), ("class_idx",)))
 
@@ -121,7 +222,7 @@ QUERIES = {
     "losses": lambda s, d: rounded(metrics.losses(_test(s, d))),
     "positive_weights": lambda s, d: rounded(metrics.positive_weights(predictions(s, d).where("split = 'train' and run_id = 0"))),
     "label_counts": lambda s, d: rounded(labels.label_counts(findings(s, d))),
-    "cooccurrence": lambda s, d: rounded(labels.cooccurrence(findings(s, d))),
+    "cooccurrence": lambda s, d: rounded(labels.cooccurrence(findings(s, d), CLASSES)),
     "subgroup_counts": lambda s, d: labels.subgroup_counts(studies(s, d)),
     "patient_table": lambda s, d: labels.patient_table(findings(s, d), CLASSES),
     "patient_leakage": lambda s, d: labels.leakage(studies(s, d)),
@@ -146,7 +247,7 @@ QUERIES = {
     "top_absent": lambda s, d: rounded(metrics.top_absent(_fired(s, d))),
     "explanation_target": lambda s, d: rounded(metrics.explanation_target(_fired(s, d))),
     "failures": lambda s, d: metrics.failures(_fired(s, d)),
-    "implausible_ages": lambda s, d: labels.implausible_ages(studies(s, d), 90),
+    "implausible_ages": lambda s, d: labels.implausible_ages(studies(s, d)),
     "split_summary": lambda s, d: rounded(splits.split_summary(_hot(s, d), [c.lower() for c in CLASSES])),
     "stratified_folds": lambda s, d: splits.stratified_folds(_patients(s, d), [c.lower() for c in CLASSES], [0.7, 0.1, 0.2]),
     "nested_subset": nested_third,
@@ -162,6 +263,32 @@ QUERIES = {
     "stacked_test": stacked_test,
     "stacked_out_of_fold": stacked_out_of_fold,
     "diverse_members": diverse_members,
+    "epoch_metrics": epochs,
+    "class_support": lambda s, d: rounded(metrics.class_support(predictions(s, d).where("run_id = 0"))),
+    "weighted_bce": weighted_bce,
+    "label_numbers": lambda s, d: rounded(labels.label_numbers(findings(s, d))),
+    "sex_counts": lambda s, d: rounded(labels.shares(studies(s, d), "sex")),
+    "study_profile": lambda s, d: rounded(labels.profile(studies(s, d).select("study_id", "patient_id", "sex", labels.age_band().alias("band"), "age"))),
+    "sampled_studies": lambda s, d: labels.sample_rows(studies(s, d).select("study_id", "split"), 100, "study_id"),
+    "list_overlap": lists,
+    "split_violations": split_again,
+    "plausible_age_histogram": lambda s, d: labels.age_histogram(studies(s, d), 30, 100),
+    "unassigned_ages": lambda s, d: reports.unassigned_ages(studies(s, d)),
+    "run_sizes": run_sizes,
+    "discovered_runs": discovered,
+    "diversity_table": lambda s, d: rounded(ensemble.diversity_table(stage(_val(s, d).select(*COLUMNS), "predictions"))),
+    "evaluation_metrics": lambda s, d: _report(s, d, 0).drop("ci_low", "ci_high"),
+    "evaluation_report": lambda s, d: _report(s, d, DRAWS),
+    "threshold_report": threshold_report,
+    "subgroup_report": lambda s, d: rounded(reports.subgroup_report(_fired(s, d), DRAWS)),
+    "bias_comparison": bias_comparison,
+    "ensemble_metrics": lambda s, d: _ensemble(s, d, 0).drop("ci_low", "ci_high"),
+    "ensemble_run": lambda s, d: _ensemble(s, d, DRAWS),
+    "ensemble_stacked": lambda s, d: _ensemble(s, d, 0, "stack").drop("ci_low", "ci_high"),
+    "batch_scores": batch_scores,
+    "localization_report": lambda s, d: rounded(heatmaps.localization_report(localization(s, d))),
+    "localization_fired": localization_fired,
+    "rectangle_boxes": boxes_of_rectangles,
     "localization_cases": lambda s, d: rounded(heatmaps.select_cases(heatmaps.score_maps(maps(s, d), 8, 8), 10)),
 }
 
@@ -189,25 +316,28 @@ _K = "run_id, class_idx"
 _V = f"WITH {CTES}, val AS (SELECT * FROM pred WHERE split = 'val'), test AS (SELECT * FROM pred WHERE split = 'test')"
 _RATIO = "coalesce(CAST({a} AS DOUBLE) / nullif({b}, 0), 0)"
 _P, _R = _RATIO.format(a="tp", b="tp + fp"), _RATIO.format(a="tp", b="p")
+_S = _RATIO.format(a="total - p - fp", b="total - p")
 _VALUE = {
     "f1": _RATIO.format(a=f"2 * {_P} * {_R}", b=f"{_P} + {_R}"),
     "fbeta": _RATIO.format(a=f"5 * {_P} * {_R}", b=f"4 * {_P} + {_R}"),
-    "youden": f"{_R} + {_RATIO.format(a='total - p - fp', b='total - p')} - 1",
-    "sensitivity": f"CASE WHEN {_R} >= 0.8 THEN {_R} END",
+    "youden": f"{_R} + {_S} - 1",
+    "sensitivity": f"CASE WHEN {_R} >= 0.8 THEN {_S} END",
 }
 
 
 def _tuned(objective: str) -> str:
-    pick = "max(CASE WHEN value IS NOT NULL THEN score END)" if objective == "sensitivity" else "min(CASE WHEN value >= best - 1e-12 THEN score END)"
+    order = "CASE WHEN value IS NULL THEN 1 ELSE 0 END, score DESC" if objective == "sensitivity" else "CASE WHEN value >= best - 1e-12 THEN 0 ELSE 1 END, score"
     return f"""{_sweep('val', _K)},
-valued AS (SELECT *, {_VALUE[objective]} AS value FROM sweep),
+valued AS (SELECT *, {_VALUE[objective]} AS value, {_P} AS pr, {_R} AS re, {_S} AS sp FROM sweep),
 bested AS (SELECT *, max(value) OVER (PARTITION BY {_K}) AS best FROM valued),
-picked AS (SELECT {_K}, CAST(sum(pos) AS BIGINT) AS support, sum(n) AS n, max(best) AS best, {pick} AS picked FROM bested GROUP BY {_K}),
-tuned AS (SELECT {_K}, support, CASE WHEN support < 50 OR support = n OR coalesce(best, 0) <= 0 THEN 0.5 ELSE picked END AS threshold,
-                 CASE WHEN support < 50 OR support = n THEN 'default' WHEN coalesce(best, 0) <= 0 THEN 'degenerate' ELSE 'tuned' END AS status FROM picked)"""
+ordered AS (SELECT *, row_number() OVER (PARTITION BY {_K} ORDER BY {order}) AS place, CAST(count(*) OVER (PARTITION BY {_K}) AS BIGINT) AS candidates FROM bested),
+picked AS (SELECT *, p AS support, CASE WHEN p < 50 OR p = total THEN 'default' WHEN coalesce(value, 0) <= 0 THEN 'degenerate' ELSE 'tuned' END AS status FROM ordered WHERE place = 1),
+tuned AS (SELECT {_K}, support, CASE WHEN status = 'tuned' THEN score ELSE 0.5 END AS threshold, status, CASE WHEN status <> 'default' THEN value END AS objective,
+                 CASE WHEN status = 'tuned' THEN pr END AS precision, CASE WHEN status = 'tuned' THEN re END AS recall, CASE WHEN status = 'tuned' THEN sp END AS specificity,
+                 CASE WHEN status = 'tuned' THEN candidates END AS candidates FROM picked)"""
 
 
-_FIRED = f"{_V}, {_tuned('f1')}, fired AS (SELECT t.*, CASE WHEN t.score >= u.threshold THEN 1 ELSE 0 END AS fired FROM test t JOIN tuned u USING ({_K}))"
+_FIRED = f"{_V}, {_tuned('f1')}, fired AS (SELECT t.*, u.threshold, u.status, CASE WHEN t.score >= u.threshold THEN 1 ELSE 0 END AS fired FROM test t JOIN tuned u USING ({_K}))"
 _RATES = f"""rates AS (SELECT {_K}, CAST(sum(fired * label) AS BIGINT) AS tp, CAST(sum(fired) AS BIGINT) AS called, CAST(sum(label) AS BIGINT) AS support FROM fired GROUP BY {_K}),
 full_rates AS (SELECT *, round({_RATIO.format(a='tp', b='called')}, 6) AS precision, round({_RATIO.format(a='tp', b='support')}, 6) AS recall,
                       round({_RATIO.format(a='2 * tp', b='called + support')}, 6) AS f1 FROM rates)"""
@@ -228,18 +358,42 @@ SELECT {_K}, round(sum(abs(s - l)) / sum(n), 6) AS ece FROM b GROUP BY {_K}"""
 _QUANTILES = "[" + ", ".join(repr(i / 15) for i in range(16)) + "]"
 _BAND = "CASE " + " ".join(f"WHEN age BETWEEN {a} AND {b} THEN '{a}-{b}'" for a, b in labels.BANDS) + " END"
 _STUDY = f"WITH {CTES}"
+
+
+def _hash(key: str, seed: int = 17) -> str:
+    return f"CAST('0x' || substr(md5(CAST({key} AS VARCHAR) || ':{seed}'), 1, 8) AS BIGINT)"
+
+
 _ODDS = "ln(least(greatest(score, 1e-6), 1 - 1e-6) / (1 - least(greatest(score, 1e-6), 1 - 1e-6)))"
 _MIX = "SELECT split, study_id, class_idx, max(label) AS label, round({score}, 12) AS score FROM {source} GROUP BY split, study_id, class_idx"
+
+
+def _mixes(x: str, to: str, more: str, source: str) -> str:
+    """A select of `more` and of `to`, the 32 bits of x spread as bootstrap.mixed does."""
+    steps, last = [f"{x} AS m0"], "m0"
+    for i, (shift, factor) in enumerate(bootstrap.ROUNDS, 1):
+        spread = f"xor({last}, {last} >> {shift})"
+        steps.append((f"({spread} * {factor}) & {bootstrap.MASK}" if factor else spread) + f" AS m{i}")
+        last = f"m{i}"
+    return f"SELECT {more}, {last} AS {to} FROM (SELECT *, {', '.join(steps)} FROM {source})"
+
+
+_DRAWS_SQL = f"""(SELECT CAST(range AS BIGINT) AS draw, CAST(17 AS BIGINT) AS seed FROM range({DRAWS}))"""
+_KEYS_SQL = _mixes(f"(first + {bootstrap.SECOND}) & {bootstrap.MASK}", "second", "draw, first", "(" + _mixes("xor(s, draw)", "first", "draw", "(" + _mixes("seed", "s", "draw", _DRAWS_SQL) + ")") + ")")
+_SPREAD_SQL = _mixes(
+    f"(h + second + ((slot * {bootstrap.SECOND}) & {bootstrap.MASK})) & {bootstrap.MASK}", "h2", "draw, size",
+    "(" + _mixes(f"xor((slot * {bootstrap.STEP}) & {bootstrap.MASK}, first)", "h", "draw, slot, second, size", "(SELECT s.slot, d.*, (SELECT count(*) FROM slots) AS size FROM slots s CROSS JOIN draw_keys d)") + ")",
+)
 _BOOT = f"""{_FIRED}, slots AS (SELECT patient_id, row_number() OVER (ORDER BY patient_id) - 1 AS slot FROM (SELECT DISTINCT patient_id FROM fired)),
-weights AS (SELECT draw, slot, count(*) AS weight FROM (
-  SELECT d.draw, (s.slot * 7919 + d.draw * 104729 + 17) % 1000003 * ((s.slot + 31 * d.draw) % 10007 + 1) % (SELECT count(*) FROM slots) AS slot
-  FROM slots s CROSS JOIN (SELECT CAST(range AS INT) AS draw FROM range({DRAWS})) d) GROUP BY draw, slot),
-sums AS (SELECT w.draw, f.run_id, f.class_idx, sum(f.fired * f.label * w.weight) AS tp, sum(f.fired * w.weight) AS called, sum(f.label * w.weight) AS truth
-         FROM fired f JOIN slots s USING (patient_id) JOIN weights w ON w.slot = s.slot GROUP BY w.draw, f.run_id, f.class_idx),
+draw_keys AS ({_KEYS_SQL}),
+weights AS (SELECT CAST(draw AS INT) AS draw, (h2 * size) >> 32 AS slot, count(*) AS weight FROM ({_SPREAD_SQL}) GROUP BY 1, 2),
+per AS (SELECT slot, {_K}, sum(fired * label) AS tp, sum(fired) AS called, sum(label) AS truth FROM fired JOIN slots USING (patient_id) GROUP BY slot, {_K}),
+sums AS (SELECT w.draw, p.run_id, p.class_idx, sum(p.tp * w.weight) AS tp, sum(p.called * w.weight) AS called, sum(p.truth * w.weight) AS truth FROM per p JOIN weights w USING (slot) GROUP BY w.draw, p.run_id, p.class_idx),
 drawn AS (SELECT draw, {_K}, {_RATIO.format(a='tp', b='called')} AS precision, {_RATIO.format(a='tp', b='truth')} AS recall, {_RATIO.format(a='2 * tp', b='called + truth')} AS f1 FROM sums)"""
 
-_WEIGHTED = _BOOT[_BOOT.index("slots AS"):_BOOT.index(",\nsums AS")]
+_WEIGHTED = _BOOT[_BOOT.index("slots AS"):_BOOT.index(",\nper AS")]
 _DK = f"draw, {_K}"
+_ROUNDED = ", ".join(f"round({c}, 6) AS {c}" for c in ("objective", "precision", "recall", "specificity")) + ", candidates"
 
 
 def _drawn(source: str) -> str:
@@ -273,7 +427,7 @@ ORACLE_SQL = {
     "confusion_sweep": f"{_V}, {_sweep('val', _K)} SELECT {_K}, round(score, 9) AS score, pos, n, tp, fp, p - tp AS fn, total - p - fp AS tn FROM sweep",
     "rank_metrics": f"WITH {CTES}, {_sweep('pred', 'run_id, split, class_idx')} {_rank('run_id, split, class_idx')}",
     "run_auroc": f"WITH {CTES}, {_sweep('pred', 'run_id, split, class_idx')}, r AS ({_rank('run_id, split, class_idx').replace(', 6)', ', 15)')}) SELECT run_id, split, round(avg(auroc), 6) AS macro_auroc, round(avg(auprc), 6) AS macro_auprc FROM r GROUP BY run_id, split",
-    **{f"thresholds_{o}": f"{_V}, {_tuned(o)} SELECT {_K}, support, round(threshold, 6) AS threshold, status FROM tuned" for o in thresholds.OBJECTIVES},
+    **{f"thresholds_{o}": f"{_V}, {_tuned(o)} SELECT {_K}, support, round(threshold, 6) AS threshold, status, {_ROUNDED} FROM tuned" for o in thresholds.OBJECTIVES},
     "class_rates": f"{_FIRED}, {_RATES} SELECT * FROM full_rates",
     "micro_rates": f"{_FIRED}, {_again('run_id', 'fired', 'ranked')}, c AS (SELECT run_id, sum(fired * label) AS tp, sum(fired) AS called, sum(label) AS truth FROM fired GROUP BY run_id) SELECT run_id, round({_RATIO.format(a='tp', b='called')}, 6) AS precision, round({_RATIO.format(a='tp', b='truth')}, 6) AS recall, round({_RATIO.format(a='2 * tp', b='called + truth')}, 6) AS f1, auprc FROM c JOIN ranked USING (run_id)",
     "image_metrics": f"""{_FIRED}, i AS (SELECT run_id, study_id, sum(fired * label) AS tp, sum(fired) AS called, sum(label) AS truth, sum(CASE WHEN fired = label THEN 1 ELSE 0 END) AS same, count(*) AS n FROM fired GROUP BY run_id, study_id)
@@ -289,13 +443,13 @@ j AS (SELECT run_id, 'max' AS rule, label, m AS score FROM i UNION ALL SELECT ru
 SELECT {_K}, round(avg(CASE WHEN label = 1 THEN -ln(p) ELSE -ln(1 - p) END), 6) AS bce, round(avg(CASE WHEN label = 1 THEN -ln(p) * (1 - p) ELSE -ln(greatest(q, 1e-6)) * pow(1 - q, 4) END), 6) AS asl FROM q GROUP BY {_K}""",
     "positive_weights": f"{_STUDY} SELECT class_idx, round(least(greatest((count(*) - sum(label) + 1.0::DOUBLE) / (sum(label) + 1.0::DOUBLE), 1), 25), 6) AS pos_weight FROM pred WHERE split = 'train' AND run_id = 0 GROUP BY class_idx",
     "label_counts": f"{_STUDY}, f AS (SELECT coalesce(h.finding, 'No Finding') AS finding FROM study s LEFT JOIN hit h USING (study_id)) SELECT finding, count(*) AS count, round(CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM f), 6) AS share FROM f GROUP BY finding",
-    "cooccurrence": f"{_STUDY}, h AS (SELECT hit.* FROM hit JOIN study USING (study_id)), n AS (SELECT finding, count(*) AS support FROM h GROUP BY finding), p AS (SELECT x.finding AS a, y.finding AS b, count(*) AS count FROM h x JOIN h y USING (study_id) GROUP BY 1, 2) SELECT a, b, count, round(CAST(count AS DOUBLE) / support, 6) AS share FROM p JOIN n ON a = finding",
+    "cooccurrence": f"{_STUDY}, h AS (SELECT hit.* FROM hit JOIN study USING (study_id)), n AS (SELECT finding, count(*) AS support FROM h GROUP BY finding), p AS (SELECT x.finding AS a, y.finding AS b, count(*) AS c FROM h x JOIN h y USING (study_id) GROUP BY 1, 2) SELECT x.class_name AS a, y.class_name AS b, coalesce(c, 0) AS count, round(CAST(coalesce(c, 0) AS DOUBLE) / greatest(coalesce(support, 0), 1), 6) AS share FROM cls x CROSS JOIN cls y LEFT JOIN p ON p.a = x.class_name AND p.b = y.class_name LEFT JOIN n ON n.finding = x.class_name",
     "subgroup_counts": f"{_STUDY}, s AS (SELECT *, {_BAND} AS band FROM study) SELECT sex, band, CAST(grouping(sex, band) AS BIGINT) AS axis, count(*) AS n, count(DISTINCT patient_id) AS patients FROM s GROUP BY GROUPING SETS ((sex), (band), ())",
     "patient_table": f"{_STUDY} SELECT s.patient_id, count(DISTINCT s.study_id) AS images, "
     + ", ".join(f"CAST(sum(CASE WHEN h.finding = '{c}' THEN 1 ELSE 0 END) AS BIGINT) AS {c.lower()}" for c in CLASSES)
     + " FROM study s LEFT JOIN hit h USING (study_id) GROUP BY s.patient_id",
     "patient_leakage": f"{_STUDY}, p AS (SELECT DISTINCT patient_id, split FROM study), q AS (SELECT a.split, b.split AS other FROM (SELECT DISTINCT split FROM p) a JOIN (SELECT DISTINCT split FROM p) b ON a.split < b.split) SELECT q.split, q.other, (SELECT count(*) FROM p x JOIN p y USING (patient_id) WHERE x.split = q.split AND y.split = q.other) AS shared FROM q",
-    "grouped_folds": f"{_STUDY}, p AS (SELECT DISTINCT patient_id FROM study) SELECT patient_id, CAST((row_number() OVER (ORDER BY (patient_id * 7919 + 17) % 1000003, patient_id) - 1) % 5 AS INT) AS fold FROM p",
+    "grouped_folds": f"{_STUDY}, p AS (SELECT DISTINCT patient_id FROM study) SELECT patient_id, CAST((row_number() OVER (ORDER BY {_hash('patient_id')}, patient_id) - 1) % 5 AS INT) AS fold FROM p",
     "age_histogram": f"{_STUDY}, e AS (SELECT min(age) AS lo, max(age) AS hi FROM study) SELECT CAST(least(floor((age - lo) * 30 / CAST(hi - lo AS DOUBLE)), 29) AS INT) AS bin, count(*) AS n FROM study CROSS JOIN e GROUP BY 1",
     "subgroup_gaps": f"""{_FIRED}, lv AS (SELECT *, 'sex' AS axis, sex AS level FROM fired UNION ALL SELECT * FROM (SELECT *, 'age' AS axis, {_BAND} AS level FROM fired) WHERE level IS NOT NULL),
 {_again('run_id, axis, level, class_idx', 'lv', 'rk').replace(', 6)', ', 15)')}, m AS (SELECT run_id, axis, level, class_idx, 1 - {_RATIO.format(a='sum(fired * label)', b='sum(label)')} AS fnr FROM lv GROUP BY run_id, axis, level, class_idx),
@@ -317,7 +471,7 @@ SELECT a, b, round(avg(1 - CAST(coalesce(n, 0) AS DOUBLE) / k), 6) AS disagreeme
     "bootstrap_rates": f"{_BOOT} SELECT draw, {_K}, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM drawn",
     "bootstrap_intervals": f"{_BOOT} SELECT {_K}, round(quantile_cont(f1, {0.050000000000000044 / 2}), 6) AS ci_low, round(quantile_cont(f1, {1 - 0.050000000000000044 / 2}), 6) AS ci_high FROM drawn GROUP BY {_K}",
     "bootstrap_rank": f"{_V}, {_drawn('test')}, {_weighted('wr', _DK)}, r AS ({_rank(_DK)}) SELECT {_DK}, auroc, auprc FROM r",
-    "bootstrap_thresholds": f"{_V}, {_drawn('val')}, {_tuned('f1').replace(_sweep('val', _K), _weighted('wr', _DK)).replace(_K, _DK).replace('draw, draw', 'draw')} SELECT {_DK}, CASE WHEN status = 'tuned' THEN round(threshold, 6) END AS threshold FROM tuned",
+    "bootstrap_thresholds": f"{_V}, {_drawn('val')}, {_tuned('f1').replace(_sweep('val', _K), _weighted('wr', _DK)).replace(_K, _DK).replace('draw, draw', 'draw')} SELECT {_DK}, CASE WHEN status = 'tuned' THEN round(threshold, 6) END AS threshold, CASE WHEN status = 'tuned' THEN round(objective, 6) END AS objective FROM tuned",
     "bootstrap_gaps": f"""{_FIRED}, {_drawn('fired')}, lv AS (SELECT *, 'sex' AS axis, sex AS level FROM wr UNION ALL SELECT * FROM (SELECT *, 'age' AS axis, {_BAND} AS level FROM wr) WHERE level IS NOT NULL),
 full_lv AS (SELECT *, 'sex' AS axis, sex AS level FROM fired UNION ALL SELECT * FROM (SELECT *, 'age' AS axis, {_BAND} AS level FROM fired) WHERE level IS NOT NULL),
 enough AS (SELECT run_id, axis, level, class_idx FROM full_lv GROUP BY ALL HAVING sum(label) >= 10),
@@ -372,8 +526,129 @@ ORACLE_SQL |= {
     "top_absent": f"{_FIRED} SELECT run_id, study_id, class_idx, round(score, 6) AS score, fired FROM fired WHERE label = 0 QUALIFY row_number() OVER (PARTITION BY run_id, study_id ORDER BY score DESC, class_idx) = 1",
     "explanation_target": f"{_FIRED} SELECT run_id, study_id, class_idx, round(score, 6) AS score, CASE WHEN fired = 0 THEN 'none called' END AS note FROM fired QUALIFY row_number() OVER (PARTITION BY run_id, study_id ORDER BY fired DESC, score DESC, class_idx) = 1",
     "failures": f"{_FIRED} SELECT run_id, study_id, CAST(sum(CASE WHEN score > 0.5 AND label = 0 THEN 1 ELSE 0 END) AS BIGINT) AS false_calls, CAST(sum(CASE WHEN score <= 0.5 AND label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS missed FROM fired GROUP BY run_id, study_id HAVING bool_or((score > 0.5) <> (label = 1))",
-    "implausible_ages": f"{_STUDY} SELECT count(*) AS n, count(DISTINCT patient_id) AS patients, max(age) AS highest, array_to_string(list_sort(list(DISTINCT age)), ',') AS ages FROM study WHERE age > 90",
+    "implausible_ages": f"{_STUDY} SELECT count(*) AS n, count(DISTINCT patient_id) AS patients, max(age) AS highest, array_to_string(list_sort(list(DISTINCT age)), ',') AS ages FROM study WHERE age > 100",
     "split_summary": f"{_STUDY}, l AS (SELECT s.study_id, s.split, h.finding FROM study s LEFT JOIN hit h USING (study_id)) SELECT split, count(DISTINCT study_id) AS n, round(CAST(sum(CASE WHEN finding IS NULL THEN 1 ELSE 0 END) AS DOUBLE) / count(DISTINCT study_id), 6) AS normal, "
     + ", ".join(f"CAST(sum(CASE WHEN finding = '{c}' THEN 1 ELSE 0 END) AS BIGINT) AS {c.lower()}" for c in CLASSES)
     + " FROM l GROUP BY split",
 }
+
+
+def _pairs(names: list[str], prefix: str = "") -> str:
+    """metric and value columns for a list of columns."""
+    return f"unnest([{', '.join(repr(prefix + n) for n in names)}]) AS metric, unnest([{', '.join(f'CAST({n} AS DOUBLE)' for n in names)}]) AS value"
+
+
+_NAMES = ["threshold", "auroc", "auprc", "precision", "recall", "f1", "brier", "ece", "support", "prevalence"]
+_IMAGES = ["samples_f1", "samples_f1_none", "subset_accuracy", "subset_accuracy_none", "sample_accuracy", "hamming_loss", "sample_accuracy_none"]
+#: CTEs from `fired` (with threshold and status) to `report`: run_id, class_idx, scope, metric, value, note.
+_EVALUATION = f"""{_again(_K, 'fired', 'rk').replace(', 6)', ', 15)')},
+rt AS (SELECT {_K}, sum(fired * label) AS tp, sum(fired) AS called, sum(label) AS truth, avg((score - label) * (score - label)) AS brier, min(threshold) AS threshold, min(status) AS status FROM fired GROUP BY {_K}),
+edges AS (SELECT {_K}, list_sort(list_distinct(quantile_cont(score, {_QUANTILES}))) AS e FROM fired GROUP BY {_K}),
+binned AS (SELECT {_K}, score, label, least(greatest(len(list_filter(e, lambda x: x < score)) - 1, 0), greatest(len(e) - 2, 0)) AS bin FROM fired JOIN edges USING ({_K})),
+bins AS (SELECT {_K}, bin, count(*) AS n, sum(score) AS s, sum(label) AS l FROM binned GROUP BY {_K}, bin),
+ece AS (SELECT {_K}, sum(abs(s - l)) / sum(n) AS ece FROM bins GROUP BY {_K}),
+cm AS (SELECT {_K}, threshold, status, auroc, auprc, {_RATIO.format(a='tp', b='called')} AS precision, {_RATIO.format(a='tp', b='truth')} AS recall, {_RATIO.format(a='2 * tp', b='called + truth')} AS f1, brier, ece, support, CAST(support AS DOUBLE) / n AS prevalence
+  FROM rk JOIN rt USING ({_K}) JOIN ece USING ({_K})),
+mm AS (SELECT run_id, {', '.join(f'avg({c}) AS {c}' for c in _NAMES[1:8])} FROM cm GROUP BY run_id),
+pi AS (SELECT run_id, study_id, sum(fired * label) AS tp, sum(fired) AS called, sum(label) AS truth, sum(CASE WHEN fired = label THEN 1 ELSE 0 END) AS same, count(*) AS n FROM fired GROUP BY run_id, study_id),
+im AS (SELECT run_id, avg(coalesce(2.0::DOUBLE * tp / nullif(called + truth, 0), 1)) AS samples_f1, avg(CASE WHEN truth = 0 THEN 1.0::DOUBLE ELSE 0 END) AS samples_f1_none, avg(CASE WHEN same = n THEN 1.0::DOUBLE ELSE 0 END) AS subset_accuracy,
+  avg(CASE WHEN truth = 0 THEN 1.0::DOUBLE ELSE 0 END) AS subset_accuracy_none, avg(CAST(same AS DOUBLE) / n) AS sample_accuracy, avg(1 - CAST(same AS DOUBLE) / n) AS hamming_loss, 1 - avg(CAST(truth AS DOUBLE) / n) AS sample_accuracy_none FROM pi GROUP BY run_id),
+{_again('run_id', 'fired', 'mrk').replace(', 6)', ', 15)')},
+mc AS (SELECT run_id, sum(fired * label) AS tp, sum(fired) AS called, sum(label) AS truth FROM fired GROUP BY run_id),
+mi AS (SELECT run_id, auprc, {_RATIO.format(a='tp', b='called')} AS precision, {_RATIO.format(a='tp', b='truth')} AS recall, {_RATIO.format(a='2 * tp', b='called + truth')} AS f1 FROM mc JOIN mrk USING (run_id)),
+si AS (SELECT run_id, study_id, max(label) AS label, max(score) AS m, 1 - product(1 - score ORDER BY class_idx) AS o FROM fired GROUP BY run_id, study_id),
+sj AS (SELECT run_id, 'max' AS rule, label, m AS score FROM si UNION ALL SELECT run_id, 'noisy_or', label, o FROM si), {_again('run_id, rule', 'sj', 'srk').replace(', 6)', ', 15)')},
+su AS (SELECT run_id, rule, unnest(['auroc', 'auprc', 'prevalence']) AS m, unnest([auroc, auprc, CAST(support AS DOUBLE) / n]) AS value FROM srk),
+report AS (SELECT *, CASE WHEN scope = 'class' AND metric = 'threshold' THEN status END AS note FROM (
+  SELECT run_id, class_idx, 'class' AS scope, status, {_pairs(_NAMES)} FROM cm
+  UNION ALL SELECT run_id, NULL, 'macro', NULL, {_pairs(_NAMES[1:8])} FROM mm UNION ALL SELECT run_id, NULL, 'macro', NULL, {_pairs(_IMAGES)} FROM im
+  UNION ALL SELECT run_id, NULL, 'micro', NULL, {_pairs(['auprc', 'precision', 'recall', 'f1'])} FROM mi
+  UNION ALL SELECT run_id, NULL, 'screening', NULL, rule || '_' || m, value FROM su))"""
+
+
+def _fine(name: str) -> str:
+    """A query's SQL with its numbers rounded further down."""
+    return ORACLE_SQL[name].replace(", 6)", ", 15)")
+
+
+def _interval(value: str, least: float = DRAWS / 2) -> str:
+    ends = (f"CASE WHEN count({value}) >= {max(least, 2)} THEN quantile_cont({value}, {q}) END AS {value}_{e}" for q, e in zip(_CI, ("low", "high")))
+    return ", ".join(ends)
+
+
+_ROUND_CI = "round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high"
+#: draws of `fired`: d (rates and ranks by class) and its intervals as `ci`
+_DRAWN_CI = f"""d AS (SELECT * FROM ({_fine('bootstrap_rank')}) JOIN ({_fine('bootstrap_rates')}) USING ({_DK})),
+du AS (SELECT {_DK}, {_pairs(['auroc', 'auprc', 'precision', 'recall', 'f1'])} FROM d),
+dm AS (SELECT draw, run_id, metric, avg(value) AS value FROM du GROUP BY draw, run_id, metric),
+ci AS (SELECT run_id, class_idx, 'class' AS scope, metric, {_interval('value')} FROM du GROUP BY run_id, class_idx, metric
+  UNION ALL SELECT run_id, NULL, 'macro', metric, {_interval('value', 2)} FROM dm GROUP BY run_id, metric)"""
+_MEMBERS = f"""{_V}, chosen AS (SELECT run_id, macro_auroc FROM ({ORACLE_SQL['member_selection']}) WHERE status = 'selected'),
+member_val AS (SELECT * FROM val WHERE run_id IN (SELECT run_id FROM chosen)), member_test AS (SELECT * FROM test WHERE run_id IN (SELECT run_id FROM chosen))"""
+_MIXED = "(SELECT CAST(-1 AS INT) AS run_id, * FROM (" + _MIX.replace("max(label)", "min(patient_id) AS patient_id, max(label)") + "))"
+_ENSEMBLE = f"""WITH mixed_val AS (SELECT * FROM ({_MEMBERS} SELECT * FROM {_MIXED.format(score='avg(score)', source='member_val')})), mixed_test AS (SELECT * FROM ({_MEMBERS} SELECT * FROM {_MIXED.format(score='avg(score)', source='member_test')})),
+{_tuned('f1').replace('FROM val ', 'FROM mixed_val ')}, fired AS (SELECT t.*, u.threshold, u.status, CASE WHEN t.score >= u.threshold THEN 1 ELSE 0 END AS fired FROM mixed_test t JOIN tuned u USING ({_K})), {_EVALUATION},
+stats AS (SELECT run_id, split || '_auroc' AS metric, macro_auroc AS value FROM ({_fine('run_auroc')}) WHERE split <> 'train' AND run_id IN (SELECT run_id FROM ({_MEMBERS} SELECT run_id FROM chosen))),
+dv AS (SELECT avg(correlation) AS correlation, avg(disagreement) AS disagreement FROM ({_fine('residual_correlation')}) JOIN ({_fine('decision_disagreement')}) USING (a, b)
+  WHERE a IN (SELECT run_id FROM ({_MEMBERS} SELECT run_id FROM chosen)) AND b IN (SELECT run_id FROM ({_MEMBERS} SELECT run_id FROM chosen)))
+SELECT 'member' AS section, run_id, CAST(NULL AS INT) AS class_idx, metric, round(value, 6) AS value, CAST(NULL AS VARCHAR) AS note FROM stats
+UNION ALL SELECT 'diversity', -1, NULL, unnest(['correlation', 'disagreement']), unnest([round(correlation, 6), round(disagreement, 6)]), NULL FROM dv
+UNION ALL SELECT 'evaluation', run_id, class_idx, scope || '_' || metric, round(value, 6), note FROM report"""
+
+ORACLE_SQL |= {
+    "epoch_metrics": f"{_V}, v AS (SELECT *, CAST(patient_id % 4 AS INT) AS epoch FROM val), {_again('run_id, epoch, class_idx', 'v', 'rk').replace(', 6)', ', 15)')} SELECT run_id, epoch, round(coalesce(avg(auroc), 0), 6) AS macro_auroc, round(coalesce(avg(auprc), 0), 6) AS macro_auprc FROM rk GROUP BY run_id, epoch",
+    "class_support": f"{_STUDY} SELECT split, class_idx, CAST(sum(label) AS BIGINT) AS support, count(*) AS n, round(avg(CAST(label AS DOUBLE)), 6) AS prevalence FROM pred WHERE run_id = 0 GROUP BY split, class_idx",
+    "weighted_bce": f"""{_V}, w AS (SELECT class_idx, least(greatest((count(*) - sum(label) + 1.0::DOUBLE) / (sum(label) + 1.0::DOUBLE), 1), 25) AS w FROM pred WHERE split = 'train' AND run_id = 0 GROUP BY class_idx),
+x AS (SELECT {_K}, label, w, {_ODDS} AS x FROM test JOIN w USING (class_idx)) SELECT {_K}, round(avg(CASE WHEN label = 1 THEN w * ln(1 + exp(-x)) ELSE ln(1 + exp(x)) END), 6) AS bce FROM x GROUP BY {_K}""",
+    "label_numbers": f"{_STUDY}, f AS (SELECT study_id, CAST(count(finding) AS INT) AS findings FROM study LEFT JOIN hit USING (study_id) GROUP BY study_id) SELECT findings, count(*) AS count, round(CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM f), 6) AS share FROM f GROUP BY findings",
+    "sex_counts": f"{_STUDY} SELECT sex, count(*) AS count, round(CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM study), 6) AS share FROM study GROUP BY sex",
+    "study_profile": f"{_STUDY}, s AS (SELECT *, {_BAND} AS band FROM study) "
+    + " UNION ALL ".join(f'SELECT \'{c}\' AS "column", count(*) AS n, count(*) - count({c}) AS nulls, round(avg({v}), 6) AS mean, round(stddev_samp({v}), 6) AS std, min({v}) AS least, max({v}) AS greatest FROM s' for c, v in [(c, f"CAST({c} AS DOUBLE)" if c in ("study_id", "patient_id", "age") else "CAST(NULL AS DOUBLE)") for c in ("study_id", "patient_id", "sex", "band", "age")]),
+    "sampled_studies": f"{_STUDY} SELECT study_id, split FROM study ORDER BY {_hash('study_id')}, study_id LIMIT 100",
+    "list_overlap": f"{_STUDY} SELECT count(CASE WHEN study_id % 3 = 0 THEN 1 END) AS first, count(CASE WHEN study_id % 5 = 0 THEN 1 END) AS second, count(CASE WHEN study_id % 15 = 0 THEN 1 END) AS shared FROM study",
+    "split_violations": f"{_STUDY} SELECT study_id, CAST(2 AS BIGINT) AS splits FROM study WHERE split = 'train' AND study_id % 7 = 0",
+    "plausible_age_histogram": f"{_STUDY}, a AS (SELECT age FROM study WHERE age <= 100), e AS (SELECT min(age) AS lo, max(age) AS hi FROM a) SELECT CAST(least(floor((age - lo) * 30 / CAST(hi - lo AS DOUBLE)), 29) AS INT) AS bin, count(*) AS n FROM a CROSS JOIN e GROUP BY 1",
+    "unassigned_ages": f"{_STUDY} SELECT count(*) AS n, count(CASE WHEN {_BAND} IS NULL THEN 1 END) AS unassigned FROM study",
+    "run_sizes": f"{_V}, {_again('experiment, class_idx', 'test', 'rk').replace(', 6)', ', 15)')}, t AS (SELECT experiment, count(*) AS train_images FROM pred WHERE split = 'train' AND class_idx = 0 AND run_id < 3 GROUP BY experiment) SELECT experiment, round(avg(auroc), 6) AS macro_auroc, round(avg(auprc), 6) AS macro_auprc, max(train_images) AS train_images FROM rk LEFT JOIN t USING (experiment) GROUP BY experiment",
+    "discovered_runs": f"{_STUDY}, p AS (SELECT * FROM pred WHERE NOT (run_id = 4 AND split = 'test')) SELECT experiment, model FROM p WHERE run_id <> 1 AND experiment <> 'exp_d' GROUP BY experiment, model HAVING bool_or(split = 'val') AND bool_or(split = 'test')",
+    "diversity_table": f"WITH p AS (SELECT * FROM ({ORACLE_SQL['residual_correlation']}) JOIN ({ORACLE_SQL['decision_disagreement']}) USING (a, b)) SELECT a, b, correlation, disagreement FROM p UNION ALL SELECT b, a, correlation, disagreement FROM p",
+    "evaluation_metrics": f"{_FIRED}, {_EVALUATION} SELECT run_id, class_idx, scope, metric, round(value, 6) AS value, note FROM report",
+    "evaluation_report": f"{_FIRED}, {_EVALUATION}, {_DRAWN_CI} SELECT r.run_id, r.class_idx, r.scope, r.metric, round(r.value, 6) AS value, r.note, round(ci.value_low, 6) AS ci_low, round(ci.value_high, 6) AS ci_high FROM report r LEFT JOIN ci ON ci.run_id = r.run_id AND ci.scope = r.scope AND ci.metric = r.metric AND ci.class_idx IS NOT DISTINCT FROM r.class_idx",
+    "threshold_report": f"""{_FIRED}, {_RATES.replace(', 6)', ', 15)')},
+fits AS (SELECT {_K}, {_interval('threshold')}, {_interval('objective')} FROM ({_fine('bootstrap_thresholds')}) GROUP BY {_K}),
+tests AS (SELECT {_K}, {', '.join(_interval(f'test_{m}') for m in ('precision', 'recall', 'f1'))} FROM (SELECT {_K}, precision AS test_precision, recall AS test_recall, f1 AS test_f1 FROM ({_fine('bootstrap_rates')})) GROUP BY {_K}),
+a AS (SELECT tuned.*, f.support AS test_support, f.precision AS test_precision, f.recall AS test_recall, f.f1 AS test_f1, fits.* EXCLUDE (run_id, class_idx), tests.* EXCLUDE (run_id, class_idx) FROM tuned JOIN full_rates f USING ({_K}) JOIN fits USING ({_K}) JOIN tests USING ({_K}))
+SELECT {_K}, support, status, candidates, test_support, """
+    + ", ".join(f"round({c}, 6) AS {c}" for c in ["threshold", "objective", "precision", "recall", "specificity", "test_precision", "test_recall", "test_f1", *[f"{x}_{e}" for x in ("threshold", "objective", "test_precision", "test_recall", "test_f1") for e in ("low", "high")]])
+    + " FROM a",
+    "ensemble_metrics": _ENSEMBLE,
+    "batch_scores": """WITH x AS (SELECT vec_id AS image_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+l AS (SELECT image_id, k AS class_idx, sum(CAST(v AS DOUBLE) * (((k + 1) * (i + 3) % 7) - 3) / 4.0::DOUBLE) AS logit FROM x CROSS JOIN (SELECT CAST(range AS INT) AS k FROM range(10)) GROUP BY image_id, k)
+SELECT image_id, class_idx, round(logit, 6) AS logit, round(1 / (1 + exp(-logit)), 6) AS score FROM l""",
+    "rectangle_boxes": """WITH r AS (SELECT vec_id AS image_id, CAST(vec_id % 6 AS INT) AS px, CAST(vec_id % 7 AS INT) AS py, CAST(1 + vec_id % 2 AS INT) AS pw, CAST(1 + vec_id % 3 AS INT) AS ph, CAST(vec_id % 5 AS INT) AS x, CAST(vec_id % 4 AS INT) AS y, CAST(vec_id % 3 + 1 AS INT) AS w, CAST(vec_id % 2 + 2 AS INT) AS h FROM embeddings),
+a AS (SELECT *, least(px + pw, 8) - px AS ow, least(py + ph, 8) - py AS oh FROM r),
+b AS (SELECT *, CAST(greatest(least(px + ow, x + w) - greatest(px, x), 0) * greatest(least(py + oh, y + h) - greatest(py, y), 0) AS DOUBLE) AS common FROM a)
+SELECT image_id, true AS detected, round(common / (ow * oh + w * h - common), 6) AS iou, round(common / (ow * oh), 6) AS iobb FROM b""",
+}
+_LEVELS_SQL = f"lv AS (SELECT *, 'sex' AS axis, sex AS level FROM fired UNION ALL SELECT * FROM (SELECT *, 'age' AS axis, {_BAND} AS level FROM fired) WHERE level IS NOT NULL)"
+_GAP_CELLS = ", ".join(f"max(CASE WHEN metric = '{m}_gap' THEN {c} END) AS {m}_{e}" for m in reports.GAPS for c, e in (("ci_low", "low"), ("ci_high", "high"))) + ", " + ", ".join(f"bool_or(metric = '{m}_gap' AND resolved) AS {m}_resolved" for m in reports.GAPS)
+ORACLE_SQL |= {
+    "subgroup_report": f"""{_FIRED}, {_LEVELS_SQL}, c AS (SELECT run_id, axis, level, count(DISTINCT study_id) AS n, count(DISTINCT patient_id) AS patients, CAST(sum(label) AS BIGINT) AS positives FROM lv GROUP BY run_id, axis, level),
+g AS (SELECT * EXCLUDE (ref_auroc, ref_fnr) FROM ({_fine('subgroup_gaps')})), u AS (SELECT * EXCLUDE (abnormal) FROM ({_fine('underdiagnosis')})), ci AS (SELECT run_id, axis, level, {_GAP_CELLS} FROM ({_fine('gap_intervals')}) GROUP BY run_id, axis, level)
+SELECT run_id, axis, level, n, patients, positives, coalesce(classes, 0) AS classes, round(auroc, 6) AS auroc, round(fnr, 6) AS fnr, round(auroc_gap, 6) AS auroc_gap, round(fnr_gap, 6) AS fnr_gap, round(u.underdiagnosis, 6) AS underdiagnosis, round(u.underdiagnosis - r.underdiagnosis, 6) AS underdiagnosis_gap,
+ {', '.join(f'round({m}_{e}, 6) AS {m}_{e}' for m in reports.GAPS for e in ('low', 'high'))}, {', '.join(f'coalesce({m}_resolved, false) AS {m}_resolved' for m in reports.GAPS)}
+FROM c LEFT JOIN g USING (run_id, axis, level) LEFT JOIN u USING (run_id, axis, level) LEFT JOIN ci USING (run_id, axis, level) LEFT JOIN (SELECT run_id, axis, underdiagnosis FROM u WHERE level = CASE axis WHEN 'sex' THEN 'M' ELSE '40-59' END) r USING (run_id, axis)""",
+}
+ORACLE_SQL["bias_comparison"] = f"""{_FIRED}, {_again(_K, 'fired', 'rk').replace(', 6)', ', 15)')}, m AS (SELECT {_K}, 1 - CAST(sum(fired * label) AS DOUBLE) / nullif(sum(label), 0) AS fnr FROM fired GROUP BY {_K}),
+i AS (SELECT run_id, study_id, max(fired) AS fired FROM fired GROUP BY run_id, study_id HAVING max(label) = 1), u AS (SELECT run_id, round(avg(CASE WHEN fired = 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS underdiagnosis FROM i GROUP BY run_id),
+o AS (SELECT run_id, round(avg(auroc), 6) AS auroc, round(avg(fnr), 6) AS fnr FROM rk JOIN m USING ({_K}) GROUP BY run_id),
+s AS (SELECT run_id, """ + ", ".join(
+    f"max(CASE WHEN axis = '{a}' AND level = '{v}' THEN {m}_gap END) AS {f'{a}_{v}_{m}'.replace('-', '_')}_gap, coalesce(bool_or(axis = '{a}' AND level = '{v}' AND {m}_resolved), false) AS {f'{a}_{v}_{m}'.replace('-', '_')}_resolved"
+    for a, vs in LEVELS.items() for v in vs if v != subgroups.REFERENCE[a] for m in reports.GAPS
+) + f""" FROM ({ORACLE_SQL['subgroup_report']}) GROUP BY run_id) SELECT * FROM o JOIN u USING (run_id) JOIN s USING (run_id)"""
+ORACLE_SQL["localization_fired"] = _SCORED.replace("WITH m AS (SELECT vec_id AS image_id, label AS class_idx, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i", """WITH t AS (SELECT vec_id, label, 0 AS stage, embedding FROM embeddings UNION ALL SELECT vec_id, label, 1, list_concat(embedding[2:], embedding[:1]) FROM embeddings),
+m AS (SELECT 'stage_' || stage AS method, vec_id AS image_id, label AS class_idx, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i""").replace("AS h FROM embeddings)", "AS h FROM t)").replace("SELECT image_id, class_idx", "SELECT method, image_id, class_idx").replace("GROUP BY image_id, class_idx", "GROUP BY method, image_id, class_idx") + f""",
+p AS (SELECT image_id, class_idx, score >= 0.5 AS fired FROM ({ORACLE_SQL['batch_scores']})), w AS (SELECT s.*, unnest(CASE WHEN fired THEN ['all', 'fired'] ELSE ['all'] END) AS "where" FROM scored s JOIN p USING (image_id, class_idx)),
+e AS (SELECT method, "where", class_idx, count(*) AS instances, avg(CASE WHEN hit THEN 1.0::DOUBLE ELSE 0 END) AS pointing, avg(energy) AS energy, avg(area) AS baseline, avg(CASE WHEN degenerate THEN 1.0::DOUBLE ELSE 0 END) AS degenerate FROM w GROUP BY 1, 2, 3),
+f AS (SELECT * FROM e UNION ALL SELECT method, "where", NULL, CAST(sum(instances) AS BIGINT), avg(pointing), avg(energy), avg(baseline), avg(degenerate) FROM e GROUP BY 1, 2)
+SELECT method, "where", class_idx, instances, round(pointing, 6) AS pointing, round(energy, 6) AS energy, round(baseline, 6) AS baseline, round(degenerate, 6) AS degenerate FROM f"""

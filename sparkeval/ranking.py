@@ -1,6 +1,7 @@
 """Exact threshold sweeps, AUROC and average precision for any number of runs and classes.
 
-Scores are first counted per (key, score), so a class's window holds distinct scores, not rows; equal scores enter together.
+Scores are first counted per (key, score), so that equal scores enter together. Counts are dealt over ranges of scores: a window holds the
+distinct scores of one range, and sums over the ranges before it join the ranges, however many scores a class has.
 """
 
 from __future__ import annotations
@@ -10,34 +11,45 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkeval.staging import before_parts, ranged, same_keys
+
 KEYS = ("run_id", "class_idx")
 
 
 def score_counts(pred: DataFrame, keys: Sequence[str] = KEYS, weight: str | None = None) -> DataFrame:
     """Positives and rows at each score; a row counts `weight` times where a weight column is named."""
     times = F.col(weight) if weight else F.lit(1)
-    return pred.groupBy(*keys, "score").agg(F.sum(F.col("label") * times).alias("pos"), F.sum(times).cast("long").alias("n"))
+    return pred.groupBy(*keys, "score").agg(F.sum(F.col("label") * times).cast("long").alias("pos"), F.sum(times).cast("long").alias("n"))
+
+
+def swept(counts: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """counts (key, score, pos, n) with tp and fp at each score as a threshold that takes scores equal to it, and the key's p and total."""
+    down = F.desc("score")
+    c = ranged(counts, keys, [down], "score_ranges")
+    # a row for each range, and one more for each key
+    c = same_keys(c, F.broadcast(before_parts(c, keys, {"pos": F.sum("pos"), "n": F.sum("n")})), [*keys, "part"])
+    w = Window.partitionBy(*keys, "part").orderBy(down).rowsBetween(Window.unboundedPreceding, 0)
+    c = c.withColumns({"tp": F.sum("pos").over(w) + F.col("pos_before"), "called": F.sum("n").over(w) + F.col("n_before")})
+    return c.select(*keys, "score", "pos", "n", "tp", (F.col("called") - F.col("tp")).alias("fp"), F.col("pos_all").alias("p"), F.col("n_all").alias("total"))
 
 
 def confusion_sweep(pred: DataFrame, keys: Sequence[str] = KEYS, weight: str | None = None) -> DataFrame:
     """tp, fp, fn and tn at each distinct score, as a threshold that takes scores equal to it."""
-    w = Window.partitionBy(*keys)
-    down = w.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    c = score_counts(pred, keys, weight).withColumns({"tp": F.sum("pos").over(down), "fp": F.sum(F.col("n") - F.col("pos")).over(down), "p": F.sum("pos").over(w), "total": F.sum("n").over(w)})
+    c = swept(score_counts(pred, keys, weight), keys)
     return c.select(*keys, "score", "pos", "n", "tp", "fp", (F.col("p") - F.col("tp")).alias("fn"), (F.col("total") - F.col("p") - F.col("fp")).alias("tn"))
 
 
 def rank_metrics(pred: DataFrame, keys: Sequence[str] = KEYS, weight: str | None = None) -> DataFrame:
     """support, n, auroc (null unless both outcomes occur) and auprc (null without positives) for each key."""
     s = confusion_sweep(pred, keys, weight).withColumn("neg", F.col("n") - F.col("pos"))
-    # negatives below a score are the true negatives there
-    area = F.sum(F.col("pos") * (2 * F.col("tn") + F.col("neg")))
+    # negatives below a score are the true negatives there; products of counts outgrow a long
+    area = F.sum(F.col("pos").cast("decimal(18,0)") * (2 * F.col("tn") + F.col("neg")).cast("decimal(19,0)"))
     positives, negatives = F.sum("pos"), F.sum("neg")
     precision = F.sum(F.col("pos") * (F.col("tp") / (F.col("tp") + F.col("fp"))))
     return s.groupBy(*keys).agg(
         positives.alias("support"),
         F.sum("n").alias("n"),
-        F.try_divide(area.cast("double"), 2 * positives * negatives).alias("auroc"),
+        F.try_divide(area.cast("double"), 2.0 * positives * negatives).alias("auroc"),
         F.try_divide(precision, positives).alias("auprc"),
     )
 
@@ -45,3 +57,9 @@ def rank_metrics(pred: DataFrame, keys: Sequence[str] = KEYS, weight: str | None
 def macro(metrics: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Averages over classes that have a value; null if none has."""
     return metrics.groupBy(*keys).agg(*[F.avg(c).alias(f"macro_{c}") for c in columns])
+
+
+def epoch_metrics(pred: DataFrame, keys: Sequence[str] = ("run_id", "epoch"), class_col: str = "class_idx") -> DataFrame:
+    """Macro AUROC and average precision of each epoch, 0 where no class has one."""
+    m = macro(rank_metrics(pred, (*keys, class_col)), keys, ["auroc", "auprc"])
+    return m.na.fill(0.0, ["macro_auroc", "macro_auprc"])

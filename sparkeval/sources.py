@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
@@ -19,8 +20,9 @@ def read_metadata(spark: SparkSession, path: str, schema: str = METADATA) -> Dat
 
 
 def parsed_age(column: str = "age") -> Column:
-    """A number from text like 58, 058 or 058Y; null where there is none."""
-    return F.regexp_extract(F.trim(F.col(column)), r"^([0-9]+)Y?$", 1).try_cast("int")
+    """Text as a number, such as 58 or 58.5; null for anything else."""
+    v = F.trim(F.col(column)).try_cast("double")
+    return F.when(~F.isnan(v), v)
 
 
 def read_split_list(spark: SparkSession, path: str) -> DataFrame:
@@ -33,9 +35,16 @@ def in_list(studies: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def image_index(spark: SparkSession, folders: Sequence[str]) -> DataFrame:
-    """image_id and path of every .png below the folders; of equal names the one in the later folder. Raises if there is none."""
-    found = None
+    """image_id and path of every .png below the folders; of equal names the one in the later folder.
+
+    A folder that does not exist is warned of and left out; raises if there is no image at all.
+    """
+    found, jvm, conf = None, spark._jvm, spark._jsc.hadoopConfiguration()
     for place, folder in enumerate(folders):
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        if not path.getFileSystem(conf).exists(path):
+            warnings.warn(f"no folder {folder}", stacklevel=2)
+            continue
         files = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").option("recursiveFileLookup", True).load(folder)
         files = files.select("path", F.lit(place).alias("place"))
         found = files if found is None else found.unionByName(files)
@@ -74,8 +83,10 @@ def scale_boxes(boxes: DataFrame, width: int, height: int) -> DataFrame:
 
 
 def annotated(boxes: DataFrame, studies: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Boxes with their study's columns, one row of a study that occurs twice, and the boxes without a study."""
-    once = studies.dropDuplicates(["image_id"])
+    """Boxes with their study's columns, the first row of a study that occurs twice, and the boxes without a study."""
+    columns = [c for c in studies.columns if c != "image_id"]
+    at = studies.withColumn("__row", F.monotonically_increasing_id())  # rows of a file keep their order
+    once = at.groupBy("image_id").agg(F.min_by(F.struct(*columns), "__row").alias("__s")).select("image_id", "__s.*")
     return boxes.join(once, "image_id"), boxes.join(once, "image_id", "left_anti")
 
 
@@ -115,15 +126,18 @@ def parse_member(spec: str) -> tuple[str, str]:
 
 
 def to_wide(pred: DataFrame, keys: Sequence[str] = ("study_id", "patient_id")) -> DataFrame:
-    """A row for each study with `labels` and `scores` in the order of the classes."""
+    """A row for each study with `classes`, and `labels` and `scores` in their order."""
     cells = F.array_sort(F.collect_list(F.struct("class_idx", "label", "score")))
-    return pred.groupBy(*keys).agg(cells.alias("c")).select(*keys, F.col("c.label").alias("labels"), F.col("c.score").alias("scores"))
+    return pred.groupBy(*keys).agg(cells.alias("c")).select(*keys, F.col("c.class_idx").alias("classes"), F.col("c.label").alias("labels"), F.col("c.score").alias("scores"))
 
 
 def to_long(wide: DataFrame) -> DataFrame:
-    rest = [c for c in wide.columns if c not in ("labels", "scores")]
-    cells = wide.select(*rest, F.posexplode(F.arrays_zip("labels", "scores")).alias("class_idx", "c"))
-    return cells.select(*rest, "class_idx", F.col("c.labels").alias("label"), F.col("c.scores").alias("score"))
+    """A row for each study and class; the classes are those of the column `classes`, or else the places in the arrays."""
+    rest = [c for c in wide.columns if c not in ("labels", "scores", "classes")]
+    place = F.posexplode(F.arrays_zip("labels", "scores")).alias("place", "c")
+    cells = wide.select(*rest, *(["classes"] if "classes" in wide.columns else []), place)
+    klass = F.get("classes", F.col("place")) if "classes" in wide.columns else F.col("place")
+    return cells.select(*rest, klass.alias("class_idx"), F.col("c.labels").alias("label"), F.col("c.scores").alias("score"))
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
@@ -132,6 +146,22 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return r.withColumns({"experiment": F.regexp_extract("__f", r"([^/]+)/results/[^/]+$", 1), "model": F.regexp_extract("__f", r"([^/]+)_results\.json$", 1)}).drop("__f")
 
 
+def read_thresholds(spark: SparkSession, path: str) -> DataFrame:
+    """Saved thresholds with their status and the settings they were tuned under; values rounded to 4 places, as reports have them."""
+    t = spark.read.parquet(path)
+    return t.withColumn("threshold", F.round("threshold", 4))
+
+
+def with_train_size(results: DataFrame, summaries: DataFrame) -> DataFrame:
+    """results with `train_images` of their experiment, null where it has no summary. summaries: experiment, split, n."""
+    sizes = summaries.where("split = 'train'").groupBy("experiment").agg(F.max("n").alias("train_images"))
+    return results.join(sizes, "experiment", "left")
+
+
+def mean_image_size(images: DataFrame) -> DataFrame:
+    return images.agg(F.count("*").alias("n"), F.avg("width").alias("width"), F.avg("height").alias("height"))
+
+
 def check_patients(pred: DataFrame, studies: DataFrame) -> None:
     """Raise unless every study of the predictions has metadata with the same patient."""
     p = pred.select("study_id", F.col("patient_id").alias("own")).distinct().join(studies.select("study_id", "patient_id").distinct(), "study_id", "left")

@@ -6,6 +6,7 @@ patients is of no matter to it, and no window or join runs over them.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -13,6 +14,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkeval.labels import sample_rows
+from sparkeval.staging import numbered
+
 BUCKETS = 65536
 
 
@@ -75,8 +79,15 @@ def stratified_folds(patients: DataFrame, labels: Sequence[str], proportions: Se
     return patients.withColumn("fold", stratify(patients, labels, proportions, seed, key).fold(key))
 
 
-def train_val_split(images: DataFrame, patients: DataFrame, labels: Sequence[str], val: float = 0.1, seed: int = 42, key: str = "patient_id") -> DataFrame:
-    """images with `split`, train or val; all images of a patient on one side."""
+def train_val_split(images: DataFrame, patients: DataFrame, labels: Sequence[str], val: float = 0.1, seed: int = 42, key: str = "patient_id", id_col: str = "study_id") -> DataFrame:
+    """images with `split`, train or val; all images of a patient on one side.
+
+    Without a patient column, or with fewer than two patients, images are split one by one: the first ones in the order of a hash are val.
+    """
+    if key not in images.columns or images.select(key).distinct().limit(2).count() < 2:
+        held = math.ceil(val * images.count())
+        placed = numbered(images, (), [F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)), id_col], "image_places", "__place")
+        return placed.withColumn("split", F.when(F.col("__place") < held, "val").otherwise("train")).drop("__place")
     side = stratified_folds(patients, labels, [1 - val, val], seed, key).select(key, F.when(F.col("fold") == 0, "train").otherwise("val").alias("split"))
     return images.join(side, key)
 
@@ -93,9 +104,14 @@ def order_shards(counts: np.ndarray, sizes: np.ndarray) -> list[int]:
 
 
 def nested_subset(images: DataFrame, patients: DataFrame, labels: Sequence[str], n: int, shards: int = 100, seed: int = 42, key: str = "patient_id", id_col: str = "study_id") -> DataFrame:
-    """n images, a prefix of one stratified order: smaller subsets lie in larger ones. All images if n is not positive or reaches their number."""
+    """n images, a prefix of one stratified order: smaller subsets lie in larger ones. All images if n is not positive or reaches their number.
+
+    Without a patient column the n first images in the order of a hash.
+    """
     if n <= 0 or images.count() <= n:
         return images
+    if key not in images.columns:
+        return sample_rows(images, n, id_col, seed)
     folds = stratified_folds(patients, labels, [1 / shards] * shards, seed, key)
     rows = folds.groupBy("fold").agg(*[F.sum(c).cast("double").alias(f"s{i}") for i, c in enumerate((*labels, "images"))]).collect()  # a row for each shard
     counts, sizes = np.zeros((shards, len(labels))), np.zeros(shards)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sparkeval.ensemble import log_odds
 from sparkeval.labels import grouped_folds
+from sparkeval.staging import stage
 
 FULL = -1  # the fold of a model fitted on all rows
 COEFFICIENTS = "class_idx int, fold int, w array<double>"
@@ -78,7 +79,7 @@ def apply_stackers(features: DataFrame, models: DataFrame) -> DataFrame:
 def stacked_predictions(val: DataFrame, test: DataFrame, members: int, folds: int = 5, c: float = 0.3, min_positives: int = 50) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Validation scores from models that never saw the patient, test scores from the models of all rows, and the coefficients."""
     f = member_features(val)
-    f = f.join(grouped_folds(f, folds), "patient_id").persist()
+    f = stage(f.join(grouped_folds(f, folds), "patient_id"), "stacker_features")
     models = fit_stackers(f, members, c, min_positives)
     return apply_stackers(f, models), apply_stackers(member_features(test).withColumn("fold", F.lit(FULL)), models), models
 

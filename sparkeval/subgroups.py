@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkeval.labels import age_band
@@ -12,9 +12,14 @@ from sparkeval.thresholds import safe_ratio
 REFERENCE = {"sex": "M", "age": "40-59"}
 
 
+def sex_level(column: str = "sex") -> Column:
+    """M or F; null for anything else."""
+    return F.when(F.col(column).isin("M", "F"), F.col(column))
+
+
 def by_level(fired: DataFrame) -> DataFrame:
     """Each row once for each axis it has a level on."""
-    levels = F.filter(F.array(F.struct(F.lit("sex").alias("axis"), F.col("sex").alias("level")), F.struct(F.lit("age").alias("axis"), age_band().alias("level"))), lambda x: x["level"].isNotNull())
+    levels = F.filter(F.array(F.struct(F.lit("sex").alias("axis"), sex_level().alias("level")), F.struct(F.lit("age").alias("axis"), age_band().alias("level"))), lambda x: x["level"].isNotNull())
     return fired.withColumn("__l", F.explode(levels)).withColumns({"axis": F.col("__l.axis"), "level": F.col("__l.level")}).drop("__l")
 
 
