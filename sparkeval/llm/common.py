@@ -2,57 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: A side of at most so many narrow rows is broadcast; a larger one is joined by shuffles.
-BROADCAST_ROWS = 200_000
+from sparkeval.staging import drop_staged, shared_folder, stage
 
+__all__ = ["BROADCAST_BYTES", "blob", "drop_staged", "hash_bucket", "ranked", "read", "runs_of", "shared_folder", "small", "stage"]
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-@cache
-def _own_folder() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="spark-stage-")
-
+#: A side of at most so many bytes is broadcast; a larger one is joined by shuffles.
+BROADCAST_BYTES = 32 << 20
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only in local mode with none set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return _own_folder()
 
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: computed once, its lineage cut, safe when executors go."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_staged(df: DataFrame) -> None:
-    """Delete the files of a staged table that nothing reads any more."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast df if its counted rows are within the bound; beyond it Spark joins by shuffles and splits skewed keys."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def small(df: DataFrame, rows: int, width: int = 128) -> DataFrame:
+    """Broadcast df if its counted rows of about `width` bytes are within the bound; beyond it Spark joins by shuffles and splits skewed keys."""
+    return F.broadcast(df) if rows * width <= BROADCAST_BYTES else df
 
 
 def hash_bucket(column: Column, buckets: int | Column) -> Column:

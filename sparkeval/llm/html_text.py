@@ -1,9 +1,10 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page becomes a row of text blocks with the path of elements around each. A linear classifier turns a block's path and
-text into the cost of calling it content or boilerplate; blocks that follow each other or share an element are tied by smoothness edges,
-stronger the closer they are in the element tree. The cheapest labelling is a minimum cut between the two terminals, found by
-maximum flow; blocks whose own costs outweigh all their edges are settled before, which keeps the flow small.
+A page becomes a row of text blocks in a tree of elements. A linear classifier turns a block's text (length, links, sentence end, wording), its
+own element and the containers around it into log-odds, the terminal capacities: what calling it content or boilerplate costs. Blocks that
+follow each other or share an element are tied by smoothness edges, stronger the closer they are in the element tree. The cheapest labelling is
+a minimum cut between the two terminals, found by maximum flow. Odds are of the order of the edges, so that short blocks without clear evidence
+go with their neighbours.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from sparkeval.llm.common import read
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|svg|iframe|object|select|math|canvas|audio|video)\b[^>]*+>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|noscript|template|textarea|svg|iframe|select|canvas|audio|video)\b[^>]*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|</?[a-zA-Z][^>]*+>"
     r"|<[!?][^>]*+>"
@@ -39,11 +40,17 @@ BLOCK = frozenset(
 VOID = frozenset("hr".split())
 LIST_LIKE = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",), "option": ("option",)}
 SCOPES = frozenset("article aside blockquote body div dl fieldset footer form header main menu nav ol section table ul".split())
-# classifier: what an element around a block says, in favour of content (positive) or of boilerplate (negative)
-BY_TAG = {
-    "article": 6.0, "main": 4.0, "nav": -12.0, "footer": -10.0, "aside": -10.0, "form": -10.0, "menu": -10.0, "head": -30.0, "title": -30.0,
-    "button": -12.0, "label": -6.0, "fieldset": -8.0, "dialog": -10.0, "option": -12.0, "select": -12.0, "header": -5.0, "blockquote": 1.0,
+# classifier, in log-odds of content: containers (an element inside another one of ill repute stays there), a block's own element, its text
+CONTAINERS = {
+    "nav": -6.0, "menu": -6.0, "footer": -5.0, "form": -5.0, "button": -5.0, "aside": -4.0, "dialog": -4.0, "fieldset": -4.0, "label": -4.0, "option": -6.0,
+    "head": -12.0, "title": -12.0,
 }
+ARTICLE, MAIN, GOOD_NAME, BAD_NAME, HEADER, HIDDEN = 2.5, 1.5, 1.0, -4.0, -3.0, -12.0
+BYLINE = -2.0  # what stands in an article's own header and is no heading
+OWN = {"p": 0.5, "h1": 1.5, "h2": 0.5, "h3": 0.5, "h4": 0.3, "h5": 0.3, "h6": 0.3, "li": -0.3, "td": -0.3, "th": -0.3, "pre": 0.5, "blockquote": 0.5}
+BIAS, LENGTH, LONG, SENTENCE, LINKS, WORDING = -0.5, 1.8, 250, 0.6, -4.0, -2.0
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+# fixed lists: words of class names and the like that speak against a container, for it, or only of the page's state
 BAD_NAMES = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer form "
     "gdpr hidden login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup popular promo promoted "
@@ -51,41 +58,64 @@ BAD_NAMES = frozenset(
     "subscription tags toolbar topbar tracking warning widget widgets contentinfo complementary".split()
 )
 GOOD_NAMES = frozenset("article articlebody body content entry main post story text".split())
-BAD, GOOD, HEADER_NAME = -10.0, 2.0, -5.0
-ADJACENT, SIBLING = 2.0, 1.5  # most that smoothness can weigh; halved with each step in the element tree
+STATE_FIRST, STATE_LAST = frozenset("has is no with without".split()), frozenset("closed disabled enabled layout off on open page template".split())
+NOTICE = re.compile(r"©|\bcopyright\b|\bcookies?\b|all rights reserved|\badvertisement\b|\bsubscribe\b|^(?:read more|share this|skip to|sign in|log in)\b", re.I)
+HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
+# most that smoothness can weigh, halved with each step in the element tree
+ADJACENT, SIBLING = 0.8, 0.6
+
+
+class Node:
+    """An element: its tag, what its attributes say, and what lies around it."""
+
+    __slots__ = ("tag", "parent", "depth", "names", "own", "ill", "length", "core", "bonus", "penalty", "byline")
+
+    def __init__(self, tag: str, parent: Node | None, names: int, own: float):
+        self.tag, self.parent, self.names, self.own = tag, parent, names, own
+        self.depth, self.length, self.core = parent.depth + 1 if parent else 0, 0, False
+        self.ill = parent is not None and (parent.ill or parent.names == BAD)  # somewhere inside an element with a bad name
+        self.bonus = self.penalty = self.byline = 0.0
 
 
 class Block:
-    __slots__ = ("text", "path", "score", "linked")
-
-    def __init__(self, text: str, path: tuple, score: float, linked: int):
-        self.text, self.path, self.score, self.linked = text, path, score, linked
-
-
-def element_score(tag: str, attributes: str) -> float:
-    score = BY_TAG.get(tag, 0.0)
-    if attributes:
-        for m in ATTRIBUTE.finditer(attributes):
-            key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-            if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
-                score += 3 * BAD
-            elif key != "style" and tag not in ("html", "body"):
-                names = set(NAME.findall(value))
-                if names & BAD_NAMES:
-                    score += BAD
-                elif "header" in names:
-                    score += HEADER_NAME
-                elif names & GOOD_NAMES:
-                    score += GOOD
-    return score
+    __slots__ = ("text", "node", "linked")
+
+    def __init__(self, text: str, node: Node, linked: int):
+        self.text, self.node, self.linked = text, node, linked
+
+
+NEUTRAL, GOOD, BAD, HEAD = 0, 1, 2, 3
+
+
+def named(attributes: str) -> tuple[int, float]:
+    """Whether an element's names speak for or against it, and the cost of being hidden."""
+    kind, own = NEUTRAL, 0.0
+    for m in ATTRIBUTE.finditer(attributes):
+        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and "display:none" in value.replace(" ", "").lower():
+            own = HIDDEN
+        elif key != "style":
+            for token in value.split():
+                words = NAME.findall(HUMP.sub("-", token).lower())
+                if not words or words[0] in STATE_FIRST or len(words) > 1 and words[-1] in STATE_LAST:
+                    continue
+                if BAD_NAMES.intersection(words) or "".join(words) in BAD_NAMES:
+                    kind = BAD
+                elif "header" in words and kind != BAD:
+                    kind = HEAD
+                elif words[-1] in GOOD_NAMES and kind == NEUTRAL:
+                    kind = GOOD
+    return kind, own
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Text blocks in page order; inline elements and line breaks don't end a block."""
+    """Text blocks in page order, with the containers' evidence; inline elements and line breaks don't end a block."""
     out: list[Block] = []
-    stack: list[tuple[str, int, float]] = []  # tag, number of the element, score with all around it
+    root = Node("", None, NEUTRAL, 0.0)
+    nodes, stack = [root], [root]
+    opened: dict[str, int] = {}
     parts: list[str] = []
-    elements = linked = in_link = at = 0
+    linked = in_link = at = 0
 
     def flush() -> None:
         nonlocal linked
@@ -95,16 +125,21 @@ def blocks_of(page: str) -> list[Block]:
                 text = html.unescape(text)
             text = " ".join(text.split())
             if text:
-                out.append(Block(text, tuple(s[:2] for s in stack), stack[-1][2] if stack else 0.0, min(linked, len(text))))
+                out.append(Block(text, stack[-1], min(linked, len(text))))
+                stack[-1].length += len(text) - out[-1].linked
             parts.clear()
         linked = 0
 
     def close(names: tuple[str, ...], within: frozenset[str] = frozenset()) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in names:
+        if not any(opened.get(t) for t in names):
+            return
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].tag in names:
+                for n in stack[i:]:
+                    opened[n.tag] -= 1
                 del stack[i:]
                 return
-            if stack[i][0] in within:
+            if stack[i].tag in within:
                 return
 
     for m in TOKEN.finditer(page):
@@ -127,34 +162,68 @@ def blocks_of(page: str) -> list[Block]:
         flush()
         in_link = 0
         if m[2]:
-            close((tag,), frozenset() if tag in SCOPES else frozenset(SCOPES - {tag}))
+            close((tag,), frozenset() if tag in SCOPES else SCOPES)
             continue
-        if stack and stack[-1][0] == "p":
-            stack.pop()
+        if stack[-1].tag == "p":
+            close(("p",))
         if tag in LIST_LIKE:
             close(LIST_LIKE[tag], SCOPES)
         if tag in VOID:
             continue
-        elements += 1
-        stack.append((tag, elements, (stack[-1][2] if stack else 0.0) + element_score(tag, m[4])))
+        names, own = named(m[4]) if m[4] and tag not in ("html", "body") else (NEUTRAL, 0.0)
+        stack.append(Node(tag, stack[-1], names, own))
+        nodes.append(stack[-1])
+        opened[tag] = opened.get(tag, 0) + 1
     if at < len(page):
         parts.append(page[at:])
     flush()
+    weigh(nodes)
     return out
 
 
+def weigh(nodes: list[Node]) -> None:
+    """What the containers around each element say. A container that holds the page's core (its main element, first h1 or longest article, or
+    nine tenths of the text where there is none of these) is not judged by its names."""
+    for n in reversed(nodes[1:]):
+        n.parent.length += n.length
+    cores = [n for n in nodes if n.tag == "main"][:1] + [n for n in nodes if n.tag == "h1"][:1]
+    articles = [n for n in nodes if n.tag == "article" and n.names != BAD]
+    apart = [n for n in articles if not n.ill]
+    if apart or articles and not cores:
+        cores.append(max(apart or articles, key=lambda n: n.length))
+    for n in cores:
+        n = n if n.tag in ("article", "main") else n.parent
+        while n is not None and not n.core:
+            n.core, n = True, n.parent
+    if not cores:
+        for n in nodes:
+            n.core = n.length >= 0.9 * nodes[0].length > 0
+    for n in nodes[1:]:
+        up = n.parent
+        n.bonus, n.penalty, n.byline = up.bonus, up.penalty, up.byline
+        bad = min(CONTAINERS.get(n.tag, 0.0), n.own, BAD_NAME if n.names == BAD and not n.core else 0.0)
+        if n.tag == "header" or n.names == HEAD:
+            if n.core or n.bonus:
+                n.byline = BYLINE
+            else:
+                bad = min(bad, HEADER)
+        if bad:
+            n.penalty, n.bonus = min(n.penalty, bad), 0.0
+        elif not n.penalty:
+            n.bonus = max(n.bonus, ARTICLE if n.tag == "article" else MAIN if n.tag == "main" else GOOD_NAME if n.names == GOOD else 0.0)
+
+
 def classifier(block: Block) -> float:
     """Log-odds that a block is content."""
-    n = len(block.text)
-    score = -1.0 + block.score + min(n, 400) / 200 - 5.0 * block.linked / n
+    n, node = len(block.text), block.node
+    score = BIAS + LENGTH * min(n, LONG) / LONG + LINKS * block.linked / n + OWN.get(node.tag, 0.0) + node.penalty
     if block.text[-1] in ".!?…\"'»”":
-        score += 0.5
-    tags = {t for t, _ in block.path}
-    if tags & {"h1", "h2", "h3"}:
-        score += 1.0
-    if "article" not in tags and "main" not in tags and "p" in tags:
-        score += 1.0
-    return score
+        score += SENTENCE
+    if n < LONG and NOTICE.search(block.text):
+        score += WORDING
+    if node.byline and node.tag not in HEADINGS:
+        return score + node.byline
+    return score + node.bonus
 
 
 def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
@@ -162,77 +231,72 @@ def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
     edges, last = [], {}
     for i, b in enumerate(blocks):
         if i:
-            edges.append((i - 1, i, ADJACENT * 0.5 ** distance(blocks[i - 1].path, b.path)))
-        parent = b.path[:-1]
-        if parent in last and last[parent] < i - 1:
-            edges.append((last[parent], i, SIBLING * 0.5 ** distance(blocks[last[parent]].path, b.path)))
+            edges.append((i - 1, i, ADJACENT * 0.5 ** distance(blocks[i - 1].node, b.node)))
+        parent = id(b.node.parent)
+        if last.get(parent, i) < i - 1:
+            edges.append((last[parent], i, SIBLING))
         last[parent] = i
     return edges
 
 
-def distance(a: tuple, b: tuple) -> int:
-    """Steps in the element tree between two blocks, less the two that siblings are apart."""
-    same = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        same += 1
-    return max(0, len(a) + len(b) - 2 * same - 2)
+def distance(a: Node, b: Node) -> int:
+    """Steps in the element tree between two elements, less the two that siblings are apart; more than 20 are as good as 20."""
+    steps = 0
+    while a is not b and steps < 22:
+        if a.depth >= b.depth:
+            a = a.parent
+        else:
+            b = b.parent
+        steps += 1
+    return max(0, steps - 2)
 
 
 def minimum_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """The labelling of least cost: odds are the terminal capacities, edges cost their weight where labels differ."""
-    n = len(odds)
-    tied: list[dict[int, float]] = [{} for _ in range(n)]
+    tied: list[dict[int, float]] = [{} for _ in odds]
     for i, j, w in edges:
         tied[i][j] = tied[i].get(j, 0.0) + w
         tied[j][i] = tied[j].get(i, 0.0) + w
-    label: list[bool | None] = [None] * n
-    odds = list(odds)
-    look = deque(range(n))
-    while look:  # a block whose odds outweigh its open edges keeps its own label in some cheapest labelling
-        i = look.popleft()
-        if label[i] is None and abs(odds[i]) >= sum(tied[i].values()):
-            label[i] = odds[i] > 0
-            for j, w in tied[i].items():
-                odds[j] += w if label[i] else -w
-                del tied[j][i]
-                look.append(j)
-            tied[i] = {}
-    rest = [i for i in range(n) if label[i] is None]
-    if rest:
-        content = max_flow(odds, tied, rest)
-        for i in rest:
-            label[i] = i in content
-    return [bool(x) for x in label]
-
-
-def max_flow(odds: list[float], tied: list[dict[int, float]], rest: list[int]) -> set[int]:
-    """Augmenting shortest paths from source (-1) to sink (-2); returns the blocks on the source's side."""
-    left: dict[int, dict[int, float]] = {i: dict(tied[i]) for i in rest} | {-1: {}, -2: {}}
-    for i in rest:
-        if odds[i] > 0:
-            left[-1][i], left[i][-1] = odds[i], 0.0
+    content = max_flow(odds, tied)
+    return [i in content for i in range(len(odds))]
+
+
+def max_flow(odds: list[float], tied: list[dict[int, float]]) -> set[int]:
+    """Blocking flows over shortest paths from source (-1) to sink (-2); returns the blocks on the source's side."""
+    left: dict[int, dict[int, float]] = dict(enumerate(tied)) | {-1: {}, -2: {}}
+    for i, odd in enumerate(odds):
+        if odd > 0:
+            left[-1][i], left[i][-1] = odd, 0.0
         else:
-            left[i][-2], left[-2][i] = -odds[i], 0.0
+            left[i][-2], left[-2][i] = -odd, 0.0
     while True:
-        came, look = {-1: -1}, deque([-1])
-        while look and -2 not in came:
+        level, look = {-1: 0}, deque([-1])
+        while look:
             i = look.popleft()
             for j, c in left[i].items():
-                if c > 1e-9 and j not in came:
-                    came[j] = i
+                if c > 1e-9 and j not in level:
+                    level[j] = level[i] + 1
                     look.append(j)
-        if -2 not in came:
-            return {i for i in came if i >= 0}
-        path, j = [], -2
-        while j != -1:
-            path.append((came[j], j))
-            j = came[j]
-        flow = min(left[i][j] for i, j in path)
-        for i, j in path:
-            left[i][j] -= flow
-            left[j][i] = left[j].get(i, 0.0) + flow
+        if -2 not in level:
+            return {i for i in level if i >= 0}
+        todo = {i: iter(list(left[i])) for i in level}
+        path = [-1]
+        while path:
+            i = path[-1]
+            if i == -2:
+                flow = min(left[a][b] for a, b in zip(path, path[1:]))
+                for a, b in zip(path, path[1:]):
+                    left[a][b] -= flow
+                    left[b][a] = left[b].get(a, 0.0) + flow
+                full = next(k for k, (a, b) in enumerate(zip(path, path[1:])) if left[a][b] <= 1e-9)
+                del path[full + 1 :]
+                continue
+            for j in todo[i]:
+                if left[i].get(j, 0.0) > 1e-9 and level.get(j) == level[i] + 1:
+                    path.append(j)
+                    break
+            else:
+                path.pop()  # a dead end: the edge that led here is not looked at again
 
 
 def main_text(page: str | None) -> str:

@@ -192,8 +192,9 @@ def identify(
     n_hosts, n_declared, n_suffix = hosts.count(), by_declared.count(), by_suffix.count()
     total = base.agg(_sums("soft", k)).first()[0]  # one row
 
-    near = base.join(small(hosts.join(domains, "domain").drop("domain"), n_hosts), "host", "left")
-    near = near.join(small(by_declared, n_declared), "declared", "left").join(small(by_suffix, n_suffix), "suffix", "left")
+    wide = 16 * k + 128  # bytes of a row with two arrays of sums
+    near = base.join(small(hosts.join(domains, "domain").drop("domain"), n_hosts, wide), "host", "left")
+    near = near.join(small(by_declared, n_declared, wide), "declared", "left").join(small(by_suffix, n_suffix, wide), "suffix", "left")
     kept = ["id", "declared", "suffix", "host", *["row"] * rows, "grams"]
     near = near.select(*kept, "loglik", "soft", *LEVELS)
     fields = fields.replace("host string", "suffix string, host string")
