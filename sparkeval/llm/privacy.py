@@ -1,10 +1,11 @@
 """Personal data by bootstrapped contextual extraction.
 
 Fixed patterns find the seeds: e-mail and IP addresses, card and phone numbers. Their places come from the pieces between matches, by a
-running sum. The one to three words in front of a seed, as in "mail:", "id =" or "call me at", become lexical patterns; every place
-where such words stand before a value is an edge between a pattern and an instance. Rounds of joins and grouped sums score patterns by
-the share of their values that are known and instances by the patterns that point to them, until no pattern is added; patterns that
-score high give the spans of identifiers that the seed patterns miss.
+running sum. The one to three words in front of a seed, as in "mail:", "id =" or "call me at", and the two or three words behind it, as in
+"is my number", become lexical patterns; every place where such words stand beside a value is an edge between a pattern and an instance. A
+single word is a pattern only with : or = between it and the value: by itself it may stand before anything. Rounds of joins and
+grouped sums score patterns by the share of their values that are known and instances by the patterns that point to them, until no
+pattern is added; patterns that score high give the spans of identifiers that the seed patterns miss.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from sparkeval.llm.common import drop_staged, read, stage
 
 KINDS = ("email", "ip", "card", "phone")
 LABEL = len(KINDS)
+BEHIND = LABEL + 1
 # Possessive forms of the seed patterns: a run of characters is tried once, from its start or from the end of the last match.
 SEEDS = (
     r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -40,6 +42,8 @@ LABELLED = (
     r"(?<!\p{L})(?:\p{L}{1,30}+\s{1,3}+){0,2}\p{L}{1,30}+(?:\s?[:=.#]\s{0,3}|\s{1,3})(?:[\"'<]|\((?=\p{L}))?"
     r"(?=(" + "|".join(SHAPES) + r")|(?<=[:=]\s{0,3}[\"']?)[^\s\"']{4})"
 )
+#: A value, and behind it two or three words (group 2).
+FOLLOWED = r"(?<![^\s\"'<(\[:=])(" + "|".join(SHAPES) + r")(?=[\"'>)\]]?[\s,;]{1,3}(\p{L}{1,30}\s{1,3}\p{L}{1,30}(?:\s{1,3}\p{L}{1,30})?)(?!\p{L}))"
 #: The part of a value that is an identifier, by kind; the longest that a number's digits allow.
 LOOKS = (
     r"^[^@\s]+(?:@|[\[(]at[\])])[^@\s]+$",
@@ -50,22 +54,31 @@ LOOKS = (
 LEAST_SUPPORT, LEAST_SHARE, LEAST_SCORE = 3, 0.6, 0.6
 
 
+FOUND = "array<struct<kind:int,at:int,lead:int,match:string,value:string,words:string>>"
+
+
 def _pieces(text: Column, pattern: str, hint: str, kind: int) -> Column:
-    """Matches of a pattern with their number, the length of what lies before each, since the match before, and a label's value."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    both = F.zip_with(matches, F.split(text, pattern, -1), lambda m, p: F.struct(m.alias("match"), F.char_length(p).alias("lead")))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if kind == LABEL else F.array().cast("array<string>")
-    each = F.zip_with(both, values, lambda x, v: F.struct(x["lead"].alias("lead"), x["match"].alias("match"), v.alias("value")))
-    each = F.transform(each, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("at"), x["lead"].alias("lead"), x["match"].alias("match"), x["value"].alias("value")))
+    """Matches of a pattern with their number, the length of what lies before each, since the match before, and a context's value and words."""
+    group = lambda n, used: F.regexp_extract_all(text, F.lit(pattern), F.lit(n)) if used else F.array().cast("array<string>")
+    parts = F.arrays_zip(
+        group(0, True).alias("match"), F.transform(F.split(text, pattern, -1), F.char_length).alias("lead"),
+        group(1, kind >= LABEL).alias("value"), group(2, kind == BEHIND).alias("words"),
+    )
+    each = F.transform(parts, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("at"), x["lead"].alias("lead"), x["match"].alias("match"), x["value"].alias("value"), x["words"].alias("words")))
     found = F.filter(each, lambda x: x["match"].isNotNull())
-    return F.when(text.rlike(hint), found).otherwise(F.array().cast("array<struct<kind:int,at:int,lead:int,match:string,value:string>>"))
+    return F.when(text.rlike(hint), found).otherwise(F.array().cast(FOUND))
 
 
-def _labels(match: Column) -> Column:
-    """The last word, the last two and all three, in lower case; with : where one of : and = divides them from the value."""
-    words = F.regexp_extract_all(F.lower(match), F.lit(r"\p{L}+"), F.lit(0))
-    mark = F.when(match.rlike("[:=]"), ":").otherwise("")
-    return F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.concat(F.array_join(F.slice(words, -n, n), " "), mark))
+def _labels(match: Column, words: Column) -> Column:
+    """The last word, the last two and all three before a value, in lower case, with : where one of : and = divides them from the value, alone
+    only then; or the first two and all three behind it, after >."""
+    before = F.regexp_extract_all(F.lower(match), F.lit(r"\p{L}+"), F.lit(0))
+    marked = match.rlike("[:=]")
+    left = F.transform(F.sequence(F.lit(1), F.size(before)), lambda n: F.concat(F.array_join(F.slice(before, -n, n), " "), F.when(marked, ":").otherwise("")))
+    left = F.filter(left, lambda x: marked | x.contains(" "))
+    behind = F.regexp_extract_all(F.lower(words), F.lit(r"\p{L}+"), F.lit(0))
+    right = F.transform(F.sequence(F.lit(2), F.greatest(F.size(behind), F.lit(2))), lambda n: F.concat(F.lit("> "), F.array_join(F.slice(behind, 1, n), " ")))
+    return F.when(words.isNull(), left).otherwise(F.array_distinct(right))
 
 
 def _luhn(digits: Column) -> Column:
@@ -132,7 +145,7 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     texts have none. Repeated rows and null ids are rows of their own.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    found = F.concat(*[_pieces(F.col("text"), p, h, k) for k, (p, h) in enumerate(zip(SEEDS, HINTS, strict=True))], _pieces(F.col("text"), LABELLED, r"[:=@0-9]|[\[(]at[\])]", LABEL))
+    found = F.concat(*[_pieces(F.col("text"), p, h, k) for k, (p, h) in enumerate(zip(SEEDS, HINTS, strict=True))], _pieces(F.col("text"), LABELLED, r"[:=@0-9]|[\[(]at[\])]", LABEL), _pieces(F.col("text"), FOLLOWED, r"[@0-9]|[\[(]at[\])]", BEHIND))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text.alias("text"))
     rows = stage(rows.select("row", "id", found.alias("found")), "privacy_matches")
     each = rows.where(F.size("found") > 0).select("row", F.inline("found"))
@@ -140,10 +153,11 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     before = F.coalesce(F.sum(F.char_length("match")).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     start = (F.sum("lead").over(inside.rowsBetween(Window.unboundedPreceding, 0)) + before).cast("long")
     each = each.withColumn("start", start).where(_valid(F.col("kind"), F.col("match")))
-    each = stage(each.select("row", "kind", "start", (F.col("start") + F.char_length("match")).alias("end"), "match", "value"), "privacy_spans")
+    each = stage(each.select("row", "kind", "start", (F.col("start") + F.char_length("match")).alias("end"), "match", "value", "words"), "privacy_spans")
     base = each.where(F.col("kind") < LABEL).select("row", "kind", "start", "end")
 
-    labels = each.where(F.col("kind") == LABEL).select("row", F.explode(_labels(F.col("match"))).alias("label"), "value", F.col("end").alias("start"))
+    at = F.when(F.col("kind") == LABEL, F.col("end")).otherwise(F.col("start"))
+    labels = each.where(F.col("kind") >= LABEL).select("row", F.explode(_labels(F.col("match"), F.col("words"))).alias("label"), "value", at.alias("start"))
     seeds = each.where(F.col("kind") < LABEL).select("row", "start", F.col("kind").alias("seed"), "match")
     edges = labels.join(seeds, ["row", "start"], "left")
     own = F.when((F.col("value") == "") & F.col("seed").isNotNull(), F.col("match")).otherwise(F.col("value"))  # a seed of no shape

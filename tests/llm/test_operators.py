@@ -225,6 +225,42 @@ def test_privacy_contexts(spark):
     assert spans[rows.index("epsilon: 700 500 0000")] == ["700 500 0000"]
 
 
+def brute_base(text):
+    """The contract's base spans, kind by kind."""
+    def luhn(d):
+        return sum(sum(divmod(2 * int(x), 10)) if i % 2 else int(x) for i, x in enumerate(reversed(d))) % 10 == 0
+
+    rules = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 12 <= len(d := re.sub("[^0-9]", "", m)) <= 19 and luhn(d)),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(re.sub("[^0-9]", "", m)) <= 15),
+    ]
+    found = [(m.start(), k, m.end()) for k, (_, p, ok) in enumerate(rules) for m in re.finditer(p, text or "") if ok(m[0])]
+    return ",".join(f"{rules[k][0]}:{a}:{b}" for a, k, b in sorted(found))
+
+
+def test_privacy_base(spark):
+    """Counts and base spans of every document of sf0.001, and of hard cases, against plain regular expressions."""
+    hard = ["1.2.3.4.5 300.1.1.1 1.2.3.04", "a@b a@b.c a@b.c.d@e.f x@-.-", "4111-1111 1111-1111 4111111111111111-4111111111111111", "+1 2 +123456789 +(1) +1234567890123456", "00000000000000 é+49 30 1234567é", None, ""]
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    d = d.unionByName(spark.createDataFrame([(-i, t) for i, t in enumerate(hard, 1)], "doc_id long, text string"))
+    texts = {r.doc_id: r.text for r in d.collect()}
+    base = privacy.written(privacy.F.filter("spans", lambda s: s["base"]))
+    got = {r.id: r.w for r in privacy.find_spans(d).select("id", base.alias("w")).collect()}
+    assert got == {i: brute_base(t) for i, t in texts.items()}
+
+
+def test_privacy_behind(spark):
+    """Words behind seeds become patterns; a single word without : or = does not; values that are no identifiers stay."""
+    texts = [f"+1 212 555 01{i:02d} is my number now" for i in range(6)] + [f"user{i}@host.com, thanks a lot" for i in range(6)] + [f"and 10.0.0.{i} and" for i in range(6)]
+    want = {"so 555 123 4567 is my number today": ["555 123 4567"], "ask foo@localhost, thanks a lot": ["foo@localhost"], "and 300.1.2.3 and": [], "page 7 is my number": []}
+    rows = [*texts, *want]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    spans = {r.id: [rows[r.id][s.start : s.end] for s in r.spans] for r in privacy.find_spans(df).collect()}
+    assert {t: spans[rows.index(t)] for t in want} == want
+
+
 def test_exact_dedup(docs, empty):
     groups = {}
     for i, t in TEXTS:
