@@ -176,7 +176,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     if least is None:
         return asked.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), "id", F.lit(0).cast("long").alias("score")).where("false")
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    seeds = stage(against(blocks.where(F.col("block") == least).withColumn("shard", F.lit(0)), None, 1), "topk_seeds")
+    seeds = stage(against(blocks.where(F.col("block") == least).withColumn("shard", F.pmod(F.xxhash64("block"), F.lit(1)).cast("int")), None, 1), "topk_seeds")
     # a query id with several rows finds each candidate as often; its threshold is the k-th best of one of them
     rows = asked.groupBy("id").agg(F.count("*").alias("times"))
     placed = seeds.withColumn("place", F.row_number().over(by_score)).join(rows, seeds["query_id"] == rows["id"]).where(F.col("place") == k * F.col("times"))
