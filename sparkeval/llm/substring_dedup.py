@@ -29,10 +29,11 @@ from sparkeval.llm.near_dedup import BYTES, PLACES, mix
 
 WINDOW, GRAM = 50, 20
 TAIL = WINDOW - GRAM
-CHUNK = 1 << 20  # bytes whose identifiers are held at a time; a longer document is one chunk
+CHUNK = 1 << 20  # bytes whose identifiers are held at a time; longer documents are cut into pieces that share WINDOW - 1 bytes
 BLOCK = 1 << 24  # bytes whose entries are combined before they are sent
-PART, PART_GROWS = 1 << 22, 1 << 32  # text bytes a part; beyond 4 GiB of text parts and their number both grow with its root
-PLACE_BITS = np.uint64((1 << 28) - 1)
+PART, PARTS_A_TASK = 1 << 23, 4  # text bytes a part, at every size of the text
+COMMON = 64  # entries of one anchor in a block from which on they are compared window by window, which spreads them over the parts
+PLACE_BITS = np.uint64((1 << 21) - 1)  # a place in a chunk
 A, B, C, D = (np.uint64(int(x)) for x in PLACES[:4])
 
 
@@ -60,35 +61,45 @@ def least_grams(grams: np.ndarray) -> np.ndarray:
     return (least & PLACE_BITS).astype(np.int64)
 
 
-def in_chunks(docs: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """First document, bytes (padded) and ends of documents, chunk by chunk."""
-    at = 0
-    while at < len(docs):
-        to, size = at, 0
-        while to < len(docs) and (to == at or size + len(docs[to]) <= CHUNK):
-            size += len(docs[to])
-            to += 1
-        yield at, np.frombuffer(b"".join(docs[at:to]) + bytes(WINDOW + 1), np.uint8), np.cumsum([len(d) for d in docs[at:to]])
-        at = to
+def in_chunks(docs: list[bytes], chunk: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Documents (their places in docs) and the offsets of their pieces in them, bytes (padded) and ends of pieces, chunk by chunk."""
+    held: list[tuple[int, int, bytes]] = []
+    size = 0
 
+    def out() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        doc, base, pieces = zip(*held, strict=True)
+        return np.array(doc), np.array(base), np.frombuffer(b"".join(pieces) + bytes(WINDOW + 1), np.uint8), np.cumsum([len(p) for p in pieces])
 
-def entries(docs: list[bytes]) -> list[np.ndarray]:
+    for i, d in enumerate(docs):
+        for base in range(0, max(len(d) - WINDOW + 1, 1), chunk - WINDOW + 1):
+            piece = d[base : base + chunk]
+            if held and size + len(piece) > chunk:
+                yield out()
+                held, size = [], 0
+            held.append((i, base, piece))
+            size += len(piece)
+    if held:
+        yield out()
+
+
+def entries(docs: list[bytes], chunk: int = CHUNK) -> list[np.ndarray]:
     """Of all anchors: bucket, refined identifier, document (its place in docs), first window, number of windows."""
     out: list[list[np.ndarray]] = [[] for _ in range(5)]
-    for first, data, ends in in_chunks(docs):
+    for docs_at, base, data, ends in in_chunks(docs, chunk):
         starts = np.append(0, ends[:-1])
         n = np.maximum(ends - starts - WINDOW + 1, 0)
         if not n.any():
             continue
         windows = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        doc = np.repeat(np.arange(len(ends)), n)
+        piece = np.repeat(np.arange(len(ends)), n)
         grams = gram_ids(data)
         anchor = least_grams(grams)[windows]
-        at = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])))
+        at = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (piece[1:] != piece[:-1])))
         to = np.append(at[1:], len(windows)) - 1
         length = (to - at + 1).astype(np.uint64)
         refined = mix(window_ids(grams, windows[at]) * A + window_ids(grams, windows[to]) + length)
-        for column, values in zip(out, (grams[anchor[at]], refined, doc[at] + first, windows[at] - starts[doc[at]], to - at + 1), strict=True):
+        of = piece[at]
+        for column, values in zip(out, (grams[anchor[at]], refined, docs_at[of], windows[at] - starts[of] + base[of], to - at + 1), strict=True):
             column.append(values)
     kinds = (np.uint64, np.uint64, np.int64, np.int64, np.int64)
     return [np.concatenate(c) if c else np.empty(0, k) for c, k in zip(out, kinds, strict=True)]
@@ -97,7 +108,7 @@ def entries(docs: list[bytes]) -> list[np.ndarray]:
 def packed(columns: list[np.ndarray]) -> bytes:
     """Identifiers as they are, then (document, place) in order as differences, then lengths."""
     *ids, doc, place, length = columns
-    steps = [np.diff(doc, prepend=0).astype("<i8"), np.diff(place, prepend=0).astype("<i4"), length.astype("u1")]
+    steps = [np.diff(doc, prepend=0).astype("<i8"), np.diff(place, prepend=0).astype("<i8"), length.astype("u1")]
     head = np.array([len(doc), len(ids)], "<u4").tobytes()
     return zstandard.ZstdCompressor(level=1).compress(head + b"".join(x.tobytes() for x in [*ids, *steps]))
 
@@ -106,7 +117,7 @@ def unpacked(blob: bytes) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n, k = (int(x) for x in np.frombuffer(raw, "<u4", 2))
     at, out = 8, []
-    for kind in ["<u8"] * k + ["<i8", "<i4", "u1"]:
+    for kind in ["<u8"] * k + ["<i8", "<i8", "u1"]:
         out.append(np.frombuffer(raw, kind, n, at))
         at += n * np.dtype(kind).itemsize
     return [*out[:k], np.cumsum(out[k]), np.cumsum(out[k + 1].astype(np.int64)), out[k + 2].astype(np.int64)]
@@ -149,7 +160,7 @@ def repeated(marks: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return doc > np.repeat(doc[at], np.diff(np.append(at, len(doc))))
 
 
-QUESTION, ANSWER = 0, 1
+QUESTION, ANSWER, LEFT = 0, 1, 2  # for the bucket's task; settled; for the next refinement
 _OUT = ["part", "kind", "blob"]
 
 
@@ -158,14 +169,18 @@ def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], _OUT)
 
 
-def _map(parts: int, of_windows: bool):
-    """Entries of a task's documents: those repeated within a block are answers, the others questions for the bucket's task."""
+def _map(parts: int, of_windows: bool, common: int, chunk: int):
+    """Entries of a task's documents: those repeated within a block are answers, the others questions for the bucket's task.
+
+    Of an anchor with `common` entries or more in the block, windows are what the next refinement asks for, and one entry that equals none
+    other tells the bucket's task that the bucket is mixed.
+    """
 
     def block(ids: np.ndarray, docs: list[bytes], asked: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
         if of_windows:
-            keys, columns = windows_of(docs, asked)
+            keys, columns = windows_of(docs, asked, chunk)
         else:
-            bucket, refined, *columns = entries(docs)
+            bucket, refined, *columns = entries(docs, chunk)
             keys = [bucket, refined]
         columns[0] = ids[columns[0]]
         if not len(columns[0]):
@@ -174,7 +189,17 @@ def _map(parts: int, of_windows: bool):
         keys, columns = [k[order] for k in keys], [c[order] for c in columns]
         known = repeated(marks[-1], columns[0])
         yield from dealt([c[known] for c in columns], part_of(columns[0][known], parts), ANSWER)
-        yield from dealt([c[~known] for c in keys + columns], part_of(keys[0][~known], parts), QUESTION)
+        ask = ~known
+        if not of_windows:
+            at = np.flatnonzero(marks[0])
+            often = np.repeat(np.add.reduceat(ask.astype(np.int64), at) >= common, np.diff(np.append(at, len(ask))))
+            mixed, first = ask & often, often & marks[0]
+            yield from dealt([c[mixed] for c in columns], part_of(columns[0][mixed], parts), LEFT)
+            # no document is smaller than the sign's, so that it answers nothing and nobody answers it
+            signs = [keys[0][first], mix(keys[0][first] ^ keys[1][first] ^ ids[0].astype(np.uint64)), np.full(first.sum(), -1 << 62), np.zeros(first.sum(), np.int64), np.zeros(first.sum(), np.int64)]
+            yield from dealt(signs, part_of(signs[0], parts), QUESTION)
+            ask &= ~often
+        yield from dealt([c[ask] for c in keys + columns], part_of(keys[0][ask], parts), QUESTION)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
@@ -182,15 +207,19 @@ def _map(parts: int, of_windows: bool):
         asked: list[bytes] = []
         size = 0
         for batch in batches:
-            ids += batch.column("key").to_pylist()
-            docs += [t.as_py() or b"" for t in batch.column("text").cast(pa.binary())]
-            asked += batch.column("asked").to_pylist() if of_windows else []
-            size += batch.column("text").nbytes
-            if size >= BLOCK:
-                rows = list(block(np.array(ids, np.int64), docs, asked))
-                if rows:
-                    yield _batch(rows)
-                ids, docs, asked, size = [], [], [], 0
+            keys, texts = batch.column("key").to_pylist(), batch.column("text").cast(pa.large_binary())
+            places = batch.column("asked").to_pylist() if of_windows else None
+            for i, t in enumerate(texts):
+                ids.append(keys[i])
+                docs.append(t.as_py() or b"")
+                if of_windows:
+                    asked.append(places[i])
+                size += len(docs[-1]) + 64
+                if size >= BLOCK:
+                    rows = list(block(np.array(ids, np.int64), docs, asked))
+                    if rows:
+                        yield _batch(rows)
+                    ids, docs, asked, size = [], [], [], 0
         rows = list(block(np.array(ids, np.int64), docs, asked)) if ids else []
         if rows:
             yield _batch(rows)
@@ -198,16 +227,21 @@ def _map(parts: int, of_windows: bool):
     return run
 
 
-def windows_of(docs: list[bytes], asked: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def windows_of(docs: list[bytes], asked: list[bytes], chunk: int = CHUNK) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """The windows asked for: identifier; document, place and length 1."""
     ids, doc, place = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for first, data, ends in in_chunks(docs):
+    wanted: dict[int, np.ndarray] = {}
+    for docs_at, base, data, ends in in_chunks(docs, chunk):
         grams = gram_ids(data)
-        for i, end in enumerate(ends):
-            at, n = np.frombuffer(asked[first + i], "<i8").reshape(2, -1)
-            at = np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            ids.append(window_ids(grams, at + (end - len(docs[first + i]))))
-            doc.append(np.full(len(at), first + i))
+        starts = np.append(0, ends[:-1])
+        for d, first, start, end in zip(docs_at, base, starts, ends, strict=True):
+            if d not in wanted:
+                at, n = np.frombuffer(asked[d], "<i8").reshape(2, -1)
+                wanted = {d: np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())}
+            at = wanted[d]
+            at = at[(at >= first) & (at < first + max(end - start - WINDOW + 1, 0))]
+            ids.append(window_ids(grams, at - first + start))
+            doc.append(np.full(len(at), d))
             place.append(at)
     doc = np.concatenate(doc)
     return [np.concatenate(ids)], [doc, np.concatenate(place), np.ones(len(doc), np.int64)]
@@ -220,7 +254,7 @@ def _refine(parts: int, of_windows: bool):
         *keys, doc, place, length = joined(blobs)
         order, marks = sort_entries(keys, doc)
         columns = [c[order] for c in (doc, place, length)]
-        known = repeated(marks[-1], columns[0])
+        known = repeated(marks[-1], columns[0]) & (columns[2] > 0)
         yield from dealt([c[known] for c in columns], part_of(columns[0][known], parts), ANSWER)
         if not of_windows:
             at = np.flatnonzero(marks[0])
@@ -228,7 +262,8 @@ def _refine(parts: int, of_windows: bool):
             mixed = np.add.reduceat(marks[1].astype(np.int64), at) > 1
             mixed &= np.maximum.reduceat(columns[0], at) > np.minimum.reduceat(columns[0], at)
             left = np.repeat(mixed, sizes) & ~known
-            yield from dealt([c[left] for c in columns], part_of(columns[0][left], parts), QUESTION)
+            left &= columns[2] > 0
+            yield from dealt([c[left] for c in columns], part_of(columns[0][left], parts), LEFT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs_of(batches, ["part", "kind"]):
@@ -237,7 +272,7 @@ def _refine(parts: int, of_windows: bool):
                 rows = list(settle(blobs))
             else:
                 columns = joined(blobs)
-                rows = list(dealt(columns, part_of(columns[0], parts), ANSWER))
+                rows = list(dealt(columns, part_of(columns[0], parts), table["kind"][0].as_py()))
             if rows:
                 yield _batch(rows)
 
@@ -279,35 +314,32 @@ def _cut(with_text: bool):
     return run
 
 
-def parts_for(size: int) -> int:
-    """How many parts identifiers are dealt over: blobs hold enough entries, and parts fit in a task, at every size of the text."""
-    return max(16, int(size / (PART * max(1.0, (size / PART_GROWS) ** 0.5))))
-
-
-def _settled(docs: DataFrame, parts: int, partitions: int, of_windows: bool) -> DataFrame:
+def _settled(docs: DataFrame, parts: int, tasks: int, of_windows: bool, common: int, chunk: int) -> DataFrame:
     schema = "part long, kind int, blob binary"
-    dealt_out = docs.mapInArrow(_map(parts, of_windows), schema).repartition(partitions, "part", "kind").sortWithinPartitions("part", "kind")
-    answers = dealt_out.mapInArrow(_refine(parts, of_windows), schema).repartition(partitions, "part", "kind").sortWithinPartitions("part", "kind")
+    dealt_out = docs.mapInArrow(_map(parts, of_windows, common, chunk), schema).repartition(tasks, "part", "kind").sortWithinPartitions("part", "kind")
+    answers = dealt_out.mapInArrow(_refine(parts, of_windows), schema).repartition(tasks, "part", "kind").sortWithinPartitions("part", "kind")
     return stage(answers.mapInArrow(_by_document, "key long, kind int, places binary"), "repeated_windows")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, part: int = PART, common: int = COMMON, chunk: int = CHUNK
+) -> DataFrame:
     """id, n_bytes, n_removed, n_spans and kept of every row: without the bytes of 50-byte strings that a smaller document has too.
 
     `kept` is the SHA-256 of the bytes that stay, or with `with_text` the bytes. A null or empty text has none. Ids identify
     documents: repeated rows of one document don't count as smaller than each other. Null ids come after all others, in the order of a
-    hash of their text. No bucket is capped.
+    hash of their text. No bucket is capped: parts and tasks follow the size of the text, so that a task holds the entries of so many
+    bytes at every size, and an anchor that stands everywhere is refined window by window at once.
     """
-    spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     beyond = F.lit(1 << 62) + F.pmod(F.xxhash64(text), F.lit(1 << 62))
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), beyond).alias("key"), text.alias("text"))
-    parts = parts_for(source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
-    first = _settled(source.select("key", "text"), parts, partitions, False)
-    left = first.where(F.col("kind") == QUESTION).select("key", F.col("places").alias("asked"))
+    parts = max(16, -(-source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // part))
+    tasks = max(min(parts, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), -(-parts // PARTS_A_TASK))
+    first = _settled(source.select("key", "text"), parts, tasks, False, common, chunk)
+    left = first.where(F.col("kind") == LEFT).select("key", F.col("places").alias("asked"))
     near = source.select("key", "text").join(left, "key")
-    second = _settled(near, parts, partitions, True)
+    second = _settled(near, parts, tasks, True, common, chunk)
     places = first.where(F.col("kind") == ANSWER).unionByName(second.where(F.col("kind") == ANSWER))
     places = stage(places.groupBy("key").agg(F.collect_list("places").alias("places")), "repeated_places")  # two a document at most
     fields = "id long, n_bytes long, n_removed long, n_spans long, kept " + ("binary" if with_text else "string")
