@@ -287,3 +287,33 @@ def test_pipeline(spark):
     exact = corpus_pipeline.exact(spark, docs, folder)
     assert exact.columns == docs.columns and exact.count() == docs.selectExpr("lower(coalesce(text, ''))").distinct().count()
     assert corpus_pipeline.run(spark, folder).count() > 0
+
+
+def test_sharding_cuts_few_edges(spark):
+    """Balanced propagation against brute force: groups stay together as far as quotas allow, loads stay within them."""
+    groups = [30, 22, 9, 9, 5, 4, 3, 2, 2]
+    links = spark.createDataFrame([(g * 100 + i, f"h{g}") for g, n in enumerate(groups) for i in range(n)] + [(9999, "alone")], "id long, hub string")
+    total = sum(groups)
+    state = sharding.propagate(links, 4, total // 4 + 1)
+    rows = state.collect()
+    assert {r.id for r in rows} == {r.id for r in links.where("hub <> 'alone'").collect()}
+    by, loads = {}, Counter(r.shard for r in rows)
+    for r in rows:
+        by.setdefault(r.hub, []).append(r.shard)
+    cut = sum(a != b for s in by.values() for k, a in enumerate(s) for b in s[:k])
+    assert sharding.cut_edges(links.where("hub <> 'alone'"), state) == cut
+    hashed = links.where("hub <> 'alone'").select("id", "hub", (sharding.F.pmod(sharding.F.xxhash64("id"), sharding.F.lit(4))).alias("shard"))
+    least = 22 * 8  # the hub of 30 documents does not fit on one shard of 22
+    assert least <= cut and cut - least < (sharding.cut_edges(links.where("hub <> 'alone'"), hashed) - least) / 2
+    # a shard above the quota after hashing takes nobody in; lots of a swap are single documents here
+    assert max(loads.values()) <= max(total // 4 + 1, max(Counter(r.shard for r in hashed.collect()).values())) + 1
+
+
+def test_sharding_pieces(spark, monkeypatch):
+    """A hub that holds half of all links is joined in pieces, its members meet all the same."""
+    links = spark.createDataFrame([(i, "hot" if i < 300 else f"h{i // 3}") for i in range(600)], "id long, hub string")
+    found = sharding.sized(links).collect()
+    assert len(found) == 600 and len({r.piece for r in found if r.hub == "hot"}) > 100 and max(r.pieces for r in found if r.hub != "hot") <= 2
+    state = Counter((r.hub, r.shard) for r in sharding.propagate(links, 3, 320).collect())
+    assert max(n for (h, _), n in state.items() if h == "hot") > 150
+    assert sharding.propagate(links.where("false"), 3, 10).count() == 0
