@@ -28,6 +28,7 @@ HASHES = 2 * GROUPS * ROWS
 AGREE = 23
 BUCKET_ROWS = 2048  # larger buckets are compared block against block
 BLOCK_SETS = 256  # the same for sets of a component
+TASK_ROWS = 40_000  # rows of buckets that a task compares
 CHUNK = 1 << 18  # bytes of text that are hashed at a time; the arrays for it take some 80 bytes a byte
 VALUES = 1 << 15  # shingles whose membership in a block's sets is held at a time
 
@@ -294,13 +295,14 @@ def _verify(rest_only: bool):
 
 
 def _with_sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
-    wanted = small(members.withColumnRenamed("id", "rep"), n)
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema if f.name != "id")
-    near = docs.join(wanted, F.col("id").eqNullSafe(F.col("rep")))
-    return near.select(*[c for c in members.columns if c != "id"], "text").mapInArrow(_sets, fields + ", set binary")
+    """members with the set of their document, which is named by its id and the hash of its text, so that null ids meet their own text only."""
+    wanted = small(members.withColumnsRenamed({"id": "rep", "text_hash": "rep_hash"}), n)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema if f.name not in ("id", "text_hash"))
+    near = docs.join(wanted, (F.xxhash64("text") == F.col("rep_hash")) & F.col("id").eqNullSafe(F.col("rep")))
+    return near.select(*[c for c in members.columns if c not in ("id", "text_hash")], "text").mapInArrow(_sets, fields + ", set binary")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS, block_sets: int = BLOCK_SETS) -> DataFrame:
     """id, text_hash, n_shingles and component_id (the smallest id reachable over links of similarity 0.75) of every row.
 
     Words are split at ASCII white space with A-Z in lower case. A text with fewer than five words is one shingle; one
@@ -312,7 +314,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         _sign, "id long, text_hash long, n long, class long, bytes binary, keys array<long>"
     )
     rows = stage(rows, "minhashes")
-    classes = rows.where("n > 0").groupBy("class").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bytes").alias("bytes"), F.first("keys").alias("keys"))
+    own = F.min_by("text_hash", F.struct(F.col("id").isNull(), F.col("id"), F.col("text_hash")))
+    classes = rows.where("n > 0").groupBy("class").agg(F.min("id").alias("id"), own.alias("text_hash"), F.first("n").alias("n"), F.first("bytes").alias("bytes"), F.first("keys").alias("keys"))
     classes = stage(classes, "shingle_classes")
 
     groups = classes.select("class", F.posexplode("keys").alias("place", "key"))
@@ -324,19 +327,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tables = live.select("class", F.explode("left").alias("l"), "right").select("class", "l", F.explode("right").alias("r"))
     tables = stage(tables.select("class", F.xxhash64("l", "r").alias("key")), "minhash_tables")
     buckets = tables.groupBy("key").agg(F.count("*").alias("times")).where("times > 1")
-    rows_in = tables.join(buckets, "key").withColumn("parts", F.ceil(F.col("times") / BUCKET_ROWS).cast("int"))
+    rows_in = tables.join(buckets, "key").withColumn("parts", F.ceil(F.col("times") / bucket_rows).cast("int"))
     own = F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")
     rows_in = rows_in.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     pair = F.least("own", "other") * F.lit(1 << 20).cast("long") + F.greatest("own", "other")
-    rows_in = rows_in.select("key", pair.alias("pair"), "class").join(classes.select("class", "n", "bytes"), "class")
-    edges = rows_in.repartition("key", "pair").sortWithinPartitions("key", "pair", "class").mapInArrow(_candidates, "a long, b long")
+    rows_in = stage(rows_in.select("key", pair.alias("pair"), "class"), "minhash_buckets")
+    # rows are few bytes and much work: tasks by their number, not by their size
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows_in.count() // TASK_ROWS))
+    edges = rows_in.join(classes.select("class", "n", "bytes"), "class").repartition(tasks, "key", "pair").sortWithinPartitions("key", "pair", "class").mapInArrow(_candidates, "a long, b long")
     near = stage(connected_components(edges).withColumnRenamed("node", "class"), "near_components")
     drop_staged(tables)
+    drop_staged(rows_in)
 
     sizes = near.groupBy("component").agg(F.count("*").alias("members"))
-    members = near.join(sizes, "component").join(classes.select("class", "id"), "class")
-    members = members.withColumn("blocks", F.ceil(F.col("members") / BLOCK_SETS).cast("int"))
-    members = stage(members.select("id", "class", "component", "blocks"), "near_members")
+    members = near.join(sizes, "component").join(classes.select("class", "id", "text_hash"), "class")
+    members = members.withColumn("blocks", F.ceil(F.col("members") / block_sets).cast("int"))
+    members = stage(members.select("id", "text_hash", "class", "component", "blocks"), "near_members")
     n = members.count()
     first = F.col("class") == F.col("component")
     sets = _with_sets(source, members, n).withColumn("first", first).withColumn("asking", F.lit(0))
@@ -347,7 +353,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_left = left.count()
     if n_left:  # of components over several blocks: what the first class did not settle, against every block
         open_ = members.join(small(left, n_left).withColumn("first", F.lit(True)), "class", "left").withColumn("first", F.coalesce("first", F.lit(False)))
-        asking = open_.where("first").groupBy("component").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("askers"))
+        asking = open_.where("first").groupBy("component").agg(F.ceil(F.count("*") / block_sets).cast("int").alias("askers"))
         open_ = stage(open_.join(asking, "component"), "near_open")
         again = _with_sets(source, open_, open_.count())
         own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
