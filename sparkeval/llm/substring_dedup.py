@@ -31,7 +31,8 @@ WINDOW, GRAM = 50, 20
 TAIL = WINDOW - GRAM
 CHUNK = 1 << 20  # bytes whose identifiers are held at a time; longer documents are cut into pieces that share WINDOW - 1 bytes
 BLOCK = 1 << 24  # bytes whose entries are combined before they are sent
-PART, PARTS_A_TASK = 1 << 23, 4  # text bytes a part, at every size of the text
+HELD = 1 << 19  # entries or windows that are sorted at a time before they are sent
+PART = 1 << 23  # text bytes a part, which is a task's, at every size of the text
 COMMON = 64  # entries of one anchor in a block from which on they are compared window by window, which spreads them over the parts
 PLACE_BITS = np.uint64((1 << 21) - 1)  # a place in a chunk
 A, B, C, D = (np.uint64(int(x)) for x in PLACES[:4])
@@ -82,9 +83,24 @@ def in_chunks(docs: list[bytes], chunk: int = CHUNK) -> Iterator[tuple[np.ndarra
         yield out()
 
 
-def entries(docs: list[bytes], chunk: int = CHUNK) -> list[np.ndarray]:
-    """Of all anchors: bucket, refined identifier, document (its place in docs), first window, number of windows."""
-    out: list[list[np.ndarray]] = [[] for _ in range(5)]
+def gathered(pieces: Iterator[list[np.ndarray]], n_keys: int) -> Iterator[tuple[list[np.ndarray], list[np.ndarray]]]:
+    """Identifiers and columns of about HELD rows at a time."""
+    held: list[list[np.ndarray]] = []
+    size = 0
+    for columns in pieces:
+        held.append(columns)
+        size += len(columns[0])
+        if size >= HELD:
+            whole = [np.concatenate(c) for c in zip(*held, strict=True)]
+            yield whole[:n_keys], whole[n_keys:]
+            held, size = [], 0
+    if size:
+        whole = [np.concatenate(c) for c in zip(*held, strict=True)]
+        yield whole[:n_keys], whole[n_keys:]
+
+
+def entries(docs: list[bytes], chunk: int = CHUNK) -> Iterator[list[np.ndarray]]:
+    """Of the anchors, chunk by chunk: bucket, refined identifier, document (its place in docs), first window, number of windows."""
     for docs_at, base, data, ends in in_chunks(docs, chunk):
         starts = np.append(0, ends[:-1])
         n = np.maximum(ends - starts - WINDOW + 1, 0)
@@ -99,10 +115,7 @@ def entries(docs: list[bytes], chunk: int = CHUNK) -> list[np.ndarray]:
         length = (to - at + 1).astype(np.uint64)
         refined = mix(window_ids(grams, windows[at]) * A + window_ids(grams, windows[to]) + length)
         of = piece[at]
-        for column, values in zip(out, (grams[anchor[at]], refined, docs_at[of], windows[at] - starts[of] + base[of], to - at + 1), strict=True):
-            column.append(values)
-    kinds = (np.uint64, np.uint64, np.int64, np.int64, np.int64)
-    return [np.concatenate(c) if c else np.empty(0, k) for c, k in zip(out, kinds, strict=True)]
+        yield [grams[anchor[at]], refined, docs_at[of], windows[at] - starts[of] + base[of], to - at + 1]
 
 
 def packed(columns: list[np.ndarray]) -> bytes:
@@ -177,14 +190,11 @@ def _map(parts: int, of_windows: bool, common: int, chunk: int):
     """
 
     def block(ids: np.ndarray, docs: list[bytes], asked: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
-        if of_windows:
-            keys, columns = windows_of(docs, asked, chunk)
-        else:
-            bucket, refined, *columns = entries(docs, chunk)
-            keys = [bucket, refined]
-        columns[0] = ids[columns[0]]
-        if not len(columns[0]):
-            return
+        found = gathered(windows_of(docs, asked, chunk), 1) if of_windows else gathered(entries(docs, chunk), 2)
+        for keys, columns in found:
+            yield from sent(keys, [ids[columns[0]], *columns[1:]])
+
+    def sent(keys: list[np.ndarray], columns: list[np.ndarray]) -> Iterator[tuple[int, int, bytes]]:
         order, marks = sort_entries(keys, columns[0])
         keys, columns = [k[order] for k in keys], [c[order] for c in columns]
         known = repeated(marks[-1], columns[0])
@@ -196,7 +206,7 @@ def _map(parts: int, of_windows: bool, common: int, chunk: int):
             mixed, first = ask & often, often & marks[0]
             yield from dealt([c[mixed] for c in columns], part_of(columns[0][mixed], parts), LEFT)
             # no document is smaller than the sign's, so that it answers nothing and nobody answers it
-            signs = [keys[0][first], mix(keys[0][first] ^ keys[1][first] ^ ids[0].astype(np.uint64)), np.full(first.sum(), -1 << 62), np.zeros(first.sum(), np.int64), np.zeros(first.sum(), np.int64)]
+            signs = [keys[0][first], mix(keys[0][first] ^ keys[1][first] ^ columns[0][first].astype(np.uint64)), np.full(first.sum(), -1 << 62), np.zeros(first.sum(), np.int64), np.zeros(first.sum(), np.int64)]
             yield from dealt(signs, part_of(signs[0], parts), QUESTION)
             ask &= ~often
         yield from dealt([c[ask] for c in keys + columns], part_of(keys[0][ask], parts), QUESTION)
@@ -227,24 +237,25 @@ def _map(parts: int, of_windows: bool, common: int, chunk: int):
     return run
 
 
-def windows_of(docs: list[bytes], asked: list[bytes], chunk: int = CHUNK) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """The windows asked for: identifier; document, place and length 1."""
-    ids, doc, place = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    wanted: dict[int, np.ndarray] = {}
+def windows_of(docs: list[bytes], asked: list[bytes], chunk: int = CHUNK) -> Iterator[list[np.ndarray]]:
+    """The windows asked for, chunk by chunk: identifier; document, place and length 1."""
+    last, wanted = -1, np.empty(0, np.int64)
     for docs_at, base, data, ends in in_chunks(docs, chunk):
         grams = gram_ids(data)
-        starts = np.append(0, ends[:-1])
-        for d, first, start, end in zip(docs_at, base, starts, ends, strict=True):
-            if d not in wanted:
-                at, n = np.frombuffer(asked[d], "<i8").reshape(2, -1)
-                wanted = {d: np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())}
-            at = wanted[d]
-            at = at[(at >= first) & (at < first + max(end - start - WINDOW + 1, 0))]
-            ids.append(window_ids(grams, at - first + start))
-            doc.append(np.full(len(at), d))
-            place.append(at)
-    doc = np.concatenate(doc)
-    return [np.concatenate(ids)], [doc, np.concatenate(place), np.ones(len(doc), np.int64)]
+        ids, doc, place = [], [], []
+        for d, first, start, end in zip(docs_at, base, np.append(0, ends[:-1]), ends, strict=True):
+            if d != last:
+                last, spans = d, np.frombuffer(asked[d], "<i8").reshape(2, -1)
+            # windows of a span that start in this piece
+            to = first + max(end - start - WINDOW + 1, 0)
+            low, high = np.maximum(spans[0], first), np.minimum(spans[0] + spans[1], to)
+            n = np.maximum(high - low, 0)
+            wanted = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            ids.append(window_ids(grams, wanted - first + start))
+            doc.append(np.full(len(wanted), d))
+            place.append(wanted)
+        doc = np.concatenate(doc)
+        yield [np.concatenate(ids), doc, np.concatenate(place), np.ones(len(doc), np.int64)]
 
 
 def _refine(parts: int, of_windows: bool):
@@ -314,10 +325,10 @@ def _cut(with_text: bool):
     return run
 
 
-def _settled(docs: DataFrame, parts: int, tasks: int, of_windows: bool, common: int, chunk: int) -> DataFrame:
+def _settled(docs: DataFrame, parts: int, of_windows: bool, common: int, chunk: int) -> DataFrame:
     schema = "part long, kind int, blob binary"
-    dealt_out = docs.mapInArrow(_map(parts, of_windows, common, chunk), schema).repartition(tasks, "part", "kind").sortWithinPartitions("part", "kind")
-    answers = dealt_out.mapInArrow(_refine(parts, of_windows), schema).repartition(tasks, "part", "kind").sortWithinPartitions("part", "kind")
+    dealt_out = docs.mapInArrow(_map(parts, of_windows, common, chunk), schema).repartition(parts, "part", "kind").sortWithinPartitions("part", "kind")
+    answers = dealt_out.mapInArrow(_refine(parts, of_windows), schema).repartition(parts, "part", "kind").sortWithinPartitions("part", "kind")
     return stage(answers.mapInArrow(_by_document, "key long, kind int, places binary"), "repeated_windows")
 
 
@@ -328,18 +339,17 @@ def remove_repeats(
 
     `kept` is the SHA-256 of the bytes that stay, or with `with_text` the bytes. A null or empty text has none. Ids identify
     documents: repeated rows of one document don't count as smaller than each other. Null ids come after all others, in the order of a
-    hash of their text. No bucket is capped: parts and tasks follow the size of the text, so that a task holds the entries of so many
-    bytes at every size, and an anchor that stands everywhere is refined window by window at once.
+    hash of their text. No bucket is capped: parts follow the size of the text, so that a task holds the entries of so many bytes at every
+    size, and an anchor that stands everywhere is refined window by window at once.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     beyond = F.lit(1 << 62) + F.pmod(F.xxhash64(text), F.lit(1 << 62))
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), beyond).alias("key"), text.alias("text"))
     parts = max(16, -(-source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // part))
-    tasks = max(min(parts, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), -(-parts // PARTS_A_TASK))
-    first = _settled(source.select("key", "text"), parts, tasks, False, common, chunk)
+    first = _settled(source.select("key", "text"), parts, False, common, chunk)
     left = first.where(F.col("kind") == LEFT).select("key", F.col("places").alias("asked"))
     near = source.select("key", "text").join(left, "key")
-    second = _settled(near, parts, tasks, True, common, chunk)
+    second = _settled(near, parts, True, common, chunk)
     places = first.where(F.col("kind") == ANSWER).unionByName(second.where(F.col("kind") == ANSWER))
     places = stage(places.groupBy("key").agg(F.collect_list("places").alias("places")), "repeated_places")  # two a document at most
     fields = "id long, n_bytes long, n_removed long, n_spans long, kept " + ("binary" if with_text else "string")
