@@ -82,7 +82,7 @@ def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, rows:
     return kept, np.vstack([table, np.full(GRAMS, -np.log(GRAMS))]).astype(np.float32)
 
 
-def _likelihoods(model: np.ndarray, from_html: bool, inside: str | None):
+def _likelihoods(model: np.ndarray, from_html: bool, inside: str | None, evidence: int):
     """Tempered log-likelihoods of each text, and its posterior from the text alone; the text lies in field `inside` of the row if given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +95,7 @@ def _likelihoods(model: np.ndarray, from_html: bool, inside: str | None):
             for value in texts:
                 text = value.as_py() or ""
                 grams = trigrams((main_text(text) if from_html else text).lower().encode())
-                log = table[grams].mean(axis=0, dtype=np.float64) * min(len(grams), EVIDENCE) if len(grams) else np.zeros(len(flat))
+                log = table[grams].mean(axis=0, dtype=np.float64) * min(len(grams), evidence) if len(grams) else np.zeros(len(flat))
                 power = np.exp(log + flat - (log + flat).max())
                 logs.append(log)
                 soft.append(power / power.sum() if len(grams) else np.zeros(len(flat)))
@@ -158,10 +158,12 @@ def identify(
     host_col: str | None = None,
     from_html: bool = False,
     rows: bool = False,
+    evidence: int = EVIDENCE,
 ) -> DataFrame:
     """id, declared, suffix, host, grams, text_lang, lang and confidence of every row; with `rows` also its input row as `row`.
 
-    `from_html` takes the main text of a page and its declared language from the markup. A null or malformed address, host or declared
+    A text counts as at most `evidence` trigrams, whatever its length, all of which are looked at: more make long texts surer against their
+    declaration and host, which then only decide short ones. `from_html` takes the main text of a page and its declared language from the markup. A null or malformed address, host or declared
     language is no evidence. A text without letters (null and empty ones too) is "und" with confidence 0. Repeated rows and
     null ids are rows of their own.
     """
@@ -179,7 +181,7 @@ def identify(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if rows else F.col(text_col).alias("text"),
     )
     fields = "id long, declared string, host string" + (f", row {base.schema['row'].dataType.simpleString()}" if rows else "")
-    scored = _likelihoods(table, from_html, text_col if rows else None)
+    scored = _likelihoods(table, from_html, text_col if rows else None, evidence)
     base = base.mapInArrow(scored, fields + ", loglik array<double>, soft array<double>, grams long")
     suffix = F.when(F.size(parts) > 1, F.element_at(parts, -1)) if url_col else F.lit(None).cast("string")
     domain = F.when(F.size(parts) > 1, F.concat_ws(".", F.slice(parts, -2, 2))).otherwise(F.col("host"))

@@ -281,12 +281,47 @@ def test_mixing(docs, empty):
 
 
 def test_pipeline(spark):
-    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    """Each stage on what the one before kept, against plain versions: equal texts, linked components, copies within caps, tokens in place."""
+    pipe = pytest.importorskip("corpus_pipeline")
     folder = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
-    exact = corpus_pipeline.exact(spark, docs, folder)
-    assert exact.columns == docs.columns and exact.count() == docs.selectExpr("lower(coalesce(text, ''))").distinct().count()
-    assert corpus_pipeline.run(spark, folder).count() > 0
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("row", privacy.F.lit("x")).withColumn("id", privacy.F.lit(1))
+    assert [name for name, _ in pipe.STAGES] == ["language_id", "exact_dedup", "near_dedup", "mixing", "packing"]
+    kept = {}
+    for name, step in pipe.STAGES[:-1]:
+        before, out = docs, step(spark, docs, folder)
+        assert out.columns == before.columns
+        docs = near_dedup.stage(out, name)
+        kept[name] = [(r.doc_id, r.text) for r in docs.collect()]
+    whole = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    named = [(i, t) for i, t in whole if re.search(r"[^\W\d_]{2}", t or "")]
+    assert len(kept["language_id"]) >= 0.97 * len(named) and set(kept["language_id"]) <= set(whole)
+    first = {}
+    for i, t in sorted(kept["language_id"]):
+        first.setdefault(exact_dedup.normalised((t or "").encode()), (i, t))
+    assert sorted(kept["exact_dedup"]) == sorted(first.values())
+    sets = {i: (t or "").encode().lower().split() for i, t in kept["exact_dedup"]}
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set() for i, w in sets.items()}
+    root = {i: i for i in sets}
+    order = sorted(sets)
+    for a in order:
+        for b in order:
+            if b < a and sets[a] and sets[b] and min(len(sets[a]), len(sets[b])) * 100 >= 75 * max(len(sets[a]), len(sets[b])) and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = root[a], root[b]
+                root = {i: min(x, y) if r in (x, y) else r for i, r in root.items()}
+    assert sorted(i for i, _ in kept["near_dedup"]) == sorted(i for i, r in root.items() if r == i)
+    copies = Counter(i for i, _ in kept["mixing"])
+    assert set(copies) <= {i for i, _ in kept["near_dedup"]} and max(copies.values()) <= 3
+    encode = packing.tokenizer(packing.vocabulary())
+    pieces = pipe.packing(spark, docs, folder).collect()
+    assert sum(r.length for r in pieces) == sum(len(encode(t or "")) + 1 for _, t in kept["mixing"])
+    assert {r.doc_id for r in pieces} == set(copies)
+    assert pipe.run(spark, folder).count() == len(pieces)
+
+
+def test_pipeline_without_rows(spark, tmp_path):
+    pipe = pytest.importorskip("corpus_pipeline")
+    spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("false").write.parquet(str(tmp_path / "documents.parquet"))
+    assert pipe.run(spark, str(tmp_path)).count() == 0
 
 
 def test_sharding_cuts_few_edges(spark):
@@ -317,3 +352,32 @@ def test_sharding_pieces(spark, monkeypatch):
     state = Counter((r.hub, r.shard) for r in sharding.propagate(links, 3, 320).collect())
     assert max(n for (h, _), n in state.items() if h == "hot") > 150
     assert sharding.propagate(links.where("false"), 3, 10).count() == 0
+
+
+def test_mixing_against_loops(spark, docs):
+    """Targets by rounds of resharing, copies by budgets, on sources with ties, nulls and one without words."""
+    rows = [(i, "w " * n, s) for i, (n, s) in enumerate([(5, "a"), (5, "a"), (9, "a"), (1, "b"), (2, "b"), (700, "c"), (300, "c"), (0, "d"), (4, None), (4, None)])] + [(1, "w " * 5, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 AS size", "'x' AS s", "2 AS h")
+    out = mixing.mix_sources(df).collect()
+    sizes = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    target, held = {}, set()
+    while True:
+        rest = sum(sizes.values()) - sum(3 * sizes[s] for s in held)
+        share = {s: rest * weight[s] / sum(weight[x] for x in order if x not in held) for s in order if s not in held}
+        above = {s for s, t in share.items() if t > 3 * sizes[s]}
+        if not above:
+            target = share | {s: 3.0 * sizes[s] for s in held}
+            break
+        held |= above
+    taken = {}
+    for r in out:
+        assert r.source_size == sizes[r.source] and r.target == pytest.approx(target[r.source]) and 0 <= r.copies <= 3
+        taken[r.source] = taken.get(r.source, 0) + r.size * r.copies
+    assert len(out) == len(rows) and {r.copies for r in out if r.id == 1} == {[r.copies for r in out if r.id == 1][0]}
+    for s in order:
+        assert taken[s] <= target[s] + 1e-6 and target[s] - taken[s] < max([len(t.split()) for _, t, x in rows if x == s]) + 1
+    assert sorted(map(tuple, out), key=repr) == sorted(map(tuple, mixing.mix_sources(df.repartition(5)).collect()), key=repr)
