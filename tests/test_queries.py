@@ -3,7 +3,7 @@ import os
 import pytest
 
 from sparkeval.bridge import predictions
-from sparkeval.queries import ORACLE_SQL, QUERIES
+from sparkeval.queries import ORACLE_SQL, QUERIES, SLOW_SQL
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -13,7 +13,12 @@ def test_against_oracle(name, against_oracle):
     against_oracle(QUERIES[name], ORACLE_SQL[name], FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
+@pytest.mark.parametrize("name", sorted(SLOW_SQL))
+def test_against_slow_sql(name, against_oracle):
+    against_oracle(QUERIES[name], SLOW_SQL[name], "/root/testdata/sf0.001")
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL) - set(SLOW_SQL)))
 def test_without_oracle(name, spark):
     assert QUERIES[name](spark, FOLDER).count() > 0
 
