@@ -497,7 +497,7 @@ l AS (SELECT run_id, 'sex' AS axis, sex AS level, fired FROM i WHERE label = 1 U
 SELECT run_id, axis, level, count(*) AS abnormal, round(avg(CASE WHEN fired = 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS underdiagnosis FROM l GROUP BY run_id, axis, level""",
     "run_table": f"{_V}, {_again('experiment, class_idx', 'test', 'rk').replace(', 6)', ', 15)')}, m AS (SELECT experiment, avg(auroc) AS macro_auroc, avg(auprc) AS macro_auprc FROM rk GROUP BY experiment) "
     + " UNION ALL ".join(f"SELECT '{m}' AS metric, " + ", ".join(f"round(max(CASE WHEN experiment = '{e}' THEN {m} END), 6) AS {e}" for e in EXPERIMENTS) + " FROM m" for m in ("macro_auroc", "macro_auprc")),
-    "objective_table": f"{_V}, " + ", ".join(f"tuned_{o} AS (WITH {_tuned(o)} SELECT *, '{o}' AS objective FROM tuned)" for o in thresholds.OBJECTIVES)
+    "objective_table": f"{_V}, " + ", ".join(f"tuned_{o} AS (WITH {_tuned(o)} SELECT * EXCLUDE (objective), '{o}' AS objective FROM tuned)" for o in thresholds.OBJECTIVES)
     + ", every AS (" + " UNION ALL ".join(f"SELECT * FROM tuned_{o}" for o in thresholds.OBJECTIVES) + f"""), c AS (
 SELECT objective, {_K}, sum(CASE WHEN score >= threshold THEN label ELSE 0 END) AS tp, sum(CASE WHEN score >= threshold THEN 1 ELSE 0 END) AS called, sum(label) AS truth
 FROM test JOIN every USING ({_K}) GROUP BY objective, {_K})
