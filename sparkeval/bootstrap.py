@@ -1,15 +1,16 @@
-"""Patient-clustered bootstrap: weights per draw and patient, not copies of rows.
-
-A draw takes n slots and hashes each onto one of n patients, so that a patient's weight is its count in an exact multinomial. Rates need
-counts per patient only; rank metrics and thresholds need counts per score and patient, which are dealt over ranges of scores and
-packed once for a block of draws, whose weights are computed beside them. A first pass sums each range for each draw, running sums over
-the ranges before join them, and a second pass sweeps inside the ranges: the shuffle is counts times blocks, and a task holds one
-range's counts and one draw's weights at a time.
+"""Patient-clustered bootstrap: weights per draw and patient (`draws`), not copies of rows.
+
+Rates need counts per patient only: a task takes the counts of a range of patients, makes each weight there once for all keys, and adds up.
+Rank metrics and thresholds need counts per score and patient. These are dealt over ranges of (key, score) with so many rows, of any number of keys, and a
+range is one stream of batches in falling order of the score: a batch's weights are looked up for all its keys, equal scores are
+added up over batches, and what lies above a range, where a key has several, comes in front of it from a first pass. Nothing holds a range or a score whole, and rows are
+shuffled once, not once for each draw. Where patients are too many for every task to have all weights of a block (`FLAT`), the rows
+go to ranges of patients first and carry their weights, a byte a draw, to the ranges of scores.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -17,53 +18,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkeval import staging
+from sparkeval.draws import BLOCK_DRAWS, FLAT, LEAF, MASK, SECOND, STEP, draw_keys, mixed_column, weights_at
 from sparkeval.ranking import macro
+from sparkeval.staging import same_keys, small, stage
 from sparkeval.subgroups import REFERENCE, abnormal_studies, by_level, shared_classes
 from sparkeval.thresholds import MIN_SUPPORT, TIE, check_objective, safe_ratio
 
-MASK = (1 << 32) - 1
-ROUNDS = ((16, 0x7FEB352D), (15, 0x2C1B3C6D), (16, None))  # a shift and a factor under 2^31, so that products fit a long
-STEP, SECOND = 0x9E3779B1, 0x45D9F3B5
-BLOCK_DRAWS = 250
-CHUNK_SLOTS = 1_000_000  # patients whose counts are summed together
-# of a Poisson variable of mean 1: the shares of 0, of at most 1, and so on
-POISSON = np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 14)]))
-
-
-def mixed(x):
-    """Spreads 32 bits; x is an integer or an array of uint32."""
-    for shift, factor in ROUNDS:
-        x = x ^ (x >> shift)
-        if factor:
-            x = x * factor if isinstance(x, np.ndarray) else x * factor & MASK
-    return x
-
-
-def draw_keys(draw: int, seed: int) -> tuple[int, int]:
-    first = mixed(mixed(seed & MASK) ^ (draw & MASK))
-    return first, mixed((first + SECOND) & MASK)
-
-
-def _hashes(slots: np.ndarray, draw: int, seed: int) -> np.ndarray:
-    """32 random bits for each slot of a draw."""
-    first, second = draw_keys(draw, seed)
-    i = slots.astype(np.uint32)
-    return mixed(mixed(i * np.uint32(STEP) ^ np.uint32(first)) + np.uint32(second) + i * np.uint32(SECOND))
-
-
-def slot_weights(n: int, draw: int, seed: int) -> np.ndarray:
-    """How often each of n patients is in a draw: n slots, each hashed onto a patient."""
-    taken = _hashes(np.arange(n, dtype=np.uint32), draw, seed).astype(np.uint64) * np.uint64(n) >> np.uint64(32)
-    return np.bincount(taken.astype(np.int64), minlength=n).astype(np.float64)
-
-
-def poisson_weights(slots: np.ndarray, draw: int, seed: int) -> np.ndarray:
-    """Poisson weights of mean 1 of the given patients, without a look at the others."""
-    return np.searchsorted(POISSON, _hashes(slots, draw, seed) / float(1 << 32), "right").astype(np.float64)
-
-
-def weights_at(slots: np.ndarray, n: int, draw: int, seed: int, scheme: str) -> np.ndarray:
-    return poisson_weights(slots, draw, seed) if scheme == "poisson" else slot_weights(n, draw, seed)[slots]
+TASK_ROWS = 100_000  # rows of counts that a task weighs
+PIECE_ROWS = 2048  # of which a block's weights lie in a processor's cache
+HELD_SUMS = 4_000_000  # sums that a task holds before it sends them on
 
 
 def numbered(patients: DataFrame) -> DataFrame:
@@ -72,150 +35,367 @@ def numbered(patients: DataFrame) -> DataFrame:
     return staging.stage(slots.select("patient_id", F.col("slot").cast("long").alias("slot")), "patient_slots")
 
 
-def _mixed_column(x: Column) -> Column:
-    for shift, factor in ROUNDS:
-        x = x.bitwiseXOR(F.shiftrightunsigned(x, shift))
-        x = (x * factor).bitwiseAND(MASK) if factor else x
-    return x
-
-
 def draw_weights(patients: DataFrame, draws: int, seed: int = 17) -> DataFrame:
-    """draw, slot and weight: n slots of a draw hashed onto n patients, numbered from 0; the weights of a draw add up to n.
+    """draw, slot and weight (not 0): how often each patient is in a draw; the weights of a draw add up to the number of patients.
 
-    patients: one row per patient with its number `slot`.
+    patients: one row per patient with its number `slot`, from 0.
     """
     n = patients.count()
+    if n > FLAT:
+        return _weight_rows(patients, n, draws, seed)
     keys = [draw_keys(d, seed) for d in range(draws)]
     first, second = (F.get(F.array(*[F.lit(k[i]).cast("long") for k in keys]), F.col("draw")) for i in (0, 1))
     d = patients.select("slot").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     d = d.select("draw", "slot", (F.col("slot") * F.lit(STEP)).bitwiseAND(MASK).bitwiseXOR(first).alias("h"), second.alias("second"))
-    d = d.withColumn("h", _mixed_column(F.col("h")))
-    d = d.withColumn("h", (F.col("h") + F.col("second") + (F.col("slot") * F.lit(SECOND)).bitwiseAND(MASK)).bitwiseAND(MASK)).withColumn("h", _mixed_column(F.col("h")))
+    d = d.withColumn("h", mixed_column(F.col("h")))
+    d = d.withColumn("h", (F.col("h") + F.col("second") + (F.col("slot") * F.lit(SECOND)).bitwiseAND(MASK)).bitwiseAND(MASK)).withColumn("h", mixed_column(F.col("h")))
     return d.groupBy("draw", F.shiftrightunsigned(F.col("h") * F.lit(n).cast("long"), 32).alias("slot")).agg(F.count("*").alias("weight"))
 
 
-def _types(df: DataFrame, names: Iterable[str]) -> dict[str, str]:
-    kinds = dict(df.dtypes)
-    return {k: kinds[k] for k in names}
-
-
-_ARROW = {"double": pa.float64(), "bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-
-
-def _per_draw(counts: DataFrame, keys: tuple[str, ...], draws: int, fields: dict[str, str], measure: Callable, offsets: DataFrame | None = None) -> DataFrame:
-    """draw, keys and fields for each draw, key and group of `counts` (keys and blocks of draws); measure(columns, draw, offset) gives the fields or None."""
-    types = _types(counts, keys)
-    schema = ", ".join(["draw int", *[f"{k} {t}" for k, t in types.items()], *[f"{f} {t}" for f, t in fields.items()]])
+def _weight_rows(patients: DataFrame, n: int, draws: int, seed: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots = batch.column("slot").to_numpy()
+            for block in _blocks(draws):
+                w = weights_at(slots, n, block, seed)[: draws - block * BLOCK_DRAWS]
+                d, at = np.nonzero(w)
+                columns = [pa.array((d + block * BLOCK_DRAWS).astype(np.int32)), pa.array(slots[at]), pa.array(w[d, at].astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["draw", "slot", "weight"])
 
-    def run(key: tuple, table: pa.Table, sums: pa.Table | None = None) -> pa.Table:
-        columns = {c: table.column(c).to_numpy() for c in table.column_names if c not in keys and c != "block"}
-        at = {} if sums is None else {r["draw"]: r for r in sums.select([c for c in sums.column_names if c not in keys]).to_pylist()}
-        prepared, found = measure(columns), []
-        for draw in range(key[-1].as_py() * BLOCK_DRAWS, min((key[-1].as_py() + 1) * BLOCK_DRAWS, draws)):
-            values = prepared(draw, at.get(draw))
-            if values is not None:
-                found.append((draw, *values))
-        out = [pa.array([f[0] for f in found], pa.int32()), *[pa.array([k.as_py()] * len(found), _ARROW[types[name]]) for name, k in zip(keys, key, strict=False)]]
-        out += [pa.array([f[i] for f in found], _ARROW[t]) for i, t in enumerate(fields.values(), 1)]
-        return pa.table(out, names=["draw", *types, *fields])
+    tiles = patients.select("slot").repartitionByRange(n // TASK_ROWS + 1, "slot").sortWithinPartitions("slot")
+    return tiles.mapInArrow(run, "draw int, slot long, weight long")
 
-    blocks = counts.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // BLOCK_DRAWS)))).groupBy(*keys, "block")
-    if offsets is None:
-        return blocks.applyInArrow(lambda key, table: run(key, table), schema)
-    beside = offsets.withColumn("block", (F.col("draw") / BLOCK_DRAWS).cast("int")).groupBy(*keys, "block")
-    return blocks.cogroup(beside).applyInArrow(run, schema)
 
+def _blocks(draws: int) -> range:
+    return range(-(-draws // BLOCK_DRAWS))
 
-def sums_over_draws(per_slot: DataFrame, n: int, draws: int, keys: tuple[str, ...], names: tuple[str, ...], seed: int = 17, scheme: str = "multinomial") -> DataFrame:
-    """draw, keys and weighted sums of the columns `names` (the last one counts rows; draws without any are left out)."""
-
-    def measure(columns: dict[str, np.ndarray]) -> Callable:
-        m, slots = np.column_stack([columns[c] for c in names]).astype(np.float64), columns["slot"]
-        return lambda draw, _: tuple(map(int, weights_at(slots, n, draw, seed, scheme) @ m))
-
-    chunk = F.floor(F.col("slot") / CHUNK_SLOTS).cast("int")
-    s = _per_draw(per_slot.withColumn("part", chunk), (*keys, "part"), draws, dict.fromkeys(names, "bigint"), measure)
-    return s.groupBy("draw", *keys).agg(*[F.sum(c).alias(c) for c in names]).where(F.col(names[-1]) > 0)
-
-
-def _sweep(columns: dict[str, np.ndarray], n: int, seed: int, scheme: str) -> Callable:
-    """A function of a draw and what lies above the range: distinct scores, falling, their positives and rows, and both sums from the top."""
-    order = np.argsort(-columns["score"], kind="stable")
-    score, slots = columns["score"][order], columns["slot"][order]
-    pos, rows = columns["pos"][order].astype(np.float64), columns["n"][order].astype(np.float64)
-    starts = np.flatnonzero(np.append(True, score[1:] != score[:-1]))
-
-    def each(draw: int, above: dict) -> tuple:
-        w = weights_at(slots, n, draw, seed, scheme)
-        p, m = np.add.reduceat(w * pos, starts), np.add.reduceat(w * rows, starts)
-        drawn = m > 0
-        p, m = p[drawn], m[drawn]
-        return score[starts][drawn], p, m, np.cumsum(p) + above["pos_before"], np.cumsum(m) + above["n_before"]
-
-    return each
-
-
-def swept_over_draws(counts: DataFrame, n: int, draws: int, keys: tuple[str, ...], fields: dict[str, str], inside: Callable, seed: int, scheme: str, *more: str) -> DataFrame:
-    """draw, keys, part, the fields that `inside` gives for each range, and the key's sums of pos, n and more over the draw."""
-    c = staging.ranged(counts, keys, [F.desc("score")], "draw_ranges")
-    names, parted = (*more, "pos", "n"), (*keys, "part")
-
-    def totals(columns: dict[str, np.ndarray]) -> Callable:
-        slots, at = np.unique(columns["slot"], return_inverse=True)
-        m = np.stack([np.bincount(at, columns[x].astype(np.float64), len(slots)) for x in names])
-        return lambda draw, _: tuple(map(int, m @ weights_at(slots, n, draw, seed, scheme)))
-
-    per = _per_draw(c, parted, draws, dict.fromkeys(names, "bigint"), totals)
-    whole = Window.partitionBy("draw", *keys)
-    before = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per.select(
-        "draw", *parted, *[F.sum(x).over(whole).cast("long").alias(f"{x}_all") for x in names],
-        *[F.coalesce(F.sum(x).over(before), F.lit(0)).cast("long").alias(f"{x}_before") for x in ("pos", "n")],
-    ).where("n_all > 0")
-    offsets = staging.stage(offsets, "draw_offsets")
 
-    def measure(columns: dict[str, np.ndarray]) -> Callable:
-        sweep = _sweep(columns, n, seed, scheme)
-
-        def each(draw: int, above: dict | None) -> tuple | None:
-            if above is None:
-                return None
-            found = inside(sweep(draw, above), above["pos_all"], above["n_all"])
-            return None if found is None else (*found, *[above[f"{x}_all"] for x in names])
+def _types(df: DataFrame, names: Iterable[str]) -> dict[str, str]:
+    kinds = dict(df.dtypes)
+    return {k: kinds[k] for k in names}
 
-        return each
 
-    return _per_draw(c, parted, draws, fields | {f"{x}_all": "bigint" for x in names}, measure, offsets)
+def _schema(types: dict[str, str]) -> str:
+    return ", ".join(f"`{k}` {t}" for k, t in types.items())
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tuple[tuple, dict[str, np.ndarray | pa.Array]]]:
+    """Key and columns of each run of equal keys in a batch; a key's run may go on in the next batch."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = np.zeros(batch.num_rows, bool)
+        new[0] = True
+        values = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        for v in values:
+            new[1:] |= v[1:] != v[:-1]
+        rest = {c: batch.column(c) for c in batch.schema.names if c not in keys}
+        rest = {c: v if pa.types.is_binary(v.type) else v.fill_null(0).to_numpy() for c, v in rest.items()}
+        starts = np.flatnonzero(new)
+        for a, b in zip(starts, np.append(starts[1:], batch.num_rows), strict=True):
+            yield tuple(batch.column(k)[int(a)].as_py() for k in keys), {c: v[int(a) : int(b)] for c, v in rest.items()}
+
+
+def _table(types: dict[str, str], rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of keys and of arrays of sums."""
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "double": pa.float64(), "smallint": pa.int16(), "date": pa.date32(), "boolean": pa.bool_()}
+    columns = []
+    for i, t in enumerate(types.values()):
+        values = [r[i] for r in rows]
+        if t.startswith("array<"):
+            inner = kinds[t[6:-1]]
+            flat = pa.array(np.concatenate(values).astype(inner.to_pandas_dtype()))
+            columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(v) for v in values])), pa.int32()), flat))
+        else:
+            columns.append(pa.array(values, kinds[t]))
+    return pa.RecordBatch.from_arrays(columns, list(types))
+
+
+def _exploded(arrays: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """draw, keys and the values of each draw, where a row of `arrays` holds those of all draws."""
+    each = arrays.select(*keys, F.posexplode(F.arrays_zip(*names)).alias("draw", "v"))
+    return each.select("draw", *keys, *[F.col(f"v.{c}").alias(c) for c in names])
 
 
-def _ranks(swept: tuple, positives: int, rows: int) -> tuple:
-    """What a range adds to twice the area under the ROC curve and to the summed precision."""
-    _, p, m, tp, called = swept
-    return float(p @ (2 * (rows - positives - called + tp) + m - p)), float(p @ (tp / called)) if len(p) else 0.0
+def sums_over_draws(per_slot: DataFrame, n: int, draws: int, keys: tuple[str, ...], names: tuple[str, ...], seed: int = 17, scheme: str = "multinomial") -> DataFrame:
+    """draw, keys and weighted sums of the columns `names` (the last one counts rows; draws without any are left out).
 
+    per_slot: keys, slot and the columns, counts that are added up per patient. A task has a range of patients and makes their weights once.
+    """
+    types = _types(per_slot, keys) | {c: "array<bigint>" for c in names}
+    width = len(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+
+        def out() -> pa.RecordBatch:
+            return _table(types, [(*k, *v) for k, v in held.items()])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            slots, at = np.unique(batch.column("slot").to_numpy(), return_inverse=True)
+            counts = np.column_stack([batch.column(c).to_numpy() for c in names]).astype(np.float32)
+            found: dict[tuple, list[int]] = {}
+            for i, k in enumerate(zip(*[batch.column(k).to_pylist() for k in keys], strict=True)):
+                found.setdefault(k, []).append(i)
+            for block in _blocks(draws):
+                w = weights_at(slots, n, block, seed, scheme)[: draws - block * BLOCK_DRAWS]
+                for k, rows in found.items():
+                    # counts of one patient and key, times weights up to 255: exact in floats of 64 bits
+                    sums = w[:, at[rows]].astype(np.float64) @ counts[rows].astype(np.float64)
+                    own = held.setdefault(k, np.zeros((width, draws), np.int64))
+                    own[:, block * BLOCK_DRAWS : block * BLOCK_DRAWS + len(w)] += np.rint(sums).astype(np.int64).T
+            if len(held) * width * draws > HELD_SUMS:
+                yield out()
+                held.clear()
+        if held:
+            yield out()
+
+    rows = stage(per_slot.select(*keys, "slot", *names), "draw_counts")
+    tasks = rows.count() // TASK_ROWS + 1
+    tiles = rows.repartitionByRange(tasks, "slot").sortWithinPartitions("slot")
+    found = _exploded(tiles.mapInArrow(run, _schema(types)), keys, names)
+    return found.groupBy("draw", *keys).agg(*[F.sum(c).alias(c) for c in names]).where(F.col(names[-1]) > 0)
+
+
+def carried(counts: DataFrame, n: int, draws: int, seed: int) -> DataFrame:
+    """counts with `w`, the weights of the row's patient in all draws as bytes; a task has the rows of a range of patients and makes each weight once."""
+    types = dict(counts.dtypes) | {"w": "binary"}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 4096):
+                part = batch.slice(a, 4096)
+                slots, at = np.unique(part.column("slot").to_numpy(), return_inverse=True)
+                w = np.concatenate([weights_at(slots, n, b, seed)[: draws - b * BLOCK_DRAWS] for b in _blocks(draws)]).T
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([w[i].tobytes() for i in at], pa.binary())], list(types))
+
+    tasks = counts.count() // TASK_ROWS + 1
+    return counts.repartitionByRange(tasks, "slot").sortWithinPartitions("slot").mapInArrow(run, _schema(types))
+
+
+class Sweep:
+    """One key's counts in one range of scores, in falling order of the score and piece by piece, over all draws at once.
+
+    Rows of equal score are one step; the last step of a piece waits for the next piece. Subclasses take the steps.
+    """
 
-def _candidates(objective: str, beta: float = 2.0, target: float = 0.8) -> Callable:
+    fields: dict[str, str] = {}
+    positives_only = True  # whether steps without a positive row are left out
+
+    def __init__(self, draws: int, names: Sequence[str], head: tuple[np.ndarray, ...] | None):
+        none = np.zeros(draws, np.int64)
+        self.tp, self.called, self.positives, self.rows = (h.copy() for h in head) if head else (none.copy(), none.copy(), none, none)
+        self.sums = {x: none.copy() for x in (*names, "pos", "n")}
+        self.score: float | None = None
+        self.waiting = np.zeros((2, draws), np.int64)  # positives and rows of the last step
+
+    def add(self, columns: dict[str, np.ndarray], block: slice, w: np.ndarray, last: bool) -> None:
+        """Rows of one piece for one block of draws. last: this is the piece's last block."""
+        score, pos, n = columns["score"], columns["pos"], columns["n"]
+        kind = np.int32 if len(n) * 255 * max(int(n.max()), int(pos.max())) < 1 << 31 else np.int64
+        some = np.flatnonzero(pos)
+        called = _running(w, None if (n == 1).all() else n, kind)
+        tp = _running(w[:, some], None if (pos[some] == 1).all() else pos[some], kind)
+        for x in self.sums.keys() - {"pos", "n"}:
+            own = np.flatnonzero(columns[x])
+            self.sums[x][block] += np.rint(w[:, own].astype(np.float64) @ columns[x][own].astype(np.float64)).astype(np.int64)
+        self.sums["n"][block] += called[:, -1]
+        self.sums["pos"][block] += tp[:, -1]
+
+        start = np.flatnonzero(np.append(True, score[1:] != score[:-1]))
+        end = np.append(start[1:], len(score))
+        p_start, p_end = np.searchsorted(some, start), np.searchsorted(some, end)
+        waits, goes_on = self.score is not None, self.score is not None and self.score == score[0]
+        if waits and not goes_on:
+            self._pass(block, np.array([self.score]), *self.waiting[:, block, None])
+            self.waiting[:, block] = 0
+        of_last = np.stack([tp[:, -1] - tp[:, p_start[-1]], called[:, -1] - called[:, start[-1]]])
+        if len(start) > 1:
+            if goes_on:
+                self.tp[block] += self.waiting[0, block]
+                self.called[block] += self.waiting[1, block]
+            take = (p_end > p_start)[:-1] if self.positives_only else np.ones(len(start) - 1, bool)
+            take[0] |= goes_on
+            at = np.flatnonzero(take)
+            if len(at):
+                p, m = tp[:, p_end[at]] - tp[:, p_start[at]], called[:, end[at]] - called[:, start[at]]
+                if take[0] and goes_on:
+                    p, m = p.astype(np.int64), m.astype(np.int64)
+                    p[:, 0] += self.waiting[0, block]
+                    m[:, 0] += self.waiting[1, block]
+                self.take(block, score[start[at]], p, m, self.tp[block, None] + tp[:, p_end[at]], self.called[block, None] + called[:, end[at]])
+            self.tp[block] += tp[:, p_start[-1]]
+            self.called[block] += called[:, start[-1]]
+            self.waiting[:, block] = of_last
+        else:
+            self.waiting[:, block] += of_last
+        if last:
+            self.score = float(score[-1])
+
+    def _pass(self, block: slice, score: np.ndarray, p: np.ndarray, m: np.ndarray) -> None:
+        self.tp[block] += p[:, 0]
+        self.called[block] += m[:, 0]
+        self.take(block, score, p, m, self.tp[block, None], self.called[block, None])
+
+    def close(self) -> tuple[np.ndarray, ...]:
+        if self.score is not None:
+            for a in range(0, self.waiting.shape[1], BLOCK_DRAWS):
+                block = slice(a, min(a + BLOCK_DRAWS, self.waiting.shape[1]))
+                self._pass(block, np.array([self.score]), *self.waiting[:, block, None])
+        return (*self.result(), *self.sums.values())
+
+    def take(self, block: slice, score: np.ndarray, p: np.ndarray, m: np.ndarray, tp: np.ndarray, called: np.ndarray) -> None:
+        """Steps: their scores, and for each draw their positives and rows, and the positives and rows down to them."""
+
+    def result(self) -> tuple[np.ndarray, ...]:
+        return ()
+
+
+def _running(w: np.ndarray, times: np.ndarray | None, kind: type) -> np.ndarray:
+    """Running sums of each draw's weights, times counts where there are any, with a 0 in front."""
+    out = np.zeros((w.shape[0], w.shape[1] + 1), kind)
+    np.cumsum(w if times is None else w * times, axis=1, dtype=kind, out=out[:, 1:])
+    return out
+
+
+class Ranks(Sweep):
+    """`lost`: twice the pairs of a positive and a negative that stands above it, equal ones half; `ap`: the summed precision at positives."""
+
+    fields = {"lost": "double", "ap": "double"}
+
+    def __init__(self, draws: int, *rest):
+        super().__init__(draws, *rest)
+        self.lost, self.ap = np.zeros(draws), np.zeros(draws)
+
+    def take(self, block, score, p, m, tp, called):
+        p, tp, called = p.astype(np.float64), tp.astype(np.float64), called.astype(np.float64)
+        self.lost[block] += np.einsum("ij,ij->i", p, 2 * (called - tp) - (m - p))
+        self.ap[block] += np.einsum("ij,ij->i", p, tp / np.maximum(called, 1))
+
+    def result(self):
+        return self.lost, self.ap
+
+
+def candidates(objective: str, beta: float = 2.0, target: float = 0.8) -> type[Sweep]:
     """A range's candidate for the threshold that thresholds.tune picks, with its value; none unless the draw allows one."""
-
-    def ratio(a: np.ndarray, b: np.ndarray | float) -> np.ndarray:
-        return np.divide(a, b, out=np.zeros(len(a)), where=np.broadcast_to(np.asarray(b) != 0, a.shape))
-
     b = 1.0 if objective == "f1" else beta * beta
 
-    def inside(swept: tuple, positives: int, rows: int) -> tuple:
-        score, _, _, tp, called = swept
-        if positives < MIN_SUPPORT or positives == rows or not len(score):
-            return None, None
-        precision, recall, specificity = tp / called, tp / positives, ratio(rows - positives - called + tp, rows - positives)
-        if objective == "sensitivity":
-            reached = np.flatnonzero(recall >= target)
-            return (float(score[reached[0]]), float(specificity[reached[0]])) if len(reached) else (None, None)
-        value = recall + specificity - 1 if objective == "youden" else ratio((1 + b) * precision * recall, b * precision + recall)
-        best = value.max()
-        at = np.flatnonzero(value >= best - TIE)[-1]
-        return float(score[at]), float(value[at])
-
-    return inside
+    def ratio(a: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return np.divide(a, c, out=np.zeros(np.broadcast_shapes(a.shape, c.shape)), where=c != 0)
+
+    class Candidates(Sweep):
+        fields = {"score": "double", "value": "double"}
+        positives_only = False
+
+        def __init__(self, draws: int, *rest):
+            super().__init__(draws, *rest)
+            self.at, self.value, self.best = np.full(draws, np.nan), np.full(draws, np.nan), np.full(draws, -np.inf)
+            self.open = (self.positives >= MIN_SUPPORT) & (self.positives < self.rows)
+
+        def take(self, block, score, p, m, tp, called):
+            drawn = (m > 0) & self.open[block, None]
+            tp, called = tp.astype(np.float64), called.astype(np.float64)
+            positives, rows = self.positives[block, None].astype(np.float64), self.rows[block, None].astype(np.float64)
+            precision, recall, specificity = ratio(tp, called), ratio(tp, positives), ratio(rows - positives - called + tp, rows - positives)
+            at, value = self.at[block], self.value[block]
+            if objective == "sensitivity":
+                reached = drawn & (recall >= target)
+                new = reached.any(axis=1) & np.isnan(at)
+                first, found = reached.argmax(axis=1), specificity
+            else:
+                found = recall + specificity - 1 if objective == "youden" else ratio((1 + b) * precision * recall, b * precision + recall)
+                found = np.where(drawn, found, -np.inf)
+                self.best[block] = np.maximum(self.best[block], found.max(axis=1))
+                near = drawn & (found >= self.best[block, None] - TIE)
+                new = near.any(axis=1)
+                first = near.shape[1] - 1 - near[:, ::-1].argmax(axis=1)
+            rows_at = np.flatnonzero(new)
+            at[rows_at], value[rows_at] = score[first[rows_at]], found[rows_at, first[rows_at]]
+
+        def result(self):
+            return self.at, self.value
+
+    return Candidates
+
+
+def _streamed(ranges: DataFrame, parts: int, keys: tuple[str, ...], n: int, draws: int, kind: type[Sweep], seed: int, scheme: str, more: tuple[str, ...]) -> DataFrame:
+    """keys, part, and arrays over the draws of what `kind` gives for each range, of the range's weighted sums of more, pos and n."""
+    parted, carries = (*keys, "part"), "w" in ranges.columns
+    types = _types(ranges, parted) | {k: f"array<{t}>" for k, t in kind.fields.items()} | {f"sum_{x}": "array<bigint>" for x in (*more, "pos", "n")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sweep, head, found = None, None, None, []
+        for key, columns in _runs(batches, parted):
+            if key != at:
+                if sweep is not None:
+                    found.append((*at, *sweep.close()))
+                    if len(found) * draws * len(types) > HELD_SUMS:
+                        yield _table(types, found)
+                        found = []
+                at, sweep, head = key, None, None
+            heads = np.flatnonzero(np.array([x.is_valid for x in columns["head"]])) if columns["head"].null_count < len(columns["head"]) else ()
+            if len(heads):
+                head = tuple(np.frombuffer(columns["head"][0].as_py(), np.int64).reshape(4, draws))
+                columns = {c: v[1:] for c, v in columns.items()}
+            if sweep is None:
+                sweep = kind(draws, more, head)
+            score = columns["score"]
+            if not len(score):
+                continue
+            for a in range(0, len(score), PIECE_ROWS):
+                piece = {c: v[a : a + PIECE_ROWS] for c, v in columns.items()}
+                if carries:
+                    every = np.frombuffer(b"".join(piece["w"].to_pylist()), np.uint8).reshape(-1, draws).T
+                for block in _blocks(draws):
+                    own = slice(block * BLOCK_DRAWS, min((block + 1) * BLOCK_DRAWS, draws))
+                    w = every[own] if carries else weights_at(piece["slot"], n, block, seed, scheme)[: own.stop - own.start]
+                    sweep.add(piece, own, w, own.stop == draws)
+        if sweep is not None:
+            found.append((*at, *sweep.close()))
+        if found:
+            yield _table(types, found)
+
+    dealt = ranges.repartitionByRange(parts, "part").sortWithinPartitions("part", *keys, F.col("head").isNull(), F.desc("score"))
+    return dealt.mapInArrow(run, _schema(types))
+
+
+def swept_over_draws(counts: DataFrame, n: int, draws: int, keys: tuple[str, ...], kind: type[Sweep], seed: int, scheme: str, *more: str, totals: bool = False) -> DataFrame:
+    """draw, keys, part, the fields that `kind` gives for each range, and the range's sums of pos, n and more in the draw.
+
+    totals: whether `kind` has to know a key's sums beforehand; without, only the ranges of keys that have several are looked at twice.
+    """
+    c = stage(counts, "draw_counts")
+    parts = c.count() // TASK_ROWS + 1
+    c = staging.ranged(c, keys, [F.desc("score")], "draw_ranges", parts)
+    if n > FLAT and scheme == "multinomial":
+        c = stage(carried(c, n, draws, seed), "draw_weights")
+    c = c.withColumn("head", F.lit(None).cast("binary"))
+    spans = stage(c.groupBy(*keys).agg(F.min("part").alias("first"), F.max("part").alias("last")).where("true" if totals else "first < last"), "draw_spans")
+    n_spans = spans.count()
+    if n_spans:
+        asked = c if totals else same_keys(c, small(spans.select(*keys), n_spans), keys, "left_semi")
+        per = _exploded(_streamed(asked, parts, keys, n, draws, Sweep, seed, scheme, ()), (*keys, "part"), ("sum_pos", "sum_n"))
+        whole = Window.partitionBy("draw", *keys)
+        before = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        names = ("sum_pos", "sum_n")
+        sums = [F.coalesce(F.sum(x).over(before), F.lit(0)).cast("long") for x in names] + [F.sum(x).over(whole).cast("long") for x in names]
+        per = per.select("draw", *keys, "part", F.array(*sums).alias("sums"))
+        heads = per.groupBy(*keys, "part").agg(F.array_sort(F.collect_list(F.struct("draw", "sums"))).alias("s"))  # a row for each draw
+        heads = heads.select(*keys, "part", F.col("s.sums").alias("sums")).mapInArrow(_packed_heads(keys), _schema(_types(c, (*keys, "part")) | {"head": "binary"}))
+        c = c.unionByName(heads, allowMissingColumns=True)
+    found = _streamed(c, parts, keys, n, draws, kind, seed, scheme, more)
+    return _exploded(found, (*keys, "part"), (*kind.fields, *[f"sum_{x}" for x in (*more, "pos", "n")]))
+
+
+def _packed_heads(keys: tuple[str, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = [np.array(x, np.int64).T.tobytes() for x in batch.column("sums").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in (*keys, "part")], pa.array(sums, pa.binary())], [*keys, "part", "head"])
+
+    return run
 
 
 def _packed(rows: DataFrame, slots: DataFrame, keys: tuple[str, ...], *more: str) -> DataFrame:
@@ -226,7 +406,7 @@ def _packed(rows: DataFrame, slots: DataFrame, keys: tuple[str, ...], *more: str
 def bootstrap_rates(fired: DataFrame, draws: int, keys: tuple[str, ...] = ("run_id", "class_idx"), seed: int = 17, scheme: str = "multinomial") -> DataFrame:
     """precision, recall and f1 of each draw and key; counts are added up per patient before they meet the weights.
 
-    scheme: `multinomial` draws as many patients as there are; `poisson` weighs each patient by itself, for more patients than fit a task.
+    scheme: `multinomial` draws as many patients as there are; `poisson` weighs each patient by itself.
     """
     slots = numbered(fired)
     sums = {"tp": F.col("fired") * F.col("label"), "called": F.col("fired"), "true": F.col("label"), "n": F.lit(1)}
@@ -249,15 +429,15 @@ def weighted_rows(pred: DataFrame, draws: int, seed: int = 17, patients: DataFra
 
 
 def _areas(swept: DataFrame, keys: tuple[str, ...], *more: str) -> DataFrame:
-    g = swept.groupBy("draw", *keys).agg(F.sum("area").alias("area"), F.sum("ap").alias("ap"), *[F.max(f"{x}_all").alias(x) for x in (*more, "pos", "n")])
-    p = F.col("pos").cast("double")
-    return g.select("draw", *keys, F.try_divide("area", 2 * p * (F.col("n") - p)).alias("auroc"), F.try_divide("ap", p).alias("auprc"), "pos", *more)
+    g = swept.groupBy("draw", *keys).agg(F.sum("lost").alias("lost"), F.sum("ap").alias("ap"), *[F.sum(f"sum_{x}").alias(x) for x in (*more, "pos", "n")]).where("n > 0")
+    p, pairs = F.col("pos").cast("double"), 2 * F.col("pos").cast("double") * (F.col("n") - F.col("pos"))
+    return g.select("draw", *keys, F.try_divide(pairs - F.col("lost"), pairs).alias("auroc"), F.try_divide("ap", p).alias("auprc"), "pos", *more)
 
 
 def bootstrap_rank(pred: DataFrame, draws: int, keys: tuple[str, ...] = ("run_id", "class_idx"), seed: int = 17, scheme: str = "multinomial") -> DataFrame:
     """AUROC and average precision of each draw and key."""
     slots = numbered(pred)
-    swept = swept_over_draws(_packed(pred, slots, keys), slots.count(), draws, keys, {"area": "double", "ap": "double"}, _ranks, seed, scheme)
+    swept = swept_over_draws(_packed(pred, slots, keys), slots.count(), draws, keys, Ranks, seed, scheme)
     return _areas(swept, keys).drop("pos")
 
 
@@ -268,7 +448,9 @@ def bootstrap_thresholds(pred: DataFrame, objective: str, draws: int, keys: tupl
     """
     check_objective(objective)
     slots = numbered(pred)
-    s = swept_over_draws(_packed(pred, slots, keys), slots.count(), draws, keys, {"score": "double", "value": "double"}, _candidates(objective), seed, scheme)
+    s = swept_over_draws(_packed(pred, slots, keys), slots.count(), draws, keys, candidates(objective), seed, scheme, totals=True)
+    drawn = F.sum("sum_n").over(Window.partitionBy("draw", *keys))
+    s = s.withColumn("drawn", drawn).where("drawn > 0").withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("score", "value")})
     best = F.max("value").over(Window.partitionBy("draw", *keys))
     s = s.withColumn("best", best)
     at = F.struct("score", "value")
@@ -313,8 +495,8 @@ def bootstrap_gaps(fired: DataFrame, draws: int, least: int = 10, seed: int = 17
     slots = numbered(fired)
     n = slots.count()
     rows = by_level(fired.withColumn("hit", F.col("fired") * F.col("label"))).join(shared_classes(fired, least), list(keys), "left_semi")
-    c = _areas(swept_over_draws(_packed(rows, slots, keys, "hit"), n, draws, keys, {"area": "double", "ap": "double"}, _ranks, seed, scheme, "hit"), keys, "hit")
-    c = c.withColumn("fnr", 1 - F.try_divide(F.col("hit").cast("double"), "pos")).drop("auprc", "hit", "pos")
+    c = _areas(swept_over_draws(_packed(rows, slots, keys, "hit"), n, draws, keys, Ranks, seed, scheme, "hit"), keys, "hit")
+    c = stage(c.withColumn("fnr", 1 - F.try_divide(F.col("hit").cast("double"), "pos")).drop("auprc", "hit", "pos"), "gap_draws")
     reference = F.when(F.col("axis") == "sex", REFERENCE["sex"]).otherwise(REFERENCE["age"])
     ref = c.where(F.col("level") == reference).select("draw", "run_id", "axis", "class_idx", F.col("auroc").alias("ra"), F.col("fnr").alias("rf"))
     own = c.join(ref, ["draw", "run_id", "axis", "class_idx"]).groupBy("draw", "run_id", "axis", "level")
@@ -322,7 +504,7 @@ def bootstrap_gaps(fired: DataFrame, draws: int, least: int = 10, seed: int = 17
     # studies with a finding, by level; the reference level's rate stands beside each level's
     per = by_level(abnormal_studies(fired).join(slots, "patient_id")).groupBy(*keys[:3], "slot").agg(F.sum(1 - F.col("fired")).cast("long").alias("missed"), F.count("*").alias("abnormal"))
     u = sums_over_draws(per, n, draws, keys[:3], ("missed", "abnormal"), seed, scheme)
-    u = u.select("draw", *keys[:3], (F.col("missed") / F.col("abnormal")).alias("u"))
+    u = stage(u.select("draw", *keys[:3], (F.col("missed") / F.col("abnormal")).alias("u")), "gap_draws")
     at_reference = u.where(F.col("level") == reference).select("draw", "run_id", "axis", F.col("u").alias("ru"))
     u = u.join(at_reference, ["draw", "run_id", "axis"]).withColumn("underdiagnosis_gap", F.col("u") - F.col("ru")).drop("u", "ru")
     return own.join(u, ["draw", "run_id", "axis", "level"], "full")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkeval import bootstrap, ensemble, heatmaps, labels, metrics, ranking, reports, runs, scoring, sources, splits, stacking, subgroups, thresholds
+from sparkeval import draws as weights
 from sparkeval.bridge import BATCHES, CTES, HISTORY, batches, bridge, findings, history, linear_model, maps, predictions, rectangles, stages, studies, vectors
 from sparkeval.staging import stage
 
@@ -373,18 +374,18 @@ _MIX = "SELECT split, study_id, class_idx, max(label) AS label, round({score}, 1
 def _mixes(x: str, to: str, more: str, source: str) -> str:
     """A select of `more` and of `to`, the 32 bits of x spread as bootstrap.mixed does."""
     steps, last = [f"{x} AS m0"], "m0"
-    for i, (shift, factor) in enumerate(bootstrap.ROUNDS, 1):
+    for i, (shift, factor) in enumerate(weights.ROUNDS, 1):
         spread = f"xor({last}, {last} >> {shift})"
-        steps.append((f"({spread} * {factor}) & {bootstrap.MASK}" if factor else spread) + f" AS m{i}")
+        steps.append((f"({spread} * {factor}) & {weights.MASK}" if factor else spread) + f" AS m{i}")
         last = f"m{i}"
     return f"SELECT {more}, {last} AS {to} FROM (SELECT *, {', '.join(steps)} FROM {source})"
 
 
 _DRAWS_SQL = f"""(SELECT CAST(range AS BIGINT) AS draw, CAST(17 AS BIGINT) AS seed FROM range({DRAWS}))"""
-_KEYS_SQL = _mixes(f"(first + {bootstrap.SECOND}) & {bootstrap.MASK}", "second", "draw, first", "(" + _mixes("xor(s, draw)", "first", "draw", "(" + _mixes("seed", "s", "draw", _DRAWS_SQL) + ")") + ")")
+_KEYS_SQL = _mixes(f"(first + {weights.SECOND}) & {weights.MASK}", "second", "draw, first", "(" + _mixes("xor(s, draw)", "first", "draw", "(" + _mixes("seed", "s", "draw", _DRAWS_SQL) + ")") + ")")
 _SPREAD_SQL = _mixes(
-    f"(h + second + ((slot * {bootstrap.SECOND}) & {bootstrap.MASK})) & {bootstrap.MASK}", "h2", "draw, size",
-    "(" + _mixes(f"xor((slot * {bootstrap.STEP}) & {bootstrap.MASK}, first)", "h", "draw, slot, second, size", "(SELECT s.slot, d.*, (SELECT count(*) FROM slots) AS size FROM slots s CROSS JOIN draw_keys d)") + ")",
+    f"(h + second + ((slot * {weights.SECOND}) & {weights.MASK})) & {weights.MASK}", "h2", "draw, size",
+    "(" + _mixes(f"xor((slot * {weights.STEP}) & {weights.MASK}, first)", "h", "draw, slot, second, size", "(SELECT s.slot, d.*, (SELECT count(*) FROM slots) AS size FROM slots s CROSS JOIN draw_keys d)") + ")",
 )
 _BOOT = f"""{_FIRED}, slots AS (SELECT patient_id, row_number() OVER (ORDER BY patient_id) - 1 AS slot FROM (SELECT DISTINCT patient_id FROM fired)),
 draw_keys AS ({_KEYS_SQL}),

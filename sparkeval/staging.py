@@ -71,12 +71,24 @@ def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return left.join(r, on, how).drop(*[f"__{k}" for k in keys])
 
 
-def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str) -> DataFrame:
+#: A side of at most so many bytes is broadcast; a larger one is joined by shuffles.
+BROADCAST_BYTES = 32 << 20
+#: Rows that a range of an order should have.
+RANGE_ROWS = 1_000_000
+
+
+def small(df: DataFrame, rows: int, width: int = 128) -> DataFrame:
+    """Broadcast df if its counted rows of about `width` bytes are within the bound; beyond it Spark joins by shuffles and splits skewed keys."""
+    return F.broadcast(df) if rows * width <= BROADCAST_BYTES else df
+
+
+def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str, parts: int | None = None) -> DataFrame:
     """df as a staged table with `part`: ranges of keys and order, so that a key with many rows has many parts; equal rows share one.
 
-    Parts rise with the order within a key, and there are at most as many as shuffle partitions.
+    Parts rise with the order within a key. Without `parts` there are as many as shuffle partitions.
     """
-    return stage(df.repartitionByRange(*keys, *order).withColumn("part", F.spark_partition_id()), name)
+    dealt = df.repartitionByRange(parts, *keys, *order) if parts else df.repartitionByRange(*keys, *order)
+    return stage(dealt.withColumn("part", F.spark_partition_id()), name)
 
 
 def before_parts(parted: DataFrame, keys: Sequence[str], sums: dict[str, Column]) -> DataFrame:

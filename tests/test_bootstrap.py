@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkeval import bootstrap, ranking, thresholds
+from sparkeval import draws as weights
 from sparkeval.bridge import predictions
 from sparkeval.queries import DRAWS, QUERIES
 from sparkeval.staging import stage
@@ -21,22 +22,22 @@ def _close(got, want, columns):
 @pytest.mark.parametrize("n", [1000, 4096])
 def test_weights_are_a_resample(n):
     """n draws with replacement: mean and variance 1 for every patient, 37 % left out, no patient favoured, draws unrelated."""
-    w = np.stack([bootstrap.slot_weights(n, d, 17) for d in range(400)])
+    w = np.stack([weights.slot_weights(n, d, 17) for d in range(400)])
     assert (w.sum(axis=1) == n).all()
     assert abs(w.var() - 1) < 0.02 and abs((w == 0).mean() - np.exp(-1)) < 0.005
     assert abs(w.mean(axis=0).std() - 0.05) < 0.005 and abs(w.mean(axis=0) - 1).max() < 0.25
     between = np.corrcoef(w)[np.triu_indices(400, 1)]
     assert abs(between.mean()) < 0.002 and abs(between.std() - n**-0.5) < 0.1 * n**-0.5
-    other = np.stack([bootstrap.slot_weights(n, d, 18) for d in range(20)])
+    other = np.stack([weights.slot_weights(n, d, 18) for d in range(20)])
     assert abs(np.corrcoef(other, w[:20])[:20, 20:]).max() < 5 * n**-0.5
-    p = np.stack([bootstrap.poisson_weights(np.arange(n), d, 17) for d in range(400)])
+    p = np.stack([weights.poisson_weights(np.arange(n), d, 17) for d in range(400)])
     assert abs(p.mean() - 1) < 0.01 and abs(p.var() - 1) < 0.02 and abs(p.mean(axis=0).std() - 0.05) < 0.005
 
 
 def test_weight_table_equals_weights(spark):
     got = bootstrap.draw_weights(spark.range(300).select(F.col("id").alias("slot")), 3).collect()
     for d in range(3):
-        want = bootstrap.slot_weights(300, d, 17)
+        want = weights.slot_weights(300, d, 17)
         assert {r.slot: r.weight for r in got if r.draw == d} == {i: w for i, w in enumerate(want) if w}
 
 
@@ -50,7 +51,7 @@ def test_registered_draws(spark):
 def test_packed_draws_equal_weighted_rows(spark):
     """Against the sweep of every draw's own rows, over a border of blocks and over several ranges; scores rounded so that many are equal."""
     pred = stage(predictions(spark, FOLDER).where("split = 'val' and run_id < 2").withColumn("score", F.round("score", 2)), "pred")
-    draws = bootstrap.BLOCK_DRAWS + 3
+    draws = weights.BLOCK_DRAWS + 3
     rows = stage(bootstrap.weighted_rows(pred, draws), "rows")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
