@@ -170,7 +170,7 @@ def roots(forms: DataFrame) -> DataFrame:
     to = stage(forms.select("word", F.col("form").alias("root")), "spelling_roots")
     n = to.count()
     while True:
-        ahead = small(to.select(F.col("word").alias("root"), F.col("root").alias("next")), n, 64)
+        ahead = small(to.select(F.col("word").alias("root"), F.col("root").alias("next")), n)
         jumped = stage(to.join(ahead, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "spelling_roots")
         drop_staged(to)
         to = jumped.drop("moved")
