@@ -140,10 +140,30 @@ def to_long(wide: DataFrame) -> DataFrame:
     return cells.select(*rest, klass.alias("class_idx"), F.col("c.labels").alias("label"), F.col("c.scores").alias("score"))
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """The results of every run, a JSON document in a file, with `experiment` and `model` from .../experiment/results/model_results.json."""
-    r = spark.read.option("multiLine", True).json(path).withColumn("__f", F.col("_metadata.file_path"))
-    return r.withColumns({"experiment": F.regexp_extract("__f", r"([^/]+)/results/[^/]+$", 1), "model": F.regexp_extract("__f", r"([^/]+)_results\.json$", 1)}).drop("__f")
+def read_results(spark: SparkSession, path: str, fields: Mapping[str, str] | None = None) -> DataFrame:
+    """experiment, model, the whole document as `doc` (VARIANT), and the wanted fields of every run's results.
+
+    path: a folder with experiment/results/model_results.json in it, or a pattern of such files. fields: for each field, a dot between nested names, its type
+    (any of Spark's, nested ones too); its column has _ for the dot and is null where a run has no such field or it does not fit. No schema is inferred, so that runs
+    with other fields, or an integer where others have a fraction, meet. Files that are no JSON are warned of and left out.
+    """
+    reader = spark.read
+    if "*" not in path:
+        reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*_results.json")
+    r = reader.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file")).withColumn("doc", F.try_parse_json("value"))
+    broken = r.where("doc is null").agg(F.count("*").alias("n"), F.min("file").alias("first")).first()
+    if broken.n:
+        warnings.warn(f"{broken.n} results are no JSON, {broken.first} among them", stacklevel=2)
+    name = F.url_decode(F.regexp_replace("file", r"\+", "%2B"))
+    wanted = [F.try_variant_get("doc", f"$.{k}", t).alias(k.replace(".", "_")) for k, t in (fields or {}).items()]
+    named = F.regexp_extract(name, r"([^/]+)/results/[^/]+$", 1).alias("experiment"), F.regexp_extract(name, r"([^/]+)_results\.json$", 1).alias("model")
+    return r.where("doc is not null").select(*named, "doc", *wanted)
+
+
+def report_rows(spark: SparkSession, path: str, types: str) -> DataFrame:
+    """The rows of the reports that sinks.write_report wrote, with experiment and model; types: the rows' columns, such as `metric string, value double`."""
+    r = read_results(spark, path, {"rows": f"array<struct<{', '.join(t.strip().replace(' ', ': ', 1) for t in types.split(','))}>>"})
+    return r.select("experiment", "model", F.inline("rows"))
 
 
 def read_thresholds(spark: SparkSession, path: str) -> DataFrame:

@@ -5,7 +5,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from sparkeval import sinks, sources
+from sparkeval import reports, runs, sinks, sources
 
 CELLS = "experiment string, model string, split string, run_id int, study_id long, patient_id long, class_idx int, label int, score double"
 
@@ -90,17 +90,63 @@ def test_members_must_agree(pred):
             sources.parse_member(spec)
 
 
-def test_reports_and_results(spark, pred, tmp_path):
-    for e, v in (("x", 1.5), ("y", 2.5)):
-        (tmp_path / e / "results").mkdir(parents=True)
-        (tmp_path / e / "results" / "net_results.json").write_text(json.dumps({"auroc": v, "per": {"a": 1}}, indent=1))
-    got = sources.read_results(spark, str(tmp_path / "*" / "results" / "*_results.json")).orderBy("experiment").collect()
-    assert [(r.experiment, r.model, r.auroc, r.per.a) for r in got] == [("x", "net", 1.5, 1), ("y", "net", 2.5, 1)]
+def test_results_of_different_runs(spark, tmp_path):
+    """Runs with other fields, an integer for a fraction, and a broken file; written equals read."""
+    for e, doc in (("x", {"auroc": 1, "per": {"a": 1}}), ("y", {"auroc": 2.5, "other": [1, 2]}), ("z", {"auroc": "none", "per": 3})):
+        (tmp_path / "in" / e / "results").mkdir(parents=True)
+        (tmp_path / "in" / e / "results" / "net_results.json").write_text(json.dumps(doc, indent=1))
+    (tmp_path / "in" / "w" / "results").mkdir(parents=True)
+    (tmp_path / "in" / "w" / "results" / "net_results.json").write_text('{"auroc": ')
+    for path in (tmp_path / "in", tmp_path / "in" / "*" / "results" / "*_results.json"):
+        with pytest.warns(UserWarning, match="1 results are no JSON.*w/results"):
+            got = sources.read_results(spark, str(path), {"auroc": "double", "per.a": "int", "other": "array<int>"}).orderBy("experiment").collect()
+        assert [(r.experiment, r.model, r.auroc, r.per_a, r.other) for r in got] == [("x", "net", 1.0, 1, None), ("y", "net", 2.5, None, [1, 2]), ("z", "net", None, None, None)]
+
+
+def test_written_results_are_read(spark, tmp_path):
+    rows = [(f"exp {e}+%", f"net_{m}", e * 10 + k, f"m{k}", (e + 0.1) / (k + 3) if k else None) for e in range(3) for m in ("a", "b") for k in range(4)]
+    report = spark.createDataFrame(rows, "experiment string, model string, place int, metric string, value double")
+    sinks.write_report(report, str(tmp_path / "r"))
+    assert len(list((tmp_path / "r").glob("*/results/*_results.json"))) == 6
+    got = sources.report_rows(spark, str(tmp_path / "r"), "place int, metric string, value double")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(rows, key=str)
+    sinks.write_report(report.where("experiment like '%1%'").withColumn("value", F.lit(1.0)), str(tmp_path / "r"))  # replaces its runs only
+    again = sources.report_rows(spark, str(tmp_path / "r"), "place int, metric string, value double")
+    assert again.where("value = 1").count() == 8 and again.count() == 24
+    one = report.where("place % 10 = 1").select("experiment", "model", "value", F.struct(F.lit(1).alias("a"), F.array(F.lit(2.5)).alias("b")).alias("nested"))
+    sinks.write_results(one, str(tmp_path / "s"))
+    back = sources.read_results(spark, str(tmp_path / "s"), {"value": "double", "nested": "struct<a int, b array<double>>"}).drop("doc")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, one.collect()))
+    for bad in (report, one.withColumn("model", F.lit(None).cast("string"))):
+        with pytest.raises(ValueError, match="results of the run"):
+            sinks.write_results(bad, str(tmp_path / "t"))
+
+
+def test_comparisons_over_written_results(spark, tmp_path):
+    """Tables over runs from the library's own files: metrics by run, localization, bias."""
+    fields = "experiment string, model string, method string, macro struct<pointing_game: double, energy_fraction: double, random_baseline: double>"
+    rows = [("a", "m", "g", (0.5, 0.2, 0.1)), ("b", "m", "g", (0.75, None, 0.1)), ("c", "m", "g", None)]
+    sinks.write_results(spark.createDataFrame(rows, fields), str(tmp_path / "loc"))
+    read = sources.read_results(spark, str(tmp_path / "loc"), {"method": "string", "macro": fields.split("macro ")[1]})
+    assert [(r.experiment, r.pointing_game, r.energy_fraction) for r in runs.localization_table(read).collect()] == [("b", 0.75, None), ("a", 0.5, 0.2)]
+    metrics = spark.createDataFrame([("a", "m", 0.5, 1.0), ("b", "m", 0.25, None)], "experiment string, model string, auroc double, extra double")
+    sinks.write_results(metrics, str(tmp_path / "met"))
+    table = runs.compare_runs(sources.read_results(spark, str(tmp_path / "met"), {"auroc": "double", "extra": "double"}), ["a", "b"], ["auroc", "extra"])
+    assert {r.metric: (r.a, r.b) for r in table.collect()} == {"auroc": (0.5, 0.25), "extra": (1.0, None)}
+    report = [(e, "m", 0, a, v, g, 0.1, 0.2, True, False, False) for e in "ab" for a, v, g in (("sex", "M", 0.0), ("sex", "F", 0.3), ("age", "0-19", None))]
+    types = "run_id int, axis string, level string, auroc_gap double, fnr_gap double, underdiagnosis_gap double, auroc_resolved boolean, fnr_resolved boolean, underdiagnosis_resolved boolean"
+    sinks.write_report(spark.createDataFrame(report, f"experiment string, model string, {types}"), str(tmp_path / "bias"))
+    back = sources.report_rows(spark, str(tmp_path / "bias"), types).withColumn("run_id", F.ascii("experiment"))
+    overall = spark.createDataFrame([(97, 0.6), (98, 0.7)], "run_id int, auroc double")
+    got = reports.bias_comparison(overall, back, {"sex": ["M", "F"], "age": ["0-19"]}).collect()
+    assert [(r.run_id, r.sex_F_auroc_gap, r.sex_F_auroc_resolved, r.age_0_19_auroc_gap) for r in got] == [(98, 0.3, True, None), (97, 0.3, True, None)]
+
+
+def test_thresholds_tables_and_splits(spark, pred, tmp_path):
     t = pred.select("run_id", "class_idx", F.lit(0.5).alias("threshold")).distinct()
     sinks.write_thresholds(t, str(tmp_path / "t"), {"objective": "f1"})
     assert json.loads(spark.read.parquet(str(tmp_path / "t")).first().settings) == {"objective": "f1"}
-    sinks.write_report(t, str(tmp_path / "r"))
     sinks.write_table(t, str(tmp_path / "c"))
     sinks.write_splits(pred.select("study_id", "split").distinct(), str(tmp_path / "s"))
-    assert spark.read.json(str(tmp_path / "r")).count() == 4 and len(list((tmp_path / "c").glob("*.csv"))) == 1
+    assert len(list((tmp_path / "c").glob("*.csv"))) == 1
     assert {p.name for p in (tmp_path / "s").glob("split=*")} == {"split=val", "split=test"}
