@@ -96,6 +96,24 @@ def rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.withColumn("cells", F.transform(F.sequence(F.lit(0), F.lit(63)), cell)).withColumnRenamed("vec_id", "image_id")
 
 
+def flawed_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validation predictions with made-up faults: run 1 lacks some studies, run 2 has other labels, run 3 other patients, run 4 some rows twice."""
+    p = predictions(spark, sf_dir).where("split = 'val'").select("run_id", "split", "study_id", "patient_id", "class_idx", "label", "score")
+    i = F.col("study_id")
+    p = p.where(~((F.col("run_id") == 1) & (i % 11 == 0)))
+    p = p.withColumn("label", F.when((F.col("run_id") == 2) & (i % 13 == 0), 1 - F.col("label")).otherwise(F.col("label")))
+    p = p.withColumn("patient_id", F.when((F.col("run_id") == 3) & (i % 17 == 0), -F.col("patient_id")).otherwise(F.col("patient_id")))
+    return p.unionByName(p.where((F.col("run_id") == 4) & (i % 19 == 0)))
+
+
+def box_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes as an annotation file has them: another name for one class, a class that is none, and a column that nobody reads."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    v = F.col("vec_id")
+    finding = F.when(F.col("label") == 0, " Infiltrate").when(F.col("label") == 1, "Elsewhere").otherwise(F.concat(F.lit("class_"), F.col("label")))
+    return e.select(F.concat(v, F.lit(".png")).alias("Image Index"), finding.alias("Finding Label"), (v % 5).alias("x"), (v % 4).alias("y"), (v % 3 + 1).alias("w"), (v % 2 + 2).alias("h"), F.lit("-").alias("Unnamed: 6"))
+
+
 def linear_model(classes: int = 10, width: int = 64):
     """A fixed linear model: class k weighs feature i by ((k + 1) (i + 3) mod 7 - 3) / 4."""
 

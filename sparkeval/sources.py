@@ -182,19 +182,30 @@ def mean_image_size(images: DataFrame) -> DataFrame:
     return images.agg(F.count("*").alias("n"), F.avg("width").alias("width"), F.avg("height").alias("height"))
 
 
+def patient_violations(pred: DataFrame, studies: DataFrame) -> DataFrame:
+    """study_id, the predictions' patient as `own` and the metadata's patient_id of the studies where they differ; null without metadata."""
+    p = pred.select("study_id", F.col("patient_id").alias("own")).distinct().join(studies.select("study_id", "patient_id").distinct(), "study_id", "left")
+    return p.where(~F.col("own").cast("string").eqNullSafe(F.col("patient_id").cast("string")))
+
+
 def check_patients(pred: DataFrame, studies: DataFrame) -> None:
     """Raise unless every study of the predictions has metadata with the same patient."""
-    p = pred.select("study_id", F.col("patient_id").alias("own")).distinct().join(studies.select("study_id", "patient_id").distinct(), "study_id", "left")
-    n = p.where(~F.col("own").cast("string").eqNullSafe(F.col("patient_id").cast("string"))).count()
+    n = patient_violations(pred, studies).count()
     if n:
         raise ValueError(f"{n} studies have no metadata or another patient there")
 
 
-def check_members(pred: DataFrame) -> None:
-    """Raise unless all runs score the same cells with the same labels and patients."""
+def member_violations(pred: DataFrame) -> DataFrame:
+    """split, study_id and class_idx of the cells that not all runs score once with one label and one patient, with what they have of each."""
     runs = pred.select("run_id").distinct().count()
     cells = pred.groupBy("split", "study_id", "class_idx").agg(
-        F.count_distinct("run_id").alias("runs"), F.count("*").alias("rows"), F.count_distinct("label").alias("labels"), F.count_distinct("patient_id").alias("patients"))
-    bad = cells.where((F.col("runs") < runs) | (F.col("rows") > runs) | (F.col("labels") != 1) | (F.col("patients") != 1)).limit(1).collect()
+        F.size(F.collect_set("run_id")).alias("runs"), F.count("*").alias("rows"), F.size(F.collect_set("label")).alias("labels"),
+        F.size(F.collect_set(F.col("patient_id").cast("string"))).alias("patients"))
+    return cells.where((F.col("runs") < runs) | (F.col("rows") > runs) | (F.col("labels") != 1) | (F.col("patients") != 1))
+
+
+def check_members(pred: DataFrame) -> None:
+    """Raise unless all runs score the same cells with the same labels and patients."""
+    bad = member_violations(pred).limit(1).collect()
     if bad:
-        raise ValueError(f"runs differ on study {bad[0].study_id}, class {bad[0].class_idx}: {bad[0].runs} of {runs} runs, {bad[0].rows} rows, {bad[0].labels} labels, {bad[0].patients} patients")
+        raise ValueError(f"runs differ on study {bad[0].study_id}, class {bad[0].class_idx}: {bad[0].runs} runs, {bad[0].rows} rows, {bad[0].labels} labels, {bad[0].patients} patients")

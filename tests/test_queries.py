@@ -2,9 +2,11 @@ import os
 
 import pytest
 
+from sparkeval import queries, roundtrips
 from sparkeval.bridge import predictions
-from sparkeval.queries import ORACLE_SQL, QUERIES, SLOW_SQL
+from sparkeval.queries import SLOW_SQL
 
+QUERIES, ORACLE_SQL = queries.QUERIES | roundtrips.QUERIES, queries.ORACLE_SQL | roundtrips.ORACLE_SQL
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
