@@ -1,10 +1,11 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page becomes a row of text blocks in a tree of elements. A linear classifier turns a block's text (length, links, sentence end, wording), its
-own element and the containers around it into log-odds, the terminal capacities: what calling it content or boilerplate costs. Blocks that
-follow each other or share an element are tied by smoothness edges, stronger the closer they are in the element tree. The cheapest labelling is
-a minimum cut between the two terminals, found by maximum flow. Odds are of the order of the edges, so that short blocks without clear evidence
-go with their neighbours.
+A page becomes a row of text blocks in a tree of elements. A logistic classifier turns the look of a block's text (length, links, sentence end, commas,
+capitals, digits) into log-odds, the terminal capacities: what calling it content or boilerplate costs. Smoothness edges tie blocks that follow each other or share
+an element, stronger the closer they are in the element tree, and tie each block to the container around it that says what it holds (an article; a menu, a footer, a
+form, something named so), which is a node on one side for good. The cheapest labelling is a minimum cut between the two terminals,
+found by maximum flow. The classifier never sees containers or names: on a sample of the pages, blocks inside such containers give it its labels, and how much neighbours
+weigh is chosen on other pages of the sample with all containers hidden.
 """
 
 from __future__ import annotations
@@ -13,19 +14,22 @@ import html
 import re
 from collections import deque
 from collections.abc import Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkeval.llm.common import read
+from sparkeval.llm.common import read, stage
 
+# a < outside quotes ends a tag that has no >, so that no text is looked at from each of many tags
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|svg|iframe|select|canvas|audio|video)\b[^>]*+>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|</?[a-zA-Z][^>]*+>"
-    r"|<[!?][^>]*+>"
+    r"|<(script|style|noscript|template|textarea|svg|iframe|select)\b(?:(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^<>]*+>).*?(?:</\1\s*>|\Z)"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+    r"|</?[a-zA-Z][^<>]*+>"
+    r"|<[!?][^<>]*+>"
     r"|<[/!?a-zA-Z][^<>]*+\Z",
     re.S | re.I,
 )
@@ -40,16 +44,18 @@ BLOCK = frozenset(
 VOID = frozenset("hr".split())
 LIST_LIKE = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",), "option": ("option",)}
 SCOPES = frozenset("article aside blockquote body div dl fieldset footer form header main menu nav ol section table ul".split())
-# classifier, in log-odds of content: containers (an element inside another one of ill repute stays there), a block's own element, its text
-CONTAINERS = {
-    "nav": -6.0, "menu": -6.0, "footer": -5.0, "form": -5.0, "button": -5.0, "aside": -4.0, "dialog": -4.0, "fieldset": -4.0, "label": -4.0, "option": -6.0,
-    "head": -12.0, "title": -12.0,
-}
-ARTICLE, MAIN, GOOD_NAME, BAD_NAME, HEADER, HIDDEN = 2.5, 1.5, 1.0, -4.0, -3.0, -12.0
+# what containers weigh: an element inside another one of ill repute stays there
+CONTAINERS = frozenset("nav menu footer form button aside dialog fieldset label option head title".split())
+SEED = 20.0  # a tie to a container that no other ties outweigh
+ARTICLE, MAIN, GOOD_NAME = 2.5, 1.5, 1.0  # to an article that is not the page's core, to main, to a good name
 BYLINE = -2.0  # what stands in an article's own header and is no heading
-OWN = {"p": 0.5, "h1": 1.5, "h2": 0.5, "h3": 0.5, "h4": 0.3, "h5": 0.3, "h6": 0.3, "li": -0.3, "td": -0.3, "th": -0.3, "pre": 0.5, "blockquote": 0.5}
-BIAS, LENGTH, LONG, SENTENCE, LINKS, WORDING = -0.5, 1.8, 250, 0.6, -4.0, -2.0
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+# the classifier's features and the weights that it starts from and that a small sample leaves it near
+LONG, MOST_ODDS = 250, 3.0
+PRIOR = {"bias": -0.8, "length": 3.5, "links": -5.0, "sentence": 1.0, "commas": 0.3, "capitals": 0.0, "digits": -0.5}
+NAMES = list(PRIOR)
+SAMPLE_PAGES, SAMPLE_BLOCKS, PULL = 2000, 20_000, 5.0  # pages and blocks of the sample, and what its pull to PRIOR weighs in blocks
+SCALES = (0.0, 0.5, 1.0, 2.0, 4.0)  # of the ties between neighbours
 # fixed lists: words of class names and the like that speak against a container, for it, or only of the page's state
 BAD_NAMES = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer form "
@@ -59,7 +65,6 @@ BAD_NAMES = frozenset(
 )
 GOOD_NAMES = frozenset("article articlebody body content entry main post story text".split())
 STATE_FIRST, STATE_LAST = frozenset("has is no with without".split()), frozenset("closed disabled enabled layout off on open page template".split())
-NOTICE = re.compile(r"©|\bcopyright\b|\bcookies?\b|all rights reserved|\badvertisement\b|\bsubscribe\b|^(?:read more|share this|skip to|sign in|log in)\b", re.I)
 HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 # most that smoothness can weigh, halved with each step in the element tree
 ADJACENT, SIBLING = 0.8, 0.6
@@ -68,13 +73,14 @@ ADJACENT, SIBLING = 0.8, 0.6
 class Node:
     """An element: its tag, what its attributes say, and what lies around it."""
 
-    __slots__ = ("tag", "parent", "depth", "names", "own", "ill", "length", "core", "bonus", "penalty", "byline")
+    __slots__ = ("tag", "parent", "depth", "names", "hidden", "ill", "length", "core", "bonus", "bad", "byline")
 
-    def __init__(self, tag: str, parent: Node | None, names: int, own: float):
-        self.tag, self.parent, self.names, self.own = tag, parent, names, own
+    def __init__(self, tag: str, parent: Node | None, names: int, hidden: bool):
+        self.tag, self.parent, self.names, self.hidden = tag, parent, names, hidden
         self.depth, self.length, self.core = parent.depth + 1 if parent else 0, 0, False
         self.ill = parent is not None and (parent.ill or parent.names == BAD)  # somewhere inside an element with a bad name
-        self.bonus = self.penalty = self.byline = 0.0
+        self.bonus = 0.0
+        self.bad = self.byline = False
 
 
 class Block:
@@ -87,13 +93,13 @@ class Block:
 NEUTRAL, GOOD, BAD, HEAD = 0, 1, 2, 3
 
 
-def named(attributes: str) -> tuple[int, float]:
-    """Whether an element's names speak for or against it, and the cost of being hidden."""
-    kind, own = NEUTRAL, 0.0
+def named(attributes: str) -> tuple[int, bool]:
+    """Whether an element's names speak for or against it, and whether it is hidden."""
+    kind, own = NEUTRAL, False
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and "display:none" in value.replace(" ", "").lower():
-            own = HIDDEN
+            own = True
         elif key != "style":
             for token in value.split():
                 words = NAME.findall(HUMP.sub("-", token).lower())
@@ -111,7 +117,7 @@ def named(attributes: str) -> tuple[int, float]:
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order, with the containers' evidence; inline elements and line breaks don't end a block."""
     out: list[Block] = []
-    root = Node("", None, NEUTRAL, 0.0)
+    root = Node("", None, NEUTRAL, False)
     nodes, stack = [root], [root]
     opened: dict[str, int] = {}
     parts: list[str] = []
@@ -170,8 +176,8 @@ def blocks_of(page: str) -> list[Block]:
             close(LIST_LIKE[tag], SCOPES)
         if tag in VOID:
             continue
-        names, own = named(m[4]) if m[4] and tag not in ("html", "body") else (NEUTRAL, 0.0)
-        stack.append(Node(tag, stack[-1], names, own))
+        names, hidden = named(m[4]) if m[4] and tag not in ("html", "body") else (NEUTRAL, False)
+        stack.append(Node(tag, stack[-1], names, hidden))
         nodes.append(stack[-1])
         opened[tag] = opened.get(tag, 0) + 1
     if at < len(page):
@@ -200,30 +206,47 @@ def weigh(nodes: list[Node]) -> None:
             n.core = n.length >= 0.9 * nodes[0].length > 0
     for n in nodes[1:]:
         up = n.parent
-        n.bonus, n.penalty, n.byline = up.bonus, up.penalty, up.byline
-        bad = min(CONTAINERS.get(n.tag, 0.0), n.own, BAD_NAME if n.names == BAD and not n.core else 0.0)
+        n.bonus, n.bad, n.byline = up.bonus, up.bad, up.byline
+        bad = n.tag in CONTAINERS or n.hidden or n.names == BAD and not n.core
         if n.tag == "header" or n.names == HEAD:
             if n.core or n.bonus:
-                n.byline = BYLINE
+                n.byline = True
             else:
-                bad = min(bad, HEADER)
+                bad = True
         if bad:
-            n.penalty, n.bonus = min(n.penalty, bad), 0.0
-        elif not n.penalty:
-            n.bonus = max(n.bonus, ARTICLE if n.tag == "article" else MAIN if n.tag == "main" else GOOD_NAME if n.names == GOOD else 0.0)
-
-
-def classifier(block: Block) -> float:
-    """Log-odds that a block is content."""
-    n, node = len(block.text), block.node
-    score = BIAS + LENGTH * min(n, LONG) / LONG + LINKS * block.linked / n + OWN.get(node.tag, 0.0) + node.penalty
-    if block.text[-1] in ".!?…\"'»”":
-        score += SENTENCE
-    if n < LONG and NOTICE.search(block.text):
-        score += WORDING
+            n.bad, n.bonus = True, 0.0
+        elif not n.bad:
+            article = SEED if n.core else ARTICLE
+            n.bonus = max(n.bonus, article if n.tag == "article" else MAIN if n.tag == "main" else GOOD_NAME if n.names == GOOD else 0.0)
+
+
+def features(block: Block) -> list[float]:
+    """The text's look, in the order of NAMES: nothing of its element, its containers or what words mean."""
+    text, n = block.text, len(block.text)
+    words = text.split()
+    capitals, digits = sum(w[0].isupper() for w in words) / len(words), sum(c.isdigit() for c in text[:LONG]) / min(n, LONG)
+    return [1.0, min(n, LONG) / LONG, block.linked / n, float(text[-1] in ".!?…\"'»”"), min(1.0, text.count(",") / len(words) * 8), capitals, digits]
+
+
+def tie(node: Node) -> float:
+    """What the container around a block ties it to: content (above 0) or boilerplate. A page's title counts as a container of itself."""
+    if node.bad:
+        return -SEED
     if node.byline and node.tag not in HEADINGS:
-        return score + node.byline
-    return score + node.bonus
+        return BYLINE
+    return max(node.bonus, MAIN) if node.tag == "h1" else node.bonus
+
+
+def own_label(block: Block) -> int | None:
+    """1 inside the page's core article, 0 inside containers of boilerplate, none elsewhere."""
+    if block.node.bad:
+        return 0
+    return 1 if block.node.bonus >= SEED and not block.node.byline else None
+
+
+def own_odds(blocks: list[Block], weights: list[float]) -> list[float]:
+    """The classifier's log-odds that each block is content, held within MOST_ODDS."""
+    return [max(-MOST_ODDS, min(MOST_ODDS, sum(w * x for w, x in zip(weights, features(b), strict=True)))) for b in blocks]
 
 
 def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
@@ -299,29 +322,116 @@ def max_flow(odds: list[float], tied: list[dict[int, float]]) -> set[int]:
                 path.pop()  # a dead end: the edge that led here is not looked at again
 
 
-def main_text(page: str | None) -> str:
+class Model(NamedTuple):
+    """Weights of the features, and what ties between neighbours are multiplied with."""
+
+    weights: list[float]
+    scale: float
+
+
+START = Model(list(PRIOR.values()), 1.0)
+
+
+def labels_of(blocks: list[Block], model: Model, containers: bool = True) -> list[bool]:
+    """Which blocks are content. A tie to a container is an edge to a node that lies on one side: it adds to the block's own capacity on that side."""
+    odds = own_odds(blocks, model.weights)
+    if containers:
+        odds = [o + tie(b.node) for o, b in zip(odds, blocks, strict=True)]
+    return minimum_cut(odds, [(i, j, w * model.scale) for i, j, w in edges_of(blocks)] if model.scale else [])
+
+
+def main_text(page: str | None, model: Model = START) -> str:
     blocks = blocks_of(page or "")
-    keep = minimum_cut([classifier(b) for b in blocks], edges_of(blocks))
-    return "\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
+    return "\n".join(b.text for b, k in zip(blocks, labels_of(blocks, model), strict=True) if k)
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at = batch.schema.get_field_index("html")
-        texts = [main_text(x.as_py()) for x in batch.column(at)]
-        columns = [c for i, c in enumerate(batch.columns) if i != at]
-        names = [x for i, x in enumerate(batch.schema.names) if i != at]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], [*names, "text"])
+def _texts(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("html")
+            texts = [main_text(x.as_py(), model) for x in batch.column(at)]
+            columns = [c for i, c in enumerate(batch.columns) if i != at]
+            names = [x for i, x in enumerate(batch.schema.names) if i != at]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], [*names, "text"])
 
+    return run
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """id, url and main text of every page: its content blocks in page order, one a line.
 
-    A page that is null, empty or all boilerplate has an empty text. Null ids and urls and repeated rows pass through; other columns are not
-    looked at.
+def _looks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Page's hash, place, features and label of the blocks that their containers label."""
+    for batch in batches:
+        for key, page in zip(batch.column("key").to_pylist(), batch.column("html"), strict=True):
+            found = [(i, features(b), y) for i, b in enumerate(blocks_of(page.as_py() or "")) if (y := own_label(b)) is not None]
+            columns = [pa.array([key] * len(found), pa.int64()), pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.list_(pa.float64())), pa.array([f[2] for f in found], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "place", "x", "y"])
+
+
+def _scores(models: list[Model]):
+    """For each model, with all containers hidden: blocks called content rightly, wrongly, and missed, of those that containers label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(models), 3), np.int64)
+        for batch in batches:
+            for page in batch.column("html"):
+                blocks = blocks_of(page.as_py() or "")
+                truth = [own_label(b) for b in blocks]
+                for k, model in enumerate(models):
+                    for y, called in zip(truth, labels_of(blocks, model, containers=False), strict=True):
+                        if y is not None and (y or called):
+                            sums[k, 0 if y and called else 1 if called else 2] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(models)), pa.int32()), *[pa.array(sums[:, i]) for i in range(3)]], ["model", "right", "wrong", "missed"])
+
+    return run
+
+
+def logistic(x: np.ndarray, y: np.ndarray, pull: float = PULL) -> np.ndarray:
+    """Weights of least logistic loss, with a pull to PRIOR of so many blocks' weight; without rows they are PRIOR."""
+    start = np.array(list(PRIOR.values()))
+    w = start.copy()
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + pull * np.eye(len(w)), x.T @ (p - y) + pull * (w - start))
+        w = w - step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
+def sampled(pages: DataFrame, most: int = SAMPLE_PAGES) -> DataFrame:
+    """About `most` pages by a hash of id and url, with their hash as `key`; all of them where there are fewer."""
+    shares = max(1, pages.count() // most)
+    key = F.xxhash64("id", "url")
+    return pages.select(key.alias("key"), "html").where(F.pmod(key, F.lit(shares)) == 0)
+
+
+def fit(pages: DataFrame, most: int = SAMPLE_PAGES, blocks: int = SAMPLE_BLOCKS) -> tuple[Model, DataFrame]:
+    """The model, and how its candidates did on the held-out pages of the sample: scale, right, wrong, missed and f1, with all containers hidden.
+
+    pages: id, url and html. The sample is bounded: about `most` pages, of one half of them `blocks` blocks at most train the classifier, and the other half
+    chooses the scale (of equal ones the smallest). Everything else looks at all pages.
+    """
+    sample = stage(sampled(pages, most), "html_sample")
+    half = F.pmod(F.xxhash64("key"), F.lit(2))
+    rows = sample.where(half == 0).mapInArrow(_looks, "key long, place int, x array<double>, y int")
+    rows = rows.orderBy(F.xxhash64("key", "place"), "key", "place", "x").limit(blocks).collect()
+    weights = logistic(np.array([r.x for r in rows]).reshape(-1, len(NAMES)), np.array([r.y for r in rows], float))
+    models = [Model([float(w) for w in weights], s) for s in SCALES]
+    sums = sample.where(half == 1).mapInArrow(_scores(models), "model int, right long, wrong long, missed long").groupBy("model").agg(*[F.sum(c).alias(c) for c in ("right", "wrong", "missed")])
+    f1 = F.try_divide(2.0 * F.col("right"), 2.0 * F.col("right") + F.col("wrong") + F.col("missed"))
+    sums = sums.select(F.get(F.array(*[F.lit(s) for s in SCALES]), F.col("model")).alias("scale"), "right", "wrong", "missed", f1.alias("f1"))
+    best = max(sums.collect(), key=lambda r: (r.f1 or 0.0, -r.scale), default=None)  # a row for each scale
+    return (models[SCALES.index(best.scale)] if best and best.f1 else models[SCALES.index(START.scale)]), sums
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", model: Model | None = None) -> DataFrame:
+    """id, url and main text of every page: its content blocks in page order, one a line. Without a model one is fitted on the pages themselves.
+
+    A page that is null, empty or all boilerplate has an empty text. Null ids and urls and repeated rows pass through, an empty table gives an empty result; other
+    columns are not looked at.
     """
     source = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    return source.mapInArrow(_texts, "id long, url string, text string")
+    model = fit(source)[0] if model is None else model
+    return source.mapInArrow(_texts(model), "id long, url string, text string")
 
 
 def op2_html_extraction(spark, sf_dir: str) -> DataFrame:
