@@ -4,27 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkeval.ranking import KEYS, rank_metrics, score_counts, swept
-from sparkeval.staging import same_keys, stage
+from sparkeval.staging import same_keys, small, stage
 from sparkeval.thresholds import safe_ratio
 
 
-def per_image(fired: DataFrame, runs: Sequence[str] = ("run_id",)) -> DataFrame:
-    """Samples-F1 (1 where nothing is called and nothing is there), subset and sample accuracy, Hamming loss, and their all-negative baselines."""
-    i = fired.groupBy(*runs, "study_id").agg(
-        F.sum(F.col("fired") * F.col("label")).alias("tp"), F.sum("fired").alias("called"), F.sum("label").alias("true"),
-        F.sum((F.col("fired") == F.col("label")).cast("int")).alias("same"), F.count("*").alias("n"),
-    )
+def image_sums() -> list[Column]:
+    """What image-level metrics need of a study's cells."""
+    same = F.sum((F.col("fired") == F.col("label")).cast("int"))
+    return [F.sum(F.col("fired") * F.col("label")).alias("tp"), F.sum("fired").alias("called"), F.sum("label").alias("true"), same.alias("same"), F.count("*").alias("n")]
+
+
+def image_means() -> list[Column]:
     f1 = F.coalesce(F.try_divide(2.0 * F.col("tp"), F.col("called") + F.col("true")), F.lit(1.0))
     none = (F.col("true") == 0).cast("double")
-    return i.groupBy(*runs).agg(
+    return [
         F.avg(f1).alias("samples_f1"), F.avg(none).alias("samples_f1_none"), F.avg((F.col("same") == F.col("n")).cast("double")).alias("subset_accuracy"),
         F.avg(none).alias("subset_accuracy_none"), F.avg(F.col("same") / F.col("n")).alias("sample_accuracy"),
         F.avg(1 - F.col("same") / F.col("n")).alias("hamming_loss"), F.avg(F.col("true") / F.col("n")).alias("hamming_loss_none"),
-    )
+    ]
+
+
+def per_image(fired: DataFrame, runs: Sequence[str] = ("run_id",)) -> DataFrame:
+    """Samples-F1 (1 where nothing is called and nothing is there), subset and sample accuracy, Hamming loss, and their all-negative baselines."""
+    return fired.groupBy(*runs, "study_id").agg(*image_sums()).groupBy(*runs).agg(*image_means())
 
 
 def micro(fired: DataFrame, runs: Sequence[str] = ("run_id",)) -> DataFrame:
@@ -38,13 +44,12 @@ def brier(pred: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return pred.groupBy(*keys).agg(F.avg((F.col("score") - F.col("label")) ** 2).alias("brier"))
 
 
-def score_quantiles(counts: DataFrame, steps: Sequence[float], keys: Sequence[str]) -> DataFrame:
+def score_quantiles(sweep: DataFrame, steps: Sequence[float], keys: Sequence[str]) -> DataFrame:
     """keys and `edges`: exact quantiles of counted scores, interpolated between neighbours, equal ones once.
 
-    counts: keys, score, pos and n. Running counts over ranges of scores tell which scores stand at the ranks that are asked for; only these
-    are brought together.
+    sweep: what ranking.swept gives. Its running counts tell which scores stand at the ranks that are asked for; only these are brought together.
     """
-    c = swept(counts, keys).withColumn("above", F.col("tp") + F.col("fp") - F.col("n"))  # rows of higher scores
+    c = sweep.withColumn("above", F.col("tp") + F.col("fp") - F.col("n"))  # rows of higher scores
     low, high = F.col("total") - F.col("above") - F.col("n"), F.col("total") - F.col("above")  # ranks from the bottom that the score has
     ranks = []
     for i, q in enumerate(steps):
@@ -57,27 +62,43 @@ def score_quantiles(counts: DataFrame, steps: Sequence[float], keys: Sequence[st
     return edges.agg(F.array_sort(F.collect_set("edge")).alias("edges"))
 
 
-def expected_calibration_error(pred: DataFrame, bins: int = 15, strategy: str = "quantile", keys: Sequence[str] = KEYS) -> DataFrame:
-    """ECE per key. Bins are (lower, upper], the first one takes its own edge; equal quantile edges are merged."""
+def _check_binning(strategy: str) -> None:
     if strategy not in ("quantile", "uniform"):
         raise ValueError(f"unknown binning strategy {strategy}")
+
+
+def calibration_error(sweep: DataFrame, bins: int, strategy: str, keys: Sequence[str]) -> DataFrame:
+    """ECE per key from the steps of a sweep. Bins are (lower, upper], the first one takes its own edge; equal quantile edges are merged."""
+    _check_binning(strategy)
     steps = [i / bins for i in range(bins + 1)]
     if strategy == "uniform":
-        edged = score_counts(pred, keys).withColumn("edges", F.array(*[F.lit(s) for s in steps]))
+        edged = sweep.withColumn("edges", F.array(*[F.lit(s) for s in steps]))
     else:
-        counts = stage(score_counts(pred, keys), "ece_counts")
-        edged = same_keys(counts, F.broadcast(score_quantiles(counts, steps, keys)), keys)  # a row for each run and class
+        edges = stage(score_quantiles(sweep, steps, keys), "ece_edges")
+        edged = same_keys(sweep, small(edges, edges.count(), 64 + 8 * bins), keys)
     last = F.greatest(F.size("edges") - 2, F.lit(0))
     below = F.size(F.filter("edges", lambda e: e < F.col("score"))) - 1
     b = edged.withColumn("bin", F.least(F.greatest(below, F.lit(0)), last)).groupBy(*keys, "bin").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("score")).alias("s"), F.sum("pos").alias("l"))
     return b.groupBy(*keys).agg((F.sum(F.abs(F.col("s") - F.col("l"))) / F.sum("n")).alias("ece"))
 
 
+def expected_calibration_error(pred: DataFrame, bins: int = 15, strategy: str = "quantile", keys: Sequence[str] = KEYS) -> DataFrame:
+    """ECE per key; uniform bins need no order of the scores."""
+    _check_binning(strategy)
+    counts = score_counts(pred, keys)
+    return calibration_error(counts if strategy == "uniform" else stage(swept(counts, keys), "ece_sweep"), bins, strategy, keys)
+
+
+def screening_scores() -> list[Column]:
+    """A study's highest score and its noisy-or, in the order of the classes."""
+    scores = F.array_sort(F.collect_list(F.struct("class_idx", "score")))
+    return [F.max("score").alias("max"), (1 - F.aggregate(scores, F.lit(1.0), lambda a, x: a * (1 - x["score"]))).alias("noisy_or")]
+
+
 def normal_vs_abnormal(pred: DataFrame, runs: Sequence[str] = ("run_id",)) -> DataFrame:
     """AUROC and average precision of the highest score and of noisy-or for a study with any finding."""
-    i = pred.groupBy(*runs, "study_id").agg(F.max("label").alias("label"), F.max("score").alias("max"), F.array_sort(F.collect_list(F.struct("class_idx", "score"))).alias("scores"))
-    some = 1 - F.aggregate("scores", F.lit(1.0), lambda a, x: a * (1 - x["score"]))
-    i = i.select(*runs, "label", F.explode(F.create_map(F.lit("max"), F.col("max"), F.lit("noisy_or"), some)).alias("rule", "score"))
+    i = pred.groupBy(*runs, "study_id").agg(F.max("label").alias("label"), *screening_scores())
+    i = i.select(*runs, "label", F.explode(F.create_map(F.lit("max"), F.col("max"), F.lit("noisy_or"), F.col("noisy_or"))).alias("rule", "score"))
     return rank_metrics(i, (*runs, "rule")).withColumn("prevalence", F.col("support") / F.col("n"))
 
 

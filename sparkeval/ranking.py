@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkeval.staging import before_parts, ranged, same_keys
@@ -22,15 +22,15 @@ def score_counts(pred: DataFrame, keys: Sequence[str] = KEYS, weight: str | None
     return pred.groupBy(*keys, "score").agg(F.sum(F.col("label") * times).cast("long").alias("pos"), F.sum(times).cast("long").alias("n"))
 
 
-def swept(counts: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """counts (key, score, pos, n) with tp and fp at each score as a threshold that takes scores equal to it, and the key's p and total."""
+def swept(counts: DataFrame, keys: Sequence[str] = KEYS, *more: str) -> DataFrame:
+    """counts (key, score, pos, n, and more) with tp and fp at each score as a threshold that takes scores equal to it, and the key's p and total."""
     down = F.desc("score")
     c = ranged(counts, keys, [down], "score_ranges")
     # a row for each range, and one more for each key
     c = same_keys(c, F.broadcast(before_parts(c, keys, {"pos": F.sum("pos"), "n": F.sum("n")})), [*keys, "part"])
     w = Window.partitionBy(*keys, "part").orderBy(down).rowsBetween(Window.unboundedPreceding, 0)
     c = c.withColumns({"tp": F.sum("pos").over(w) + F.col("pos_before"), "called": F.sum("n").over(w) + F.col("n_before")})
-    return c.select(*keys, "score", "pos", "n", "tp", (F.col("called") - F.col("tp")).alias("fp"), F.col("pos_all").alias("p"), F.col("n_all").alias("total"))
+    return c.select(*keys, "score", "pos", "n", *more, "tp", (F.col("called") - F.col("tp")).alias("fp"), F.col("pos_all").alias("p"), F.col("n_all").alias("total"))
 
 
 def confusion_sweep(pred: DataFrame, keys: Sequence[str] = KEYS, weight: str | None = None) -> DataFrame:
@@ -39,19 +39,20 @@ def confusion_sweep(pred: DataFrame, keys: Sequence[str] = KEYS, weight: str | N
     return c.select(*keys, "score", "pos", "n", "tp", "fp", (F.col("p") - F.col("tp")).alias("fn"), (F.col("total") - F.col("p") - F.col("fp")).alias("tn"))
 
 
-def rank_metrics(pred: DataFrame, keys: Sequence[str] = KEYS, weight: str | None = None) -> DataFrame:
-    """support, n, auroc (null unless both outcomes occur) and auprc (null without positives) for each key."""
-    s = confusion_sweep(pred, keys, weight).withColumn("neg", F.col("n") - F.col("pos"))
+def rank_sums() -> list[Column]:
+    """support, n, auroc (null unless both outcomes occur) and auprc (null without positives) as aggregates over the steps of a sweep."""
+    neg = F.col("n") - F.col("pos")
     # negatives below a score are the true negatives there; products of counts outgrow a long
-    area = F.sum(F.col("pos").cast("decimal(18,0)") * (2 * F.col("tn") + F.col("neg")).cast("decimal(19,0)"))
-    positives, negatives = F.sum("pos"), F.sum("neg")
+    area = F.sum(F.col("pos").cast("decimal(18,0)") * (2 * (F.col("total") - F.col("p") - F.col("fp")) + neg).cast("decimal(19,0)"))
+    positives, negatives = F.sum("pos"), F.sum(neg)
     precision = F.sum(F.col("pos") * (F.col("tp") / (F.col("tp") + F.col("fp"))))
-    return s.groupBy(*keys).agg(
-        positives.alias("support"),
-        F.sum("n").alias("n"),
-        F.try_divide(area.cast("double"), 2.0 * positives * negatives).alias("auroc"),
-        F.try_divide(precision, positives).alias("auprc"),
-    )
+    auroc = F.try_divide(area.cast("double"), 2.0 * positives * negatives)
+    return [positives.alias("support"), F.sum("n").alias("n"), auroc.alias("auroc"), F.try_divide(precision, positives).alias("auprc")]
+
+
+def rank_metrics(pred: DataFrame, keys: Sequence[str] = KEYS, weight: str | None = None) -> DataFrame:
+    """support, n, auroc and auprc for each key."""
+    return swept(score_counts(pred, keys, weight), keys).groupBy(*keys).agg(*rank_sums())
 
 
 def macro(metrics: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:

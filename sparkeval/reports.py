@@ -8,10 +8,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkeval import bootstrap, ensemble, metrics, sources, subgroups, thresholds
+from sparkeval import bootstrap, ensemble, metrics, ranking, sources, subgroups, thresholds
 from sparkeval.ranking import rank_metrics
 from sparkeval.staging import same_keys, stage
 
+SCREENS = ("max", "noisy_or")
 GAPS = ("auroc", "fnr", "underdiagnosis")
 
 
@@ -22,28 +23,45 @@ def _tidy(table: DataFrame, scope: str, names: Sequence[str]) -> DataFrame:
     return t.unpivot(["run_id", "class_idx"], list(names), "metric", "value").withColumn("scope", F.lit(scope))
 
 
+def report_counts(fired: DataFrame) -> DataFrame:
+    """run_id, item, score, pos, n, hits and calls: positives, rows, and those of them that are called, at each score of each class (item: its number), of all
+    cells together (micro), and of studies by their highest score and by noisy-or. All metrics of a report but the image-level ones come from one sweep over it."""
+    count = [F.sum("label").cast("long").alias("pos"), F.count("*").alias("n")]
+    calls = [F.sum(F.col("fired") * F.col("label")).cast("long").alias("hits"), F.sum("fired").cast("long").alias("calls")]
+    c = stage(fired.groupBy("run_id", F.col("class_idx").cast("string").alias("item"), "score").agg(*count, *calls), "report_class_counts")
+    whole = c.groupBy("run_id", F.lit("micro").alias("item"), "score").agg(*[F.sum(x).alias(x) for x in ("pos", "n", "hits", "calls")])
+    i = fired.groupBy("run_id", "study_id").agg(F.max("label").alias("label"), *metrics.screening_scores())
+    i = i.select("run_id", "label", F.inline(F.array(*[F.struct(F.lit(x).alias("item"), F.col(x).alias("score")) for x in SCREENS])))
+    i = i.groupBy("run_id", "item", "score").agg(*count).withColumns({"hits": F.lit(0).cast("long"), "calls": F.lit(0).cast("long")})
+    return c.unionByName(whole).unionByName(i)
+
+
 def evaluation_report(fired: DataFrame, tuned: DataFrame, draws: int = 0, bins: int = 15, strategy: str = "quantile") -> DataFrame:
     """run_id, scope, class_idx, metric, value, ci_low, ci_high and, for thresholds, their status as `note`.
 
     Scopes: class, macro, micro, screening (normal against abnormal). Intervals, with draws, are those of AUROC, average precision,
     precision, recall and F1, by class and macro. fired: predictions with `fired`; tuned: thresholds of run_id and class_idx.
     """
-    keys = ("run_id", "class_idx")
     fired = stage(fired, "report_rows")
-    rates = thresholds.class_rates(fired)
-    rank, ece, brier = rank_metrics(fired), metrics.expected_calibration_error(fired, bins, strategy), metrics.brier(fired)
-    c = rank.select(*keys, "support", "auroc", "auprc", (F.col("support") / F.col("n")).alias("prevalence"))
-    c = c.join(rates.select(*keys, "precision", "recall", "f1"), list(keys)).join(ece, list(keys)).join(brier, list(keys)).join(tuned.select(*keys, "threshold", "status"), list(keys), "left")
-    c = stage(c, "report_classes")
+    s = stage(ranking.swept(stage(report_counts(fired), "report_counts"), ("run_id", "item"), "hits", "calls"), "report_sweep")
+    square = F.sum(F.col("pos") * (F.col("score") - 1) ** 2 + (F.col("n") - F.col("pos")) * F.col("score") ** 2) / F.sum("n")
+    g = s.groupBy("run_id", "item").agg(*ranking.rank_sums(), F.sum("hits").alias("tp"), F.sum("calls").alias("called"), square.alias("brier"))
+    ratio, sides = thresholds.safe_ratio, F.col("called") + F.col("support")
+    rates = {"precision": ratio(F.col("tp"), F.col("called")), "recall": ratio(F.col("tp"), F.col("support")), "f1": ratio(2 * F.col("tp"), sides), "prevalence": F.col("support") / F.col("n")}
+    g = stage(g.withColumns(rates), "report_items")
+    of_class = F.col("item").rlike("^[0-9]+$")
+    ece = metrics.calibration_error(s.where(of_class), bins, strategy, ("run_id", "item"))
+    c = same_keys(g.where(of_class), ece, ("run_id", "item")).withColumn("class_idx", F.col("item").cast("int"))
+    c = stage(c.join(tuned.select("run_id", "class_idx", "threshold", "status"), ["run_id", "class_idx"], "left"), "report_classes")
     names = ["threshold", "auroc", "auprc", "precision", "recall", "f1", "brier", "ece", "support", "prevalence"]
     means = c.groupBy("run_id").agg(*[F.avg(x).alias(x) for x in names[1:8]])
-    images = metrics.per_image(fired).withColumn("sample_accuracy_none", 1 - F.col("hamming_loss_none")).drop("hamming_loss_none")
-    screening = metrics.normal_vs_abnormal(fired).select("run_id", "rule", "auroc", "auprc", "prevalence")
-    screened = screening.unpivot(["run_id", "rule"], ["auroc", "auprc", "prevalence"], "m", "value")
-    screened = screened.select("run_id", F.lit(None).cast("int").alias("class_idx"), F.concat_ws("_", "rule", "m").alias("metric"), "value", F.lit("screening").alias("scope"))
+    images = stage(fired.groupBy("run_id", "study_id").agg(*metrics.image_sums()).groupBy("run_id").agg(*metrics.image_means()), "report_images")
+    images = images.withColumn("sample_accuracy_none", 1 - F.col("hamming_loss_none")).drop("hamming_loss_none")
+    screened = g.where(F.col("item").isin(*SCREENS)).unpivot(["run_id", "item"], ["auroc", "auprc", "prevalence"], "m", "value")
+    screened = screened.select("run_id", F.lit(None).cast("int").alias("class_idx"), F.concat_ws("_", "item", "m").alias("metric"), "value", F.lit("screening").alias("scope"))
     parts = [
         _tidy(c, "class", names), _tidy(means, "macro", names[1:8]), _tidy(images, "macro", [x for x in images.columns if x != "run_id"]),
-        _tidy(metrics.micro(fired), "micro", ["auprc", "precision", "recall", "f1"]), screened,
+        _tidy(g.where("item = 'micro'"), "micro", ["auprc", "precision", "recall", "f1"]), screened,
     ]
     out = reduce(DataFrame.unionByName, parts)
     status = c.select("run_id", "class_idx", F.lit("threshold").alias("metric"), F.lit("class").alias("scope"), F.col("status").alias("note"))

@@ -40,7 +40,7 @@ def test_sweep_over_ranges(spark, pred, many_ranges):
         d = data[r.class_idx]
         p, n = d[d[:, 0] == 1, 1], d[d[:, 0] == 0, 1]
         assert r.auroc == pytest.approx(((p[:, None] > n).sum() + (p[:, None] == n).sum() / 2) / (len(p) * len(n)))
-    edges = metrics.score_quantiles(ranking.score_counts(pred), [i / 15 for i in range(16)], ("run_id", "class_idx"))
+    edges = metrics.score_quantiles(ranking.swept(ranking.score_counts(pred)), [i / 15 for i in range(16)], ("run_id", "class_idx"))
     for r in edges.collect():
         assert r.edges == pytest.approx(np.unique(np.quantile(data[r.class_idx][:, 1], np.arange(16) / 15)), abs=1e-12)
 
