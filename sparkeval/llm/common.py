@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,12 +12,18 @@ from pyspark.sql import functions as F
 
 from sparkeval.staging import drop_staged, shared_folder, stage
 
-__all__ = ["BROADCAST_BYTES", "blob", "drop_staged", "hash_bucket", "ranked", "read", "runs_of", "shared_folder", "small", "stage"]
+__all__ = ["BROADCAST_BYTES", "blob", "drop_staged", "hash_bucket", "ranked", "read", "release", "runs_of", "shared_folder", "small", "stage"]
 
 #: A side of at most so many bytes is broadcast; a larger one is joined by shuffles.
 BROADCAST_BYTES = 32 << 20
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of jobs that are over: Spark deletes them once the driver has collected the garbage that refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkeval.llm.common import read, runs_of, stage
+from sparkeval.llm.common import read, release, runs_of, stage
 from sparkeval.llm.near_dedup import BYTES, PLACES, mix
 
 WINDOW, GRAM = 50, 20
@@ -329,7 +329,10 @@ def _settled(docs: DataFrame, parts: int, of_windows: bool, common: int, chunk:
     schema = "part long, kind int, blob binary"
     dealt_out = docs.mapInArrow(_map(parts, of_windows, common, chunk), schema).repartition(parts, "part", "kind").sortWithinPartitions("part", "kind")
     answers = dealt_out.mapInArrow(_refine(parts, of_windows), schema).repartition(parts, "part", "kind").sortWithinPartitions("part", "kind")
-    return stage(answers.mapInArrow(_by_document, "key long, kind int, places binary"), "repeated_windows")
+    out = stage(answers.mapInArrow(_by_document, "key long, kind int, places binary"), "repeated_windows")
+    del dealt_out, answers
+    release(docs.sparkSession)  # the entries take about as much room as the text
+    return out
 
 
 def remove_repeats(
@@ -348,12 +351,12 @@ def remove_repeats(
     parts = max(16, -(-source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // part))
     first = _settled(source.select("key", "text"), parts, False, common, chunk)
     left = first.where(F.col("kind") == LEFT).select("key", F.col("places").alias("asked"))
-    near = source.select("key", "text").join(left, "key")
+    near = source.select("key", "text").repartition(parts, "key").join(left.repartition(parts, "key"), "key")  # so many bytes of text a task, as everywhere
     second = _settled(near, parts, True, common, chunk)
     places = first.where(F.col("kind") == ANSWER).unionByName(second.where(F.col("kind") == ANSWER))
     places = stage(places.groupBy("key").agg(F.collect_list("places").alias("places")), "repeated_places")  # two a document at most
     fields = "id long, n_bytes long, n_removed long, n_spans long, kept " + ("binary" if with_text else "string")
-    return source.join(places, "key", "left").select("id", "text", "places").mapInArrow(_cut(with_text), fields)
+    return source.repartition(parts, "key").join(places.repartition(parts, "key"), "key", "left").select("id", "text", "places").mapInArrow(_cut(with_text), fields)
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
