@@ -376,8 +376,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the near copies: of each component the document with the smallest id stays, with docs' columns."""
     found = near_duplicates(docs, id_col, text_col)
-    kept = stage(found.where("id <=> component_id").select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "near_kept")
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__hash"))
+    names = {c.lower() for c in docs.columns}
+    own, digest = (next(n for i in range(len(names) + 1) if (n := f"{c}{i}") not in names) for c in ("kept_id", "kept_hash"))  # whatever docs' columns are called
+    kept = stage(found.where("id <=> component_id").select(F.col("id").alias(own), F.col("text_hash").alias(digest)).distinct(), "near_kept")
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(own)) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col(digest))
     return docs.join(kept, same, "left_semi")
 
 
