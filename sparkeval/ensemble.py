@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +13,7 @@ from sparkeval.ranking import macro, rank_metrics
 from sparkeval.staging import numbered, same_keys
 
 EPS = 1e-6
+_ARROW = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64()}
 
 
 def log_odds(p: Column) -> Column:
@@ -48,17 +53,71 @@ def select_members(pred: DataFrame, runs: DataFrame, floor: float = 0.75) -> Dat
     return v.select("run_id", "experiment", "model", "macro_auroc", status.alias("status"))
 
 
-def pairs_of_runs(pred: DataFrame) -> DataFrame:
-    """Scores of two runs side by side for each study and class: one shuffle, pairs exploded in place."""
-    a = pred.groupBy("study_id", "class_idx").agg(F.max("label").alias("label"), F.sort_array(F.collect_list(F.struct("run_id", "score"))).alias("s"))
-    p = a.select("class_idx", "label", F.explode("s").alias("x"), "s").select("class_idx", "label", "x", F.explode("s").alias("y")).where("x.run_id < y.run_id")
-    return p.select(F.col("x.run_id").alias("a"), F.col("y.run_id").alias("b"), "class_idx", "label", F.col("x.score").alias("sa"), F.col("y.score").alias("sb"))
+def _moments(x: np.ndarray) -> np.ndarray:
+    """Of rows by runs, for each pair of runs over the rows that have both: rows, means of either, sums of squared deviations of either, of their products."""
+    there = ~np.isnan(x)
+    some = there.any(axis=0)
+    pivot = np.where(some, np.where(there, x, 0.0).sum(axis=0) / np.maximum(there.sum(axis=0), 1), 0.0)
+    d, m = np.where(there, x - pivot, 0.0), there.astype(np.float64)  # deviations, so that squares stay of their size
+    n, sa, saa, sab = m.T @ m, d.T @ m, (d * d).T @ m, d.T @ d
+    of = np.maximum(n, 1)
+    return np.stack([n, pivot[:, None] + sa / of, pivot[None, :] + sa.T / of, np.maximum(saa - sa * sa / of, 0), np.maximum(saa.T - sa.T * sa.T / of, 0), sab - sa * sa.T / of])
+
+
+def _merged(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Moments of two sets of rows together."""
+    n = p[0] + q[0]
+    of, da, db = np.maximum(n, 1), q[1] - p[1], q[2] - p[2]
+    w = p[0] * q[0] / of
+    out = np.stack([n, p[1] + da * q[0] / of, p[2] + db * q[0] / of, p[3] + q[3] + da * da * w, p[4] + q[4] + db * db * w, p[5] + q[5] + da * db * w])
+    return np.where(p[0] == 0, q, np.where(q[0] == 0, p, out))
+
+
+def co_moments(pred: DataFrame) -> DataFrame:
+    """a, b, class_idx, label, n and the deviations' sums of squares aa and bb and of products ab, for each pair of runs a < b over the studies that both score.
+
+    A study's scores meet in one row, a value a run; a task adds up one matrix of co-moments for each class and label, and tasks' matrices are merged. Of two scores
+    of one run for a study the larger one counts.
+    """
+    kinds, keys = dict(pred.dtypes), ("class_idx", "label", "a", "b")
+    cells = pred.groupBy("study_id", "class_idx").agg(F.max("label").alias("label"), F.sort_array(F.collect_list(F.struct("run_id", "score"))).alias("s"))
+    cells = cells.select("class_idx", "label", F.col("s.run_id").alias("runs"), F.col("s.score").cast("array<double>").alias("scores"))
+    kinds = {"class_idx": kinds["class_idx"], "label": kinds["label"], "a": kinds["run_id"], "b": kinds["run_id"]}
+    names = ("n", "ma", "mb", "aa", "bb", "ab")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column("runs")
+            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            runs, place = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+            x = np.full((batch.num_rows, len(runs)), np.nan)
+            x[row, place] = batch.column("scores").flatten().to_numpy(zero_copy_only=False)
+            strata, of = np.unique(np.stack([batch.column(k).to_numpy() for k in ("class_idx", "label")]), axis=1, return_inverse=True)
+            for k, stratum in enumerate(strata.T):
+                key, m = (tuple(runs.tolist()), *stratum.tolist()), _moments(x[of.reshape(-1) == k])
+                held[key] = _merged(held[key], m) if key in held else m
+        for (runs, klass, label), m in held.items():
+            i, j = np.triu_indices(len(runs), 1)
+            at = np.array(runs)
+            columns = [np.full(len(i), klass), np.full(len(i), label), at[i], at[j], *m[:, i, j]]
+            arrays = [pa.array(c, _ARROW[t]) for c, t in zip(columns, kinds.values())]
+            yield pa.RecordBatch.from_arrays([*arrays, *[pa.array(c) for c in columns[4:]]], [*kinds, *names])
+
+    parts = cells.mapInArrow(run, ", ".join([*[f"{k} {t}" for k, t in kinds.items()], *[f"{c} double" for c in names]])).where("n > 0")
+    w = Window.partitionBy(*keys)  # a row for each task
+    da, db = (F.col(c) - F.sum(F.col("n") * F.col(c)).over(w) / F.sum("n").over(w) for c in ("ma", "mb"))
+    d = parts.select(*keys, "n", "aa", "bb", "ab", da.alias("da"), db.alias("db")).groupBy(*keys)
+    sums = {"aa": F.col("aa") + F.col("n") * F.col("da") ** 2, "bb": F.col("bb") + F.col("n") * F.col("db") ** 2, "ab": F.col("ab") + F.col("n") * F.col("da") * F.col("db")}
+    return d.agg(F.sum("n").alias("n"), *[F.sum(v).alias(k) for k, v in sums.items()])
 
 
 def residual_correlation(pred: DataFrame, least: int = 30) -> DataFrame:
-    """Mean correlation of two runs' scores within the strata of class and label."""
-    s = pairs_of_runs(pred).groupBy("a", "b", "class_idx", "label").agg(F.corr("sa", "sb").alias("rho"), F.count("*").alias("n"), F.stddev_pop("sa").alias("da"), F.stddev_pop("sb").alias("db"))
-    return s.where((F.col("n") >= least) & (F.col("da") >= 1e-12) & (F.col("db") >= 1e-12)).groupBy("a", "b").agg(F.avg("rho").alias("correlation"))
+    """Mean correlation of two runs' scores within the strata of class and label; strata with few studies or constant scores are left out."""
+    s = co_moments(pred).where((F.col("n") >= least) & (F.sqrt(F.col("aa") / F.col("n")) >= 1e-12) & (F.sqrt(F.col("bb") / F.col("n")) >= 1e-12))
+    return s.groupBy("a", "b").agg(F.avg(F.col("ab") / F.sqrt(F.col("aa") * F.col("bb"))).alias("correlation"))
 
 
 def top_flags(pred: DataFrame) -> DataFrame:

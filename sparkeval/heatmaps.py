@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -61,13 +61,6 @@ def localization_summary(scored: DataFrame, key: str = "class_idx") -> DataFrame
     )
 
 
-def select_cases(scored: DataFrame, n: int, id_col: str = "image_id") -> DataFrame:
-    """Diagnostic cases, n of each kind: hits of most energy and misses of least; equal ones in the order of the id."""
-    hits = scored.where("hit").orderBy(F.desc("energy"), id_col).limit(n).withColumn("kind", F.lit("hit"))
-    misses = scored.where("not hit and not degenerate").orderBy("energy", id_col).limit(n).withColumn("kind", F.lit("mislocalized"))
-    return hits.unionByName(misses).select("kind", id_col, "class_idx", "energy")
-
-
 def largest_blobs(grids: np.ndarray) -> np.ndarray:
     """Masks of the largest 4-connected region of each of n x height x width masks; of equal ones the first in row order."""
     n, h, w = grids.shape
@@ -154,20 +147,20 @@ def localization_report(scored: DataFrame, levels: tuple[float, ...] = LEVELS) -
 
 
 def diagnostic_cases(scored: DataFrame, n: int, id_col: str = "image_id") -> DataFrame:
-    """Up to n cases of each of six kinds, with their place; equal ones in the order of id and class.
+    """Up to n cases of each of six kinds, with their place from 1; equal ones in the order of id and class.
 
-    scored: id, class_idx, energy, hit, fired (the class was called), absent_score and absent_fired (the top absent class).
+    scored: id, class_idx, energy, hit, fired (the class was called), absent_score and absent_fired (the top absent class). A row gives the kinds it belongs to
+    in one scan, and each task keeps the n first of a kind before they meet.
     """
-    down, up = F.desc("energy"), F.asc("energy")
+    energy, absent = F.col("energy"), F.col("absent_score")
     kinds = {
-        "localized": ("fired and hit", down), "mislocalized": ("fired and not hit", up), "missed": ("not fired", down),
-        "false_positive": ("absent_fired", F.desc("absent_score")), "best": ("true", down), "worst": ("true", up),
+        "localized": (F.col("fired") & F.col("hit"), -energy), "mislocalized": (F.col("fired") & ~F.col("hit"), energy), "missed": (~F.col("fired"), -energy),
+        "false_positive": (F.col("absent_fired"), -absent), "best": (F.lit(True), -energy), "worst": (F.lit(True), energy),
     }
-    out = None
-    for kind, (rule, order) in kinds.items():
-        part = scored.where(rule).orderBy(order, id_col, "class_idx").limit(n).withColumn("kind", F.lit(kind)).select("kind", id_col, "class_idx", "energy", "absent_score")
-        out = part if out is None else out.unionByName(part)
-    return out
+    entries = F.array(*[F.when(rule, F.struct(F.lit(kind).alias("kind"), order.alias("order"))) for kind, (rule, order) in kinds.items()])
+    each = scored.select(id_col, "class_idx", "energy", "absent_score", F.inline(F.array_compact(entries)).alias("kind", "order"))
+    place = F.row_number().over(Window.partitionBy("kind").orderBy("order", id_col, "class_idx"))
+    return each.withColumn("place", place).where(F.col("place") <= n).select("kind", "place", id_col, "class_idx", "energy", "absent_score")
 
 
 @F.pandas_udf(DoubleType())

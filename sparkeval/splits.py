@@ -1,7 +1,7 @@
 """Stratified splits and nested subsets by patient.
 
-A patient's fold is a function of its labels and of a hash of its id. The driver only sees sums per hash bucket, so the number of
-patients is of no matter to it, and no window or join runs over them.
+A patient's fold is a function of its labels and of a hash of its id. The driver only sees sums per range of the hash, which it divides further only where
+the border of a fold lies, down to a single patient; so the number of patients is of no matter to it, and no window or join runs over them.
 """
 
 from __future__ import annotations
@@ -24,31 +24,67 @@ def bucket(key: str, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(BUCKETS)).cast("int")
 
 
+BITS, LEVELS = 63, (47, 31, 15, 0)  # of a patient's place; ranges of places by their first 16 bits, 32, 48, all
+
+
+def place(key: str, seed: int) -> Column:
+    """A patient's place in the order in which folds are cut: 63 bits of a hash."""
+    return F.shiftrightunsigned(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), 1)
+
+
 @dataclass
 class Stratification:
-    """Labels in the order they were placed and, for each and for patients without any, the first bucket of each fold but the first."""
+    """Labels in the order they were placed and, for each and for patients without any, the first place of each fold but the first."""
 
     order: list[str]
     bounds: list[list[int]]
     seed: int
 
     def fold(self, key: str = "patient_id") -> Column:
-        def place(cuts: list[int]) -> Column:
-            return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<int>"), lambda c: c <= bucket(key, self.seed)))
+        def cut(cuts: list[int]) -> Column:
+            return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>"), lambda c: c <= place(key, self.seed)))
 
-        out = place(self.bounds[-1])
+        out = cut(self.bounds[-1])
         for label, cuts in reversed(list(zip(self.order, self.bounds))):
-            out = F.when(F.col(label) > 0, place(cuts)).otherwise(out)
+            out = F.when(F.col(label) > 0, cut(cuts)).otherwise(out)
         return out
 
 
+def _ranges(rows: DataFrame, sums: Sequence[Column], k: int, lack: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places of ranges of patients and each one's sums, in order. A range in which a border of `lack` lies holds one patient, unless two share a place."""
+
+    def asked(df: DataFrame, shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = F.shiftright("__p", shift)
+        got = df.groupBy(at.alias("at")).agg(F.count("*").alias("n"), *[s.alias(f"s{i}") for i, s in enumerate(sums)]).collect()  # at most 65,536 for each border
+        got = sorted(got, key=lambda r: r[0])
+        return np.array([r[0] for r in got], np.int64) << shift, np.array([r[1] for r in got], np.int64), np.array([list(r)[2:] for r in got], float).reshape(len(got), len(sums))
+
+    first, n, mass = asked(rows, LEVELS[0])
+    borders = np.cumsum(lack)[:-1] / lack.sum()
+    for above, shift in zip(LEVELS, LEVELS[1:]):
+        upto = np.cumsum(mass[:, k]) / max(mass[:, k].sum(), 1e-300)
+        of = np.unique(np.searchsorted(upto, borders, "left"))
+        of = of[of < len(first)]
+        of = of[n[of] > 1]
+        if not len(of):
+            break
+        own = F.shiftleft(F.shiftright("__p", above), above).isin([int(x) for x in first[of]])
+        finer = asked(rows.where(own), shift)
+        keep = np.ones(len(first), bool)
+        keep[of] = False
+        first, n, mass = (np.concatenate([x[keep], y]) for x, y in zip((first, n, mass), finer))
+        order = np.argsort(first)
+        first, n, mass = first[order], n[order], mass[order]
+    return first, mass
+
+
 def stratify(patients: DataFrame, labels: Sequence[str], proportions: Sequence[float], seed: int = 42, key: str = "patient_id") -> Stratification:
     """Folds of the given proportions with like shares of every label: the rarest label left is placed first, patients without one last by size.
 
-    patients: one row each with the key, `images` and a count for each label. One job for each label; it collects sums for at most
-    65,536 buckets of the key's hash, and folds meet at bucket borders, where each has what it still lacks of the label.
+    patients: one row each with the key, `images` and a count for each label. One job for each label, and up to three small ones over the patients around the
+    borders between folds, which lie where each fold has what it still lacks of the label, to half a patient.
     """
-    p, share = patients.withColumn("__b", bucket(key, seed)), np.array(proportions, dtype=float)
+    p, share = patients.withColumn("__p", place(key, seed)), np.array(proportions, dtype=float)
     sums = [F.coalesce(F.sum(c), F.lit(0)).cast("double") for c in (*labels, "images")]
     total = np.array([float(v) for v in patients.agg(*sums).first()])
     desired, held, left = np.outer(share, total), np.zeros((len(share), len(total))), total.copy()
@@ -60,14 +96,13 @@ def stratify(patients: DataFrame, labels: Sequence[str], proportions: Sequence[f
         for done in order:
             rows = rows.where(F.coalesce(F.col(done), F.lit(0)) == 0)
         rows = rows.where(F.col(labels[k]) > 0) if rest else rows
-        got = rows.groupBy("__b").agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).orderBy("__b").collect()
-        at, mass = np.array([r[0] for r in got], dtype=int), np.array([list(r)[1:] for r in got], dtype=float).reshape(len(got), len(total))
         lack = np.maximum(desired[:, k] - held[:, k], 0)
         lack = lack if lack.sum() > 0 else share
+        at, mass = _ranges(rows, sums, k, lack)
         middle = (np.cumsum(mass[:, k]) - mass[:, k] / 2) / max(mass[:, k].sum(), 1e-300)
         fold = np.searchsorted(np.cumsum(lack)[:-1] / lack.sum(), middle, "right")
         np.add.at(held, fold, mass)
-        bounds.append([int(at[fold >= f].min()) if (fold >= f).any() else BUCKETS for f in range(1, len(share))])
+        bounds.append([int(at[fold >= f].min()) if (fold >= f).any() else (1 << BITS) - 1 for f in range(1, len(share))])
         left = left - mass.sum(axis=0)
         if not rest:
             return Stratification(order, bounds, seed)

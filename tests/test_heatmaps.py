@@ -100,4 +100,6 @@ def test_diagnostic_cases(spark):
     got = {}
     for r in heatmaps.diagnostic_cases(s, 2).collect():
         got.setdefault(r.kind, []).append(r.image_id)
+    plan = heatmaps.diagnostic_cases(s, 2)._jdf.queryExecution().toString()
+    assert plan.count("WindowGroupLimit") >= 2 and plan.count("Union") == 0  # one scan; each task keeps the first ones before the shuffle
     assert got == {"localized": [1, 4], "mislocalized": [2], "missed": [3], "false_positive": [3, 2], "best": [1, 3], "worst": [2, 3]}

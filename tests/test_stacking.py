@@ -60,3 +60,30 @@ def test_diverse_members(spark, members):
     assert status[0] == "selected 1" and status[2] == "below floor" and status[1] in ("selected 2", "no gain")
     both = ensemble.run_auroc(ensemble.combine(pred.where("run_id < 2")).withColumn("run_id", F.lit(9))).first().macro_auroc
     assert (status[1] == "selected 2") == (both > got[0]["macro_auroc"])
+
+
+def test_co_moments_of_tasks_are_merged(spark):
+    """Against numpy over each pair's common studies: runs that lack studies, scores far from 0, a constant run, strata of few studies."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(900):
+        for k in range(2):
+            base = rng.normal()
+            for r in range(5):
+                if rng.random() < 0.85 or r == 0:
+                    score = {3: 0.25, 4: 1e6 + base}.get(r, float(base * r + rng.normal()))
+                    rows.append((r, i, k, int(i % 40 == 0 if k else i % 3 == 0), score))
+    pred = spark.createDataFrame(rows, "run_id int, study_id long, class_idx int, label int, score double").repartition(7)
+    at = {}
+    for r, i, k, y, x in rows:
+        at.setdefault((k, y), {}).setdefault(r, {})[i] = x
+    want = {}
+    for runs in at.values():
+        for a in range(5):
+            for b in range(a + 1, 5):
+                both = sorted(runs[a].keys() & runs[b].keys())
+                x, y = np.array([runs[a][i] for i in both]), np.array([runs[b][i] for i in both])
+                if len(both) >= 30 and x.std() >= 1e-12 and y.std() >= 1e-12:
+                    want.setdefault((a, b), []).append(np.corrcoef(x, y)[0, 1])
+    got = {(r.a, r.b): r.correlation for r in ensemble.residual_correlation(pred).collect()}
+    assert len(got) == 6 and got == {k: pytest.approx(np.mean(v), abs=1e-8) for k, v in want.items()}
