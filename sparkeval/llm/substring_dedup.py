@@ -7,7 +7,7 @@ of each window (its anchor, which equal windows share) is sorted. Three refineme
 
 1. anchors are sorted into buckets by their identifier, and each bucket by the identifiers of the first and last window of the anchor;
    windows of an entry with an equal one in a smaller document are repeated, those of a bucket with one entry are not;
-2. what is left of buckets with different entries is sorted by window identifier;
+2. what is left of buckets with different entries is sorted by window identifier, and by a second one of 64 bits from the window's bytes;
 3. per document, the repeated windows' bytes are cut out.
 
 Tasks combine their own entries before the shuffles, which carry columns packed into blobs, not rows.
@@ -52,6 +52,15 @@ def window_ids(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix(mix(grams[at] * C + grams[at + GRAM] * B) * C + grams[at + TAIL] * D)
 
 
+def second_ids(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A second identifier of windows, from their bytes as seven words of 8 bytes (the last two share some) and not from their grams' identifiers."""
+    words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))  # at every byte
+    out = np.zeros(len(at), np.uint64)
+    for k, offset in enumerate((0, 8, 16, 24, 32, 40, WINDOW - 8)):
+        out = mix(out * B + words[at + offset] * PLACES[k % len(PLACES)] + np.uint64(k))
+    return out
+
+
 def least_grams(grams: np.ndarray) -> np.ndarray:
     """Place of the least gram in each window, the leftmost of equal ones."""
     least, length = (grams & ~PLACE_BITS) | np.arange(len(grams), dtype=np.uint64), 1
@@ -190,7 +199,7 @@ def _map(parts: int, of_windows: bool, common: int, chunk: int):
     """
 
     def block(ids: np.ndarray, docs: list[bytes], asked: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
-        found = gathered(windows_of(docs, asked, chunk), 1) if of_windows else gathered(entries(docs, chunk), 2)
+        found = gathered(windows_of(docs, asked, chunk), 2) if of_windows else gathered(entries(docs, chunk), 2)
         for keys, columns in found:
             yield from sent(keys, [ids[columns[0]], *columns[1:]])
 
@@ -238,11 +247,11 @@ def _map(parts: int, of_windows: bool, common: int, chunk: int):
 
 
 def windows_of(docs: list[bytes], asked: list[bytes], chunk: int = CHUNK) -> Iterator[list[np.ndarray]]:
-    """The windows asked for, chunk by chunk: identifier; document, place and length 1."""
+    """The windows asked for, chunk by chunk: both identifiers; document, place and length 1."""
     last, wanted = -1, np.empty(0, np.int64)
     for docs_at, base, data, ends in in_chunks(docs, chunk):
         grams = gram_ids(data)
-        ids, doc, place = [], [], []
+        ids, more, doc, place = [], [], [], []
         for d, first, start, end in zip(docs_at, base, np.append(0, ends[:-1]), ends, strict=True):
             if d != last:
                 last, spans = d, np.frombuffer(asked[d], "<i8").reshape(2, -1)
@@ -252,10 +261,11 @@ def windows_of(docs: list[bytes], asked: list[bytes], chunk: int = CHUNK) -> Ite
             n = np.maximum(high - low, 0)
             wanted = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
             ids.append(window_ids(grams, wanted - first + start))
+            more.append(second_ids(data, wanted - first + start))
             doc.append(np.full(len(wanted), d))
             place.append(wanted)
         doc = np.concatenate(doc)
-        yield [np.concatenate(ids), doc, np.concatenate(place), np.ones(len(doc), np.int64)]
+        yield [np.concatenate(ids), np.concatenate(more), doc, np.concatenate(place), np.ones(len(doc), np.int64)]
 
 
 def _refine(parts: int, of_windows: bool):

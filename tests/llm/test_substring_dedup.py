@@ -65,3 +65,30 @@ def test_parts_are_bounded():
         for x in bucket.tolist():
             counts[x] = counts.get(x, 0) + 1
     assert max(counts.values()) < 64 and sum(len(c[0]) for c in left) > 1000
+
+
+def test_windows_are_told_apart_by_the_second_identifier():
+    """Windows of which the first identifiers are all equal: one bucket, still the right bytes."""
+    import numpy as np
+
+    from sparkeval.llm.substring_dedup import second_ids, windows_of
+
+    rng = np.random.default_rng(4)
+    docs = [bytes(rng.integers(97, 123, 300, dtype=np.uint8)) for _ in range(4)]
+    docs.append(docs[0][100:200] + docs[1][:120])
+    asked = [np.stack([[0], [len(d) - 49]]).astype("<i8").tobytes() for d in docs]
+    (ids, more, doc, place, _), = windows_of(docs, asked)
+    text = [docs[d][p : p + 50] for d, p in zip(doc, place)]
+    for own in (ids, more):
+        assert len(set(own.tolist())) == len(set(text)) and all(len({text[i] for i in np.flatnonzero(own == x)}) == 1 for x in np.unique(own))
+    data = np.frombuffer(docs[0] + bytes(8), np.uint8)
+    for at in range(0, 250, 31):  # any byte of a window changes it
+        for i in range(50):
+            other = data.copy()
+            other[at + i] ^= 1
+            assert second_ids(data, np.array([at])) != second_ids(other, np.array([at]))
+    keys = [np.zeros(len(ids), np.uint64), more]
+    order, marks = substring_dedup.sort_entries(keys, doc)
+    found = substring_dedup.repeated(marks[-1], doc[order])
+    want = [any(docs[e].find(text[i]) >= 0 for e in range(doc[i])) for i in order]
+    assert found.tolist() == want and any(want)
