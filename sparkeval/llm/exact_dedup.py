@@ -157,7 +157,6 @@ def op10_exact_dedup(spark, sf_dir: str) -> DataFrame:
 
 OP10_SQL = """
 WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents),
-g AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY body)
-SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.body) AS text_sha256
-FROM t JOIN g ON t.body = g.body
+g AS (SELECT *, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, row_number() OVER (PARTITION BY body ORDER BY doc_id DESC NULLS LAST) = 1 AS kept FROM t WINDOW w AS (PARTITION BY body))
+SELECT doc_id, keep_id, group_size, kept, sha256(body) AS text_sha256 FROM g
 """

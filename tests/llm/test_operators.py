@@ -36,6 +36,19 @@ def test_against_oracle(name, against_oracle):
     against_oracle(queries.QUERIES[name], queries.ORACLE_SQL[name], "/root/testdata/sf0.001")
 
 
+def test_exact_dedup_sql_on_repeated_and_null_ids(spark, docs):
+    """The query's SQL says of repeated rows and of null ids what the operator says."""
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    c.executemany("INSERT INTO documents VALUES (?, ?)", [list(x) for x in TEXTS] + [[None, "lonely null"], [None, "lonely null"]])
+    want = c.execute(f"SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM ({exact_dedup.OP10_SQL})").fetchall()
+    table = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(None, "lonely null")] * 2, "doc_id long, text string"))
+    got = exact_dedup.mark_copies(table, keep="largest").collect()
+    assert sorted(((r.id, r.keep_id, r.n, r.kept, r.key.hex()) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_sharding(docs, empty):
     out = sharding.shard_documents(docs, shards=4).collect()
     assert len(out) == len(TEXTS)
