@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,9 +83,23 @@ def age_band(age: str = "age") -> Column:
     return out
 
 
+def counted(per: DataFrame, keys: Sequence[str], *sums: str, n: str | None = None) -> DataFrame:
+    """keys, n, patients and sums: rows (or, with `n`, the sum of that column) and different patients, which are reduced to a row each first and then counted.
+
+    No row is repeated for the sake of several distinct counts.
+    """
+    rows = F.sum(n) if n else F.count("*")
+    patients = per.groupBy(*keys, "patient_id").agg(rows.alias("n"), *[F.sum(c).alias(c) for c in sums])
+    return patients.groupBy(*keys).agg(F.sum("n").alias("n"), F.count("patient_id").alias("patients"), *[F.sum(c).alias(c) for c in sums])
+
+
 def subgroup_counts(studies: DataFrame) -> DataFrame:
-    g = studies.withColumn("band", age_band()).groupingSets([["sex"], ["band"], []], "sex", "band")
-    return g.agg(F.grouping_id().alias("axis"), F.count("*").alias("n"), F.count_distinct("patient_id").alias("patients"))
+    """sex, band, axis, n and patients by sex (axis 1), by band (2) and in all (3)."""
+    none = F.lit(None).cast("string")
+    first = studies.groupBy("patient_id", "sex", age_band().alias("band")).agg(F.count("*").alias("studies"))  # about a row for each patient
+    sides = [(1, F.col("sex"), none), (2, none, F.col("band")), (3, none, none)]
+    sides = F.array(*[F.struct(F.lit(i).cast("long").alias("axis"), s.alias("of_sex"), b.alias("of_band")) for i, s, b in sides])
+    return counted(first.select("patient_id", "studies", F.inline(sides)).withColumnsRenamed({"of_sex": "sex", "of_band": "band"}), ("sex", "band", "axis"), n="studies")
 
 
 def patient_table(studies: DataFrame, classes: list[str]) -> DataFrame:

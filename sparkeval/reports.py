@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkeval import bootstrap, ensemble, metrics, ranking, sources, subgroups, thresholds
 from sparkeval.ranking import rank_metrics
+from sparkeval.labels import counted
 from sparkeval.staging import same_keys, stage
 
 SCREENS = ("max", "noisy_or")
@@ -108,7 +109,7 @@ def subgroup_report(fired: DataFrame, draws: int = 0, least: int = 10) -> DataFr
     """
     at = ["run_id", "axis", "level"]
     fired = stage(fired, "subgroup_rows")
-    counts = subgroups.by_level(fired).groupBy(*at).agg(F.count_distinct("study_id").alias("n"), F.count_distinct("patient_id").alias("patients"), F.sum("label").alias("positives"))
+    counts = counted(subgroups.by_level(fired).groupBy(*at, "patient_id", "study_id").agg(F.sum("label").alias("positives")), at, "positives")
     rates = subgroups.subgroup_gaps(fired, least).drop("ref_auroc", "ref_fnr")
     under = subgroups.underdiagnosis(fired).drop("abnormal")
     reference = F.when(F.col("axis") == "sex", subgroups.REFERENCE["sex"]).otherwise(subgroups.REFERENCE["age"])

@@ -20,6 +20,15 @@ def write_predictions(pred: DataFrame, path: str, enabled: bool = True) -> None:
         pred.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*RUN).parquet(path)
 
 
+def save_members(pred: DataFrame, table: str, bucket_rows: int = 1_000_000) -> DataFrame:
+    """Predictions of several runs as a table bucketed and sorted by study, and read from there: checks of members, combinations and co-moments of runs, which
+    need a study's rows together, then take no shuffle. Buckets follow the number of rows."""
+    buckets = max(1, -(-pred.count() // bucket_rows))
+    dealt = pred.repartition(buckets, "study_id").sortWithinPartitions("study_id", "class_idx")  # one file a bucket
+    dealt.write.mode("overwrite").bucketBy(buckets, "study_id").sortBy("study_id", "class_idx").saveAsTable(table)
+    return pred.sparkSession.table(table)
+
+
 def write_thresholds(thresholds: DataFrame, path: str, settings: Mapping[str, object]) -> None:
     """Thresholds with the settings they were tuned under."""
     thresholds.withColumn("settings", F.lit(json.dumps(dict(settings), sort_keys=True))).write.mode("overwrite").parquet(path)

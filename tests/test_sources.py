@@ -5,7 +5,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from sparkeval import reports, runs, sinks, sources
+from sparkeval import ensemble, labels, reports, runs, sinks, sources
 
 CELLS = "experiment string, model string, split string, run_id int, study_id long, patient_id long, class_idx int, label int, score double"
 
@@ -150,3 +150,29 @@ def test_thresholds_tables_and_splits(spark, pred, tmp_path):
     sinks.write_splits(pred.select("study_id", "split").distinct(), str(tmp_path / "s"))
     assert len(list((tmp_path / "c").glob("*.csv"))) == 1
     assert {p.name for p in (tmp_path / "s").glob("split=*")} == {"split=val", "split=test"}
+
+
+def test_members_side_by_side_without_a_shuffle(spark, pred):
+    """On a bucketed table the cells of checks, means, log-odds and co-moments are found where they lie; the results are those of any other table."""
+    table = sinks.save_members(pred.where("split = 'val'"), "members_of_test", bucket_rows=3)
+    try:
+        plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        cells = table.groupBy("split", "study_id", "class_idx").agg(F.count("*").alias("rows"))
+        for df in (cells, ensemble.combine(table, "mean"), ensemble.combine(table, "logit")):
+            assert "Exchange" not in plan(df) and "Bucketed: true" in plan(df)
+        assert plan(ensemble.co_moments(table)).count("Exchange") == 1  # of tasks' matrices
+        assert plan(ensemble.combine(pred.where("split = 'val'"), "mean")).count("Exchange") > 0
+        sources.check_members(table)
+        want = ensemble.combine(pred.where("split = 'val'"), "logit")
+        assert sorted(map(tuple, ensemble.combine(table, "logit").collect())) == sorted(map(tuple, want.collect()))
+    finally:
+        spark.sql("DROP TABLE members_of_test")
+
+
+def test_counts_of_patients_repeat_no_rows(spark):
+    rows = [(1, "p", "M", 30), (2, "p", "M", 31), (3, "q", "F", 85), (4, "q", "F", 30), (5, "r", None, None)]
+    studies = spark.createDataFrame(rows, "study_id int, patient_id string, sex string, age int")
+    got = labels.subgroup_counts(studies)
+    assert "Expand" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r.axis, r.sex, r.band): (r.n, r.patients) for r in got.collect()} == {
+        (1, "M", None): (2, 1), (1, "F", None): (2, 1), (1, None, None): (1, 1), (2, None, "20-39"): (3, 2), (2, None, "80-100"): (1, 1), (2, None, None): (1, 1), (3, None, None): (5, 3)}
