@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkeval.ranking import macro, rank_metrics
-from sparkeval.staging import numbered, same_keys
+from sparkeval.staging import checked, numbered, same_keys
 
 EPS = 1e-6
 _ARROW = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64()}
@@ -25,7 +25,7 @@ def rank_transform(pred: DataFrame) -> DataFrame:
     """Scores as places in [0, 1] within run and class; equal scores in the order of the study."""
     keys = ["run_id", "class_idx"]
     rows = pred.groupBy(*keys).agg(F.count("*").alias("__rows"))
-    placed = same_keys(numbered(pred, keys, ["score", "study_id"], "score_places", "__place"), F.broadcast(rows), keys)  # a row for each key
+    placed = same_keys(numbered(pred, keys, ["score", "study_id"], "score_places", "__place"), checked(rows, "score_rows"), keys)  # a row for each key
     return placed.withColumn("score", F.col("__place") / F.greatest(F.col("__rows") - 1, F.lit(1))).drop("__place", "__rows")
 
 
@@ -46,7 +46,7 @@ def run_auroc(pred: DataFrame) -> DataFrame:
 
 def select_members(pred: DataFrame, runs: DataFrame, floor: float = 0.75) -> DataFrame:
     """The best run of each model on validation, with a status for every run."""
-    v = run_auroc(pred.where("split = 'val'")).join(F.broadcast(runs), "run_id")  # a row for each run
+    v = run_auroc(pred.where("split = 'val'")).join(checked(runs, "runs"), "run_id")  # a row for each run
     first = F.row_number().over(Window.partitionBy("model").orderBy(F.desc("macro_auroc"), "experiment"))
     best = F.first("experiment").over(Window.partitionBy("model").orderBy(F.desc("macro_auroc"), "experiment"))
     status = F.when(F.col("macro_auroc").isNull(), "unscorable").when(F.col("macro_auroc") < floor, "below floor").when(first == 1, "selected").otherwise(F.concat(F.lit("beaten within family by "), best))
@@ -125,7 +125,7 @@ def top_flags(pred: DataFrame) -> DataFrame:
     keys = ["run_id", "class_idx"]
     k = pred.groupBy(*keys).agg(F.sum("label").alias("k"))
     placed = numbered(pred.select(*keys, "study_id", "score"), keys, [F.desc("score"), "study_id"], "top_places")
-    return same_keys(placed, F.broadcast(k), keys).where("place < k").select(*keys, "study_id", "k")  # a row for each key
+    return same_keys(placed, checked(k, "top_sizes"), keys).where("place < k").select(*keys, "study_id", "k")  # a row for each key
 
 
 def decision_disagreement(pred: DataFrame, least: int = 30) -> DataFrame:

@@ -161,7 +161,7 @@ def epochs(s, d):
 def weighted_bce(s, d):
     logits = _test(s, d).withColumn("logit", ensemble.log_odds(F.col("score")))
     weights = metrics.positive_weights(predictions(s, d).where("split = 'train' and run_id = 0"))
-    return rounded(metrics.bce_from_logits(logits.join(F.broadcast(weights), "class_idx"), weight="pos_weight"))  # a row for each class
+    return rounded(metrics.bce_from_logits(logits.join(weights, "class_idx"), weight="pos_weight"))  # a row for each class
 
 
 def lists(s, d):

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkeval.staging import before_parts, ranged, same_keys
+from sparkeval.staging import before_parts, checked, ranged, same_keys
 
 KEYS = ("run_id", "class_idx")
 
@@ -27,7 +27,7 @@ def swept(counts: DataFrame, keys: Sequence[str] = KEYS, *more: str) -> DataFram
     down = F.desc("score")
     c = ranged(counts, keys, [down], "score_ranges")
     # a row for each range, and one more for each key
-    c = same_keys(c, F.broadcast(before_parts(c, keys, {"pos": F.sum("pos"), "n": F.sum("n")})), [*keys, "part"])
+    c = same_keys(c, checked(before_parts(c, keys, {"pos": F.sum("pos"), "n": F.sum("n")}), "score_ranges_before"), [*keys, "part"])
     w = Window.partitionBy(*keys, "part").orderBy(down).rowsBetween(Window.unboundedPreceding, 0)
     c = c.withColumns({"tp": F.sum("pos").over(w) + F.col("pos_before"), "called": F.sum("n").over(w) + F.col("n_before")})
     return c.select(*keys, "score", "pos", "n", *more, "tp", (F.col("called") - F.col("tp")).alias("fp"), F.col("pos_all").alias("p"), F.col("n_all").alias("total"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sparkeval import bootstrap, ensemble, metrics, ranking, sources, subgroups, thresholds
 from sparkeval.ranking import rank_metrics
 from sparkeval.labels import counted
-from sparkeval.staging import same_keys, stage
+from sparkeval.staging import checked, same_keys, stage
 
 SCREENS = ("max", "noisy_or")
 GAPS = ("auroc", "fnr", "underdiagnosis")
@@ -155,7 +155,7 @@ def ensemble_report(pred: DataFrame, runs: DataFrame, rule: str = "mean", floor:
     if ensembles is None:
         ensembles = spark.createDataFrame([], "experiment string, model string")
     usable = runs.join(ensemble.discover_runs(pred, ensembles), ["experiment", "model"], "left_semi")
-    pred = pred.join(F.broadcast(usable.select("run_id")), "run_id", "left_semi")  # a row for each run
+    pred = pred.join(checked(usable.select("run_id"), "usable_runs"), "run_id", "left_semi")  # a row for each run
     scan = [r for r in ensemble.select_members(pred, usable).collect() if r.status == "selected" and r.macro_auroc >= floor]  # a row for each run
     if len(scan) < 2:
         raise ValueError(f"an ensemble needs two members or more, not {len(scan)}")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sparkeval.ensemble import log_odds
 from sparkeval.labels import grouped_folds
-from sparkeval.staging import stage
+from sparkeval.staging import checked, small, stage
 
 FULL = -1  # the fold of a model fitted on all rows
 COEFFICIENTS = "class_idx int, fold int, w array<double>"
@@ -51,7 +51,7 @@ def fit_stackers(features: DataFrame, members: int, c: float = 0.3, min_positive
         if not open_models:
             break
         table = spark.createDataFrame([(k, f, w[k, f].tolist()) for k, f in sorted(open_models)], COEFFICIENTS)
-        r = rows.join(F.broadcast(table), ["class_idx", "fold"]).withColumn("p", p)  # a row for each class and fold
+        r = rows.join(small(table, len(open_models), 64 + 8 * size), ["class_idx", "fold"]).withColumn("p", p)  # a row for each class and fold
         v = F.col("p") * (1 - F.col("p"))
         sums = r.groupBy("class_idx", "fold").agg(
             F.array(*[F.sum((F.col("p") - F.col("label")) * F.col("x")[i]) for i in range(size)]).alias("g"),
@@ -72,7 +72,7 @@ def fit_stackers(features: DataFrame, members: int, c: float = 0.3, min_positive
 
 def apply_stackers(features: DataFrame, models: DataFrame) -> DataFrame:
     """features with `score` of the row's class and fold; the mean of the members where there is no model."""
-    scored = features.join(F.broadcast(models), ["class_idx", "fold"], "left")  # a row for each class and fold
+    scored = features.join(checked(models, "stackers"), ["class_idx", "fold"], "left")  # a row for each class and fold
     return scored.withColumn("score", F.when(F.col("w").isNull(), F.col("mean")).otherwise(1 / (1 + F.exp(-_dot("x", "w"))))).drop("w", "x")
 
 

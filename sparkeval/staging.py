@@ -87,6 +87,12 @@ def small(df: DataFrame, rows: int, width: int = 128) -> DataFrame:
     return F.broadcast(df) if rows * width <= BROADCAST_BYTES else df
 
 
+def checked(df: DataFrame, name: str, width: int = 128) -> DataFrame:
+    """df as a staged table, broadcast if its counted rows are within the bound."""
+    s = stage(df, name)
+    return small(s, s.count(), width)
+
+
 def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str, parts: int | None = None) -> DataFrame:
     """df as a staged table with `part`: ranges of keys and order, so that a key with many rows has many parts; equal rows share one.
 
@@ -110,5 +116,5 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
     r = ranged(df, keys, order, name)
     first = before_parts(r, keys, {"rows": F.count("*")}).drop("rows_all")
     inside = Window.partitionBy(*keys, "part").orderBy(*order)
-    out = same_keys(r, F.broadcast(first), [*keys, "part"])  # a row for each part, and one more for each key
+    out = same_keys(r, checked(first, f"{name}_before"), [*keys, "part"])  # a row for each part, and one more for each key
     return out.withColumn(number, F.row_number().over(inside) - 1 + F.col("rows_before")).drop("part", "rows_before")
