@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sparkeval.staging import drop_staged, shared_folder, stage
 
-__all__ = ["BROADCAST_BYTES", "blob", "drop_staged", "hash_bucket", "ranked", "read", "release", "runs_of", "shared_folder", "small", "stage"]
+__all__ = ["BROADCAST_BYTES", "blob", "drop_staged", "hash_bucket", "ranked", "read", "release", "runs_of", "shared_folder", "small", "stage", "trimmed"]
 
 #: A side of at most so many bytes is broadcast; a larger one is joined by shuffles.
 BROADCAST_BYTES = 32 << 20
@@ -64,6 +65,19 @@ def blob(array: np.ndarray) -> bytes:
     return np.ascontiguousarray(array).tobytes()
 
 
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run`, after which a task's Python worker gives back the memory that it holds but no longer uses; workers live on for other tasks."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+            trim(0)
+
+    return whole
+
+
 def runs_of(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
     """Split batches sorted by `key` into one table for each run of equal keys."""
     held: list[pa.RecordBatch] = []

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkeval.llm.common import stage
+from sparkeval.llm.common import stage, trimmed
 
 PREFIX = 64
 
@@ -109,7 +109,7 @@ def mark_copies(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id",
     found = stage(
         source.repartitionByRange("prefix", "digest", order)
         .sortWithinPartitions("prefix", "digest", order)
-        .mapInArrow(_mark(rows), schema),
+        .mapInArrow(trimmed(_mark(rows)), schema),
         "content_sort",
     )
     best = (F.max if keep == "largest" else F.min)("keep_id")

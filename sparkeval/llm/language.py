@@ -16,7 +16,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkeval.llm.common import read, small, stage
+from sparkeval.llm.common import read, small, stage, trimmed
 from sparkeval.llm.html_text import main_text
 
 GRAMS = 1 << 16
@@ -72,7 +72,7 @@ def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, rows:
     part = max(rows / max(n, 1), LEAST_ROWS)
     shares = small(labels.select("lang", (F.lit(part) / F.col("n")).alias("share")), n)
     picked = known.join(shares, "lang").where(F.col("draw") < F.col("share")).select("lang", "text")
-    counts = picked.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = picked.mapInArrow(trimmed(_count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = stage(counts, "language_grams")
     kept = [r["lang"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()]
     table, at = np.zeros((len(kept), GRAMS)), {lang: i for i, lang in enumerate(kept)}
@@ -182,7 +182,7 @@ def identify(
     )
     fields = "id long, declared string, host string" + (f", row {base.schema['row'].dataType.simpleString()}" if rows else "")
     scored = _likelihoods(table, from_html, text_col if rows else None, evidence)
-    base = base.mapInArrow(scored, fields + ", loglik array<double>, soft array<double>, grams long")
+    base = base.mapInArrow(trimmed(scored), fields + ", loglik array<double>, soft array<double>, grams long")
     suffix = F.when(F.size(parts) > 1, F.element_at(parts, -1)) if url_col else F.lit(None).cast("string")
     domain = F.when(F.size(parts) > 1, F.concat_ws(".", F.slice(parts, -2, 2))).otherwise(F.col("host"))
     base = stage(base.withColumns({"suffix": suffix, "domain": domain}), "language_rows")
@@ -201,7 +201,7 @@ def identify(
     near = near.select(*kept, "loglik", "soft", *LEVELS)
     fields = fields.replace("host string", "suffix string, host string")
     fuse = _fuse(names, np.array(total if total[0] is not None else [0.0] * k), n_declared, n_suffix)
-    out = near.mapInArrow(fuse, f"{fields}, grams long, text_lang string, lang string, confidence double")
+    out = near.mapInArrow(trimmed(fuse), f"{fields}, grams long, text_lang string, lang string, confidence double")
     return out.select("id", "declared", "suffix", "host", "grams", "text_lang", "lang", "confidence", *["row"] * rows)
 
 

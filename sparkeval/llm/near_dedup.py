@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkeval.llm.common import blob, drop_staged, read, runs_of, small, stage
+from sparkeval.llm.common import blob, drop_staged, read, runs_of, small, stage, trimmed
 from sparkeval.llm.graph import connected_components
 
 WORDS = 5
@@ -299,7 +299,7 @@ def _with_sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
     wanted = small(members.withColumnsRenamed({"id": "rep", "text_hash": "rep_hash"}), n)
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema if f.name not in ("id", "text_hash"))
     near = docs.join(wanted, (F.xxhash64("text") == F.col("rep_hash")) & F.col("id").eqNullSafe(F.col("rep")))
-    return near.select(*[c for c in members.columns if c not in ("id", "text_hash")], "text").mapInArrow(_sets, fields + ", set binary")
+    return near.select(*[c for c in members.columns if c not in ("id", "text_hash")], "text").mapInArrow(trimmed(_sets), fields + ", set binary")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS, block_sets: int = BLOCK_SETS) -> DataFrame:
@@ -311,7 +311,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = source.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
-        _sign, "id long, text_hash long, n long, class long, bytes binary, keys array<long>"
+        trimmed(_sign), "id long, text_hash long, n long, class long, bytes binary, keys array<long>"
     )
     rows = stage(rows, "minhashes")
     own = F.min_by("text_hash", F.struct(F.col("id").isNull(), F.col("id"), F.col("text_hash")))
@@ -334,7 +334,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows_in = stage(rows_in.select("key", pair.alias("pair"), "class"), "minhash_buckets")
     # rows are few bytes and much work: tasks by their number, not by their size
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows_in.count() // TASK_ROWS))
-    edges = rows_in.join(classes.select("class", "n", "bytes"), "class").repartition(tasks, "key", "pair").sortWithinPartitions("key", "pair", "class").mapInArrow(_candidates, "a long, b long")
+    edges = rows_in.join(classes.select("class", "n", "bytes"), "class").repartition(tasks, "key", "pair").sortWithinPartitions("key", "pair", "class").mapInArrow(trimmed(_candidates), "a long, b long")
     near = stage(connected_components(edges).withColumnRenamed("node", "class"), "near_components")
     drop_staged(tables)
     drop_staged(rows_in)
@@ -348,7 +348,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = _with_sets(source, members, n).withColumn("first", first).withColumn("asking", F.lit(0))
     block = F.when(F.col("first"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")))
     sets = sets.withColumn("block", F.explode(block)).repartition("component", "block").sortWithinPartitions("component", "block", "asking")
-    found = stage(sets.mapInArrow(_verify(False), "a long, b long"), "near_links")
+    found = stage(sets.mapInArrow(trimmed(_verify(False)), "a long, b long"), "near_links")
     links, left = found.where("b is not null"), found.where("b is null").select(F.col("a").alias("class")).distinct()
     n_left = left.count()
     if n_left:  # of components over several blocks: what the first class did not settle, against every block
@@ -361,7 +361,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         others = again.withColumn("first", F.lit(False)).withColumn("block", own).withColumn("asking", F.explode(F.sequence(F.lit(0), F.col("askers") - 1)))
         askers = again.where("first").withColumn("asking", mine).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         every = others.unionByName(askers).repartition("component", "block", "asking").sortWithinPartitions("component", "block", "asking")
-        links = links.unionByName(every.mapInArrow(_verify(True), "a long, b long"))
+        links = links.unionByName(every.mapInArrow(trimmed(_verify(True)), "a long, b long"))
     final = connected_components(links).withColumnRenamed("node", "class")
     named = classes.select("class", "id").join(final, "class")
     smallest = named.groupBy("component").agg(F.min("id").alias("component_id"))

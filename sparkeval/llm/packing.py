@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkeval.llm.common import read
+from sparkeval.llm.common import read, trimmed
 
 LENGTH = 1024
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048  # cost of a token, and of a pair of tokens that attend to each other
@@ -127,7 +127,7 @@ def pack(docs: DataFrame, length: int = LENGTH, path: str | None = None, id_col:
     """
     schema = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * ids
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(_pack(path or vocabulary(), length, ids), schema)
+    return source.mapInArrow(trimmed(_pack(path or vocabulary(), length, ids)), schema)
 
 
 def op5_packing(spark, sf_dir: str) -> DataFrame:
