@@ -48,6 +48,7 @@ SCOPES = frozenset("article aside blockquote body div dl fieldset footer form he
 CONTAINERS = frozenset("nav menu footer form button aside dialog fieldset label option head title".split())
 SEED = 20.0  # a tie to a container that no other ties outweigh
 ARTICLE, MAIN, GOOD_NAME = 2.5, 1.5, 1.0  # to an article that is not the page's core, to main, to a good name
+OWN = {"h1": 1.5, "p": 0.5}  # to the element itself
 BYLINE = -2.0  # what stands in an article's own header and is no heading
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 # the classifier's features and the weights that it starts from and that a small sample leaves it near
@@ -229,12 +230,12 @@ def features(block: Block) -> list[float]:
 
 
 def tie(node: Node) -> float:
-    """What the container around a block ties it to: content (above 0) or boilerplate. A page's title counts as a container of itself."""
+    """What the container around a block ties it to: content (above 0) or boilerplate. A title and a paragraph count as containers of themselves."""
     if node.bad:
         return -SEED
     if node.byline and node.tag not in HEADINGS:
         return BYLINE
-    return max(node.bonus, MAIN) if node.tag == "h1" else node.bonus
+    return max(node.bonus, OWN.get(node.tag, 0.0))
 
 
 def own_label(block: Block) -> int | None:
