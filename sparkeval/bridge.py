@@ -96,6 +96,39 @@ def rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.withColumn("cells", F.transform(F.sequence(F.lit(0), F.lit(63)), cell)).withColumnRenamed("vec_id", "image_id")
 
 
+def cell_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """split, study_id, class_idx and label of every cell once; they are the same in all runs."""
+    return predictions(spark, sf_dir).select("split", "study_id", "class_idx", "label").distinct()
+
+
+def epoch_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validation predictions with a made-up epoch: a quarter of the patients each."""
+    return predictions(spark, sf_dir).where("split = 'val'").withColumn("epoch", (F.col("patient_id") % 4).cast("int"))
+
+
+def incomplete_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions of runs of which the last one, by a made-up fault, lacks its test rows."""
+    return predictions(spark, sf_dir).where("NOT (run_id = 4 AND split = 'test')")
+
+
+def split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """experiment, split and n: the summaries that runs left behind; by a made-up fault only the first three did."""
+    p = predictions(spark, sf_dir).where("class_idx = 0").groupBy("run_id", "experiment", "split").agg(F.count("*").alias("n"))
+    return p.where("run_id < 3").drop("run_id")
+
+
+def overlapping_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two made-up lists of studies, every third and every fifth."""
+    p = studies(spark, sf_dir)
+    return p.where("study_id % 3 = 0"), p.where("study_id % 5 = 0")
+
+
+def leaking_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """study_id and split, where by a made-up fault a seventh of the training studies is in validation too."""
+    p = studies(spark, sf_dir).select("study_id", "split")
+    return p.unionByName(p.where("split = 'train' AND study_id % 7 = 0").withColumn("split", F.lit("val")))
+
+
 def flawed_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Validation predictions with made-up faults: run 1 lacks some studies, run 2 has other labels, run 3 other patients, run 4 some rows twice."""
     p = predictions(spark, sf_dir).where("split = 'val'").select("run_id", "split", "study_id", "patient_id", "class_idx", "label", "score")

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from sparkeval import bootstrap, ensemble, heatmaps, labels, metrics, ranking, reports, runs, scoring, sources, splits, stacking, subgroups, thresholds
 from sparkeval import draws as weights
-from sparkeval.bridge import BATCHES, CTES, HISTORY, batches, bridge, findings, history, linear_model, maps, predictions, rectangles, stages, studies, vectors
+from sparkeval.bridge import (
+    BATCHES, CTES, HISTORY, batches, bridge, cell_labels, epoch_predictions, findings, history, incomplete_predictions, leaking_splits, linear_model, maps, overlapping_lists, predictions, rectangles, split_sizes,
+    stages, studies, vectors,
+)
 from sparkeval.staging import stage
 
 CLASSES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
@@ -149,37 +152,19 @@ def _ensemble(s, d, draws, rule="mean"):
 
 
 def discovered(s, d):
-    """Runs with both splits, where the last run lacks its test rows and one experiment's run is an ensemble."""
-    p = predictions(s, d).where("NOT (run_id = 4 AND split = 'test')")
-    return ensemble.discover_runs(p, _runs(s, d).where("run_id = 1").select("experiment", "model"), "exp_d")
-
-
-def epochs(s, d):
-    return rounded(ranking.epoch_metrics(_val(s, d).withColumn("epoch", (F.col("patient_id") % 4).cast("int"))))
+    """Usable runs, where one experiment's run is an ensemble and another one is left out."""
+    return ensemble.discover_runs(incomplete_predictions(s, d), _runs(s, d).where("run_id = 1").select("experiment", "model"), "exp_d")
 
 
 def weighted_bce(s, d):
     logits = _test(s, d).withColumn("logit", ensemble.log_odds(F.col("score")))
-    weights = metrics.positive_weights(predictions(s, d).where("split = 'train' and run_id = 0"))
-    return rounded(metrics.bce_from_logits(logits.join(weights, "class_idx"), weight="pos_weight"))  # a row for each class
-
-
-def lists(s, d):
-    """Two overlapping lists of studies."""
-    p = studies(s, d)
-    return labels.list_overlap(p.where("study_id % 3 = 0"), p.where("study_id % 5 = 0"), "study_id")
-
-
-def split_again(s, d):
-    """Studies that two splits hold, where a seventh of the training studies is also in validation."""
-    p = studies(s, d).select("study_id", "split")
-    return labels.split_violations(p.unionByName(p.where("split = 'train' AND study_id % 7 = 0").withColumn("split", F.lit("val"))))
+    weights = metrics.positive_weights(cell_labels(s, d).where("split = 'train'"))
+    return rounded(metrics.bce_from_logits(logits.join(weights, "class_idx"), weight="pos_weight"))
 
 
 def run_sizes(s, d):
     named = ranking.macro(ranking.rank_metrics(_test(s, d), ("experiment", "class_idx")), ("experiment",), ["auroc", "auprc"])
-    sizes = predictions(s, d).where("run_id < 3 AND class_idx = 0").groupBy("experiment", "split").agg(F.count("*").alias("n"))
-    return rounded(sources.with_train_size(named, sizes))
+    return rounded(sources.with_train_size(named, split_sizes(s, d)))
 
 
 def batch_scores(s, d):
@@ -222,7 +207,7 @@ QUERIES = {
     "ece_quantile": lambda s, d: rounded(metrics.expected_calibration_error(_test(s, d), 15, "quantile")),
     "normal_vs_abnormal": lambda s, d: rounded(metrics.normal_vs_abnormal(_test(s, d))),
     "losses": lambda s, d: rounded(metrics.losses(_test(s, d))),
-    "positive_weights": lambda s, d: rounded(metrics.positive_weights(predictions(s, d).where("split = 'train' and run_id = 0"))),
+    "positive_weights": lambda s, d: rounded(metrics.positive_weights(cell_labels(s, d).where("split = 'train'"))),
     "label_counts": lambda s, d: rounded(labels.label_counts(findings(s, d))),
     "cooccurrence": lambda s, d: rounded(labels.cooccurrence(findings(s, d), CLASSES)),
     "subgroup_counts": lambda s, d: labels.subgroup_counts(studies(s, d)),
@@ -265,15 +250,15 @@ QUERIES = {
     "stacked_test": stacked_test,
     "stacked_out_of_fold": stacked_out_of_fold,
     "diverse_members": diverse_members,
-    "epoch_metrics": epochs,
-    "class_support": lambda s, d: rounded(metrics.class_support(predictions(s, d).where("run_id = 0"))),
+    "epoch_metrics": lambda s, d: rounded(ranking.epoch_metrics(epoch_predictions(s, d))),
+    "class_support": lambda s, d: rounded(metrics.class_support(cell_labels(s, d))),
     "weighted_bce": weighted_bce,
     "label_numbers": lambda s, d: rounded(labels.label_numbers(findings(s, d))),
     "sex_counts": lambda s, d: rounded(labels.shares(studies(s, d), "sex")),
     "study_profile": lambda s, d: rounded(labels.profile(studies(s, d).select("study_id", "patient_id", "sex", labels.age_band().alias("band"), "age"))),
     "sampled_studies": lambda s, d: labels.sample_rows(studies(s, d).select("study_id", "split"), 100, "study_id"),
-    "list_overlap": lists,
-    "split_violations": split_again,
+    "list_overlap": lambda s, d: labels.list_overlap(*overlapping_lists(s, d), "study_id"),
+    "split_violations": lambda s, d: labels.split_violations(leaking_splits(s, d)),
     "plausible_age_histogram": lambda s, d: labels.age_histogram(studies(s, d), 30, 100),
     "unassigned_ages": lambda s, d: reports.unassigned_ages(studies(s, d)),
     "run_sizes": run_sizes,

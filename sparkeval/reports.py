@@ -56,7 +56,7 @@ def evaluation_report(fired: DataFrame, tuned: DataFrame, draws: int = 0, bins:
     c = stage(c.join(tuned.select("run_id", "class_idx", "threshold", "status"), ["run_id", "class_idx"], "left"), "report_classes")
     names = ["threshold", "auroc", "auprc", "precision", "recall", "f1", "brier", "ece", "support", "prevalence"]
     means = c.groupBy("run_id").agg(*[F.avg(x).alias(x) for x in names[1:8]])
-    images = stage(fired.groupBy("run_id", "study_id").agg(*metrics.image_sums()).groupBy("run_id").agg(*metrics.image_means()), "report_images")
+    images = metrics.per_image(fired)
     images = images.withColumn("sample_accuracy_none", 1 - F.col("hamming_loss_none")).drop("hamming_loss_none")
     screened = g.where(F.col("item").isin(*SCREENS)).unpivot(["run_id", "item"], ["auroc", "auprc", "prevalence"], "m", "value")
     screened = screened.select("run_id", F.lit(None).cast("int").alias("class_idx"), F.concat_ws("_", "item", "m").alias("metric"), "value", F.lit("screening").alias("scope"))

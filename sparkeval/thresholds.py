@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkeval.ranking import KEYS, confusion_sweep
-from sparkeval.staging import checked, same_keys, stage
+from sparkeval.staging import checked, same_keys
 
 OBJECTIVES = ("f1", "fbeta", "youden", "sensitivity")
 MIN_SUPPORT, DEFAULT, TIE = 50, 0.5, 1e-12
@@ -44,7 +44,6 @@ def tune(pred: DataFrame, objective: str = "f1", keys: Sequence[str] = KEYS, bet
     if objective == "sensitivity":
         pick = F.max(F.when(F.col("value").isNotNull(), at))
     else:
-        s = stage(s, "candidates")
         s = same_keys(s, checked(s.groupBy(*keys).agg(F.max("value").alias("best")), "best_values"), keys)  # a row for each key
         pick = F.min(F.when(F.col("value") >= F.col("best") - TIE, at))
     out = s.groupBy(*keys).agg(F.sum("pos").alias("support"), F.sum("n").alias("n"), F.count("*").alias("candidates"), pick.alias("at"))
