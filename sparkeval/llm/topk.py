@@ -152,8 +152,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     Components are floor(256 x); scores are integer inner products, exact up to 2^53, shorter vectors counting as 0 beyond their end; ties go to
     the smaller id. Vectors or ids that are null, and vectors with null or non-finite components (times 256), take no part on either side.
     Repeated rows are candidates of their own: n rows of an id take n ranks, and a query id with n rows meets each candidate n times.
-    Fewer candidates than k give fewer rows; other columns are not looked at. Vectors are written once and not sent about; the work is queries times
-    vectors, and the shuffle holds the queries once for every SHARD_BLOCKS blocks.
+    Fewer candidates than k give fewer rows; other columns are not looked at. The work is queries times vectors; the
+    shuffle holds the vectors once and the queries once for every SHARD_BLOCKS blocks, and a block's weights go to Python once for every pack of queries.
     """
     ok = F.col("vector").isNotNull() & F.col("id").isNotNull() & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x * SCALE) == float("inf")))
     pick = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))

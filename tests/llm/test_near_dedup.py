@@ -64,3 +64,13 @@ def test_recall_at_the_threshold():
     table = same[:, : near_dedup.GROUPS].any(axis=1) & same[:, near_dedup.GROUPS :].any(axis=1)
     agree = ((x >> np.uint64(24)).astype(np.uint8) == (y >> np.uint64(24)).astype(np.uint8)).sum(axis=1) >= near_dedup.AGREE
     assert (table & agree).mean() >= 0.999
+
+
+def test_columns_of_any_name(spark):
+    """Columns called like those that the operator adds for itself stay as they are."""
+    text = " ".join(f"w{i}" for i in range(40))
+    names = ["__id", "__hash", "kept_id0", "KEPT_HASH0", "id", "text_hash", "class", "component", "component_id"]
+    rows = [(i, t, *[i * 10 + k for k in range(len(names))]) for i, t in ((1, text), (2, text + " tail"), (3, "something else that nobody wrote before"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    got = near_dedup.near_dedup(docs)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == [rows[0], rows[2]]
