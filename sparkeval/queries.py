@@ -189,6 +189,13 @@ def boxes_of_rectangles(s, d):
     return rounded(r.select("image_id", "detected", "iou", "iobb"))
 
 
+def normalized(s, d):
+    """Each map between 0 and 1: its sum, its highest cell and how many cells are above a half."""
+    m = maps(s, d).withColumn("cells", heatmaps.normalize())
+    total = F.aggregate("cells", F.lit(0.0), lambda a, v: a + v)
+    return rounded(m.select("image_id", total.alias("total"), F.array_max("cells").alias("highest"), F.size(F.filter("cells", lambda v: v > 0.5)).alias("high_cells")))
+
+
 def combined(rule):
     return lambda s, d: rounded(ranking.rank_metrics(ensemble.combine(_val(s, d), rule), ("class_idx",)))
 
@@ -277,6 +284,7 @@ QUERIES = {
     "localization_report": lambda s, d: rounded(heatmaps.localization_report(localization(s, d))),
     "localization_fired": localization_fired,
     "rectangle_boxes": boxes_of_rectangles,
+    "normalized_maps": normalized,
     "localization_cases": lambda s, d: rounded(heatmaps.diagnostic_cases(localization(s, d).where("method = 'stage_0'"), 10)),
 }
 
@@ -650,3 +658,6 @@ entries AS (SELECT 'localized' AS kind, -energy AS ord, * FROM j WHERE fired AND
   UNION ALL SELECT 'false_positive', -absent_score, * FROM j WHERE absent_score >= 0.5 UNION ALL SELECT 'best', -energy, * FROM j UNION ALL SELECT 'worst', energy, * FROM j),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY kind ORDER BY ord, image_id, class_idx) AS INT) AS place FROM entries)
 SELECT kind, place, image_id, class_idx, round(energy, 6) AS energy, round(absent_score, 6) AS absent_score FROM r WHERE place <= 10"""
+ORACLE_SQL["normalized_maps"] = """WITH c AS (SELECT vec_id AS image_id, greatest(CAST(unnest(embedding) AS DOUBLE), 0) AS v FROM embeddings),
+n AS (SELECT image_id, (v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w + 1e-8) AS v FROM c WINDOW w AS (PARTITION BY image_id))
+SELECT image_id, round(sum(v), 6) AS total, round(max(v), 6) AS highest, CAST(sum(CASE WHEN v > 0.5 THEN 1 ELSE 0 END) AS INT) AS high_cells FROM n GROUP BY image_id"""

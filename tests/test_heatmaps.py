@@ -103,3 +103,10 @@ def test_diagnostic_cases(spark):
     plan = heatmaps.diagnostic_cases(s, 2)._jdf.queryExecution().toString()
     assert plan.count("WindowGroupLimit") >= 2 and plan.count("Union") == 0  # one scan; each task keeps the first ones before the shuffle
     assert got == {"localized": [1, 4], "mislocalized": [2], "missed": [3], "false_positive": [3, 2], "best": [1, 3], "worst": [2, 3]}
+
+
+def test_normalized_maps(spark):
+    """Between 0 and 1 by each map's own range; a constant map is 0 everywhere, not undefined."""
+    m = spark.createDataFrame([(1, [2.0, 4.0, 3.0]), (2, [5.0, 5.0, 5.0]), (3, [-1.0, 0.0, 1.0])], "image_id int, cells array<double>")
+    got = {r.image_id: r.n for r in m.select("image_id", heatmaps.normalize().alias("n")).collect()}
+    assert got[1] == pytest.approx([0, 1, 0.5], abs=1e-7) and got[2] == [0, 0, 0] and got[3] == pytest.approx([0, 0.5, 1], abs=1e-7)
