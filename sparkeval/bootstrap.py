@@ -1,11 +1,11 @@
 """Patient-clustered bootstrap: weights per draw and patient (`draws`), not copies of rows.
 
 Rates need counts per patient only: a task takes the counts of a range of patients, makes each weight there once for all keys, and adds up.
-Rank metrics and thresholds need counts per score and patient. These are dealt over ranges of (key, score) with so many rows, of any number of keys, and a
-range is one stream of batches in falling order of the score: a batch's weights are looked up for all its keys, equal scores are
-added up over batches, and what lies above a range, where a key has several, comes in front of it from a first pass. Nothing holds a range or a score whole, and rows are
-shuffled once, not once for each draw. Where patients are too many for every task to have all weights of a block (`FLAT`), the rows
-go to ranges of patients first and carry their weights, a byte a draw, to the ranges of scores.
+Rank metrics and thresholds need counts per score and patient. These are dealt over ranges of (key, score) with so many rows, of any number of keys. A task
+holds its range's slots, scores and counts; for each block of draws it makes the weights of all patients once, a byte each, and sums them up score by score in
+falling order; what lies above a range, where a key has several, comes in front of it from a first pass. Rows are
+shuffled once, not once for each draw, and never carry weights. Ranges grow with the patients (`range_rows`), so that making weights takes a task no longer than using
+them. Beyond `TABLE_PATIENTS` a task makes the weights of some thousand rows' patients at a time instead, slower but as bounded.
 """
 
 from __future__ import annotations
@@ -18,14 +18,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkeval import staging
-from sparkeval.draws import BLOCK_DRAWS, FLAT, LEAF, MASK, SECOND, STEP, draw_keys, mixed_column, weights_at
+from sparkeval.draws import BLOCK_DRAWS, FLAT, MASK, SECOND, STEP, WIDE, draw_keys, mixed_column, weight_table, weights_at
 from sparkeval.ranking import macro
 from sparkeval.staging import same_keys, small, stage
 from sparkeval.subgroups import REFERENCE, abnormal_studies, by_level, shared_classes
 from sparkeval.thresholds import MIN_SUPPORT, TIE, check_objective, safe_ratio
 
 TASK_ROWS = 100_000  # rows of counts that a task weighs
-PIECE_ROWS = 2048  # of which a block's weights lie in a processor's cache
+RANGE_PATIENTS, MOST_ROWS = 8, 16_000_000  # a range of scores has so many rows a patient, and no more than so many
+TABLE_PATIENTS = 8_000_000  # of which a task holds a block's weights
+PIECE_ROWS = 8192  # of which a block's weights lie in a processor's cache
 HELD_SUMS = 4_000_000  # sums that a task holds before it sends them on
 
 
@@ -159,91 +161,66 @@ def sums_over_draws(per_slot: DataFrame, n: int, draws: int, keys: tuple[str, ..
     return found.groupBy("draw", *keys).agg(*[F.sum(c).alias(c) for c in names]).where(F.col(names[-1]) > 0)
 
 
-def carried(counts: DataFrame, n: int, draws: int, seed: int) -> DataFrame:
-    """counts with `w`, the weights of the row's patient in all draws as bytes; a task has the rows of a range of patients and makes each weight once."""
-    types = dict(counts.dtypes) | {"w": "binary"}
+def range_rows(n: int) -> int:
+    """Rows of a range of scores with n patients."""
+    return max(TASK_ROWS, min(RANGE_PATIENTS * n, MOST_ROWS))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 4096):
-                part = batch.slice(a, 4096)
-                slots, at = np.unique(part.column("slot").to_numpy(), return_inverse=True)
-                w = np.concatenate([weights_at(slots, n, b, seed)[: draws - b * BLOCK_DRAWS] for b in _blocks(draws)]).T
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([w[i].tobytes() for i in at], pa.binary())], list(types))
 
-    tasks = counts.count() // TASK_ROWS + 1
-    return counts.repartitionByRange(tasks, "slot").sortWithinPartitions("slot").mapInArrow(run, _schema(types))
+def _summed(w: np.ndarray, most: int, at: np.ndarray, times: np.ndarray, step: np.ndarray, steps: int) -> np.ndarray:
+    """A row for each draw with the sum of weights times counts at each step. w: a row of weights for each patient, of at most `most`; at: the rows' patients.
+
+    Eight weights are added up as one number, in groups of rows that keep each of them below 256.
+    """
+    out, eight = np.zeros((steps, WIDE), np.int64), w.view(np.uint64)
+    some = np.flatnonzero(times)
+    for a in range(0, len(some), PIECE_ROWS):
+        rows = some[a : a + PIECE_ROWS]
+        own = step[rows]
+        first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        length = np.diff(np.append(first, len(rows)))
+        groups = -(-length // max(255 // max(most, 1), 1))
+        start = np.cumsum(groups) - groups
+        inside = np.arange(groups.sum()) - np.repeat(start, groups)
+        sums = np.add.reduceat(eight.take(at[rows], axis=0), np.repeat(first, groups) + inside * max(255 // max(most, 1), 1), axis=0).view(np.uint8)
+        out[own[first]] += sums if len(sums) == len(first) else np.add.reduceat(sums.astype(np.int64), start, axis=0)
+        many = rows[times[rows] > 1]
+        if len(many):
+            first = np.flatnonzero(np.append(True, step[many][1:] != step[many][:-1]))
+            out[step[many][first]] += np.add.reduceat(w.take(at[many], axis=0) * (times[many, None].astype(np.int64) - 1), first, axis=0)
+    return out.T
 
 
 class Sweep:
-    """One key's counts in one range of scores, in falling order of the score and piece by piece, over all draws at once.
-
-    Rows of equal score are one step; the last step of a piece waits for the next piece. Subclasses take the steps.
-    """
+    """One key's counts in one range of scores, in falling order of the score and piece by piece, over a block of draws. Subclasses take the steps, one for each distinct score."""
 
     fields: dict[str, str] = {}
     positives_only = True  # whether steps without a positive row are left out
+    stepwise = True
 
     def __init__(self, draws: int, names: Sequence[str], head: tuple[np.ndarray, ...] | None):
         none = np.zeros(draws, np.int64)
         self.tp, self.called, self.positives, self.rows = (h.copy() for h in head) if head else (none.copy(), none.copy(), none, none)
-        self.sums = {x: none.copy() for x in (*names, "pos", "n")}
-        self.score: float | None = None
-        self.waiting = np.zeros((2, draws), np.int64)  # positives and rows of the last step
-
-    def add(self, columns: dict[str, np.ndarray], block: slice, w: np.ndarray, last: bool) -> None:
-        """Rows of one piece for one block of draws. last: this is the piece's last block."""
-        score, pos, n = columns["score"], columns["pos"], columns["n"]
-        kind = np.int32 if len(n) * 255 * max(int(n.max()), int(pos.max())) < 1 << 31 else np.int64
-        some = np.flatnonzero(pos)
-        called = _running(w, None if (n == 1).all() else n, kind)
-        tp = _running(w[:, some], None if (pos[some] == 1).all() else pos[some], kind)
+        self.draws, self.sums = draws, {x: none.copy() for x in (*names, "pos", "n")}
+
+    def add(self, columns: dict[str, np.ndarray], at: np.ndarray, w: np.ndarray, most: int) -> None:
+        """Rows of one piece, which has its scores whole. w: a row of weights for each patient, of at most `most`; at: the rows' patients."""
+        score = columns["score"]
+        new = np.append(True, score[1:] != score[:-1]) if self.stepwise else np.arange(len(score)) == 0
+        step, one = np.cumsum(new) - 1, np.zeros(len(score), np.int64)
+        steps = int(step[-1]) + 1
         for x in self.sums.keys() - {"pos", "n"}:
-            own = np.flatnonzero(columns[x])
-            self.sums[x][block] += np.rint(w[:, own].astype(np.float64) @ columns[x][own].astype(np.float64)).astype(np.int64)
-        self.sums["n"][block] += called[:, -1]
-        self.sums["pos"][block] += tp[:, -1]
-
-        start = np.flatnonzero(np.append(True, score[1:] != score[:-1]))
-        end = np.append(start[1:], len(score))
-        p_start, p_end = np.searchsorted(some, start), np.searchsorted(some, end)
-        waits, goes_on = self.score is not None, self.score is not None and self.score == score[0]
-        if waits and not goes_on:
-            self._pass(block, np.array([self.score]), *self.waiting[:, block, None])
-            self.waiting[:, block] = 0
-        of_last = np.stack([tp[:, -1] - tp[:, p_start[-1]], called[:, -1] - called[:, start[-1]]])
-        if len(start) > 1:
-            if goes_on:
-                self.tp[block] += self.waiting[0, block]
-                self.called[block] += self.waiting[1, block]
-            take = (p_end > p_start)[:-1] if self.positives_only else np.ones(len(start) - 1, bool)
-            take[0] |= goes_on
-            at = np.flatnonzero(take)
-            if len(at):
-                p, m = tp[:, p_end[at]] - tp[:, p_start[at]], called[:, end[at]] - called[:, start[at]]
-                if take[0] and goes_on:
-                    p, m = p.astype(np.int64), m.astype(np.int64)
-                    p[:, 0] += self.waiting[0, block]
-                    m[:, 0] += self.waiting[1, block]
-                self.take(block, score[start[at]], p, m, self.tp[block, None] + tp[:, p_end[at]], self.called[block, None] + called[:, end[at]])
-            self.tp[block] += tp[:, p_start[-1]]
-            self.called[block] += called[:, start[-1]]
-            self.waiting[:, block] = of_last
-        else:
-            self.waiting[:, block] += of_last
-        if last:
-            self.score = float(score[-1])
-
-    def _pass(self, block: slice, score: np.ndarray, p: np.ndarray, m: np.ndarray) -> None:
-        self.tp[block] += p[:, 0]
-        self.called[block] += m[:, 0]
-        self.take(block, score, p, m, self.tp[block, None], self.called[block, None])
+            self.sums[x] += _summed(w, most, at, columns[x], one, 1)[: self.draws, 0]
+        p, m = (_summed(w, most, at, columns[x], step, steps)[: self.draws] for x in ("pos", "n"))
+        self.sums["pos"] += p.sum(axis=1)
+        self.sums["n"] += m.sum(axis=1)
+        if not self.stepwise:
+            return
+        tp, called = self.tp[:, None] + np.cumsum(p, axis=1), self.called[:, None] + np.cumsum(m, axis=1)
+        self.tp, self.called = tp[:, -1].copy(), called[:, -1].copy()
+        some = np.unique(step[columns["pos"] > 0]) if self.positives_only else slice(None)
+        self.take(slice(None), score[new][some], p[:, some], m[:, some], tp[:, some], called[:, some])
 
     def close(self) -> tuple[np.ndarray, ...]:
-        if self.score is not None:
-            for a in range(0, self.waiting.shape[1], BLOCK_DRAWS):
-                block = slice(a, min(a + BLOCK_DRAWS, self.waiting.shape[1]))
-                self._pass(block, np.array([self.score]), *self.waiting[:, block, None])
         return (*self.result(), *self.sums.values())
 
     def take(self, block: slice, score: np.ndarray, p: np.ndarray, m: np.ndarray, tp: np.ndarray, called: np.ndarray) -> None:
@@ -253,11 +230,10 @@ class Sweep:
         return ()
 
 
-def _running(w: np.ndarray, times: np.ndarray | None, kind: type) -> np.ndarray:
-    """Running sums of each draw's weights, times counts where there are any, with a 0 in front."""
-    out = np.zeros((w.shape[0], w.shape[1] + 1), kind)
-    np.cumsum(w if times is None else w * times, axis=1, dtype=kind, out=out[:, 1:])
-    return out
+class Sums(Sweep):
+    """A range's weighted sums alone."""
+
+    stepwise = False
 
 
 class Ranks(Sweep):
@@ -320,42 +296,53 @@ def candidates(objective: str, beta: float = 2.0, target: float = 0.8) -> type[S
     return Candidates
 
 
+def _pieces(score: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ends of pieces of about PIECE_ROWS rows that have their scores whole."""
+    ends = np.append(np.flatnonzero(score[1:] != score[:-1]) + 1, len(score))
+    a = 0
+    while a < len(score):
+        b = int(ends[max(np.searchsorted(ends, a + PIECE_ROWS, "right") - 1, np.searchsorted(ends, a, "right"))])
+        yield a, b
+        a = b
+
+
 def _streamed(ranges: DataFrame, parts: int, keys: tuple[str, ...], n: int, draws: int, kind: type[Sweep], seed: int, scheme: str, more: tuple[str, ...]) -> DataFrame:
     """keys, part, and arrays over the draws of what `kind` gives for each range, of the range's weighted sums of more, pos and n."""
-    parted, carries = (*keys, "part"), "w" in ranges.columns
+    parted, columns = (*keys, "part"), ("slot", "score", "pos", "n", *more)
     types = _types(ranges, parted) | {k: f"array<{t}>" for k, t in kind.fields.items()} | {f"sum_{x}": "array<bigint>" for x in (*more, "pos", "n")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, sweep, head, found = None, None, None, []
-        for key, columns in _runs(batches, parted):
-            if key != at:
-                if sweep is not None:
-                    found.append((*at, *sweep.close()))
-                    if len(found) * draws * len(types) > HELD_SUMS:
-                        yield _table(types, found)
-                        found = []
-                at, sweep, head = key, None, None
-            heads = np.flatnonzero(np.array([x.is_valid for x in columns["head"]])) if columns["head"].null_count < len(columns["head"]) else ()
-            if len(heads):
-                head = tuple(np.frombuffer(columns["head"][0].as_py(), np.int64).reshape(4, draws))
-                columns = {c: v[1:] for c, v in columns.items()}
-            if sweep is None:
-                sweep = kind(draws, more, head)
-            score = columns["score"]
-            if not len(score):
-                continue
-            for a in range(0, len(score), PIECE_ROWS):
-                piece = {c: v[a : a + PIECE_ROWS] for c, v in columns.items()}
-                if carries:
-                    every = np.frombuffer(b"".join(piece["w"].to_pylist()), np.uint8).reshape(-1, draws).T
-                for block in _blocks(draws):
-                    own = slice(block * BLOCK_DRAWS, min((block + 1) * BLOCK_DRAWS, draws))
-                    w = every[own] if carries else weights_at(piece["slot"], n, block, seed, scheme)[: own.stop - own.start]
-                    sweep.add(piece, own, w, own.stop == draws)
-        if sweep is not None:
-            found.append((*at, *sweep.close()))
-        if found:
-            yield _table(types, found)
+        heads, held = {}, {}
+        for key, found in _runs(batches, parted):
+            own = held.setdefault(key, [])
+            if found["head"].null_count < len(found["head"]):
+                heads[key] = np.frombuffer(found["head"][0].as_py(), np.int64).reshape(4, draws)
+                found = {c: v[1:] for c, v in found.items()}
+            if len(found["score"]):
+                own.append([found[c].astype(np.float64 if c == "score" else np.int32 if c == "slot" and n < 1 << 31 else np.int64 if found[c].max() >= 1 << 31 else np.int32) for c in columns])
+        held = {k: dict(zip(columns, map(np.concatenate, zip(*v, strict=True)), strict=True)) for k, v in held.items() if v}
+        pieces = {k: list(_pieces(v["score"])) for k, v in held.items()}
+        out: dict[tuple, list[tuple]] = {k: [] for k in held}
+        for block in _blocks(draws) if held else ():
+            own = slice(block * BLOCK_DRAWS, min((block + 1) * BLOCK_DRAWS, draws))
+            whole = weight_table(n, block, seed, scheme) if n <= TABLE_PATIENTS else None
+            most = 0 if whole is None else int(whole.max(initial=0))
+            for key, rows in held.items():
+                sweep = kind(own.stop - own.start, more, tuple(heads[key][:, own]) if key in heads else None)
+                for a, b in pieces[key]:
+                    piece = {c: v[a:b] for c, v in rows.items()}
+                    w, at = whole, piece["slot"]
+                    if w is None:
+                        slots, at = np.unique(piece["slot"], return_inverse=True)
+                        w = np.zeros((len(slots), WIDE), np.uint8)
+                        w[:, :BLOCK_DRAWS] = weights_at(slots.astype(np.int64), n, block, seed, scheme).T
+                        most = int(w.max(initial=0))
+                    sweep.add(piece, at, w, most)
+                out[key].append(sweep.close())
+        found = [(*k, *map(np.concatenate, zip(*v, strict=True))) for k, v in out.items()]
+        step = HELD_SUMS // (draws * len(types)) + 1
+        for a in range(0, len(found), step):
+            yield _table(types, found[a : a + step])
 
     dealt = ranges.repartitionByRange(parts, "part").sortWithinPartitions("part", *keys, F.col("head").isNull(), F.desc("score"))
     return dealt.mapInArrow(run, _schema(types))
@@ -367,16 +354,14 @@ def swept_over_draws(counts: DataFrame, n: int, draws: int, keys: tuple[str, ...
     totals: whether `kind` has to know a key's sums beforehand; without, only the ranges of keys that have several are looked at twice.
     """
     c = stage(counts, "draw_counts")
-    parts = c.count() // TASK_ROWS + 1
+    parts = c.count() // range_rows(n) + 1
     c = staging.ranged(c, keys, [F.desc("score")], "draw_ranges", parts)
-    if n > FLAT and scheme == "multinomial":
-        c = stage(carried(c, n, draws, seed), "draw_weights")
     c = c.withColumn("head", F.lit(None).cast("binary"))
     spans = stage(c.groupBy(*keys).agg(F.min("part").alias("first"), F.max("part").alias("last")).where("true" if totals else "first < last"), "draw_spans")
     n_spans = spans.count()
     if n_spans:
         asked = c if totals else same_keys(c, small(spans.select(*keys), n_spans), keys, "left_semi")
-        per = _exploded(_streamed(asked, parts, keys, n, draws, Sweep, seed, scheme, ()), (*keys, "part"), ("sum_pos", "sum_n"))
+        per = _exploded(_streamed(asked, parts, keys, n, draws, Sums, seed, scheme, ()), (*keys, "part"), ("sum_pos", "sum_n"))
         whole = Window.partitionBy("draw", *keys)
         before = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
         names = ("sum_pos", "sum_n")
