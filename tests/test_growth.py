@@ -28,3 +28,18 @@ def test_thresholds_and_weights_are_broadcast(spark):
     _, _, fired = queries._tuned_and_fired(spark, FOLDER)
     assert rows_staged(fired) < 2 * studies(spark, FOLDER).count()  # studies and thresholds, no predictions
     assert "SortMergeJoin" not in plan(queries.weighted_bce(spark, FOLDER)) and "Exchange hashpartitioning(class_idx" not in plan(queries.weighted_bce(spark, FOLDER))
+
+
+def test_studies_by_level_are_not_sorted(spark):
+    fired = queries._fired(spark, FOLDER)
+    assert "SortAggregate" not in plan(subgroups.by_study(fired)) and "ObjectHashAggregate" not in plan(subgroups.by_study(fired))
+    counts = plan(subgroups.level_counts(fired))
+    assert counts.index("Generate") < counts.rindex("HashAggregate")  # rows are counted below it, so before they are laid out by axis
+
+
+def test_level_counts_equal_those_of_rows(spark):
+    fired = queries._fired(spark, FOLDER)
+    at = ["run_id", "axis", "level", "class_idx", "score"]
+    want = subgroups.by_level(fired).groupBy(*at).agg(F.sum("label").alias("pos"), F.count("*").alias("n"), F.sum(F.col("fired") * F.col("label")).alias("hits"))
+    got = subgroups.level_counts(fired)
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0 < got.count()
