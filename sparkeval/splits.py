@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkeval.labels import sample_rows
-from sparkeval.staging import numbered
+from sparkeval.staging import numbered, stage
 
 BUCKETS = 65536
 
@@ -110,7 +110,8 @@ def stratify(patients: DataFrame, labels: Sequence[str], proportions: Sequence[f
 
 
 def stratified_folds(patients: DataFrame, labels: Sequence[str], proportions: Sequence[float], seed: int = 42, key: str = "patient_id") -> DataFrame:
-    """patients with `fold`, numbered in the order of the proportions."""
+    """patients with `fold`, numbered in the order of the proportions. They are written once, as every label is a job over them."""
+    patients = stage(patients, "split_patients")
     return patients.withColumn("fold", stratify(patients, labels, proportions, seed, key).fold(key))
 
 
@@ -152,7 +153,7 @@ def nested_subset(images: DataFrame, patients: DataFrame, labels: Sequence[str],
     counts, sizes = np.zeros((shards, len(labels))), np.zeros(shards)
     for r in rows:
         counts[r.fold], sizes[r.fold] = list(r)[1:-1], r[-1]
-    placed = images.join(folds.select(key, "fold"), key)
+    placed = stage(images.join(folds.select(key, "fold"), key), "placed_images")
     whole, room = [], n
     for shard in order_shards(counts, sizes):
         if sizes[shard] > room:

@@ -43,3 +43,8 @@ def test_level_counts_equal_those_of_rows(spark):
     want = subgroups.by_level(fired).groupBy(*at).agg(F.sum("label").alias("pos"), F.count("*").alias("n"), F.sum(F.col("fired") * F.col("label")).alias("hits"))
     got = subgroups.level_counts(fired)
     assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0 < got.count()
+
+
+def test_folds_read_a_written_patient_table(spark):
+    folds = splits.stratified_folds(queries._patients(spark, FOLDER), [c.lower() for c in queries.CLASSES], [0.7, 0.3])
+    assert folds.inputFiles() and all("split_patients" in f for f in folds.inputFiles())
