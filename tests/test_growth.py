@@ -48,3 +48,10 @@ def test_level_counts_equal_those_of_rows(spark):
 def test_folds_read_a_written_patient_table(spark):
     folds = splits.stratified_folds(queries._patients(spark, FOLDER), [c.lower() for c in queries.CLASSES], [0.7, 0.3])
     assert folds.inputFiles() and all("split_patients" in f for f in folds.inputFiles())
+
+
+def test_parts_of_an_order_follow_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(staging, "RANGE_ROWS", 50)
+    placed = staging.numbered(spark.range(2000).select((F.col("id") * 7 % 2000).alias("v")), (), ["v"], "many_parts")
+    assert [r.place for r in placed.orderBy("v").collect()] == list(range(2000))
+    assert spark.read.parquet(*[f for f in placed.inputFiles() if "many_parts-" in f]).groupBy("part").count().agg(F.max("count")).first()[0] < 200
