@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkeval.ranking import macro, rank_metrics
-from sparkeval.staging import checked, numbered, same_keys
+from sparkeval.ranking import macro, rank_metrics, score_counts, swept
+from sparkeval.staging import checked, numbered, same_keys, stage
 
 EPS = 1e-6
 _ARROW = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64()}
@@ -121,15 +121,22 @@ def residual_correlation(pred: DataFrame, least: int = 30) -> DataFrame:
 
 
 def top_flags(pred: DataFrame) -> DataFrame:
-    """The k highest scores of each run and class, k being the class's positives."""
+    """The k highest scores of each run and class, k being the class's positives.
+
+    Counts per score tell where a key's last flag stands; only rows of that score are put in order, by their study.
+    """
     keys = ["run_id", "class_idx"]
-    k = pred.groupBy(*keys).agg(F.sum("label").alias("k"))
-    placed = numbered(pred.select(*keys, "study_id", "score"), keys, [F.desc("score"), "study_id"], "top_places")
-    return same_keys(placed, checked(k, "top_sizes"), keys).where("place < k").select(*keys, "study_id", "k")  # a row for each key
+    s = swept(score_counts(pred, keys), keys).withColumn("called", F.col("tp") + F.col("fp"))
+    reached = F.col("called") >= F.col("p")
+    cuts = s.groupBy(*keys).agg(F.max("p").alias("k"), F.max(F.when(reached, F.col("score"))).alias("cut"), F.coalesce(F.max(F.when(~reached, F.col("called"))), F.lit(0)).alias("above"))
+    rows = same_keys(pred.select(*keys, "study_id", "score"), checked(cuts, "top_sizes"), keys)  # a row for each key
+    over = (F.col("score") > F.col("cut")) | (F.col("cut").isNull() & F.col("score").isNotNull())
+    last = numbered(rows.where(F.col("score").eqNullSafe(F.col("cut"))), keys, ["study_id"], "top_places").where("place < k - above")
+    return rows.where(over).unionByName(last.drop("place")).select(*keys, "study_id", "k")
 
 
 def decision_disagreement(pred: DataFrame, least: int = 30) -> DataFrame:
-    t = top_flags(pred).where(F.col("k") >= least)
+    t = stage(top_flags(pred).where(F.col("k") >= least), "top_flags")
     o = t.select(F.col("run_id").alias("b"), "class_idx", "study_id")
     both = t.withColumnRenamed("run_id", "a").join(o, ["class_idx", "study_id"]).where("a < b").groupBy("a", "b", "class_idx").agg(F.count("*").alias("n"), F.max("k").alias("k"))
     runs = t.select(F.col("run_id").alias("a"), "class_idx", "k").distinct()

@@ -55,3 +55,18 @@ def test_parts_of_an_order_follow_its_rows(spark, monkeypatch):
     placed = staging.numbered(spark.range(2000).select((F.col("id") * 7 % 2000).alias("v")), (), ["v"], "many_parts")
     assert [r.place for r in placed.orderBy("v").collect()] == list(range(2000))
     assert spark.read.parquet(*[f for f in placed.inputFiles() if "many_parts-" in f]).groupBy("part").count().agg(F.max("count")).first()[0] < 200
+
+
+def test_top_flags_order_only_the_last_score(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(r, c, s, int(rng.random() < 0.3), float(rng.integers(0, 12)) / 12) for r in range(2) for c in range(3) for s in range(200)]
+    rows += [(0, 9, s, 0, 0.5) for s in range(5)] + [(1, 9, s, 1, 0.5) for s in range(5)] + [(0, 8, s, 1, None if s < 2 else 0.1) for s in range(4)]
+    pred, numbered = spark.createDataFrame(rows, "run_id int, class_idx int, study_id long, label int, score double"), []
+    monkeypatch.setattr(ensemble, "numbered", lambda df, *a: numbered.append(df.count()) or staging.numbered(df, *a))
+    got = {(r.run_id, r.class_idx, r.study_id, r.k) for r in ensemble.top_flags(pred).collect()}
+    want = set()
+    for key in {r[:2] for r in rows}:
+        own = sorted((r for r in rows if r[:2] == key), key=lambda r: (r[4] is None, -(r[4] or 0), r[2]))
+        k = sum(r[3] for r in own)
+        want |= {(*r[:3], k) for r in own[:k]}
+    assert got == want and numbered[0] < len(rows) / 4
