@@ -1,23 +1,25 @@
 """Logistic combiners of members' log-odds, one for each class, fitted by Newton steps that Spark sums.
 
-All classes and folds are fitted together: a step is one aggregation of gradients and Hessians over the rows, which are summed before
-the shuffle, and the driver solves a system of members + 1 unknowns for each class and fold.
+All classes and folds are fitted together: a step is one pass over the rows, in which a task adds up the gradient and the Hessian of every model, and the driver solves a system of members + 1 unknowns for each class and fold.
 """
 
 from __future__ import annotations
 
-from itertools import combinations_with_replacement
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkeval.ensemble import log_odds
 from sparkeval.labels import grouped_folds
-from sparkeval.staging import checked, small, stage
+from sparkeval.staging import checked, drop_staged, stage
 
 FULL = -1  # the fold of a model fitted on all rows
 COEFFICIENTS = "class_idx int, fold int, w array<double>"
+SUMS = "class_idx int, fold int, g array<double>, h array<double>"
+ARROW_SUMS = pa.schema({"class_idx": pa.int32(), "fold": pa.int32(), "g": pa.list_(pa.float64()), "h": pa.list_(pa.float64())})
 
 
 def member_features(pred: DataFrame) -> DataFrame:
@@ -33,6 +35,36 @@ def _dot(x: str, w: str):
     return F.aggregate(F.zip_with(x, w, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
 
 
+def _newton_sums(w: dict[tuple[int, int], np.ndarray], size: int):
+    """For each task the gradient and the Hessian of the log loss of each model (class and fold) at its coefficients; rows that lack a member count nowhere."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {k: (np.zeros(size), np.zeros((size, size))) for k in w}
+        for batch in batches:
+            lists = batch.column("x")
+            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            klass, fold, label = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("class_idx", "fold", "label"))
+            whole = np.flatnonzero(np.diff(ends) == size)
+            x = flat[ends[:-1][whole, None] + np.arange(size)]
+            whole, x = (v[~np.isnan(x).any(axis=1)] for v in (whole, x))
+            klass, fold, label = klass[whole], fold[whole], label[whole]
+            for k in set(klass.tolist()):
+                own = klass == k
+                xk, yk, fk = x[own], label[own], fold[own]
+                for key in w:
+                    if key[0] == k:
+                        rest = fk != key[1]
+                        xs = xk[rest]
+                        p = 1 / (1 + np.exp(-(xs @ w[key])))
+                        g, h = held[key]
+                        g += xs.T @ (p - yk[rest])
+                        h += (xs * (p * (1 - p))[:, None]).T @ xs
+        for (k, f), (g, h) in held.items():
+            yield pa.RecordBatch.from_pylist([{"class_idx": k, "fold": f, "g": g.tolist(), "h": h.ravel().tolist()}], ARROW_SUMS)
+
+    return run
+
+
 def fit_stackers(features: DataFrame, members: int, c: float = 0.3, min_positives: int = 50, steps: int = 25, tolerance: float = 1e-9) -> DataFrame:
     """class_idx, fold and `w` (intercept first) of the classes with enough positives among the rows a fold's model is fitted on.
 
@@ -40,27 +72,21 @@ def fit_stackers(features: DataFrame, members: int, c: float = 0.3, min_positive
     the model of a fold leaves its rows out, the one of fold -1 takes all. Raises if a model does not settle within `steps`.
     """
     size = members + 1
-    folds = [r.fold for r in features.select("fold").distinct().orderBy("fold").collect()]  # a row for each fold
-    models = F.array(*[F.lit(f).cast("int") for f in [FULL, *folds]])
-    rows = features.select("class_idx", "label", "x", F.explode(F.filter(models, lambda m: m != F.col("fold"))).alias("fold"))
-    counts = rows.groupBy("class_idx", "fold").agg(F.sum("label").alias("pos"), F.count("*").alias("n"))
-    w = {(r.class_idx, r.fold): np.zeros(size) for r in counts.where((F.col("pos") >= min_positives) & (F.col("pos") < F.col("n"))).collect()}
-    spark, pairs = features.sparkSession, list(combinations_with_replacement(range(size), 2))
-    p, ridge, open_models = 1 / (1 + F.exp(-_dot("x", "w"))), np.diag([0.0] + [1.0] * members), set(w)
+    own = features.groupBy("class_idx", "fold").agg(F.sum("label").alias("pos"), F.count("*").alias("n")).collect()  # a row for each class and fold
+    w = {}
+    for fold in [FULL, *sorted({r.fold for r in own})]:
+        for klass in {r.class_idx for r in own}:
+            pos, n = (sum(r[c] for r in own if r.class_idx == klass and r.fold != fold) for c in ("pos", "n"))
+            if min_positives <= pos < n:
+                w[klass, fold] = np.zeros(size)
+    spark, ridge, open_models = features.sparkSession, np.diag([0.0] + [1.0] * members), set(w)
     for _ in range(steps):
         if not open_models:
             break
-        table = spark.createDataFrame([(k, f, w[k, f].tolist()) for k, f in sorted(open_models)], COEFFICIENTS)
-        r = rows.join(small(table, len(open_models), 64 + 8 * size), ["class_idx", "fold"]).withColumn("p", p)  # a row for each class and fold
-        v = F.col("p") * (1 - F.col("p"))
-        sums = r.groupBy("class_idx", "fold").agg(
-            F.array(*[F.sum((F.col("p") - F.col("label")) * F.col("x")[i]) for i in range(size)]).alias("g"),
-            F.array(*[F.sum(v * F.col("x")[i] * F.col("x")[j]) for i, j in pairs]).alias("h"),
-        )
+        r = features.select("class_idx", "fold", "label", "x").mapInArrow(_newton_sums({k: w[k] for k in open_models}, size), SUMS)
+        sums = r.groupBy("class_idx", "fold").agg(*[F.array(*[F.sum(F.col(c)[i]) for i in range(k)]).alias(c) for c, k in (("g", size), ("h", size * size))])
         for s in sums.collect():
-            key, h = (s.class_idx, s.fold), np.zeros((size, size))
-            for (i, j), value in zip(pairs, s.h):
-                h[i, j] = h[j, i] = value
+            key, h = (s.class_idx, s.fold), np.array(s.h).reshape(size, size)
             step = np.linalg.solve(c * h + ridge, c * np.array(s.g) + ridge @ w[key])
             w[key] = w[key] - step * min(1.0, 4.0 / max(np.abs(step).max(), 1e-300))
             if np.abs(step).max() < tolerance:
@@ -78,8 +104,9 @@ def apply_stackers(features: DataFrame, models: DataFrame) -> DataFrame:
 
 def stacked_predictions(val: DataFrame, test: DataFrame, members: int, folds: int = 5, c: float = 0.3, min_positives: int = 50) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Validation scores from models that never saw the patient, test scores from the models of all rows, and the coefficients."""
-    f = member_features(val)
-    f = stage(f.join(grouped_folds(f, folds), "patient_id"), "stacker_features")
+    own = stage(member_features(val), "member_features")
+    f = stage(own.join(grouped_folds(own, folds), "patient_id"), "stacker_features")
+    drop_staged(own)
     models = fit_stackers(f, members, c, min_positives)
     return apply_stackers(f, models), apply_stackers(member_features(test).withColumn("fold", F.lit(FULL)), models), models
 

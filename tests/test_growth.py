@@ -70,3 +70,15 @@ def test_top_flags_order_only_the_last_score(spark, monkeypatch):
         k = sum(r[3] for r in own)
         want |= {(*r[:3], k) for r in own[:k]}
     assert got == want and numbered[0] < len(rows) / 4
+
+
+def test_newton_sums_of_all_models_in_one_pass(spark):
+    rng = np.random.default_rng(5)
+    x, y, fold = np.c_[np.ones(300), rng.normal(size=(300, 2))], rng.integers(0, 2, 300), rng.integers(0, 3, 300)
+    rows = [(0, int(f), int(v), r.tolist()) for r, v, f in zip(x, y, fold)] + [(0, 0, 1, [1.0, 2.0]), (0, 1, 1, [1.0, None, 2.0])]
+    w = {(0, -1): rng.normal(size=3), (0, 1): rng.normal(size=3)}
+    out = spark.createDataFrame(rows, "class_idx int, fold int, label int, x array<double>").mapInArrow(stacking._newton_sums(w, 3), stacking.SUMS).collect()
+    for (k, f), c in w.items():
+        own, p = fold != f, 1 / (1 + np.exp(-(x @ c)))
+        g, h = (np.sum([r[name] for r in out if r.fold == f], axis=0) for name in ("g", "h"))
+        assert np.allclose(g, x[own].T @ (p - y)[own]) and np.allclose(h.reshape(3, 3), (x * (p * (1 - p))[:, None])[own].T @ x[own])
