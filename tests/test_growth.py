@@ -82,3 +82,20 @@ def test_newton_sums_of_all_models_in_one_pass(spark):
         own, p = fold != f, 1 / (1 + np.exp(-(x @ c)))
         g, h = (np.sum([r[name] for r in out if r.fold == f], axis=0) for name in ("g", "h"))
         assert np.allclose(g, x[own].T @ (p - y)[own]) and np.allclose(h.reshape(3, 3), (x * (p * (1 - p))[:, None])[own].T @ x[own])
+
+
+def test_draws_shuffle_sums_of_patients_and_rows_once(spark):
+    fired = queries._fired(spark, FOLDER)
+    slots = bootstrap.numbered(fired)
+    assert "HashAggregate" not in plan(bootstrap._packed(fired, slots, ("run_id", "class_idx")))
+    twice = fired.unionByName(fired)  # a patient with a score several times
+    once, both = (bootstrap.bootstrap_rank(f, 20, ("run_id", "class_idx")).orderBy("draw", "run_id", "class_idx").toPandas() for f in (fired, twice))
+    assert np.allclose(once.auroc, both.auroc, equal_nan=True) and len(once)
+
+
+def test_rates_add_up_patients_before_they_meet_slots(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(bootstrap, "sums_over_draws", lambda per, *a: seen.append(plan(per)) or (_ for _ in ()).throw(KeyboardInterrupt))
+    with pytest.raises(KeyboardInterrupt):
+        bootstrap.bootstrap_rates(queries._fired(spark, FOLDER), 10)
+    assert seen[0].index("slot") < seen[0].index("HashAggregate")  # the join is above
