@@ -99,3 +99,13 @@ def test_rates_add_up_patients_before_they_meet_slots(spark, monkeypatch):
     with pytest.raises(KeyboardInterrupt):
         bootstrap.bootstrap_rates(queries._fired(spark, FOLDER), 10)
     assert seen[0].index("slot") < seen[0].index("HashAggregate")  # the join is above
+
+
+def test_members_that_agree_need_no_sets(spark):
+    p = predictions(spark, FOLDER).where("split = 'val'").select("run_id", "split", "study_id", "patient_id", "class_idx", "label", "score")
+    good = sources.member_violations(p)
+    assert any("odd_cells" in f for f in good.inputFiles()) and good.count() == 0
+    bad = p.where("NOT (run_id = 1 AND study_id % 11 = 0)").unionByName(p.where("run_id = 4 AND study_id % 19 = 0")).withColumn("label", F.when(F.expr("run_id = 2 AND study_id % 13 = 0"), 1 - F.col("label")).otherwise(F.col("label")))
+    bad = bad.where("NOT (run_id = 0 AND study_id % 23 = 0)").unionByName(p.where("run_id = 3 AND study_id % 23 = 0"))  # as many rows as runs, one run twice
+    want = bad.groupBy("study_id", "class_idx").agg(F.count_distinct("run_id").alias("r"), F.count("*").alias("n"), F.count_distinct("label").alias("l")).where("r < 5 OR n > 5 OR l <> 1")
+    assert sources.member_violations(bad).count() == want.count() > 0
