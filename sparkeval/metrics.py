@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,19 +48,16 @@ def brier(pred: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 def score_quantiles(sweep: DataFrame, steps: Sequence[float], keys: Sequence[str]) -> DataFrame:
     """keys and `edges`: exact quantiles of counted scores, interpolated between neighbours, equal ones once.
 
-    sweep: what ranking.swept gives. Its running counts tell which scores stand at the ranks that are asked for; only these are brought together.
+    sweep: what ranking.swept gives. Its running counts tell which scores stand at the ranks that are asked for; only these are kept.
     """
     c = sweep.withColumn("above", F.col("tp") + F.col("fp") - F.col("n"))  # rows of higher scores
     low, high = F.col("total") - F.col("above") - F.col("n"), F.col("total") - F.col("above")  # ranks from the bottom that the score has
-    ranks = []
-    for i, q in enumerate(steps):
-        at = F.lit(q) * (F.col("total") - 1)
-        ranks += [F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), r.cast("long").alias("rank"), at.alias("at")) for side, r in enumerate((F.floor(at), F.ceil(at)))]
-    hit = c.select(*keys, "score", F.inline(F.filter(F.array(*ranks), lambda r: (r["rank"] >= low) & (r["rank"] < high))))
-    ends = hit.groupBy(*keys, "i").agg(F.max(F.when(F.col("side") == 0, F.col("score"))).alias("lo"), F.max(F.when(F.col("side") == 1, F.col("score"))).alias("hi"), F.max("at").alias("at"))
-    value = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise((F.ceil("at") - F.col("at")) * F.col("lo") + (F.col("at") - F.floor("at")) * F.col("hi"))
-    edges = ends.select(*keys, "i", value.alias("edge")).groupBy(*keys)  # a row for each step
-    return edges.agg(F.array_sort(F.collect_set("edge")).alias("edges"))
+    at = [F.lit(q) * (F.col("total") - 1) for q in steps]
+    ends = [F.max(F.when((r.cast("long") >= low) & (r.cast("long") < high), F.col("score"))).alias(f"{side}{i}") for i, x in enumerate(at) for side, r in (("lo", F.floor(x)), ("hi", F.ceil(x)))]
+    e = c.groupBy(*keys).agg(F.max("total").alias("total"), *ends)
+    between = [(F.ceil(x) - x) * F.col(f"lo{i}") + (x - F.floor(x)) * F.col(f"hi{i}") for i, x in enumerate(at)]
+    edges = [F.when(F.col(f"lo{i}") == F.col(f"hi{i}"), F.col(f"lo{i}")).otherwise(b) for i, b in enumerate(between)]
+    return e.select(*keys, F.array_sort(F.array_distinct(F.array_compact(F.array(*edges)))).alias("edges"))
 
 
 def _check_binning(strategy: str) -> None:
@@ -89,8 +87,16 @@ def expected_calibration_error(pred: DataFrame, bins: int = 15, strategy: str =
     return calibration_error(counts if strategy == "uniform" else stage(swept(counts, keys), "ece_sweep"), bins, strategy, keys)
 
 
-def screening_scores() -> list[Column]:
-    """A study's highest score and its noisy-or, in the order of the classes."""
+#: Up to so many classes a study's scores are multiplied in a column a class, beyond in a sorted list.
+PRODUCT_CLASSES = 64
+
+
+def screening_scores(classes: Sequence | None = None) -> list[Column]:
+    """A study's highest score and its noisy-or, in the order of the classes. Where all classes that occur are named, no scores are collected and sorted."""
+    if classes is not None and len(classes) <= PRODUCT_CLASSES:
+        of = [F.product(F.when(F.col("class_idx").eqNullSafe(F.lit(k)), 1 - F.col("score"))) for k in sorted(classes, key=lambda k: (k is not None, k))]
+        none = reduce(lambda a, p: a * F.coalesce(p, F.lit(1.0)), of, F.lit(1.0))
+        return [F.max("score").alias("max"), F.when(F.count("score") == F.count("*"), 1 - none).alias("noisy_or")]
     scores = F.array_sort(F.collect_list(F.struct("class_idx", "score")))
     return [F.max("score").alias("max"), (1 - F.aggregate(scores, F.lit(1.0), lambda a, x: a * (1 - x["score"]))).alias("noisy_or")]
 

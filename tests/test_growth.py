@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkeval import bootstrap, ensemble, queries, sources, splits, stacking, staging, subgroups
-from sparkeval.bridge import predictions, staged_predictions, studies
+from sparkeval import bootstrap, bridge, ensemble, metrics, queries, ranking, reports, sources, splits, stacking, staging, subgroups
+from sparkeval.bridge import laid_out, predictions, staged_predictions, staged_studies, studies
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -109,3 +109,49 @@ def test_members_that_agree_need_no_sets(spark):
     bad = bad.where("NOT (run_id = 0 AND study_id % 23 = 0)").unionByName(p.where("run_id = 3 AND study_id % 23 = 0"))  # as many rows as runs, one run twice
     want = bad.groupBy("study_id", "class_idx").agg(F.count_distinct("run_id").alias("r"), F.count("*").alias("n"), F.count_distinct("label").alias("l")).where("r < 5 OR n > 5 OR l <> 1")
     assert sources.member_violations(bad).count() == want.count() > 0
+
+
+def test_report_takes_studies_together(spark, monkeypatch):
+    """A study's rows are dealt before classes and runs are laid out, and meet no shuffle of their own; scores are not collected; images are read from the same sums."""
+    staged = {}
+    monkeypatch.setattr(bridge, "STUDIES_A_FILE", 200)
+    monkeypatch.setattr(reports, "stage", lambda df, name: staged.setdefault(name, plan(df)) and staging.stage(df, name))
+    queries.QUERIES["evaluation_metrics"](spark, FOLDER)
+    p = staged["report_studies"]
+    assert p.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(study_id" in p and "ObjectHashAggregate" not in p and "SortAggregate" not in p
+    seen, parts = staged_studies(spark, FOLDER, "split = 'test'")
+    a, b = laid_out(seen), laid_out(seen.repartition(parts, "study_id"))
+    assert a.exceptAll(b).count() == b.exceptAll(a).count() == 0 < a.count()
+
+
+def test_noisy_or_by_columns_equals_that_of_lists(spark):
+    rng = np.random.default_rng(4)
+    rows = [(s, k, float(rng.random())) for s in range(200) for k in (7, 0, 3, 12) if rng.random() < 0.8]
+    rows += [(900, 0, None), (900, 3, 0.5), (901, 0, 0.25), (901, 0, 0.5), (902, None, 0.1), (902, 7, 0.2), (903, 7, None)]
+    r = spark.createDataFrame(rows, "study_id long, class_idx int, score double").groupBy("study_id")
+    got, want = ({x.study_id: x[1:] for x in r.agg(*metrics.screening_scores(c)).collect()} for c in ([7, None, 12, 0, 3], None))
+    assert got == want
+
+
+def test_equal_scores_meet_in_their_range(spark):
+    """Rows of a score in several batches and ranges are one step of the sweep, whatever null and NaN are among them, and the sweep is read without a shuffle."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rng = np.random.default_rng(6)
+        rows = [(r, k, s, int(rng.integers(0, 3)), int(rng.integers(3, 9))) for r in (0, 1, None) for k in (None, 2) for s in (0.25, None, float("nan"), -0.0, 0.0, 0.5, 0.75) for _ in range(int(rng.integers(1, 30)))]
+        d = spark.createDataFrame(rows, "run_id int, class_idx int, score double, pos long, n long")
+        got = ranking.swept(d, repeated=True, parts=5)
+        assert "Window" not in plan(got) and "Exchange hashpartitioning" not in plan(got)
+        whole = d.groupBy("run_id", "class_idx", "score").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+        at = lambda r: (str(r.run_id), str(r.class_idx), "0.0" if r.score == 0 else str(r.score))
+        result = {at(r): (r.pos, r.n, r.tp, r.fp, r.p, r.total) for r in got.collect()}
+        want, place = {}, {"nan": 4, "0.75": 3, "0.5": 2, "0.25": 1, "0.0": 0, "None": -1}
+        steps = {at(r): (r.pos, r.n) for r in whole.collect()}
+        for (a, b, s), (pos, n) in steps.items():
+            up = [v for (x, y, z), v in steps.items() if (x, y) == (a, b) and place[z] >= place[s]]
+            own = [v for (x, y, _), v in steps.items() if (x, y) == (a, b)]
+            tp, called = (sum(v[i] for v in up) for i in (0, 1))
+            want[a, b, s] = (pos, n, tp, called - tp, sum(v[0] for v in own), sum(v[1] for v in own))
+        assert result == want and got.count() == len(want)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
