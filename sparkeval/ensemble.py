@@ -35,7 +35,8 @@ def combine(pred: DataFrame, rule: str = "mean") -> DataFrame:
         raise ValueError(f"unknown rule {rule}")
     pred = rank_transform(pred) if rule == "rank" else pred
     score = F.avg(log_odds(F.col("score"))) if rule == "logit" else F.avg("score")
-    out = pred.groupBy("split", "study_id", "class_idx").agg(F.min("patient_id").alias("patient_id"), F.max("label").alias("label"), score.alias("score"))
+    slot = [F.min("slot").alias("slot")] if "slot" in pred.columns else []
+    out = pred.groupBy("split", "study_id", "class_idx").agg(F.min("patient_id").alias("patient_id"), F.max("label").alias("label"), score.alias("score"), *slot)
     out = out.withColumn("score", 1 / (1 + F.exp(-F.col("score")))) if rule == "logit" else out
     return out.withColumn("score", F.round("score", 12))  # sums in another order keep their ties
 
