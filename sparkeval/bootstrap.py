@@ -27,10 +27,10 @@ from sparkeval.subgroups import AXES, REFERENCE, abnormal_studies, by_axis, leve
 from sparkeval.thresholds import MIN_SUPPORT, TIE, check_objective, safe_ratio
 
 TASK_ROWS = 100_000  # rows of counts that a task weighs
-CHUNK_ROWS = 1_000_000  # rows that a range of scores should have
+CHUNK_ROWS = 2_000_000  # rows that a range of scores should have
 PART_ROWS = 250_000  # rows that a task sorts at least, if there are so many ranges
 HELD_ROWS = 1_000_000  # rows that a task holds before it deals them over ranges
-MARKED = 16  # one row in so many, or more where ranges are short, is looked at where their borders are chosen
+MARKED = 16  # one row in so many is looked at where borders of ranges are chosen
 MARKS = 64  # scores that stand for a key's held rows where ranges are chosen
 TABLE_PATIENTS = 8_000_000  # of which a task holds a block's weights
 PIECE_ROWS = 4096  # of which a block's weights lie in a processor's cache
@@ -459,12 +459,12 @@ def swept_over_draws(rows: DataFrame, items: DataFrame, n: int, draws: int, name
     several = {r.key: r.rows for r in items.where(F.col("rows") > CHUNK_ROWS).collect()}  # a row for each so many rows
     bounds: dict[int, np.ndarray] = {}
     if several:
-        some = rows.where(F.pmod(F.xxhash64("slot", "score"), F.lit(max(min(MARKED, CHUNK_ROWS // 10_000), 1))) == 0)  # borders of ranges need no more; every row is dealt by them
+        some = rows.where(F.pmod(F.xxhash64("slot", "score"), F.lit(MARKED)) == 0)  # borders of ranges need no more; every row is dealt by them
         marks = stage(some.mapInArrow(_marks(names, frozenset(several)), "key int, score double, n double"), "draw_marks")
         falling = Window.partitionBy("key").orderBy(F.desc("score"))
-        share = F.ceil(F.sum("n").over(Window.partitionBy("key")) / CHUNK_ROWS)
-        at = F.floor((F.sum("n").over(falling) - F.col("n")) * share / F.sum("n").over(Window.partitionBy("key")))
-        found = marks.withColumn("part", at).groupBy("key", "part").agg(F.min("score").alias("least")).orderBy("key", "part").collect()  # a row for each range
+        above = (F.sum("n").over(falling) - F.col("n")) / F.sum("n").over(Window.partitionBy("key"))
+        at = F.floor(above * F.ceil(F.col("rows") / CHUNK_ROWS)).alias("part")
+        found = marks.join(F.broadcast(items.select("key", "rows")), "key").select("key", "score", at).groupBy("key", "part").agg(F.min("score").alias("least")).orderBy("key", "part").collect()  # a row for each range
         for r, following in zip(found, [*found[1:], None]):
             if following is not None and following.key == r.key:
                 bounds[r.key] = np.append(bounds.get(r.key, []), r.least)

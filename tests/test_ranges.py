@@ -28,6 +28,7 @@ def test_several_ranges_a_key(numbered, monkeypatch):
     fired, slots = numbered
     one = [stage(x, "one") for x in (bootstrap.bootstrap_rank(fired, 130), bootstrap.bootstrap_thresholds(fired, "f1", 130), bootstrap.bootstrap_gaps(fired, 130))]
     monkeypatch.setattr(bootstrap, "CHUNK_ROWS", 90)
+    monkeypatch.setattr(bootstrap, "MARKED", 2)
     seen, write = [], bootstrap.stage
     monkeypatch.setattr(bootstrap, "stage", lambda df, name: seen.append((name, write(df, name))) or seen[-1][1])
     several = bootstrap.bootstrap_rank(fired, 130, slots=slots), bootstrap.bootstrap_thresholds(fired, "f1", 130, slots=slots), bootstrap.bootstrap_gaps(fired, 130, slots=slots)
