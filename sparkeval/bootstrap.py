@@ -1,11 +1,10 @@
 """Patient-clustered bootstrap: weights per draw and patient (`draws`), not copies of rows.
 
 Rates need counts per patient only: a task takes the counts of a range of patients, makes each weight there once for all keys, and adds up.
-Rank metrics and thresholds need counts per score and patient. These are dealt over ranges of (key, score) with so many rows, of any number of keys. A task
-holds its range's slots, scores and counts; for each block of draws it makes the weights of all patients once, a byte each, and sums them up score by score in
+Rank metrics and thresholds need rows by score. These are dealt once, as short arrays, over ranges of (key, score), and a range is written as groups of equal
+score with their patients' numbers. A task reads some ranges; for each block of draws it makes the weights of all patients once, a byte each, and sums them up score by score in
 falling order; what lies above a range, where a key has several, comes in front of it from a first pass. Rows are
-shuffled once, not once for each draw, and never carry weights. Ranges grow with the patients (`range_rows`), so that making weights takes a task no longer than using
-them. Beyond `TABLE_PATIENTS` a task makes the weights of some thousand rows' patients at a time instead, slower but as bounded.
+shuffled once, not once for each draw, and never carry weights. Beyond `TABLE_PATIENTS` a task makes the weights of some thousand rows' patients at a time instead, slower but as bounded.
 """
 
 from __future__ import annotations
