@@ -27,7 +27,7 @@ from sparkeval.thresholds import MIN_SUPPORT, TIE, check_objective, safe_ratio
 
 TASK_ROWS = 100_000  # rows of counts that a task weighs
 CHUNK_ROWS = 2_000_000  # rows that a range of scores should have
-PART_ROWS = 250_000  # rows that a task sorts at least, if there are so many ranges
+PART_ROWS = 100_000  # rows that a task sorts at least, if there are so many ranges
 HELD_ROWS = 1_000_000  # rows that a task holds before it deals them over ranges
 MARKED = 16  # one row in so many is looked at where borders of ranges are chosen
 MARKS = 64  # scores that stand for a key's held rows where ranges are chosen
@@ -167,6 +167,8 @@ def _summed(w: np.ndarray, most: int, at: np.ndarray, times: np.ndarray | None,
         if len(begin) < len(rows):
             sums = np.ascontiguousarray(np.add.reduceat(np.ascontiguousarray(sums.T), begin, axis=1).T)
         sums = sums.view(np.uint8)
+        if times is None and len(sums) == len(first) == steps and len(some) <= PIECE_ROWS:
+            return sums.astype(np.int64).T  # nothing to add up
         out[own[first]] += sums if len(sums) == len(first) else np.add.reduceat(sums.astype(np.int64), start, axis=0)
         many = rows[:0] if times is None else rows[times[rows] > 1]
         if len(many):
